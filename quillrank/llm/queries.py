@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import bpe, chat, counts, mixing, quality, secrets, sharding
+from quillrank.llm import bpe, chat, counts, lm, mixing, neardup, quality, secrets, sharding, vectors
 from quillrank.llm._scratch import Scratch
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,6 +23,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    model = lm.fit(docs.where(F.coalesce(~held_out, F.lit(True))), Scratch(spark, "lm"))
+    scored = lm.score(docs, model)
+    train = F.lit(model.tokens).cast("long")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", train.alias("train_tokens"), "base_score", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tokenizer versions loaded, one revised, short documents deleted, one batch sent again."""
     docs = documents(spark, sf_dir)
@@ -46,6 +55,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), neardup.Near(shingle=3, percent=85, rows=6, bands=32))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     n = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
@@ -56,6 +69,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
@@ -97,5 +114,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_secret_scan, op6_bpe, op7_quality_rules, op8_chat, op9_mixing, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring, op2_token_counts, op3_near_duplicates, op4_secret_scan, op5_embedding_duplicates,
+        op6_bpe, op7_quality_rules, op8_chat, op9_mixing, op10_sharding,
+    )
+}
 ORACLE: dict[str, str] = {}

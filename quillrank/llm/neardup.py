@@ -16,8 +16,8 @@ from quillrank.llm._scratch import Scratch
 
 #: Bits of an odd sketch.
 BITS = 512
-#: Documents of a bucket that meet in one task are at most about twice this many.
-BLOCK = 512
+#: Documents of a bucket that meet in one task are about twice this many at most.
+BLOCK = 1_024
 
 
 @dataclass(frozen=True)
@@ -115,37 +115,59 @@ def estimate(a: Column, b: Column, samples: int) -> Column:
     return F.lit(1.0) + F.lit(BITS / (4.0 * samples)) * F.log(gap)
 
 
-def _pairs_in_block(p: Near, most: int):
-    """Pairs of a block's documents in different components whose sketches look alike; the best `most` of any two
-    components."""
-
-    def pairs(group: pa.Table) -> pa.Table:
-        names, roots, side = group["name"].to_pylist(), group["root"].to_pylist(), np.array(group["side"].to_pylist())
-        bits = np.array(group["odd"].to_pylist(), dtype=np.int64).reshape(len(names), -1).view(np.uint64)
-        ids = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-        root = np.array([ids[r] for r in roots])
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found: list[tuple[int, int, int]] = []
-        limit = BITS / 2 * (1 - np.exp(-4 * p.samples * (1 - (p.percent / 100 - p.slack)) / BITS))
-        for i in left:
-            z = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1)
-            near = (z <= limit) & (root[right] != root[i]) & ((side[i] == 0) | (right > i))
-            found += [(int(z[j]), int(i), int(right[j])) for j in np.flatnonzero(near)]
-        found.sort()
-        seen: dict[tuple[int, int], int] = {}
-        out, cut = [], False
-        for _, i, j in found:
-            key = (min(root[i], root[j]), max(root[i], root[j]))
-            seen[key] = seen.get(key, 0) + 1
-            if seen[key] <= most:
-                out.append((min(names[i], names[j]), max(names[i], names[j])))
-            else:
-                cut = True
-        if cut:
-            out.append((b"", b""))
+def _set_list(column: pa.Array, n: int) -> list[np.ndarray]:
+    """Each text's sorted set of n-word shingles."""
+    each = [(h, bounds) for t in W.texts(column) for h, bounds in [W.sets(*t.words(), n)]]
+    return [h[bounds[i] : bounds[i + 1]] for h, bounds in each for i in range(len(bounds) - 1)]
+
+
+def _shared(sets: list[np.ndarray], i: int, others: np.ndarray, whole: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of set i and others; `whole` has all sets' elements numbered, and their bounds."""
+    if len(others) < 16:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others])
+    ids, bounds = whole
+    mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+    mark[ids[bounds[i] : bounds[i + 1]]] = 1
+    return np.add.reduceat(mark[ids], bounds[:-1])[others]
+
+
+def _links_in_block(p: Near):
+    """Links between components that meet in a block of a bucket, confirmed on full sets: as many as join the
+    components that have links here, not one for each pair.
+
+    A pair is looked at in the first band that it shares, if its sketches look alike, unless links found before have
+    joined its components already.
+    """
+    limit = BITS / 2 * (1 - np.exp(-4 * p.samples * (1 - (p.percent / 100 - p.slack)) / BITS))
+
+    def links(group: pa.Table) -> pa.Table:
+        names, side = group["name"].to_pylist(), np.array(group["side"])
+        bits = np.array(group["odd"].to_pylist(), dtype=np.int64).view(np.uint64)
+        bands = np.array(group["bands"].to_pylist(), dtype=np.int64)
+        ids = {r: i for i, r in enumerate(dict.fromkeys(group["root"].to_pylist()))}
+        root = np.array([ids[r] for r in group["root"].to_pylist()])
+        here = int(np.flatnonzero(bands[0] == group["band"][0].as_py())[0])
+        sets = _set_list(group["text"].combine_chunks(), p.shingle)
+        size = np.array([len(x) for x in sets])
+        whole = np.unique(np.concatenate(sets), return_inverse=True)[1], np.append(0, np.cumsum(size))
+        to = np.arange(len(ids))
+        out = []
+        right = np.flatnonzero(side != 0)
+        for i in np.flatnonzero(side != 1):
+            other = right[(to[root[right]] != to[root[i]]) & ((side[i] == 0) | (right > i))]
+            other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= limit]
+            other = other[~(bands[other, :here] == bands[i, :here]).any(axis=1)]
+            if not len(other):
+                continue
+            both = _shared(sets, i, other, whole)
+            for j in other[100 * both >= p.percent * (size[i] + size[other] - both)]:
+                a, b = to[root[i]], to[root[j]]
+                if a != b:
+                    to[to == max(a, b)] = min(a, b)
+                    out.append((names[i], names[j]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
-    return pairs
+    return links
 
 
 def _confirm(p: Near):
@@ -154,9 +176,7 @@ def _confirm(p: Near):
             keep = np.zeros(b.num_rows, dtype=bool)
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                text = pa.concat_arrays([part["ta"], part["tb"]])
-                each = [(h, bounds) for t in W.texts(text) for h, bounds in [W.sets(*t.words(), p.shingle)]]
-                own = [h[bounds[i] : bounds[i + 1]] for h, bounds in each for i in range(len(bounds) - 1)]
+                own = _set_list(pa.concat_arrays([part["ta"], part["tb"]]), p.shingle)
                 for i in range(part.num_rows):
                     x, y = own[i], own[part.num_rows + i]
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -167,13 +187,12 @@ def _confirm(p: Near):
 
 
 class Linker:
-    """Links between different sets of one table, found and confirmed in rounds.
+    """Links that join all similar sets of one table, each confirmed on full sets.
 
-    Nodes are sets, named by 128 bits; all documents with an equal set are one node. Every bucket of a band first
-    links its members to its least member: a row a member, not a pair. After components are known, only buckets that
-    still hold several components are looked at again, in blocks, for pairs of sketches in different components; each
-    round takes the most alike few of any two components, four times as many the next time, until none is left. So
-    every link that shares a band either was confirmed or joins documents that are one component already.
+    Nodes are sets, named by 128 bits; all documents with an equal set are one node. First every bucket of a band
+    links its members to its least member: a row a member, not a pair. Then only buckets whose other members are
+    still in several components are looked at again, in blocks of bounded size, for links between components. So
+    every link that shares a band either was confirmed or joins documents that other links join.
     """
 
     def __init__(self, docs: DataFrame, p: Near, scratch: Scratch):
@@ -182,23 +201,18 @@ class Linker:
         # one document stands for each set: its bands, its sketch and, for confirming, its text
         rows = self.found.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "bands", "odd")).alias("_d"))
         rows = scratch.save(rows.select("name", "_d.doc_id", "_d.bands", "_d.odd"), "nodes")
-        self.nodes, self.odd = rows.select("name", "doc_id"), rows.select("name", "odd")
-        self.bands = scratch.save(rows.select("name", F.explode("bands").alias("band")), "bands")
+        self.rows, self.nodes, self.odd = rows, rows.select("name", "doc_id"), rows.select("name", "odd")
+        self.bands = rows.select("name", F.explode("bands").alias("band"))
 
     def sketch_of(self, names: DataFrame, column: str) -> DataFrame:
         return names.join(self.odd.select(F.col("name").alias(column), F.col("odd").alias(f"odd_{column}")), column)
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough. Only texts of documents in a pair are shuffled on."""
-        p = self.p
-        pairs = self.scratch.save(pairs.select("a", "b").distinct(), f"{name}-pairs")
-        ends = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-        wanted = self.scratch.save(self.nodes.join(ends, "name", "left_semi"), f"{name}-wanted")
-        texts = self.docs.select("doc_id", "text").join(wanted, "doc_id")
+    def texts(self, names: DataFrame) -> DataFrame:
+        """(name, text) of these nodes, the only ones whose texts leave their place."""
+        wanted = self.scratch.save(self.nodes.join(names, "name", "left_semi"), "wanted")
+        found = self.docs.select("doc_id", "text").join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"]))
         # rows that share a doc_id but not a text are told apart by their set's name
-        texts = self.scratch.save(self.renamed(texts), f"{name}-texts")
-        a, b = (texts.select(F.col("name").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return self.scratch.save(pairs.join(a, "a").join(b, "b").mapInArrow(_confirm(p), "a binary, b binary").distinct(), name)
+        return self.scratch.save(self.renamed(found), "texts")
 
     def renamed(self, texts: DataFrame) -> DataFrame:
         p = self.p
@@ -220,48 +234,30 @@ class Linker:
         return texts.select("name", "text").mapInArrow(same, "name binary, text string").dropDuplicates(["name"])
 
     def links(self) -> DataFrame:
-        least = self.bands.groupBy("band").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1")
-        least = self.scratch.save(least, "leaders")
-        stars = self.bands.join(least, "band").where("name != a").select("a", F.col("name").alias("b")).distinct()
-        near = self.sketch_of(self.sketch_of(self.scratch.save(stars, "stars"), "a"), "b")
-        near = near.where(estimate(F.col("odd_a"), F.col("odd_b"), self.p.samples) >= self.p.percent / 100 - self.p.slack)
-        links = self.confirmed(near, "confirmed-0")
-        tried = self.pairs("confirmed-0-pairs")
-        several = self.bands.join(least.where("n > 2"), "band").where("name != a").select("band", "name")
-        several = self.scratch.save(several, "several")
-        most = 1
-        for i in range(1, 30):
-            roots = components(links, self.scratch, f"round-{i}")
-            placed = several.join(roots, several["name"] == roots["node"], "left").select("band", "name", F.coalesce("root", "name").alias("root"))
-            placed = self.scratch.save(placed, f"placed-{i}")
-            open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-            rows = placed.join(open_.select("band", "n"), "band").withColumnRenamed("name", "x")
-            rows = self.sketch_of(rows, "x").select("band", "n", F.col("x").alias("name"), "root", F.col("odd_x").alias("odd"))
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), blocks).cast("int"))
-            # a block meets itself (side 2) and every other block once (side 0 against side 1)
-            other = F.transform(
-                F.sequence(F.lit(0), blocks - 1),
-                lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1).alias("side")),
-            )
-            rows = rows.select("band", "name", "root", "odd", F.explode(other).alias("_o")).select("band", "_o.lo", "_o.hi", "_o.side", "name", "root", "odd")
-            pairs = rows.groupBy("band", "lo", "hi").applyInArrow(_pairs_in_block(self.p, most), "a binary, b binary").distinct()
-            pairs = self.scratch.save(pairs, f"pairs-{i}")
-            new = self.scratch.save(pairs.where("a != b").join(tried, ["a", "b"], "left_anti"), f"new-{i}")
-            if new.isEmpty():
-                if pairs.where("a = b").isEmpty():
-                    break
-                most *= 4
-                continue
-            links = self.scratch.save(links.unionByName(self.confirmed(new, f"confirmed-{i}")), f"links-{i}")
-            tried = tried.unionByName(self.pairs(f"confirmed-{i}-pairs"))
-            most *= 4
-        else:
-            raise RuntimeError("pairs did not settle")
-        return links
-
-    def pairs(self, name: str) -> DataFrame:
-        return self.docs.sparkSession.read.schema("a binary, b binary").parquet(self.scratch.path(name))
+        p, save = self.p, self.scratch.save
+        least = save(self.bands.groupBy("band").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1"), "leaders")
+        members = save(self.bands.join(least, "band").where("name != a").select("band", "n", "a", "name"), "members")
+        stars = save(members.select("a", F.col("name").alias("b")).distinct(), "stars")
+        texts = self.texts(stars.select(F.col("a").alias("name")).unionByName(stars.select(F.col("b").alias("name"))).distinct())
+        alike = estimate(F.col("odd_a"), F.col("odd_b"), p.samples) >= p.percent / 100 - p.slack
+        near = self.sketch_of(self.sketch_of(stars, "a"), "b").where(alike).select("a", "b")
+        ta, tb = (texts.select(F.col("name").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        links = save(near.join(ta, "a").join(tb, "b").mapInArrow(_confirm(p), "a binary, b binary"), "first")
+        roots = components(links, self.scratch, "first-roots")
+        placed = members.where("n > 2").join(roots, F.col("name") == F.col("node"), "left")
+        placed = save(placed.select("band", "name", F.coalesce("root", "name").alias("root")), "placed")
+        several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        rows = placed.join(several.select("band", "n"), "band").withColumn("own", F.pmod(F.xxhash64("name"), blocks).cast("int"))
+        # a block meets itself (side 2) and every other block once (side 0 against side 1)
+        other = F.transform(
+            F.sequence(F.lit(0), blocks - 1),
+            lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1).alias("side")),
+        )
+        rows = rows.select("band", "name", "root", F.explode(other).alias("_o")).select("band", "_o.lo", "_o.hi", "_o.side", "name", "root")
+        rows = rows.join(self.rows.select("name", "bands", "odd"), "name").join(texts, "name")
+        more = rows.groupBy("band", "lo", "hi").applyInArrow(_links_in_block(p), "a binary, b binary")
+        return links.unionByName(save(more, "more"))
 
 
 def near_duplicates(docs: DataFrame, p: Near | None = None) -> DataFrame:

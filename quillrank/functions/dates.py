@@ -45,7 +45,7 @@ def months(start: Column, end: Column) -> Column:
 
 def recency(last: Column, as_of: Column) -> Column:
     """1 today, falling to 0 in 730 days; 0.5 if unknown. Dates ahead give more than 1."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.datediff(as_of, last) / 730.0), F.lit(0.5))
+    return F.when(last.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.datediff(as_of, last) / 730.0))
 
 
 def experience_score(years: Column, recent: Column) -> Column:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from quillrank import config
 
 
+def once(value: Column, use) -> Column:
+    """`use` of a value that is computed one time, however often a lambda in `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -23,11 +28,14 @@ def normalize(text: Column, aliases: dict[str, str] = config.SKILL_ALIASES) -> C
 def extract_skills(text: Column, vocabulary: list[str]) -> Column:
     """Sorted skills of a text: single words by word, phrases wherever they occur in the normalised text."""
     words, phrases = [v for v in vocabulary if " " not in v], [v for v in vocabulary if " " in v]
-    norm = normalize(text)
-    found = F.array_intersect(F.split(norm, " "), F.array(*map(F.lit, words)))
-    if phrases:
-        found = F.concat(found, F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(norm, p)))
-    return F.array_sort(F.array_distinct(found))
+
+    def find(norm: Column) -> Column:
+        found = F.array_intersect(F.split(norm, " "), F.array(*map(F.lit, words)))
+        if phrases:
+            found = F.concat(found, F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(norm, p)))
+        return F.array_sort(F.array_distinct(found))
+
+    return once(normalize(text), find)
 
 
 def slugify(name: Column) -> Column:
@@ -77,10 +85,14 @@ def char_windows(text: Column, size: int = 2000, overlap: int = 200) -> Column:
 
 def word_windows(text: Column, size: int = 307, overlap: int = 38) -> Column:
     """Windows of words, joined by single spaces."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     stride = size - overlap
-    count = F.greatest(F.ceil((F.size(words) - overlap) / stride), F.lit(1)).cast("int")
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(words, i * stride + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(words: Column) -> Column:
+        count = F.greatest(F.ceil((F.size(words) - overlap) / stride), F.lit(1)).cast("int")
+        each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(words, i * stride + 1, size), " "))
+        return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<string>"))
+
+    return once(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)
 
 
 def terms(text: Column, n: int = 1, stop: list[str] | None = None) -> Column:
@@ -88,7 +100,7 @@ def terms(text: Column, n: int = 1, stop: list[str] | None = None) -> Column:
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: F.length(w) > 1)
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
-    return F.concat(words, *(_grams(words, k) for k in range(2, n + 1)))
+    return once(words, lambda ws: F.concat(ws, *(_grams(ws, k) for k in range(2, n + 1))) if n > 1 else ws)
 
 
 def _grams(words: Column, k: int) -> Column:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from quillrank.plans import registry
@@ -23,7 +26,14 @@ def duck():
 
 def rows(pdf):
     cols = sorted(pdf.columns)
-    plain = lambda v: None if v is None or v != v else str(v)[:10] if hasattr(v, "year") else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
+
+    def plain(v):
+        if pd.isna(v):
+            return None
+        if hasattr(v, "year"):
+            return str(v)[:10]
+        return round(float(v), 6) if isinstance(v, (numbers.Number, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+
     return cols, sorted(([plain(v) for v in r] for r in pdf[cols].itertuples(index=False)), key=str)
 
 

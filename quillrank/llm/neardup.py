@@ -210,7 +210,8 @@ class Linker:
     def texts(self, names: DataFrame) -> DataFrame:
         """(name, text) of these nodes, the only ones whose texts leave their place."""
         wanted = self.scratch.save(self.nodes.join(names, "name", "left_semi"), "wanted")
-        found = self.docs.select("doc_id", "text").join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+        # these ids grow with the corpus: never broadcast, however few they are in a small one
+        found = self.docs.select("doc_id", "text").join(wanted.hint("merge"), self.docs["doc_id"].eqNullSafe(wanted["doc_id"]))
         # rows that share a doc_id but not a text are told apart by their set's name
         return self.scratch.save(self.renamed(found), "texts")
 
@@ -283,13 +284,13 @@ def near_duplicates(docs: DataFrame, p: Near | None = None) -> DataFrame:
 def drop_duplicates(docs: DataFrame, p: Near) -> DataFrame:
     """One document of each group stays, the one with the least doc_id, with all its columns.
 
-    Of rows that share a doc_id one stays. Only the ids that go, and those that occur twice, meet the documents:
-    where they are few Spark broadcasts them by their measured size, and no text is shuffled.
+    Of rows that share a doc_id one stays. The ids that go grow with the corpus, so that they meet the documents in a
+    shuffled join at every size.
     """
     scratch = Scratch(docs.sparkSession, "kept")
     rows = near_duplicates(docs, p)
     ids = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 OR NOT kept"), "ids")
     twice = ids.where("kept").select(F.col("doc_id").alias("_id"))
     met = ids.select(F.col("doc_id").alias("_id"))
-    once = docs.join(met, docs["doc_id"].eqNullSafe(met["_id"]), "left_anti")
+    once = docs.join(met.hint("merge"), docs["doc_id"].eqNullSafe(met["_id"]), "left_anti")
     return once.unionByName(docs.join(twice, docs["doc_id"].eqNullSafe(twice["_id"]), "left_semi").dropDuplicates(["doc_id"]))

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm import bpe, mixing, neardup, quality, queries, secrets
-from quillrank.llm._scratch import Scratch, shared_dir
+from quillrank.llm._scratch import Scratch, bounded_batches, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed base rules or their group's thresholds reject go."""
+    bounded_batches(spark)
     return quality.filter_docs(docs, Scratch(spark, "quality").save)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles and a similarity of 0.8 join, the one with the least id stays."""
+    bounded_batches(spark)
     return neardup.drop_duplicates(docs, neardup.Near(shingle=5, percent=80, rows=5, bands=40))
 
 
@@ -35,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether decoding gives the tokens' text back."""
+    bounded_batches(spark)
     path = queries.tokenizer_path()
     out = bpe.encode(docs.select("doc_id", "source", "text"), path)
     return out.select(

@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send texts to Python in batches of so many rows: Spark's default of 10,000 takes tens of MB several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """Parquet tables under one folder of the shared directory.
 

@@ -24,7 +24,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NEWLINE = np.zeros(256, dtype=bool)
 NEWLINE[0x0A] = True
 #: Bytes of text handled at once; what is derived from them takes some 40 bytes a byte.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

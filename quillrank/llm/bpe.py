@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: Code points up to which a text is encoded in one go.
 PIECE = 1 << 16
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

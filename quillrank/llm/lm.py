@@ -20,6 +20,8 @@ BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 SHARD_BYTES = 48 << 20
 #: Tokens that a task counts before it sends what it has.
 FLUSH = 6_000_000
+#: Bytes of text whose words and pairs are counted or looked up at once.
+CHUNK = 1 << 20
 _BLOBS = "shard int, a binary, b binary, n binary"
 
 
@@ -128,7 +130,7 @@ def _count_words(bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(h, "<u8"), pa.array([b""] * len(full), pa.binary()), part(n, "<i8")], names=["shard", "a", "b", "n"])
 
         for b in batches:
-            for t in W.texts(b["text"]):
+            for t in W.texts(b["text"], CHUNK):
                 held.append(np.unique(_tokens(t)[0], return_counts=True))
                 if sum(len(x) for x, _ in held) > FLUSH:
                     yield from send()
@@ -168,7 +170,7 @@ def _count_pairs(m: Model):
 
         size = 0
         for batch in batches:
-            for t in W.texts(batch["text"]):
+            for t in W.texts(batch["text"], CHUNK):
                 tokens, bounds = _tokens(t)
                 held.append(_pair_counts(_before(tokens, bounds), tokens))
                 size += len(held[-1][1])
@@ -341,7 +343,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
         own = Scorer(m)
         try:
             for b in batches:
-                for t in W.texts(b["text"]):
+                for t in W.texts(b["text"], CHUNK):
                     x = own.score(t)
                     ids = b["doc_id"].slice(t.rows.start, len(t.bounds) - 1)
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(x[k], kind) for k, kind in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])

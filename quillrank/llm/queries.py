@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm import bpe, chat, counts, lm, mixing, neardup, quality, secrets, sharding, vectors
-from quillrank.llm._scratch import Scratch
+from quillrank.llm._scratch import Scratch, bounded_batches
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -14,6 +14,7 @@ EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 

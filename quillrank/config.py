@@ -63,3 +63,53 @@ def checked_weights(weights: dict) -> dict:
     if not 0.99 <= sum(weights.values()) <= 1.01:
         raise ValueError("weights must sum to 1")
     return weights
+
+# What the lines that open a section begin with.
+SECTION_LINES = {
+    "summary": r"summary|profile|objective|about|overview|executive\s+summary|professional\s+summary|career\s+summary",
+    "experience": r"experience|work\s+experience|employment|professional\s+experience|work\s+history|career\s+history|professional\s+background",
+    "skills": r"skills|technical\s+skills|core\s+skills|competencies|expertise|key\s+skills|skill\s+set|technologies|tools\s+and\s+technologies",
+    "education": r"education|academic\s+background|qualifications|academic\s+qualifications|degrees|academics",
+    "projects": r"projects|key\s+projects|notable\s+projects|project\s+experience|selected\s+projects|project\s+portfolio",
+}
+
+# Patterns of degrees, fields of study and roles.
+DEGREES = [
+    r"B\.?\s*Tech|B\.?\s*E|Bachelor\s+of\s+Technology|Bachelor\s+of\s+Engineering",
+    r"M\.?\s*Tech|M\.?\s*E|Master\s+of\s+Technology|Master\s+of\s+Engineering",
+    r"B\.?\s*S\.?\s*C|Bachelor\s+of\s+Science",
+    r"M\.?\s*S\.?\s*C|Master\s+of\s+Science",
+    r"B\.?\s*A|Bachelor\s+of\s+Arts",
+    r"M\.?\s*A|Master\s+of\s+Arts",
+    r"PhD|Ph\.?\s*D|Doctorate|Doctor\s+of\s+Philosophy",
+    r"MBA|Master\s+of\s+Business\s+Administration",
+    r"BBA|Bachelor\s+of\s+Business\s+Administration",
+]
+STUDY_FIELDS = [
+    r"Computer\s+Science|CS|C\.?\s*S",
+    r"Software\s+Engineering|SE",
+    r"Information\s+Technology|IT",
+    r"Electrical\s+Engineering|EE|E\.?\s*E",
+    r"Mechanical\s+Engineering|ME|M\.?\s*E",
+    r"Data\s+Science|DS",
+    r"Artificial\s+Intelligence|AI",
+    r"Machine\s+Learning|ML",
+]
+ROLE_PATTERNS = [
+    r"(?:Senior|Junior|Lead|Principal|Staff|Associate)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*",
+    r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Engineer|Developer|Architect|Manager|Analyst|Scientist|Specialist)",
+    r"(?:Software|Backend|Frontend|Full\s+Stack|DevOps|Data|ML|AI)\s+(?:Engineer|Developer|Architect)",
+]
+
+# Words that show a context, with its weight; the weight without any; weights of sections in a score.
+CONTEXTS = {
+    "experience": (["experience", "worked", "job", "position"], 0.5),
+    "projects": (["project", "built", "developed", "implemented"], 0.2),
+    "skills": (["skill", "technology", "tool", "proficient"], 0.3),
+}
+NO_CONTEXT = 0.1
+SECTION_WEIGHTS = {"experience": 0.5, "skills": 0.3, "projects": 0.2}
+
+# Files that are taken, and names that are junk.
+SUFFIXES = ("pdf", "docx", "txt")
+JUNK = r"(^|/)(\._[^/]*|\.DS_Store|Thumbs\.db|~\$[^/]*)$"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,10 @@ def session(app: str = "quillrank", master: str | None = None, **conf: str) -> S
     for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", **conf}.items():
         own = own.config(k, v)
     return own.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under `spark.checkpoint.dir`, which driver and executors share; a temporary one where it is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    root = root or f"file://{tempfile.mkdtemp(prefix='quillrank-')}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,45 +18,90 @@ from pyspark.sql import types as T
 #: Code points up to which a text is encoded in one go.
 PIECE = 1 << 16
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+#: Words that are encoded at once.
+AT_ONCE = 8_192
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_MARKS = r"!-&(-/:;=?@\[-`{}~"
+#: Latin letters, then marks or nothing.
+_LATIN = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
 
 
 class Codec:
     """A tokenizer file, with the ids of the words seen lately.
 
     For a tokenizer that drops white space and never joins over it, a text's ids are its words' ids in order; this
-    is tried once on load, and other tokenizers encode whole texts.
+    is tried once on load, and other tokenizers encode whole texts. If moreover every Latin letter and every mark
+    passes a trial, such words skip the tokenizer's patterns: letters go to the same merges in lower case, many words
+    at a time, and the marks after them are encoded on their own.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path) as f:
-            self.plain = json.load(f).get("decoder") is None
+            spec = json.load(f)
+        self.plain = spec.get("decoder") is None
         self.vocab = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         probe = ["Ab c", "'s 12 !?", "é", "x"]
         self.by_word = self._raw("  \n".join(probe)) == sum((self._raw(w) for p in probe for w in p.split()), [])
         self.seen: dict[bytes, bytes] = {}
+        # the model is shared, not loaded twice
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = np.array([bool(suffix) and self.vocab.get(i, "").endswith(suffix) for i in range(max(self.vocab, default=-1) + 1)])
+        self.latin = self.by_word and bool(suffix) and self._latin_fits()
+
+    def _latin_fits(self) -> bool:
+        letters = [c for c in map(chr, range(0x250)) if re.match(f"[{_LETTERS}]", c)]
+        marks = [c for c in map(chr, range(0x80)) if re.match(f"[{_MARKS}]", c)]
+        words = [f"{a}{c}{b}" for c in letters for a, b in (("", ""), ("a", "a"), ("Z", "é"))]
+        runs = [*marks, *(a + b for a in marks for b in marks)]
+        same = self._letters([w.lower() for w in words]) == self._full(words)
+        head = self._full(["ab"])[0]
+        return same and self._full([f"ab{r}" for r in runs]) == [head + x for x in self._full(runs)]
+
+    def _full(self, texts: list[str]) -> list[bytes]:
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(x)}I", *x) for x in (e.ids for e in found)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters: encoded in long runs, and cut after each token that ends a word."""
+        runs = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.array([i for e in self.bare.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist() if len(ids) else []
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        cut = [_LATIN.fullmatch(t) if self.latin else None for t in texts]
+        other = [t for t, m in zip(texts, cut, strict=True) if m is None]
+        other += {m[2] for m in cut if m} - {"", *other}
+        self.seen.update(zip((t.encode() for t in other), self._full(other), strict=True))
+        letters = list({m[1].lower() for m in cut if m})
+        found = dict(zip(letters, self._letters(letters), strict=True))
+        self.seen.update((w, found[m[1].lower()] + (self.seen[m[2].encode()] if m[2] else b"")) for w, m in zip(words, cut, strict=True) if m)
 
     def _raw(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pack = lambda x: np.array(x.ids, dtype="<u4").tobytes()
         if not self.by_word:
-            return [pack(x) for x in self.tok.encode_batch(texts, add_special_tokens=False)]
+            return self._full(texts)
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         words = [t.encode().split() for t in texts]
         new = list({w for ws in words for w in ws if w not in self.seen})
-        found = self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.seen.update((w, pack(x)) for w, x in zip(new, found, strict=True))
+        for i in range(0, len(new), AT_ONCE):
+            self._learn(new[i : i + AT_ONCE])
         get = self.seen.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
@@ -108,8 +154,8 @@ def _whole(path: str):
         own = codec(path)
         out: list[bytes] = []
         values = column.fill_null("")
-        for i in range(0, len(values), 512):
-            out += own.ids(values.slice(i, 512).to_pylist())
+        for i in range(0, len(values), 256):
+            out += own.ids(values.slice(i, 256).to_pylist())
         return pa.array(out, pa.binary())
 
     return encode_whole

@@ -216,3 +216,14 @@ def test_bpe_long_texts(spark):
         assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids, texts[r.doc_id][:80]
         assert r.back == tok.decode(ids, skip_special_tokens=False)
     assert bpe.encode(docs_of(spark, []).limit(0), path).count() == 0
+
+
+def test_bpe_words_of_letters_and_marks():
+    own = bpe.Codec(queries.tokenizer_path())
+    assert own.latin
+    texts = ["Thesble, thesble... Don't DON'T.", "İstanbul Éa éa H̱ ŉ ǅ ſ", "ab<|endoftext|>cd <|ENDOFTEXT|> a_b ab`~", "x² ½ 世界. ﬁn,", "", "!?"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in own.tok.encode_batch(texts, add_special_tokens=False)]
+    assert own.ids(texts) == want
+    own.latin = False
+    own.seen.clear()
+    assert own.ids(texts) == want

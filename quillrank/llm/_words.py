@@ -73,17 +73,31 @@ def segments(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray) -> tuple[np.
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges (none empty, in order, without overlap)."""
-    if not len(starts):
-        return np.empty(0, dtype=U)
-    _Powers.upto(len(data) + 1)
-    terms = _TABLE[data]
-    terms *= _Powers.up[: len(data)]
-    at = np.empty(2 * len(starts), dtype=np.int64)
-    at[0::2], at[1::2] = starts, ends
-    sums = np.add.reduceat(terms, at[:-1] if ends[-1] >= len(data) else at)[::2]
-    sums *= _Powers.down[starts]
-    return mix(sums + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte ranges (none empty, in order, without overlap).
+
+    Ranges are taken in runs of about CHUNK bytes, and a longer range in pieces: what is held beside a very long text
+    doesn't grow with it.
+    """
+    out = np.empty(len(starts), dtype=U)
+    _Powers.upto(CHUNK + 1)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + CHUNK, side="right"))
+        if j > i:
+            part, at = data[a : int(ends[j - 1])], np.empty(2 * (j - i), dtype=np.int64)
+            at[0::2], at[1::2] = starts[i:j] - a, ends[i:j] - a
+            terms = _TABLE[part]
+            terms *= _Powers.up[: len(part)]
+            out[i:j] = np.add.reduceat(terms, at[:-1])[::2] * _Powers.down[starts[i:j] - a]
+        else:
+            j, total = i + 1, 0
+            for lo in range(a, int(ends[i]), CHUNK):
+                part = data[lo : min(lo + CHUNK, int(ends[i]))]
+                total += int((_TABLE[part] * _Powers.up[: len(part)]).sum()) * pow(_P, lo - a, 1 << 64)
+            out[i] = total & _MASK
+        i = j
+    return mix(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -105,6 +119,8 @@ def texts(column: pa.Array, chunk: int = CHUNK) -> Iterator[Texts]:
     """The column's whole texts in runs of about `chunk` bytes; a null is an empty text, a longer text is alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    # what earlier batches took goes back before the next is worked on
+    pa.default_memory_pool().release_unused()
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:

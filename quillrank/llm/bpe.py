@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +43,7 @@ class Codec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        with open(path) as f:
-            spec = json.load(f)
-        self.plain = spec.get("decoder") is None
+        self.plain = self.tok.decoder is None
         self.vocab = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         probe = ["Ab c", "'s 12 !?", "é", "x"]
         self.by_word = self._raw("  \n".join(probe)) == sum((self._raw(w) for p in probe for w in p.split()), [])
@@ -54,11 +51,14 @@ class Codec:
         # the model is shared, not loaded twice
         self.bare = Tokenizer(self.tok.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = spec["model"].get("end_of_word_suffix")
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
         self.last = np.array([bool(suffix) and self.vocab.get(i, "").endswith(suffix) for i in range(max(self.vocab, default=-1) + 1)])
-        self.latin = self.by_word and bool(suffix) and self._latin_fits()
+        self.suffix = suffix
 
-    def _latin_fits(self) -> bool:
+    @cached_property
+    def latin(self) -> bool:
+        if not self.by_word or not self.suffix:
+            return False
         letters = [c for c in map(chr, range(0x250)) if re.match(f"[{_LETTERS}]", c)]
         marks = [c for c in map(chr, range(0x80)) if re.match(f"[{_MARKS}]", c)]
         words = [f"{a}{c}{b}" for c in letters for a, b in (("", ""), ("a", "a"), ("Z", "é"))]
@@ -143,27 +143,34 @@ class Codec:
             window *= 2
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _whole(path: str):
-    @F.arrow_udf(T.BinaryType())
-    def encode_whole(column: pa.Array) -> pa.Array:
-        own = codec(path)
-        out: list[bytes] = []
-        values = column.fill_null("")
-        for i in range(0, len(values), 256):
-            out += own.ids(values.slice(i, 256).to_pylist())
-        return pa.array(out, pa.binary())
+def _added(back: bool) -> str:
+    return "ids binary, decoded string" if back else "ids binary"
+
+
+def _whole(path: str, back: bool):
+    # a codec a task: workers that go on to other work don't keep its words
+    @F.arrow_udf(T.StructType.fromDDL(_added(back)))
+    def encode_whole(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Codec(path)
+        for column in columns:
+            out: list[bytes] = []
+            values = column.fill_null("")
+            for i in range(0, len(values), 256):
+                out += own.ids(values.slice(i, 256).to_pylist())
+            found = {"ids": pa.array(out, pa.binary())} | ({"decoded": pa.array(map(own.text, out), pa.string())} if back else {})
+            yield pa.StructArray.from_arrays(list(found.values()), names=list(found))
 
     return encode_whole
 
 
 def _pieces(path: str):
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)
         for b in batches:
             found = [own.spans(t, a).astype("<i4").tobytes() for t, a in zip(b["_piece"].to_pylist(), b["_at"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["_row"], b["_nth"], b["_at"], b["_piece"], pa.array(found, pa.binary())], names=["_row", "_nth", "_at", "_piece", "_spans"])
@@ -171,7 +178,7 @@ def _pieces(path: str):
     return encode_pieces
 
 
-def _concatenate(path: str):
+def _concatenate(path: str, back: bool):
     def tree(group: pa.Table) -> pa.Table:
         own = codec(path)
         group = group.sort_by("_nth")
@@ -181,21 +188,25 @@ def _concatenate(path: str):
         level = [(np.frombuffer(s, dtype="<i4").reshape(-1, 3).astype(np.int64), cuts[i], cuts[i + 1]) for i, s in enumerate(group["_spans"].to_pylist())]
         while len(level) > 1:
             level = [(own.join(x[0], y[0], text, (x[1], y[2])), x[1], y[2]) for x, y in zip(level[::2], level[1::2], strict=False)] + level[len(level) // 2 * 2 :]
-        return pa.table({"_row": group["_row"][:1], "ids": pa.array([level[0][0][:, 0].astype("<u4").tobytes()], pa.binary())})
+        ids = level[0][0][:, 0].astype("<u4").tobytes()
+        found = {"_row": group["_row"][:1], "ids": pa.array([ids], pa.binary())}
+        return pa.table(found | ({"decoded": pa.array([own.text(ids)], pa.string())} if back else {}))
 
     return tree
 
 
-def encode(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
+def encode(docs: DataFrame, path: str, piece: int = PIECE, back: bool = False) -> DataFrame:
     """Every row of `docs` with `ids`: the whole text's token ids, packed as little-endian unsigned 32-bit integers.
 
     Texts of up to `piece` code points are encoded where they are; a null text is empty and has no ids. Longer ones
     are halved until the pieces are that short, wherever the cuts fall, pieces are encoded in tasks of their own, and
     neighbours are joined pairwise level by level (see Codec.join). Only long texts are shuffled. Repeated rows each
-    have their own ids. `path` is a tokenizer file that all workers can read.
+    have their own ids. `path` is a tokenizer file that all workers can read. With `back`, `decoded` is the text that
+    the ids stand for, decoded by the worker that has them.
     """
     long = F.length("text") > piece
-    short = docs.where(F.coalesce(~long, F.lit(True))).withColumn("ids", _whole(path)(F.col("text")))
+    added = ["ids", "decoded"] if back else ["ids"]
+    short = docs.where(F.coalesce(~long, F.lit(True))).withColumn("_found", _whole(path, back)(F.col("text"))).select(*docs.columns, *(f"_found.{c}" for c in added))
     rows = docs.where(long).withColumn("_row", F.concat_ws(":", F.monotonically_increasing_id().cast("string"), F.xxhash64("text").cast("string")))
     n = F.pow(F.lit(2.0), F.ceil(F.log2(F.length("text") / F.lit(piece)))).cast("int")
     cut = lambda i: F.call_function("div", F.length("text").cast("long") * i, n).cast("int")
@@ -204,16 +215,17 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
     split = nth.select("_row", "_nth", at.alias("_at"), F.substr("text", at + 1, cut(F.col("_nth") + 1) - at).alias("_piece"))
     split = split.repartition(F.col("_row"), F.col("_nth"))
     spans = split.mapInArrow(_pieces(path), "_row string, _nth int, _at int, _piece string, _spans binary")
-    merged = spans.groupBy("_row").applyInArrow(_concatenate(path), "_row string, ids binary")
-    return short.unionByName(rows.join(merged, "_row").select(*docs.columns, "ids"))
+    merged = spans.groupBy("_row").applyInArrow(_concatenate(path, back), f"_row string, {_added(back)}")
+    return short.unionByName(rows.join(merged, "_row").select(*docs.columns, *added))
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of packed ids, special tokens included."""
 
     @F.arrow_udf(T.StringType())
-    def decoded(column: pa.Array) -> pa.Array:
-        own = codec(path)
-        return pa.array([own.text(x or b"") for x in column.to_pylist()], pa.string())
+    def decoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Codec(path)
+        for column in columns:
+            yield pa.array([own.text(x or b"") for x in column.to_pylist()], pa.string())
 
     return decoded(ids)

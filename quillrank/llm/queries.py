@@ -76,12 +76,12 @@ def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, back=True)
     return ids.select(
         "doc_id",
         F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: Code points up to which a text is encoded in one go.
 PIECE = 1 << 16
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 64_000
 #: Words that are encoded at once.
 AT_ONCE = 8_192
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,6 +164,7 @@ def _whole(path: str, back: bool):
                 out += own.ids(values.slice(i, 256).to_pylist())
             found = {"ids": pa.array(out, pa.binary())} | ({"decoded": pa.array(map(own.text, out), pa.string())} if back else {})
             yield pa.StructArray.from_arrays(list(found.values()), names=list(found))
+            pa.default_memory_pool().release_unused()
 
     return encode_whole
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,10 @@ from quillrank.llm._scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that all sources' draws make up together, at most about this many: the tree's draws stay exact and small.
 BLOCKS = 1 << 20
+#: Blocks that a source's own draws make up, at least, unless a block is one word: a small source is dealt out too.
+LEAST_BLOCKS = 1_024
+#: All small sources' blocks together are about twice this many at most; the draws take no more than 10^9.
+FINE_BLOCKS = 1 << 28
 #: Sources whose quotas the driver plans; more are refused, not dropped.
 MOST_SOURCES = 1_000_000
 
@@ -80,15 +85,30 @@ class Plan:
     )
 
 
+def block_words(target: float, total: int, sources: int) -> int:
+    """Words in a block of a source: all targets' share of BLOCKS, halved until the source's own has LEAST_BLOCKS."""
+    block, least = max(1, total // BLOCKS), min(LEAST_BLOCKS, max(1, FINE_BLOCKS // sources))
+    while block > 1 and target < least * block:
+        block //= 2
+    return block
+
+
 def plan(sizes: dict[str | None, int], weights: list[int], share: float, most: float, shards: int, seed: int) -> Plan:
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     size = [sizes[s] for s in names]
     want = targets(size, [weights[i % len(weights)] for i in range(len(names))], share, most) if names else []
-    block = max(1, int(sum(want)) // BLOCKS)
-    blocks = [-(-s // block) for s in size]
-    quota = [min(int(most) * n, int(t / block + 0.5)) for t, n in zip(want, blocks, strict=True)]
-    cuts = np.cumsum(split_quotas(np.array(quota, dtype=np.int64), shards, seed), axis=0) if names else np.zeros((shards, 0))
-    return Plan([(s, size[i], want[i], block, blocks[i], quota[i], [int(x) for x in cuts[:-1, i]]) for i, s in enumerate(names)])
+    block = [block_words(t, int(sum(want)), len(names)) for t in want]
+    blocks = [-(-s // b) for s, b in zip(size, block, strict=True)]
+    quota = []
+    for s, t, b, n in zip(size, want, block, blocks, strict=True):
+        whole = min(int(most), int(t // s)) if s else 0
+        quota.append(min(int(most) * n, whole * n + math.ceil((t - whole * s) / b)))
+    cuts = np.zeros((shards, len(names)), dtype=np.int64)
+    # sources with blocks of one size are a deck of their own, so that shards get equal words, not only equal blocks
+    for b in sorted(set(block)):
+        at = [i for i, x in enumerate(block) if x == b]
+        cuts[:, at] = np.cumsum(split_quotas(np.array([quota[i] for i in at], dtype=np.int64), shards, seed + b - 1), axis=0)
+    return Plan([(s, size[i], want[i], block[i], blocks[i], quota[i], [int(x) for x in cuts[:-1, i]]) for i, s in enumerate(names)])
 
 
 def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7) -> DataFrame:
@@ -99,10 +119,11 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     Weights repeat over the sources in code-point order. Returns doc_id, source, size, source_size, target and draws:
     an array of (epoch, shard, at), one for each time that the mix takes the document whole.
 
-    A source's documents stand in a line, in order of a seeded digest, cut into blocks of equal words; a document
-    belongs to the block with its middle, so the words of a run of blocks are off by half a document at most. Drawing
-    a quota takes blocks 0, 1, ... of the permuted line, a second time after the first is done, never a third. The
-    tree deals the quota to shards; `at` is the order within a shard. The line's positions are found by sums over
+    A source's documents stand in a line, in order of a seeded digest; those whose middle lies before the target are
+    drawn, the line a second time after the first is done, never a third. So the words that a source gives are off
+    from its target by half a document at most, however small it is beside the others. For the shards the line is
+    cut into blocks of equal words, and a document belongs to the block with its middle. The
+    tree deals the drawn blocks to shards; `at` is the order within a shard. The line's positions are found by sums over
     4,096 hash ranges of each source and then within each range, so a hot source is spread like any other. Repeated
     rows are documents of their own. The driver holds one row a source.
     """
@@ -124,10 +145,10 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     placed = placed.join(planned, F.col("source").eqNullSafe(F.col("_source")))
     middle = 2 * (F.col("_before") + F.col("_at")) + F.col("size")
-    placed = placed.withColumn("_k", F.call_function("div", middle, 2 * F.col("_block")))
+    placed = placed.withColumn("_middle", middle).withColumn("_k", F.least(F.call_function("div", "_middle", 2 * F.col("_block")), F.col("_blocks") - 1))
     draws = F.filter(
         F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("_k") + e * F.col("_blocks")).alias("draw")) for e in range(int(most)))),
-        lambda d: d["draw"] < F.col("_quota"),
+        lambda d: F.col("_middle") + 2 * d["epoch"] * F.col("source_size") < 2 * F.col("target"),
     )
     dealt = F.transform(
         draws,

@@ -145,6 +145,28 @@ def test_mixing_tree_and_edges(spark):
     assert mixing.materialise(mixed, unique).count() == mixed.select(F.sum(F.size("draws"))).first()[0] == 75
 
 
+def test_mixing_tiny_source_beside_a_huge_one(spark, monkeypatch):
+    sizes = {"huge": 4_600_000_000, "mid": 3_000, "tiny": 1_600}
+    rows = {r[0]: r for r in mixing.plan(sizes, [3, 1, 2], 1.5, 2.0, 64, 7).rows}
+    for name in ("mid", "tiny"):
+        _, size, target, block, blocks, quota, cuts = rows[name]
+        assert target == 2 * size and quota == 2 * blocks and 0 <= block * blocks - size < block <= target // 1_000
+        assert len(set(cuts)) > 60
+    assert rows["huge"][3] > 6_000
+    # the same at a small scale: blocks of the huge source are longer than all that the tiny ones have
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    texts = [("huge", 100)] * 300 + [("mid", 100)] * 20 + [("tiny", 40)] * 3
+    docs = spark.createDataFrame([(i, "w " * n, "en", s, 0) for i, (s, n) in enumerate(texts)], DOCS)
+    taken, want, shards = Counter(), {}, {}
+    for r in mixing.mix(docs, [3, 1, 2], shards=4).collect():
+        taken[r.source] += r.size * len(r.draws)
+        want[r.source] = r.target
+        shards.setdefault(r.source, Counter()).update({d.shard: r.size for d in r.draws})
+    assert want["tiny"] == 240 and want["mid"] == 4_000
+    assert all(abs(taken[s] - want[s]) <= n / 2 for s, n in (("huge", 100), ("mid", 100), ("tiny", 40)))
+    assert len(shards["mid"]) == 4
+
+
 def test_sharding(spark, data):
     rows = queries.op10_sharding(spark, data).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in queries.documents(spark, data).collect()}

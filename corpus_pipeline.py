@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm import bpe, mixing, neardup, quality, queries, secrets
@@ -18,9 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles and a similarity of 0.8 join, the one with the least id stays."""
+    """Of documents that links of five-word shingles and a similarity of 0.8 join, one with the least id stays."""
     bounded_batches(spark)
-    return neardup.drop_duplicates(docs, neardup.Near(shingle=5, percent=80, rows=5, bands=40))
+    return neardup.one_of_each(docs, neardup.Near(shingle=5, percent=80, rows=5, bands=40))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 3, 1, 2 share 150 % of all words: documents are left out, or there once or twice."""
-    mixed = mixing.mix(docs, weights=[3, 1, 2])
-    times = mixed.select(F.col("doc_id").alias("_id"), F.size("draws").alias("_times")).where("_times > 0")
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_n")
+    # ids may be null or repeated: rows meet their draws by what they hold, and the nth of equal rows the nth draws
+    docs = docs.withColumn("_row", F.xxhash64(F.struct("doc_id", "source", "text")))
+    times = mixing.mix(docs, weights=[3, 1, 2], carry=("_row",)).groupBy("_row").agg(F.collect_list(F.size("draws")).alias("_times"))
+    nth = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("doc_id")))
+    met = nth.join(times.where(F.exists("_times", lambda n: n > 0)), "_row").withColumn("_n", F.element_at("_times", F.col("_nth"))).where("_n > 0")
+    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_row", "_times", "_nth", "_n")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

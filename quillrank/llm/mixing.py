@@ -111,10 +111,10 @@ def plan(sizes: dict[str | None, int], weights: list[int], share: float, most: f
     return Plan([(s, size[i], want[i], block[i], blocks[i], quota[i], [int(x) for x in cuts[:-1, i]]) for i, s in enumerate(names)])
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """Draw each source's target from its documents and deal the draws out to output shards.
 
-    `docs` has doc_id, text, source and maybe more columns (not carried; join by doc_id or use `materialise`). A
+    `docs` has doc_id, text, source and maybe more columns (only those in `carry` are carried; join by doc_id or use `materialise`). A
     document's size is its number of words, 0 for a null text; a null source is a source of its own, last in order.
     Weights repeat over the sources in code-point order. Returns doc_id, source, size, source_size, target and draws:
     an array of (epoch, shard, at), one for each time that the mix takes the document whole.
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("_h"))
+    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("_h"), *carry)
     base = scratch.save(base, "base")
     found = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
             F.xxhash64(F.col("_h"), d["epoch"], F.lit(seed)).alias("at"),
         ),
     )
-    return placed.select("doc_id", "source", "size", "source_size", "target", dealt.alias("draws"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", dealt.alias("draws"), *carry)
 
 
 def materialise(mixed: DataFrame, docs: DataFrame) -> DataFrame:

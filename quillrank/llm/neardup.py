@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillrank.llm import _words as W
 from quillrank.llm._graph import components
@@ -72,6 +73,20 @@ def set_names(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [a.tobytes() for a in np.stack(parts, axis=1).astype(">u8")]
 
 
+def text_names(column: pa.Array, n: int) -> list[bytes | None]:
+    """The name of each text's set of n-word shingles; None if it is empty."""
+    out: list = []
+    for t in W.texts(column):
+        h, bounds = W.sets(*t.words(), n)
+        full = np.flatnonzero(np.diff(bounds) > 0)
+        own = np.full(len(bounds) - 1, None, dtype=object)
+        if len(full):
+            for i, x in zip(full, set_names(h, np.append(bounds[:-1][full], len(h))), strict=True):
+                own[i] = x
+        out += list(own)
+    return out
+
+
 def _sketches(p: Near):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,16 +235,7 @@ class Linker:
 
         def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                names: list = []
-                for t in W.texts(b["text"]):
-                    h, bounds = W.sets(*t.words(), p.shingle)
-                    full = np.flatnonzero(np.diff(bounds) > 0)
-                    own = np.full(len(bounds) - 1, None, dtype=object)
-                    if len(full):
-                        for i, x in zip(full, set_names(h, np.append(bounds[:-1][full], len(h))), strict=True):
-                            own[i] = x
-                    names += list(own)
-                keep = pa.array([x == y for x, y in zip(names, b["name"].to_pylist(), strict=True)], pa.bool_())
+                keep = pa.array([x == y for x, y in zip(text_names(b["text"], p.shingle), b["name"].to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b["name"].filter(keep), b["text"].filter(keep)], names=["name", "text"])
 
         return texts.select("name", "text").mapInArrow(same, "name binary, text string").dropDuplicates(["name"])
@@ -268,29 +274,56 @@ def near_duplicates(docs: DataFrame, p: Near | None = None) -> DataFrame:
     empty or blank one has an empty set and is linked with nothing. Rows with equal sets are linked. Rows that share
     a doc_id are compared each by its own text. A null doc_id comes after all others; other columns don't matter.
     """
-    p = p or Near()
+    return _judged(docs, p or Near()).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, p: Near) -> DataFrame:
+    """What `near_duplicates` returns, with each row's name and `first`: whether one of the rows with this doc_id and
+    name is to stand for the component."""
     scratch = Scratch(docs.sparkSession, "neardup")
     linker = Linker(docs, p, scratch)
     roots = components(linker.links(), scratch, "all")
     named = linker.nodes.join(roots, linker.nodes["name"] == roots["node"], "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     named = scratch.save(named, "named")
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(first, "root").select("name", "component_id")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "name")).alias("_f"))
+    labels = named.join(first, "root").select("name", F.col("_f.doc_id").alias("component_id"), (F.col("name") == F.col("_f.name")).alias("_first"))
     out = linker.found.select("doc_id", "n_shingles", "name").join(labels, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull() & F.col("doc_id").isNull()).alias("kept"))
+    return out.select(
+        "doc_id", "n_shingles", "name", component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), component.isNull() & F.col("doc_id").isNull()).alias("kept"),
+        (F.coalesce("_first", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"),
+    )
 
 
-def drop_duplicates(docs: DataFrame, p: Near) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id, with all its columns.
+def one_of_each(docs: DataFrame, p: Near) -> DataFrame:
+    """One row of each component stays, one with its least doc_id, and every row without words, with all columns.
 
-    Of rows that share a doc_id one stays. The ids that go grow with the corpus, so that they meet the documents in a
-    shuffled join at every size.
+    Rows are told apart by doc_id and their set's name, so ids may be null or repeated. Only rows with repeated ids
+    are named again. The ids that go grow with the corpus, so that they meet the documents in a shuffled join at
+    every size.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    rows = near_duplicates(docs, p)
-    ids = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 OR NOT kept"), "ids")
-    twice = ids.where("kept").select(F.col("doc_id").alias("_id"))
+    rows = scratch.save(_judged(docs, p).select("doc_id", "name", "first", (F.col("first") | F.col("name").isNull()).alias("stays")), "rows")
+    ids = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"), "ids")
     met = ids.select(F.col("doc_id").alias("_id"))
     once = docs.join(met.hint("merge"), docs["doc_id"].eqNullSafe(met["_id"]), "left_anti")
-    return once.unionByName(docs.join(twice, docs["doc_id"].eqNullSafe(twice["_id"]), "left_semi").dropDuplicates(["doc_id"]))
+    twice = ids.where("stays").select(F.col("doc_id").alias("_id"))
+    again = docs.join(twice, docs["doc_id"].eqNullSafe(twice["_id"]), "left_semi")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("_name", pa.array(text_names(b["text"], p.shingle), pa.binary()))
+
+    again = scratch.save(again.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField("_name", T.BinaryType())])), "again")
+    firsts = rows.where("first").select(F.col("doc_id").alias("_id"), F.col("name").alias("_n"))
+    own = again.join(firsts, (again["_name"] == firsts["_n"]) & again["doc_id"].eqNullSafe(firsts["_id"]), "left_semi").dropDuplicates(["doc_id", "_name"])
+    return once.unionByName(again.where("_name IS NULL").unionByName(own).drop("_name"))
+
+
+def drop_duplicates(docs: DataFrame, p: Near) -> DataFrame:
+    """`one_of_each`, and of the rows that it leaves under one doc_id (or without one) a single one, whatever the texts.
+
+    For tables whose ids are unique by contract; `one_of_each` loses nothing on others.
+    """
+    return one_of_each(docs, p).dropDuplicates(["doc_id"])

@@ -36,3 +36,14 @@ def test_pipeline_equals_brute_force(spark, data, tmp_path):
     for r in bpe:
         ids = tok.encode(text[r.doc_id], add_special_tokens=False).ids
         assert r.ids == np.array(ids, dtype="<u4").tobytes() and r.decoded_sha256 == brute.sha(tok.decode(ids, skip_special_tokens=False))
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark, data):
+    words = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    rows = [(None if i % 2 else 7, w, "en", "s", len(w)) for i, w in enumerate(words)] + [(None, words[0], "en", "s", 0), (7, words[2], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_dedup(spark, docs, data)
+    assert Counter(r.text for r in near.collect()) == Counter(words)
+    times = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, data).collect())
+    there = Counter((i, t) for i, t, *_ in rows)
+    assert sum(times.values()) == 63 and all(n <= 2 * there[k] for k, n in times.items())

@@ -58,6 +58,16 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    same = [(1, "a b c d"), (1, "A b  c d"), (1, "p q r s"), (2, "p q r s"), (None, "x y z u"), (3, "x y z u"), (None, "k l m n"), (None, "k l m n"), (None, "e f g h"), (None, None), (None, ""), (4, " "), (4, " "), (5, "v w x y"), (5, "a b c d")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(same)], DOCS)
+    left = neardup.one_of_each(docs, neardup.Near(5, 80, 5, 40)).collect()
+    texts = Counter((r.doc_id, " ".join((r.text or "").lower().split())) for r in left)
+    assert texts == Counter({(1, "a b c d"): 1, (1, "p q r s"): 1, (3, "x y z u"): 1, (None, "k l m n"): 1, (None, "e f g h"): 1, (None, ""): 2, (4, ""): 2, (5, "v w x y"): 1})
+    assert all(same[r.n_chars] == (r.doc_id, r.text) and r.source == f"s{r.n_chars}" for r in left)
+    assert neardup.one_of_each(docs.limit(0), neardup.Near()).count() == 0
+
+
 def test_odd_sketch_estimates(spark):
     p, rng = neardup.Near(), np.random.default_rng(1)
     for share in (0.95, 0.85, 0.6):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm._scratch import Scratch
 
-MOST_ROUNDS = 60
-
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node of `links` (a, b): root is the least node that can be reached.
@@ -16,12 +16,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Alternates two steps: each node's larger neighbours, then its smaller ones, are linked to the least node that it
     knows. Links turn into stars in a number of rounds that grows with the logarithm of the longest path. Minima are
     summed before each shuffle and the joins can be split, so a node with very many links takes no single task; each
-    round is written to shared storage.
+    round is written to shared storage. Every round but the last lowers some node's neighbour, so rounds come to an end.
     """
     tidy = lambda df: df.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.save(tidy(links), f"{name}-0")
     was = None
-    for i in range(1, MOST_ROUNDS):
+    for i in count(1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         up = tidy(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -35,7 +35,5 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if seen == was:
             break
         was = seen
-    else:
-        raise RuntimeError("links did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrank.llm._columns import packed, unpacked
+
 #: Code points up to which a text is encoded in one go.
 PIECE = 1 << 16
 #: Words whose ids a worker remembers before it starts anew.
@@ -169,12 +171,34 @@ def _whole(path: str, back: bool):
     return encode_whole
 
 
+def _cut(piece: int):
+    """Halves of halves of long texts, until none is longer than `piece`: (key, nth, of, at, piece) of each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b["text"][i].as_py()
+                n = 1
+                while -(-len(text) // n) > piece:
+                    n *= 2
+                cuts = [len(text) * k // n for k in range(n + 1)]
+                for lo in range(0, n, 64):
+                    part = range(lo, min(lo + 64, n))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b["key"][i].as_py()] * len(part), pa.string()), pa.array(part, pa.int32()), pa.array([n] * len(part), pa.int32()),
+                         pa.array([cuts[k] for k in part], pa.int32()), pa.array([text[cuts[k] : cuts[k + 1]] for k in part], pa.string())],
+                        names=["key", "nth", "of", "at", "piece"],
+                    )
+
+    return cut
+
+
 def _pieces(path: str):
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path)
         for b in batches:
-            found = [own.spans(t, a).astype("<i4").tobytes() for t, a in zip(b["_piece"].to_pylist(), b["_at"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["_row"], b["_nth"], b["_at"], b["_piece"], pa.array(found, pa.binary())], names=["_row", "_nth", "_at", "_piece", "_spans"])
+            found = [own.spans(t, a).astype("<i4").tobytes() for t, a in zip(b["piece"].to_pylist(), b["at"].to_pylist(), strict=True)]
+            yield b.append_column("spans", pa.array(found, pa.binary()))
 
     return encode_pieces
 
@@ -182,15 +206,17 @@ def _pieces(path: str):
 def _concatenate(path: str, back: bool):
     def tree(group: pa.Table) -> pa.Table:
         own = codec(path)
-        group = group.sort_by("_nth")
-        texts = group["_piece"].to_pylist()
+        group = group.sort_by("nth")
+        texts, of = group["piece"].to_pylist(), group["of"][0].as_py()
+        if len(texts) != of:
+            raise RuntimeError(f"{len(texts)} of {of} pieces of a text")
         text = "".join(texts)
         cuts = [0, *np.cumsum([len(t) for t in texts]).tolist()]
-        level = [(np.frombuffer(s, dtype="<i4").reshape(-1, 3).astype(np.int64), cuts[i], cuts[i + 1]) for i, s in enumerate(group["_spans"].to_pylist())]
+        level = [(np.frombuffer(s, dtype="<i4").reshape(-1, 3).astype(np.int64), cuts[i], cuts[i + 1]) for i, s in enumerate(group["spans"].to_pylist())]
         while len(level) > 1:
             level = [(own.join(x[0], y[0], text, (x[1], y[2])), x[1], y[2]) for x, y in zip(level[::2], level[1::2], strict=False)] + level[len(level) // 2 * 2 :]
         ids = level[0][0][:, 0].astype("<u4").tobytes()
-        found = {"_row": group["_row"][:1], "ids": pa.array([ids], pa.binary())}
+        found = {"key": group["key"][:1], "ids": pa.array([ids], pa.binary())}
         return pa.table(found | ({"decoded": pa.array([own.text(ids)], pa.string())} if back else {}))
 
     return tree
@@ -201,23 +227,24 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE, back: bool = False) -
 
     Texts of up to `piece` code points are encoded where they are; a null text is empty and has no ids. Longer ones
     are halved until the pieces are that short, wherever the cuts fall, pieces are encoded in tasks of their own, and
-    neighbours are joined pairwise level by level (see Codec.join). Only long texts are shuffled. Repeated rows each
-    have their own ids. `path` is a tokenizer file that all workers can read. With `back`, `decoded` is the text that
-    the ids stand for, decoded by the worker that has them.
+    neighbours are joined pairwise level by level (see Codec.join), which encodes a few tokens a join anew. What joins a
+    text holds its pieces and its ids, as the row that comes out does. Only long texts are shuffled, equal ones once:
+    they are known by their SHA-256, which is the same whenever a lost task runs again. Repeated rows each have their
+    own ids. Other columns stay, whatever their names; ones called `ids`, or `decoded` with `back`, give way. No rows
+    give none. `path` is a tokenizer file that all workers can read. With `back`, `decoded` is the text that the ids
+    stand for, decoded by the worker that has them.
     """
-    long = F.length("text") > piece
     added = ["ids", "decoded"] if back else ["ids"]
-    short = docs.where(F.coalesce(~long, F.lit(True))).withColumn("_found", _whole(path, back)(F.col("text"))).select(*docs.columns, *(f"_found.{c}" for c in added))
-    rows = docs.where(long).withColumn("_row", F.concat_ws(":", F.monotonically_increasing_id().cast("string"), F.xxhash64("text").cast("string")))
-    n = F.pow(F.lit(2.0), F.ceil(F.log2(F.length("text") / F.lit(piece)))).cast("int")
-    cut = lambda i: F.call_function("div", F.length("text").cast("long") * i, n).cast("int")
-    nth = rows.select("_row", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("_nth"))
-    at = cut(F.col("_nth"))
-    split = nth.select("_row", "_nth", at.alias("_at"), F.substr("text", at + 1, cut(F.col("_nth") + 1) - at).alias("_piece"))
-    split = split.repartition(F.col("_row"), F.col("_nth"))
-    spans = split.mapInArrow(_pieces(path), "_row string, _nth int, _at int, _piece string, _spans binary")
-    merged = spans.groupBy("_row").applyInArrow(_concatenate(path, back), f"_row string, {_added(back)}")
-    return short.unionByName(rows.join(merged, "_row").select(*docs.columns, *added))
+    rows = packed(docs, text=F.col("text"))
+    long = F.coalesce(F.length("text") > piece, F.lit(False))
+    short = rows.where(~long).select("row", _whole(path, back)(F.col("text")).alias("found")).select("row", *(F.col("found")[c].alias(c) for c in added))
+    rows = rows.where(long).withColumn("key", F.sha2("text", 256))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
+    pieces = texts.mapInArrow(_cut(piece), "key string, nth int, of int, at int, piece string").repartition(F.col("key"), F.col("nth"))
+    spans = pieces.mapInArrow(_pieces(path), "key string, nth int, of int, at int, piece string, spans binary")
+    merged = spans.groupBy("key").applyInArrow(_concatenate(path, back), f"key string, {_added(back)}")
+    both = short.unionByName(rows.select("row", "key").join(merged, "key").select("row", *added))
+    return unpacked(both, docs.columns, **{c: F.col(c) for c in added})
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrank.llm._columns import packed, quoted, unpacked
 from quillrank.llm._scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +20,7 @@ BLOCKS = 1 << 20
 LEAST_BLOCKS = 1_024
 #: All small sources' blocks together are about twice this many at most; the draws take no more than 10^9.
 FINE_BLOCKS = 1 << 28
-#: Sources whose quotas the driver plans; more are refused, not dropped.
+#: Sources whose quotas the driver plans, a row each; more are refused, not dropped.
 MOST_SOURCES = 1_000_000
 
 
@@ -111,60 +112,81 @@ def plan(sizes: dict[str | None, int], weights: list[int], share: float, most: f
     return Plan([(s, size[i], want[i], block[i], blocks[i], quota[i], [int(x) for x in cuts[:-1, i]]) for i, s in enumerate(names)])
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Draw each source's target from its documents and deal the draws out to output shards.
-
-    `docs` has doc_id, text, source and maybe more columns (only those in `carry` are carried; join by doc_id or use `materialise`). A
-    document's size is its number of words, 0 for a null text; a null source is a source of its own, last in order.
-    Weights repeat over the sources in code-point order. Returns doc_id, source, size, source_size, target and draws:
-    an array of (epoch, shard, at), one for each time that the mix takes the document whole.
-
-    A source's documents stand in a line, in order of a seeded digest; those whose middle lies before the target are
-    drawn, the line a second time after the first is done, never a third. So the words that a source gives are off
-    from its target by half a document at most, however small it is beside the others. For the shards the line is
-    cut into blocks of equal words, and a document belongs to the block with its middle. The
-    tree deals the drawn blocks to shards; `at` is the order within a shard. The line's positions are found by sums over
-    4,096 hash ranges of each source and then within each range, so a hot source is spread like any other. Repeated
-    rows are documents of their own. The driver holds one row a source.
-    """
+def _placed(docs: DataFrame, weights: list[int], share: float, most: float, shards: int, seed: int, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """What `mix` returns, and the words of all documents."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("_h"), *carry)
+    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("_h"), F.xxhash64("text").alias("_t"), *carry)
     base = scratch.save(base, "base")
     found = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     planned = spark.createDataFrame(plan({r["source"]: r["n"] for r in found}, weights, share, most, shards, seed).rows, Plan.schema)
-    part = F.substring("_h", 1, 3)
-    base = base.withColumn("_part", part)
+    # 4,096 hash ranges a source, and more on tables whose ranges would hold over 2 ** 20 rows of a source with all rows
+    digits = next(k for k in range(3, 9) if base.count() >> (4 * k) < 1 << 20)
+    base = base.withColumn("_part", F.substring("_h", 1, digits))
     parts = base.groupBy("source", "_part").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    line = Window.partitionBy("source", "_part").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "_part").orderBy("_h", "doc_id", "size", "_t", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_at", F.coalesce(F.sum("size").over(line), F.lit(0)))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     placed = placed.join(planned, F.col("source").eqNullSafe(F.col("_source")))
     middle = 2 * (F.col("_before") + F.col("_at")) + F.col("size")
     placed = placed.withColumn("_middle", middle).withColumn("_k", F.least(F.call_function("div", "_middle", 2 * F.col("_block")), F.col("_blocks") - 1))
+    # a block is drawn if the tree has dealt it to a shard; of the last block, what lies before the target
     draws = F.filter(
         F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("_k") + e * F.col("_blocks")).alias("draw")) for e in range(int(most)))),
-        lambda d: F.col("_middle") + 2 * d["epoch"] * F.col("source_size") < 2 * F.col("target"),
+        lambda d: (d["draw"] < F.col("_quota")) & (F.col("_middle") + 2 * d["epoch"] * F.col("source_size") < 2 * F.col("target")),
     )
     dealt = F.transform(
         draws,
         lambda d: F.struct(
             d["epoch"].alias("epoch"),
             F.size(F.filter(F.col("_cuts"), lambda c: c <= d["draw"])).alias("shard"),
-            F.xxhash64(F.col("_h"), d["epoch"], F.lit(seed)).alias("at"),
+            F.xxhash64(F.col("_h"), F.col("_t"), d["epoch"], F.lit(seed)).alias("at"),
         ),
     )
-    return placed.select("doc_id", "source", "size", "source_size", "target", dealt.alias("draws"), *carry)
+    return placed.select("doc_id", "source", "size", "source_size", "target", dealt.alias("draws"), *carry), sum(r["n"] for r in found)
+
+
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Draw each source's target from its documents and deal the draws out to output shards.
+
+    `docs` has doc_id, text, source; of more columns only those in `carry` are carried, whose names must not be among
+    the result's. A document's size is its number of words, 0 for a null or empty text; a null source is a source of its
+    own, last in order. Weights repeat over the sources in code-point order. Returns doc_id, source, size, source_size,
+    target and draws: an array of (epoch, shard, at), one for each time that the mix takes the document whole. No rows
+    give none.
+
+    A source's documents stand in a line, in order of a seeded digest; those whose middle lies before the target are
+    drawn, the line a second time after the first is done, never a third. So the words that a source gives are off
+    from its target by half a document at most, however small it is beside the others. The line is cut into blocks of
+    equal words, and a document belongs to the block with its middle. The tree deals the drawn blocks to shards; `at` is
+    the order within a shard. The line's positions are found by sums over hash ranges of each source and then within each
+    range, so a hot source is spread like any other. Repeated rows are documents of their own. The driver holds one row a
+    source.
+    """
+    return _placed(docs, weights, share, most, shards, seed, carry)[0]
 
 
-def materialise(mixed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The mix itself: whole rows of `docs`, repeated as drawn, partitioned by shard and shuffled within each.
+def materialise(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 7, name: str | None = "shard") -> DataFrame:
+    """The mix itself: whole rows of `docs`, as often as drawn, by shard and shuffled within each, with the shard's
+    number under `name`, before which a column of the caller's so called gives way.
 
-    doc_id should be unique in `docs`; rows that share one are taken together.
+    Rows meet their draws by two 64-bit hashes of all their columns (maps don't count), so ids may be null or repeated:
+    of m equal rows one goes on, as often as all m are drawn. A shard is cut by the leading bits of `at` into parts of
+    some 2^24 words, each sorted in a task: parts one after another are the shard in its order, whatever its size.
     """
-    drawn = mixed.select("doc_id", F.explode("draws").alias("_d")).select("doc_id", F.col("_d.shard").alias("shard"), F.col("_d.at").alias("_at")).distinct()
-    return docs.join(drawn, "doc_id").repartition("shard").sortWithinPartitions("shard", "_at").drop("_at")
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"), k1=F.xxhash64(*map(quoted, plain)), k2=F.xxhash64(F.lit(1), *map(quoted, plain)))
+    mixed, words = _placed(rows, weights, share, most, shards, seed, ("k1", "k2"))
+    drawn = mixed.select("k1", "k2", F.explode("draws").alias("d")).select("k1", "k2", F.col("d.shard").alias("shard"), F.col("d.at").alias("at"))
+    bits = max(0, (int(words * share) // (shards << 24)).bit_length())
+    once = rows.groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    part = F.shiftrightunsigned("at", 64 - bits) if bits else F.lit(0).cast("long")
+    # signed order would begin in the middle of the unsigned parts
+    key = F.col("at").bitwiseXOR(F.lit(-(1 << 63)))
+    out = once.join(drawn, ["k1", "k2"]).withColumns({"part": part, "key": key})
+    out = out.repartition("shard", "part").sortWithinPartitions("shard", "part", "key")
+    return unpacked(out, docs.columns, **({name: F.col("shard")} if name else {}))

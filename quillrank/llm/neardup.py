@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.llm import _words as W
+from quillrank.llm._columns import packed, unpacked
 from quillrank.llm._graph import components
 from quillrank.llm._scratch import Scratch
 
 #: Bits of an odd sketch.
 BITS = 512
-#: Documents of a bucket that meet in one task are about twice this many at most.
-BLOCK = 1_024
+#: Documents of a bucket that meet in one task, and bytes of their texts, are about twice this much at most.
+BLOCK, BLOCK_BYTES = 512, 2 << 20
 
 
 @dataclass(frozen=True)
@@ -110,17 +111,17 @@ def _sketches(p: Near):
                     for at, i in enumerate(full):
                         name[i], bands[i], odd[i] = sets[at], band[:, at].view(np.int64), sketch[at]
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(t.rows.start, len(n)), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "name", "bands", "odd"],
+                    [b["doc_id"].slice(t.rows.start, len(n)), pa.array(n, pa.int64()), pa.array(np.diff(t.bounds), pa.int64()), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "bytes", "name", "bands", "odd"],
                 )
 
     return sketch
 
 
 def sketches(docs: DataFrame, p: Near) -> DataFrame:
-    """doc_id, n_shingles, name (of the set), bands and odd sketch of each row; the last three null without words."""
+    """doc_id, n_shingles, bytes, name (of the set), bands and odd sketch of each row; the last three null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_sketches(p), f"doc_id {kind}, n_shingles long, name binary, bands array<long>, odd array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_sketches(p), f"doc_id {kind}, n_shingles long, bytes long, name binary, bands array<long>, odd array<long>")
 
 
 def estimate(a: Column, b: Column, samples: int) -> Column:
@@ -206,16 +207,18 @@ class Linker:
 
     Nodes are sets, named by 128 bits; all documents with an equal set are one node. First every bucket of a band
     links its members to its least member: a row a member, not a pair. Then only buckets whose other members are
-    still in several components are looked at again, in blocks of bounded size, for links between components. So
-    every link that shares a band either was confirmed or joins documents that other links join.
+    still in several components are looked at again, in blocks of bounded size, for links between components. Members
+    of the component that has most of the bucket aren't compared with each other, only the others are with all: a
+    few strays among many copies cost one more copy of each, not a block against every block. So every link that shares
+    a band either was confirmed or joins documents that other links join.
     """
 
     def __init__(self, docs: DataFrame, p: Near, scratch: Scratch):
         self.docs, self.p, self.scratch = docs, p, scratch
         self.found = scratch.save(sketches(docs, p), "sketches")
         # one document stands for each set: its bands, its sketch and, for confirming, its text
-        rows = self.found.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "bands", "odd")).alias("_d"))
-        rows = scratch.save(rows.select("name", "_d.doc_id", "_d.bands", "_d.odd"), "nodes")
+        rows = self.found.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "bands", "odd", "bytes")).alias("_d"))
+        rows = scratch.save(rows.select("name", "_d.doc_id", "_d.bands", "_d.odd", "_d.bytes"), "nodes")
         self.rows, self.nodes, self.odd = rows, rows.select("name", "doc_id"), rows.select("name", "odd")
         self.bands = rows.select("name", F.explode("bands").alias("band"))
 
@@ -253,18 +256,28 @@ class Linker:
         roots = components(links, self.scratch, "first-roots")
         placed = members.where("n > 2").join(roots, F.col("name") == F.col("node"), "left")
         placed = save(placed.select("band", "name", F.coalesce("root", "name").alias("root")), "placed")
-        several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = placed.join(several.select("band", "n"), "band").withColumn("own", F.pmod(F.xxhash64("name"), blocks).cast("int"))
-        # a block meets itself (side 2) and every other block once (side 0 against side 1)
-        other = F.transform(
-            F.sequence(F.lit(0), blocks - 1),
-            lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1).alias("side")),
-        )
-        rows = rows.select("band", "name", "root", F.explode(other).alias("_o")).select("band", "_o.lo", "_o.hi", "_o.side", "name", "root")
+        by_root = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+        several = by_root.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        rows = placed.join(several.select("band", F.col("most.root").alias("major")), "band").join(self.rows.select("name", "bytes"), "name")
+        rows = save(rows.select("band", "name", "root", (F.col("root") != F.col("major")).alias("stray"), "bytes"), "rest")
+        some = lambda c, x: F.sum(F.when(F.col("stray") == c, x).otherwise(0))
+        parts = lambda c: F.greatest(F.ceil(some(c, F.lit(1)) / BLOCK), F.ceil(some(c, F.col("bytes")) / BLOCK_BYTES)).cast("int")
+        rows = rows.join(rows.groupBy("band").agg(parts(True).alias("strays"), parts(False).alias("majors")), "band")
+        own = F.pmod(F.xxhash64("name"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("majors"))).cast("int")
+        rows = rows.withColumn("own", own)
+        # a block of strays meets itself (side 2), every other one once, and every block of the rest (side 0 against 1)
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        meet = lambda lo, hi, kind, side: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(kind).alias("kind"), side.alias("side"))
+        mine, zero, one = F.col("own"), F.lit(0), F.lit(1)
+        strays = F.transform(upto("strays"), lambda k: meet(F.least(mine, k), F.greatest(mine, k), 0, F.when(k == mine, 2).when(mine < k, 0).otherwise(1)))
+        strays = F.concat(strays, F.transform(upto("majors"), lambda k: meet(mine, k, 1, zero)))
+        other = F.when(F.col("stray"), strays).otherwise(F.transform(upto("strays"), lambda k: meet(k, mine, 1, one)))
+        rows = rows.select("band", "name", "root", F.explode(other).alias("_o")).select("band", "_o.*", "name", "root")
         rows = rows.join(self.rows.select("name", "bands", "odd"), "name").join(texts, "name")
-        more = rows.groupBy("band", "lo", "hi").applyInArrow(_links_in_block(p), "a binary, b binary")
-        return links.unionByName(save(more, "more"))
+        more = rows.groupBy("band", "lo", "hi", "kind").applyInArrow(_links_in_block(p), "a binary, b binary")
+        found = save(links.unionByName(save(more, "more")), "links")
+        self.scratch.drop("leaders", "members", "stars", "wanted", "texts", "first", "placed", "rest", "more")
+        return found
 
 
 def near_duplicates(docs: DataFrame, p: Near | None = None) -> DataFrame:
@@ -272,15 +285,16 @@ def near_duplicates(docs: DataFrame, p: Near | None = None) -> DataFrame:
 
     Texts are compared whole, as sets of word shingles with A-Z lowered; a shorter text is one shingle, and a null,
     empty or blank one has an empty set and is linked with nothing. Rows with equal sets are linked. Rows that share
-    a doc_id are compared each by its own text. A null doc_id comes after all others; other columns don't matter.
+    a doc_id are compared each by its own text. A null doc_id comes after all others; other columns don't matter. No
+    rows give none.
     """
-    return _judged(docs, p or Near()).select("doc_id", "n_shingles", "component_id", "kept")
+    scratch = Scratch(docs.sparkSession, "neardup")
+    return scratch.last(_judged(docs, p or Near(), scratch).select("doc_id", "n_shingles", "component_id", "kept"))
 
 
-def _judged(docs: DataFrame, p: Near) -> DataFrame:
+def _judged(docs: DataFrame, p: Near, scratch: Scratch) -> DataFrame:
     """What `near_duplicates` returns, with each row's name and `first`: whether one of the rows with this doc_id and
     name is to stand for the component."""
-    scratch = Scratch(docs.sparkSession, "neardup")
     linker = Linker(docs, p, scratch)
     roots = components(linker.links(), scratch, "all")
     named = linker.nodes.join(roots, linker.nodes["name"] == roots["node"], "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
@@ -299,26 +313,28 @@ def _judged(docs: DataFrame, p: Near) -> DataFrame:
 def one_of_each(docs: DataFrame, p: Near) -> DataFrame:
     """One row of each component stays, one with its least doc_id, and every row without words, with all columns.
 
-    Rows are told apart by doc_id and their set's name, so ids may be null or repeated. Only rows with repeated ids
-    are named again. The ids that go grow with the corpus, so that they meet the documents in a shuffled join at
+    Rows are told apart by doc_id and their set's name, so ids may be null or repeated, and other columns may have any
+    names. Only rows with repeated ids are named again. The ids that go grow with the corpus, so that they meet the documents in a shuffled join at
     every size.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    rows = scratch.save(_judged(docs, p).select("doc_id", "name", "first", (F.col("first") | F.col("name").isNull()).alias("stays")), "rows")
+    rows = scratch.save(_judged(docs, p, scratch).select("doc_id", "name", "first", (F.col("first") | F.col("name").isNull()).alias("stays")), "rows")
+    scratch.drop("sketches", "nodes", "links", "named")
     ids = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"), "ids")
-    met = ids.select(F.col("doc_id").alias("_id"))
-    once = docs.join(met.hint("merge"), docs["doc_id"].eqNullSafe(met["_id"]), "left_anti")
-    twice = ids.where("stays").select(F.col("doc_id").alias("_id"))
-    again = docs.join(twice, docs["doc_id"].eqNullSafe(twice["_id"]), "left_semi")
+    own = packed(docs, id=F.col("doc_id"), text=F.col("text"))
+    met = ids.select(F.col("doc_id").alias("gone"))
+    once = own.join(met.hint("merge"), own["id"].eqNullSafe(met["gone"]), "left_anti").select("row")
+    twice = ids.where("stays").select(F.col("doc_id").alias("gone"))
+    again = own.join(twice, own["id"].eqNullSafe(twice["gone"]), "left_semi")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("_name", pa.array(text_names(b["text"], p.shingle), pa.binary()))
+            yield b.append_column("name", pa.array(text_names(b["text"], p.shingle), pa.binary()))
 
-    again = scratch.save(again.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField("_name", T.BinaryType())])), "again")
-    firsts = rows.where("first").select(F.col("doc_id").alias("_id"), F.col("name").alias("_n"))
-    own = again.join(firsts, (again["_name"] == firsts["_n"]) & again["doc_id"].eqNullSafe(firsts["_id"]), "left_semi").dropDuplicates(["doc_id", "_name"])
-    return once.unionByName(again.where("_name IS NULL").unionByName(own).drop("_name"))
+    again = scratch.save(again.mapInArrow(name, T.StructType([*again.schema.fields, T.StructField("name", T.BinaryType())])), "again")
+    firsts = rows.where("first").select(F.col("doc_id").alias("first_id"), F.col("name").alias("first_name"))
+    first = again.join(firsts, (again["name"] == firsts["first_name"]) & again["id"].eqNullSafe(firsts["first_id"]), "left_semi").dropDuplicates(["id", "name"])
+    return unpacked(once.unionByName(again.where("name IS NULL").select("row")).unionByName(first.select("row")), docs.columns)
 
 
 def drop_duplicates(docs: DataFrame, p: Near) -> DataFrame:

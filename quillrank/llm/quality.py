@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.llm import _words as W
+from quillrank.llm._columns import packed, unpacked
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -72,16 +73,29 @@ def measured(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Fence:
-    """A feature's limits around a group's median: `spread` times the quartiles' distance, and `slack` besides."""
+    """How far a feature may lie beyond its group's middle: `reach` times the way from the median to the upper fifth
+    (lower fifth for a low limit), and besides as much as `slack` cases make in a text of the group's median size."""
 
     feature: str
     slack: int
+    size: str
+    scale: int
     low: bool = False
-    spread: int = 8
+    reach: int = 3
 
 
 #: Features are whole numbers: per mille of words or lines, and hundredths of a character.
-FENCES = [Fence("symbols", 100), Fence("dup_lines", 500), Fence("repeats", 400), Fence("word_length", 60, low=True)]
+FENCES = [
+    Fence("symbols", 6, "n_words", 1000),
+    Fence("dup_lines", 2, "n_lines", 1000),
+    Fence("repeats", 30, "n_words", 1000),
+    Fence("word_length", 100, "n_words", 100, low=True),
+]
+
+
+def sketched(fences: list[Fence]) -> list[str]:
+    """What the thresholds are made from: the features and the sizes of texts."""
+    return list(dict.fromkeys([*(f.feature for f in fences), *(f.size for f in fences)]))
 
 
 def features() -> dict[str, Column]:
@@ -115,36 +129,37 @@ def sketch(found: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("lang", "source", F.col("f.feature").alias("feature"), cell(F.col("f.v")).alias("cell")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of the sketches merged by `keys`, with the number of documents in each."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Lower fifth, median and upper fifth of the sketches merged by `keys`, with the number of documents in each."""
     by = [*keys, "feature"]
     merged = sketches.groupBy(*by, "cell").agg(F.sum("n").alias("n"))
     line = Window.partitionBy(*by).orderBy("cell")
     ranked = merged.withColumns({"upto": F.sum("n").over(line), "all": F.sum("n").over(Window.partitionBy(*by))})
-    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("cell")))
-    return ranked.groupBy(*by).agg(F.max("all").alias("docs"), F.array(at(1), at(2), at(3)).alias("q"))
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("all"), F.col("cell")))
+    return ranked.groupBy(*by).agg(F.max("all").alias("docs"), F.array(at(2), at(5), at(8)).alias("q"))
 
 
 def thresholds(sketches: DataFrame, fences: list[Fence] = FENCES, least_docs: int = 30) -> DataFrame:
-    """low_<feature> and high_<feature> for each language and source.
+    """low_<feature> and high_<feature> for each language and source, all from its own sketches.
 
     A group of fewer than `least_docs` documents takes its language's merged sketch, or all documents' if that is
-    small too.
+    small too. A group's limits rest on its middle three fifths, so that up to a fifth of bad texts doesn't move them.
     """
-    levels = [quartiles(sketches, k) for k in (["lang", "source"], ["lang"], [])]
+    levels = [quantiles(sketches, k) for k in (["lang", "source"], ["lang"], [])]
     own, lang, whole = (q.select(*q.columns[:-2], F.col("docs").alias(f"d{i}"), F.col("q").alias(f"q{i}")) for i, q in enumerate(levels))
     lang, whole = lang.withColumnsRenamed({"lang": "l1", "feature": "f1"}), whole.withColumnRenamed("feature", "f2")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("feature") == F.col("f1"))).join(whole, F.col("feature") == F.col("f2"))
     q = F.when(F.col("d0") >= least_docs, F.col("q0")).when(F.col("d1") >= least_docs, F.col("q1")).otherwise(F.col("q2"))
-    placed = joined.withColumn("q", q)
+    of = lambda n: F.max(F.when(F.col("feature") == n, F.col("q"))).alias(n)
+    placed = joined.withColumn("q", q).groupBy("lang", "source").agg(*map(of, sketched(fences)))
     limits = []
     for f in fences:
-        reach = f.spread * (F.col("q")[2] - F.col("q")[0]) + f.slack
-        mine = lambda x, n=f.feature: F.max(F.when(F.col("feature") == n, x))
-        limits.append(mine(F.col("q")[1] + reach).alias(f"high_{f.feature}"))
+        low, middle, high = (F.col(f.feature)[i] for i in range(3))
+        slack = F.call_function("div", F.lit(f.slack * f.scale), F.greatest(F.col(f.size)[1], F.lit(1)))
+        limits.append((high + f.reach * (high - middle) + slack).alias(f"high_{f.feature}"))
         if f.low:
-            limits.append(mine(F.col("q")[1] - reach).alias(f"low_{f.feature}"))
-    return placed.groupBy("lang", "source").agg(*limits)
+            limits.append((low - f.reach * (middle - low) - slack).alias(f"low_{f.feature}"))
+    return placed.select("lang", "source", *limits)
 
 
 def judge(found: DataFrame, limits: DataFrame, fences: list[Fence] = FENCES) -> DataFrame:
@@ -171,11 +186,10 @@ def filter_docs(docs: DataFrame, save, fences: list[Fence] = FENCES) -> DataFram
     `save` writes a table to shared storage and reads it back. Thresholds are gathered over documents that pass the
     fixed base rules, so that what fails anyway doesn't move them. Texts are measured once for the sketches and once
     for the filter, which costs less than shuffling them to meet their fields. A null text has no words and goes;
-    null languages and sources are groups of their own; other columns are carried along.
+    null languages and sources are groups of their own; repeated rows are judged each; no rows give none. Other columns
+    are carried along in a struct, whatever their names.
     """
-    names = [f.feature for f in fences]
-    limits = save(thresholds(sketch(with_fields(docs).where(~F.col("base_failed")), names), fences), "limits")
-    own = docs.columns
-    row = docs.select(F.struct(*own).alias("_row"), "lang", "source", measured(F.col("text")).alias("_m"))
-    row = row.select("_row", "lang", "source", *(F.col(f"_m.{k}").alias(k) for k in FIELDS)).withColumns(features() | {"base_failed": base_failed()})
-    return judge(row, limits, fences).where("kept").select("_row.*")
+    limits = save(thresholds(sketch(with_fields(docs).where(~F.col("base_failed")), sketched(fences)), fences), "limits")
+    row = packed(docs, lang=F.col("lang"), source=F.col("source"), m=measured(F.col("text")))
+    row = row.select("row", "lang", "source", *(F.col(f"m.{k}").alias(k) for k in FIELDS)).withColumns(features() | {"base_failed": base_failed()})
+    return unpacked(judge(row, limits, fences).where("kept"), docs.columns)

@@ -18,10 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,27 +33,32 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", train.alias("train_tokens"), "base_score", "score")
 
 
+#: Tokenizer versions of the rollup, with their files.
+VERSIONS = {"word-bpe-1": "word_bpe_49k.json", "byte-bpe-1": "byte_bpe_50k.json"}
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tokenizer versions loaded, one revised, short documents deleted, one batch sent again."""
+    """Tokens of two tokenizers loaded; in the first one's counts an end token a text revised in; short documents
+    deleted; one batch sent again."""
     docs = documents(spark, sf_dir)
     scratch = Scratch(spark, "counts")
-    words = mixing.n_words(F.col("text"))
-    runs = F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    letters = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D#*$%&|<>]+")), F.lit(0)).cast("long")
-    base = scratch.save(docs.select("source", "lang", words.alias("words"), runs.alias("runs"), letters.alias("letters")), "base")
+    texts = docs.select("source", "lang", "text", mixing.n_words(F.col("text")).alias("words"))
+    n = F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long")
+    each = [bpe.encode(texts, tokenizer_path(file)).select("source", "lang", F.lit(v).alias("tokenizer_version"), "words", n.alias("n")) for v, file in VERSIONS.items()]
+    base = [scratch.save(x, f"base-{i}") for i, x in enumerate(each)]
     rollup = counts.Rollup(spark, scratch.path("rollup"))
 
-    def changes(op: str, version: str, n: str, old: str = "0") -> DataFrame:
-        return base.selectExpr("source", "lang", f"'{version}' AS tokenizer_version", f"'{op}' AS op", f"{n} AS n_tokens", f"{old} AS old_n_tokens", "words")
+    def changes(rows: DataFrame, op: str, now: str, old: str = "0") -> DataFrame:
+        return rows.selectExpr("source", "lang", "tokenizer_version", f"'{op}' AS op", f"{now} AS n_tokens", f"{old} AS old_n_tokens")
 
-    rollup.apply("0001-words", changes("insert", "words-1", "words"))
-    rollup.apply("0002-runs", changes("insert", "runs-1", "runs"))
-    rollup.apply("0003-revised", changes("revise", "words-1", "letters", "words").where("letters != words"))
+    rollup.apply("0001-word-bpe", changes(base[0], "insert", "n"))
+    rollup.apply("0002-byte-bpe", changes(base[1], "insert", "n"))
+    rollup.apply("0003-ends", changes(base[0].where("words > 0"), "revise", "n + 1", "n"))
     rollup.compact()
-    gone = changes("delete", "words-1", "letters").unionByName(changes("delete", "runs-1", "runs")).where("words < 50")
-    rollup.apply("0004-short", gone)
-    rollup.apply("0002-runs", changes("insert", "runs-1", "runs"))
-    return rollup.totals()
+    short = changes(base[0].where("words < 50"), "delete", "IF(words > 0, n + 1, n)").unionByName(changes(base[1].where("words < 50"), "delete", "n"))
+    rollup.apply("0004-short", short)
+    rollup.apply("0002-byte-bpe", changes(base[1], "insert", "n"))
+    return scratch.last(rollup.totals())
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +93,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     found = scratch.save(quality.with_fields(documents(spark, sf_dir)), "fields")
-    sketches = quality.sketch(found.where(~F.col("base_failed")), [f.feature for f in quality.FENCES])
+    sketches = quality.sketch(found.where(~F.col("base_failed")), quality.sketched(quality.FENCES))
     # a group with no document that passes the base rules has no thresholds: all of it is rejected already
     limits = scratch.save(quality.thresholds(sketches), "limits")
     judged = quality.judge(found.where(~F.col("base_failed")), limits).unionByName(found.where("base_failed").withColumn("kept", F.lit(False)))
@@ -105,7 +110,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), weights=[3, 1, 2])
     taken = (F.col("size") * F.size("draws")).cast("long")
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("shards"), F.col("draws.at").alias("places"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

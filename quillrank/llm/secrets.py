@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.llm._columns import packed, unpacked
 from quillrank.llm._scratch import Scratch
 
 #: Alternatives that a pattern's literal parts are spelled out to, at most; beyond, the part gives no trigrams.
@@ -130,7 +131,8 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     """Documents that may hold each kind: postings of a clause's trigrams, intersected by counting. (doc_id, kinds)"""
     rows = [(r.kind, i, g, len(c)) for r in rules for i, c in enumerate(trigram_query(r)) for g in sorted(c)]
     clauses = index.sparkSession.createDataFrame(rows, "kind string, clause int, trigram string, need int")
-    met = index.join(clauses, "trigram").groupBy("doc_id", "kind", "clause").agg(F.count_distinct("trigram").alias("n"), F.max("need").alias("need"))
+    # a row a trigram of the rules' clauses, at most MOST_SPELLED clauses a rule: their number doesn't follow the texts
+    met = index.join(F.broadcast(clauses), "trigram").groupBy("doc_id", "kind", "clause").agg(F.count_distinct("trigram").alias("n"), F.max("need").alias("need"))
     return met.where("n = need").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
@@ -151,8 +153,8 @@ def _fold(rank: int, rule: Rule):
     return step
 
 
-def find_spans(docs: DataFrame, rules: list[Rule], may: dict[str, Column]) -> DataFrame:
-    """Add `found`: an array of (start, rank, end, kind) by start, then rank of the rule; code points, end exclusive.
+def find_spans(rows: DataFrame, rules: list[Rule], may: dict[str, Column]) -> DataFrame:
+    """(row, found) of rows with row and text. `found` is an array of (start, rank, end, kind) by start, then rank of the rule; code points, end exclusive.
 
     A rule's matches are its leftmost ones without overlap; one whose group is too short is dropped after it has
     taken its place. Offsets come from the lengths of the matches and of the pieces between them. `may` holds the
@@ -160,7 +162,7 @@ def find_spans(docs: DataFrame, rules: list[Rule], may: dict[str, Column]) -> Da
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
-    out = docs.withColumns({f"_m{i}": F.when(may[r.kind], F.regexp_extract_all(text, F.lit(r.java), F.lit(0))).otherwise(none) for i, r in enumerate(rules)})
+    out = rows.withColumns({f"_m{i}": F.when(may[r.kind], F.regexp_extract_all(text, F.lit(r.java), F.lit(0))).otherwise(none) for i, r in enumerate(rules)})
     more = {}
     for i, r in enumerate(rules):
         some = F.size(f"_m{i}") > 0
@@ -176,29 +178,31 @@ def find_spans(docs: DataFrame, rules: list[Rule], may: dict[str, Column]) -> Da
         none_yet = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
         folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none_yet.alias("out")), _fold(i, r), lambda acc: acc["out"])
         each.append(F.coalesce(folded, none_yet))
-    drop = [c for i in range(len(rules)) for c in (f"_m{i}", f"_p{i}", f"_g{i}")]
-    return out.withColumn("found", F.array_sort(F.concat(*each))).drop(*drop)
+    return out.select("row", F.array_sort(F.concat(*each)).alias("found"))
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def scan(docs: DataFrame, rules: list[Rule] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Every row of `docs` with `found`, the spans of all secrets in its whole text.
 
     Rules with mandatory trigrams are verified only on the candidates that the index gives; the others scan every
-    text. Candidates are written to shared storage: they are few, so that Spark joins them by their measured size
-    (broadcast below its threshold, else a shuffle before which its run-time Bloom filter drops most texts on large
-    inputs). A null text is empty. Repeated rows and rows that share a doc_id are each scanned on their own text.
+    text. `index` is one that `build_index` made of these documents before, for at least the rules' trigrams. Postings
+    meet the clauses where they are, and only matches are shuffled, by document. Candidates are written to shared
+    storage: they are few, so that Spark joins them by their measured size (broadcast below its threshold, else a
+    shuffle before which its run-time Bloom filter drops most texts on large inputs). A null or empty text has no
+    spans. Repeated rows and rows that share a doc_id, null ones too, are each scanned on their own text. Other columns
+    stay, whatever their names; one called `found` gives way. No rows give none.
     """
     rules = BASE + MORE if rules is None else rules
     indexed = [r for r in rules if trigram_query(r)]
     may = {r.kind: F.lit(True) for r in rules}
-    if not indexed:
-        return find_spans(docs, rules, may)
-    trigrams = sorted({g for r in indexed for c in trigram_query(r) for g in c})
-    found = Scratch(docs.sparkSession, "secrets").save(candidates(build_index(docs, trigrams), indexed), "candidates")
-    found = found.select(F.col("doc_id").alias("_doc_id"), F.col("kinds").alias("_kinds"))
-    near = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    may |= {r.kind: F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), r.kind) for r in indexed}
-    return find_spans(near, rules, may).drop("_doc_id", "_kinds")
+    rows = packed(docs, text=F.col("text"), **({"id": F.col("doc_id")} if indexed else {}))
+    if indexed:
+        trigrams = sorted({g for r in indexed for c in trigram_query(r) for g in c})
+        index = build_index(docs, trigrams) if index is None else index
+        found = Scratch(docs.sparkSession, "secrets").save(candidates(index, indexed), "candidates").withColumnRenamed("doc_id", "near_id")
+        rows = rows.join(found, F.col("id").eqNullSafe(F.col("near_id")), "left").select("row", "text", "kinds")
+        may |= {r.kind: F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), r.kind) for r in indexed}
+    return unpacked(find_spans(rows, rules, may), docs.columns, found=F.col("found"))
 
 
 def joined(found: Column) -> Column:
@@ -206,7 +210,10 @@ def joined(found: Column) -> Column:
 
 
 def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """Replace every span (overlapping ones as one) by a mark, drop `found`, and count n_chars anew if it is there."""
+    """Replace every span (overlapping ones as one) by a mark, drop `found`, and count n_chars anew if it is there.
+
+    Rows without spans keep their text, null ones too; other columns stay as they are.
+    """
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

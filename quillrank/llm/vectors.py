@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from quillrank.llm._graph import components
 from quillrank.llm._scratch import Scratch
 
-#: Rows that the quantiser is fitted on, at most: those with the least hash of their id.
-SAMPLE = 8_192
+#: Vectors a list that the quantiser is fitted on, and in all at most: rows with the least hash of their id.
+PER_LIST, SAMPLE = 64, 65_536
+#: Lists at most. Up to 67 million rows of one label, lists grow in number as their rows do.
+MOST_LISTS = 8_192
 #: Vectors of a list, and queries to it, that meet in one task are about this many each.
 BLOCK = 1_024
 _ROW = "uid long, vec_id long, label int, dim int, unit binary, cell int, codes binary, err float, probes array<int>"
@@ -45,6 +47,13 @@ class Quantiser:
             back[:, i * d : (i + 1) * d] = self.books[i][codes[:, i]]
         return cell, codes, np.linalg.norm(left - back, axis=1), near
 
+    def probes(self, cell: np.ndarray, near: np.ndarray, least: float, sigmas: float) -> np.ndarray:
+        """Which lists hold what may be similar: see `near_duplicates`."""
+        apart = np.sqrt(np.maximum(2 - 2 * self.cells[cell] @ self.cells.T, 1e-12))
+        side = (near[np.arange(len(cell)), cell][:, None] - near) / apart
+        sine = np.sqrt(1 - least * least)
+        return side <= min(sine, sigmas * sine / least / np.sqrt(max(self.dim - 1, 1))) + 1e-9
+
 
 def _means(x: np.ndarray, k: int, unit: bool, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
@@ -69,51 +78,59 @@ def fit(sample: np.ndarray, cells: int, parts: int = 8, words: int = 64, seed: i
     return Quantiser(centres, books)
 
 
-def _clean(column: pa.Array) -> list[np.ndarray | None]:
-    """Each row's unit vector in double precision; None if it is null, empty, zero or holds what isn't finite."""
-    out: list[np.ndarray | None] = []
-    for v in column.to_pylist():
-        x = None if not v or None in v else np.array(v, dtype=np.float64)
-        norm = 0.0 if x is None or not np.isfinite(x).all() else np.sqrt(x @ x)
-        out.append(x / norm if norm > 0 and np.isfinite(norm) else None)
-    return out
-
-
-def _encode(q: Quantiser | None, margin: float):
+def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors: the rows, and their unit vectors in double precision. Null or empty ones, zeros and
+    those that hold what isn't finite are left out."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets, valid = np.array(column.offsets), np.array(column.is_valid())
+    flat = np.array(column.values.cast(pa.float64()).fill_null(np.nan))
+    sizes = np.where(valid, np.diff(offsets), 0)
+    for d in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == d)
+        x = flat[offsets[:-1][rows][:, None] + np.arange(d)]
+        most = np.abs(x).max(axis=1)
+        good = np.isfinite(most) & (most > 0)
+        # the largest component becomes 1 first, so that squares neither overflow nor vanish
+        x = x[good] / most[good][:, None]
+        yield rows[good], x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _encode(qs: dict[int, Quantiser], least: float, sigmas: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                units = _clean(part["embedding"])
-                rows = [i for i, x in enumerate(units) if x is not None]
-                cell = np.full(len(rows), -1)
-                codes, err, probes = [b""] * len(rows), np.zeros(len(rows), dtype=np.float32), [[-1]] * len(rows)
-                own = [k for k, i in enumerate(rows) if q is not None and len(units[i]) == q.dim]
-                if own:
-                    c, code, e, near = q.encode(np.stack([units[rows[k]] for k in own]))
-                    open_ = near >= near.max(axis=1, keepdims=True) - margin
-                    for j, k in enumerate(own):
-                        cell[k], codes[k], err[k], probes[k] = c[j], code[j].tobytes(), e[j] + 1e-5, np.flatnonzero(open_[j]).tolist()
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[c].take(take) for c in ("uid", "vec_id", "label")), pa.array([len(units[i]) for i in rows], pa.int32()), pa.array([units[i].tobytes() for i in rows], pa.binary()),
-                     pa.array(cell, pa.int32()), pa.array(codes, pa.binary()), pa.array(err, pa.float32()), pa.array(probes, pa.list_(pa.int32()))],
-                    names=["uid", "vec_id", "label", "dim", "unit", "cell", "codes", "err", "probes"],
-                )
+            for rows, unit in _units(b["embedding"]):
+                q = qs.get(unit.shape[1])
+                for lo in range(0, len(rows), 256):
+                    x = unit[lo : lo + 256]
+                    cell, codes, err, probes = np.full(len(x), -1), [b""] * len(x), np.zeros(len(x)), [[-1]] * len(x)
+                    if q:
+                        cell, code, err, near = q.encode(x)
+                        codes, err = [c.tobytes() for c in code], err + 1e-5
+                        probes = [np.flatnonzero(p).tolist() for p in q.probes(cell, near, least, sigmas)]
+                    take = pa.array(rows[lo : lo + 256], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b[c].take(take) for c in ("uid", "vec_id", "label")), pa.array(np.full(len(x), x.shape[1]), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()),
+                         pa.array(cell, pa.int32()), pa.array(codes, pa.binary()), pa.array(err.astype(np.float32), pa.float32()), pa.array(probes, pa.list_(pa.int32()))],
+                        names=["uid", "vec_id", "label", "dim", "unit", "cell", "codes", "err", "probes"],
+                    )
 
     return encode
 
 
-def _search(q: Quantiser | None, least: float):
+def _search(qs: dict[int, Quantiser], least: float):
     """A block of queries against a block of a list: table-lookup distances, then the exact cosine of what is near.
 
-    Returns a row (a, null, n) for each query with links, and rows (a, b, 0) that join all that is linked here: one
-    for each vector, to the least of its group, not one for each link.
+    Returns a row (a, null, n) for each vector with links that are counted here, and rows (a, b, 0) that join all that
+    is linked here: one for each vector, to the least of its group, not one for each link. A link is counted for the
+    query; for the other end only if that doesn't look into the query's own list, where it would count the link as a
+    query itself. So each link that either end finds is counted once for both.
     """
     reach = np.sqrt(2 - 2 * least) + 1e-5
 
     def search(group: pa.Table) -> pa.Table:
         cell, dim = group["cell"][0].as_py(), group["dim"][0].as_py()
+        q, home = qs.get(dim), np.array(group["home"])
         ask = np.array(group["ask"].to_pylist())
         uid, vec = np.array(group["uid"]), group["vec_id"].combine_chunks()
         vec, known = np.array(vec.fill_null(0)), np.array(vec.is_valid())
@@ -141,8 +158,12 @@ def _search(q: Quantiser | None, least: float):
                 links[lo : lo + 128, some] = near[:, some] & (cos >= least)
             links &= ~((vec[ask][:, None] == vec[own][None, :]) & known[ask][:, None] & known[own][None, :])
             links &= uid[ask][:, None] != uid[own][None, :]
-        n = links.sum(axis=1)
-        rows, cols = np.flatnonzero(n), np.flatnonzero(links.any(axis=0))
+        rows, cols = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+        asked, of = home[ask[rows]], group["probes"].take(pa.array(own[cols])).to_pylist()
+        told = np.array([np.isin(asked, p) for p in of], dtype=bool).reshape(len(cols), len(rows)).T
+        counted = np.concatenate([links[rows].sum(axis=1), (links[np.ix_(rows, cols)] & ~told).sum(axis=0)])
+        who = np.concatenate([uid[ask[rows]], uid[own[cols]]])[counted > 0]
+        counted = counted[counted > 0]
         a, b = uid[ask[rows]].copy(), uid[own[cols]].copy()
         if len(rows):
             part = links[np.ix_(rows, cols)]
@@ -156,9 +177,9 @@ def _search(q: Quantiser | None, least: float):
         left, root = np.concatenate([uid[ask[rows]], uid[own[cols]]]), np.concatenate([a, b])
         left, root = left[left != root], root[left != root]
         return pa.table({
-            "a": pa.array(np.concatenate([uid[ask[rows]], left]), pa.int64()),
-            "b": pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(root, pa.int64())]),
-            "n": pa.array(np.concatenate([n[rows], np.zeros(len(left), dtype=np.int64)]), pa.int64()),
+            "a": pa.array(np.concatenate([who, left]), pa.int64()),
+            "b": pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(root, pa.int64())]),
+            "n": pa.array(np.concatenate([counted, np.zeros(len(left), dtype=np.int64)]), pa.int64()),
         })
 
     return search
@@ -168,50 +189,55 @@ def _blocks(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
 
-def links(rows: DataFrame, q: Quantiser | None, least: float, margin: float, scratch: Scratch) -> DataFrame:
+def links(rows: DataFrame, qs: dict[int, Quantiser], least: float, sigmas: float, scratch: Scratch) -> DataFrame:
     """(a, b, n) as `_search` gives them, for all pairs of `rows` (uid, vec_id, label, embedding) of equal labels."""
-    coded = scratch.save(rows.where("label IS NOT NULL").mapInArrow(_encode(q, margin), _ROW), "coded")
+    coded = scratch.save(rows.where("label IS NOT NULL").mapInArrow(_encode(qs, least, sigmas), _ROW), "coded")
     at = ["label", "dim", "cell"]
     asks = coded.select("label", "dim", F.explode("probes").alias("cell")).groupBy(*at).agg(F.count("*").alias("asks"))
     size = scratch.save(coded.groupBy(*at).agg(F.count("*").alias("held")).join(asks, at), "size")
     pick = lambda n, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = coded.drop("probes").join(size, at).withColumn("own", pick(_blocks(F.col("held")), "own"))
+    held = coded.withColumn("home", F.col("cell")).join(size, at).withColumn("own", pick(_blocks(F.col("held")), "own"))
     held = held.withColumn("ask_block", spread(_blocks(F.col("asks")))).withColumn("ask", F.lit(False))
-    asking = coded.drop("cell").withColumn("cell", F.explode("probes")).drop("probes").join(size, at).withColumn("ask_block", pick(_blocks(F.col("asks")), "ask"))
-    asking = asking.withColumns({"codes": F.lit(None).cast("binary"), "own": spread(_blocks(F.col("held")))}).withColumn("ask", F.lit(True))
+    asking = coded.withColumnRenamed("cell", "home").withColumn("cell", F.explode("probes")).join(size, at).withColumn("ask_block", pick(_blocks(F.col("asks")), "ask"))
+    asking = asking.withColumns({"codes": F.lit(None).cast("binary"), "probes": F.lit(None).cast("array<int>"), "own": spread(_blocks(F.col("held")))}).withColumn("ask", F.lit(True))
     both = held.unionByName(asking).drop("held", "asks")
-    return both.groupBy(*at, "own", "ask_block").applyInArrow(_search(q, least), "a long, b long, n long")
+    return both.groupBy(*at, "own", "ask_block").applyInArrow(_search(qs, least), "a long, b long, n long")
+
 
+def near_duplicates(embeddings: DataFrame, least: float = 0.93, sigmas: float = 4.0) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of `embeddings` (vec_id, embedding, label; other columns
+    are left out).
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.93, margin: float = 0.2) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of `embeddings` (vec_id, embedding, label).
+    Only rows with equal labels, not null, are compared. Lists are unit centroids, about the square root of the rows of
+    the most frequent label (MOST_LISTS at most), for each length of vectors, fitted on PER_LIST vectors a list and
+    SAMPLE at most; every row is then put into its list. Table lookups give the distance to a list's coded vectors;
+    one is left out only if, less the vector's own coding error, it is beyond what the least cosine allows, so the codes
+    lose nothing; the rest is decided by the exact cosine in double precision. Lists and their queries meet in blocks,
+    however full a list is.
 
-    Only rows with equal labels, not null, are compared. Lists are unit centroids, about the square root of the
-    number of rows (1,024 at most), fitted on a sample of at most SAMPLE rows; every row is then put into its list.
-    A query looks into each list whose centroid is at most `margin` less similar to it than its nearest one. Table
-    lookups give the distance to a list's coded vectors; one is left out only if, less the vector's own coding error,
-    it is beyond what the least cosine allows, so the codes lose nothing; the rest is decided by the exact cosine in
-    double precision. Lists and their queries meet in blocks, however full a list is.
+    Probes: all that is nearer to another list's centroid lies beyond the plane halfway to it. A vector with the least
+    cosine to a query at sine s of that plane must turn towards it by the share s / tan of its own turn. That can't be
+    more than 1, and for turns in any direction of d dimensions it has a spread of 1 / sqrt(d - 1): lists are probed up
+    to `sigmas` spreads. So up to `sigmas`^2 dimensions or so no link is lost, and beyond it one is missed by either end
+    with a chance of under 1 in 30,000 at 4 (and less the higher its cosine). Links that one end finds count for both.
 
     A vector that is null, empty, zero or holds null or non-finite components is linked with nothing, and so is a row
     without label. Equal rows are one vector with a row each; rows with one vec_id aren't linked with each other. Of
-    vectors whose length isn't the sample's, each is compared with all others of its label and length.
+    vectors whose length the sample lacks, each is compared with all others of its label and length.
     """
     spark, scratch = embeddings.sparkSession, Scratch(embeddings.sparkSession, "vectors")
     rows = scratch.save(embeddings.select("vec_id", "embedding", "label", F.xxhash64("vec_id", "label", "embedding").alias("uid")), "rows")
     once = scratch.save(rows.dropDuplicates(["uid"]), "once")
-    n = once.count()
-    sample = [x for x in _clean(pa.array([r.embedding for r in once.where("label IS NOT NULL").orderBy(F.xxhash64("vec_id"), "uid").select("embedding").limit(SAMPLE).collect()])) if x is not None] if n else []
-    q = None
-    if sample:
-        dim = max(sorted({len(x) for x in sample}), key=[len(x) for x in sample].count)
-        q = fit(np.stack([x for x in sample if len(x) == dim]), max(1, min(1024, int(n**0.5))))
-    found = scratch.save(links(once, q, least, margin, scratch), "found")
+    most = once.where("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    lists = max(1, min(MOST_LISTS, int(most**0.5)))
+    sample = once.where("label IS NOT NULL").orderBy(F.xxhash64("vec_id"), "uid").select("embedding").limit(min(SAMPLE, max(1_024, PER_LIST * lists)))
+    qs = {x.shape[1]: fit(x, lists) for _, x in _units(sample.toArrow()["embedding"]) if len(x)} if most else {}
+    found = scratch.save(links(once, qs, least, sigmas, scratch), "found")
     degree = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "uid")
     roots = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "components").withColumnRenamed("node", "uid")
     named = scratch.save(rows.select("uid", "vec_id").join(roots, "uid", "left").join(degree, "uid", "left").select("uid", "vec_id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").isNotNull().alias("linked")), "named")
     first = named.where("linked").groupBy("root").agg(F.min("vec_id").alias("least_id"))
     out = named.join(first, "root", "left")
     component = F.when(F.col("linked"), F.col("least_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return scratch.last(out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")))

@@ -83,7 +83,55 @@ def near_dups(docs: list[tuple], n: int, percent: int) -> dict:
 
 def vector_links(rows: list[tuple], least: float) -> dict:
     good = [(i, np.array(v, dtype=np.float64), label) for i, v, label in rows if v is not None and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, v / np.abs(v).max(), label) for i, v, label in good]
     links = [(a[0], b[0]) for a, b in combinations(good, 2) if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] / np.sqrt(a[1] @ a[1] * (b[1] @ b[1])) >= least]
     at = components([r[0] for r in rows], links)
     degree = Counter(x for p in links for x in p)
     return {r[0]: (degree[r[0]], at[r[0]]) for r in rows}
+
+
+def cell(v: int) -> int:
+    """A whole number's cell in a quantile sketch: itself below 64, else with its six leading bits."""
+    unit = 1 << max(v.bit_length() - 6, 0)
+    return v - v % unit
+
+
+def adaptive(docs: list[tuple]) -> dict:
+    """Verdicts of the quality rules for (doc_id, text, lang, source), from all values of each group."""
+    plan = {"symbols": (6, "n_words", 1000), "dup_lines": (2, "n_lines", 1000), "repeats": (30, "n_words", 1000), "word_length": (100, "n_words", 100)}
+    rows = []
+    for i, text, lang, source in docs:
+        n, chars, symbols, dup, repeat, failed = quality(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        x = {"n_words": n, "n_lines": lines, "symbols": symbols * 1000 // max(n, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n, 1), "word_length": chars * 100 // max(n, 1)}
+        rows.append((i, lang, source, x, failed))
+    fine = [r for r in rows if not r[4]]
+
+    def fifths(own, name):
+        v = sorted(cell(r[3][name]) for r in own)
+        return [v[-(-len(v) * k // 10) - 1] for k in (2, 5, 8)]
+
+    limits: dict = {}
+    for key in {r[1:3] for r in fine}:
+        levels = [[r for r in fine if r[1:3] == key], [r for r in fine if r[1] == key[0]], fine]
+        own = next((x for x in levels[:2] if len(x) >= 30), levels[2])
+        for name, (slack, size, scale) in plan.items():
+            low, middle, high = fifths(own, name)
+            more = slack * scale // max(fifths(own, size)[1], 1)
+            limits[key, name] = (low - 3 * (middle - low) - more if name == "word_length" else -1, high + 3 * (high - middle) + more)
+    return {i: not failed and all(limits[(lang, source), k][0] <= x[k] <= limits[(lang, source), k][1] for k in plan) for i, lang, source, x, failed in rows}
+
+
+#: Spans of the kinds beyond the base, in the order of their rank.
+MORE = {
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    "forge": (r"gh[pousr]_[A-Za-z0-9]+", 40),
+    "chat_hook": (r"xox[abprs]-[A-Za-z0-9-]+", 20),
+}
+
+
+def all_spans(text: str | None) -> list[tuple[str, int, int]]:
+    out = secret_spans(text) + [(k, m.start(), m.end()) for k, (p, least) in MORE.items() for m in re.finditer(p, text or "") if len(m[0]) >= least]
+    rank = ["assign", "access", "hex", *MORE]
+    return sorted(out, key=lambda s: (s[1], rank.index(s[0])))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm import bpe, mixing, neardup, quality, queries, secrets
@@ -12,34 +12,48 @@ from quillrank.llm._scratch import Scratch, bounded_batches, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fixed base rules or their group's thresholds reject go."""
+    """Documents that the fixed base rules or their group's thresholds reject go.
+
+    So do null, empty and very short texts, which the base rules reject. Null languages and sources are groups of their
+    own; repeated rows are judged each; all columns stay, whatever their names. No rows give none.
+    """
     bounded_batches(spark)
     return quality.filter_docs(docs, Scratch(spark, "quality").save)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles and a similarity of 0.8 join, one with the least id stays."""
+    """Of documents that links of five-word shingles and a similarity of 0.8 join, one with the least id stays.
+
+    Texts without words stay all. Rows are told apart by id and text, so that ids may be null or repeated; of equal rows
+    one stays; all columns stay, whatever their names. No rows give none.
+    """
     bounded_batches(spark)
     return neardup.one_of_each(docs, neardup.Near(shingle=5, percent=80, rows=5, bands=40))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, with null or empty texts and repeated rows as they are.
+
+    All columns stay, whatever their names, but for one called `found`, which gives way. No rows give none.
+    """
     return secrets.redact(secrets.scan(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 3, 1, 2 share 150 % of all words: documents are left out, or there once or twice."""
-    # ids may be null or repeated: rows meet their draws by what they hold, and the nth of equal rows the nth draws
-    docs = docs.withColumn("_row", F.xxhash64(F.struct("doc_id", "source", "text")))
-    times = mixing.mix(docs, weights=[3, 1, 2], carry=("_row",)).groupBy("_row").agg(F.collect_list(F.size("draws")).alias("_times"))
-    nth = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("doc_id")))
-    met = nth.join(times.where(F.exists("_times", lambda n: n > 0)), "_row").withColumn("_n", F.element_at("_times", F.col("_nth"))).where("_n > 0")
-    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_row", "_times", "_nth", "_n")
+    """Sources at weights 3, 1, 2 share 150 % of all words: documents are left out, or there once or twice, in the order
+    in which the tree deals them to 64 shards.
+
+    A null text has no words and goes with its place in line, a null source is a source; equal rows, and rows with null
+    or repeated ids, are documents of their own. No rows give none.
+    """
+    return mixing.materialise(docs, weights=[3, 1, 2], name=None)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and whether decoding gives the tokens' text back."""
+    """Token ids of every document of the mix, and the SHA-256 of the text that they decode to.
+
+    A null or empty text has no ids; repeated rows have theirs each; other columns are left out. No rows give none.
+    """
     bounded_batches(spark)
     path = queries.tokenizer_path()
     out = bpe.encode(docs.select("doc_id", "source", "text"), path, back=True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,25 @@ def _long(hi: bytes, lo: bytes) -> np.ndarray:
     return (np.frombuffer(hi, dtype="<u4").astype(U) << U(32)) | (np.frombuffer(lo, dtype="<u2").astype(U) << U(16))
 
 
+def _each_shard(merge: Callable[[pa.Table], pa.Table]):
+    """`merge` of all rows of each shard in a partition, of which there is one a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            for shard in pc.unique(b["shard"]).to_pylist():
+                held.setdefault(shard, []).append(b.filter(pc.equal(b["shard"], shard)))
+        for shard in sorted(held):
+            yield from merge(pa.Table.from_batches(held.pop(shard))).to_batches()
+
+    return run
+
+
+def _merged(blobs: DataFrame, bits: int, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Shards are dealt by their number, not by its hash, which would put several into one task."""
+    return blobs.repartitionById(1 << bits, F.col("shard")).mapInArrow(_each_shard(merge), schema)
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that every worker needs.
@@ -238,18 +258,19 @@ def fit(docs: DataFrame, scratch: Scratch) -> Model:
 
     Shards grow in number with the text, so that merging one stays within a fixed size: tasks sum words and pairs
     before they send them, as sorted arrays, to the shard's task, which merges them and writes sorted hash arrays.
-    The driver sees one row of sums a shard. A word is told by 64 bits of hash on its own and 48 within a pair.
+    The driver sees one row of sums a shard. A word is told by 64 bits of
+    hash on its own; as the second of a pair by 48 in counting and by 40, beside its first word, in the sorted arrays.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, int(size // SHARD_BYTES).bit_length())
     root, text = scratch.path("model"), docs.select("text")
-    words = text.mapInArrow(_count_words(bits), _BLOBS).groupBy("shard").applyInArrow(_merge_words(root, max(64, size // (48 << bits))), "shard int, tokens long, words long, hot array<long>").collect()
+    words = _merged(text.mapInArrow(_count_words(bits), _BLOBS), bits, _merge_words(root, max(64, size // (48 << bits))), "shard int, tokens long, words long, hot array<long>").collect()
     m = Model(root, bits, sum(r.tokens for r in words), sum(r.words for r in words), shards=frozenset(r.shard for r in words))
     m.frequent = np.sort(np.array([h for r in words for h in r.hot] + [BEGIN.astype(np.int64)], dtype=np.int64).view(U))
-    pairs = text.mapInArrow(_count_pairs(m), _BLOBS).groupBy("shard").applyInArrow(_merge_pairs(m), f"from_shard int, {_BLOBS}")
+    pairs = _merged(text.mapInArrow(_count_pairs(m), _BLOBS), bits, _merge_pairs(m), f"from_shard int, {_BLOBS}")
     pairs = scratch.save(pairs, "merged")
     sums = pairs.where("shard = -1").select("from_shard", "a", "b", "n").collect()
-    left = pairs.where("shard >= 0").drop("from_shard").groupBy("shard").applyInArrow(_finish_words(root), "shard int, pairs long, types long, n1 long, n2 long, n3 long, n4 long").collect()
+    left = _merged(pairs.where("shard >= 0").drop("from_shard"), bits, _finish_words(root), "shard int, pairs long, types long, n1 long, n2 long, n3 long, n4 long").collect()
     scratch.drop("merged")
     m.pair_shards = frozenset(r.from_shard for r in sums)
     m.stats = np.zeros((len(m.frequent), 4), dtype=np.int64)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrank.llm import _words as W
 from quillrank.llm._columns import packed, unpacked
 
 #: Code points up to which a text is encoded in one go.
@@ -91,6 +92,14 @@ class Codec:
         found = dict(zip(letters, self._letters(letters), strict=True))
         self.seen.update((w, found[m[1].lower()] + (self.seen[m[2].encode()] if m[2] else b"")) for w, m in zip(words, cut, strict=True) if m)
 
+    def lengths(self, words: list[bytes]) -> list[int]:
+        """Numbers of ids of texts, which are words if white space is dropped."""
+        if self.by_word:
+            self.seen.clear()
+            self._learn(words)
+            return [len(self.seen[w]) // 4 for w in words]
+        return [len(x) for x in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
     def _raw(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
@@ -222,6 +231,16 @@ def _concatenate(path: str, back: bool):
     return tree
 
 
+def _in_pieces(rows: DataFrame, path: str, piece: int, back: bool) -> DataFrame:
+    """(row, ids and maybe decoded) of rows (row, text) with long texts."""
+    rows = rows.withColumn("key", F.sha2("text", 256))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
+    pieces = texts.mapInArrow(_cut(piece), "key string, nth int, of int, at int, piece string").repartition(F.col("key"), F.col("nth"))
+    spans = pieces.mapInArrow(_pieces(path), "key string, nth int, of int, at int, piece string, spans binary")
+    merged = spans.groupBy("key").applyInArrow(_concatenate(path, back), f"key string, {_added(back)}")
+    return rows.select("row", "key").join(merged, "key").select("row", *(["ids", "decoded"] if back else ["ids"]))
+
+
 def encode(docs: DataFrame, path: str, piece: int = PIECE, back: bool = False) -> DataFrame:
     """Every row of `docs` with `ids`: the whole text's token ids, packed as little-endian unsigned 32-bit integers.
 
@@ -238,15 +257,100 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE, back: bool = False) -
     rows = packed(docs, text=F.col("text"))
     long = F.coalesce(F.length("text") > piece, F.lit(False))
     short = rows.where(~long).select("row", _whole(path, back)(F.col("text")).alias("found")).select("row", *(F.col("found")[c].alias(c) for c in added))
-    rows = rows.where(long).withColumn("key", F.sha2("text", 256))
-    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
-    pieces = texts.mapInArrow(_cut(piece), "key string, nth int, of int, at int, piece string").repartition(F.col("key"), F.col("nth"))
-    spans = pieces.mapInArrow(_pieces(path), "key string, nth int, of int, at int, piece string, spans binary")
-    merged = spans.groupBy("key").applyInArrow(_concatenate(path, back), f"key string, {_added(back)}")
-    both = short.unionByName(rows.select("row", "key").join(merged, "key").select("row", *added))
+    both = short.unionByName(_in_pieces(rows.where(long), path, piece, back))
     return unpacked(both, docs.columns, **{c: F.col(c) for c in added})
 
 
+class Lengths:
+    """How many ids each unit of a text has: units are words where white space is dropped, and else words with the
+    spaces and line feeds before them, over which no token reaches. Units met before are known by a 64-bit hash."""
+
+    MOST = 4_000_000
+
+    def __init__(self, path: str):
+        self.codec = Codec(path)
+        self.h, self.n = np.empty(0, dtype=W.U), np.empty(0, dtype=np.int64)
+        probe = "a  b\n\nc \n d, 'e  12.\n"
+        self.spaced = not self.codec.by_word and sum(map(len, self.codec._full(re.findall(r"[ \n]*[^ \n]+|[ \n]+$", probe)))) == len(self.codec._full([probe])[0])
+
+    def _odd(self, t: W.Texts) -> np.ndarray:
+        """Texts with white space other than spaces and line feeds, which may join with those."""
+        d = np.concatenate([t.data, np.zeros(2, dtype=np.uint8)])
+        x, y, z = d[:-2], d[1:-1], d[2:]
+        odd = ((x >= 0x09) & (x <= 0x0D) & (x != 0x0A)) | ((x >= 0x1C) & (x <= 0x1F)) | ((x == 0xC2) & ((y == 0x85) | (y == 0xA0)))
+        odd |= (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80) | (x == 0xE2) & (y == 0x81) & (z == 0x9F)
+        odd |= (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+        return np.diff(np.searchsorted(np.flatnonzero(odd), t.bounds)) > 0
+
+    def _known(self, t: W.Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = W.hashes(t.data, starts, ends)
+        names, first, ids = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.h, names), max(len(self.h) - 1, 0))
+        new = np.ones(len(names), dtype=bool) if not len(self.h) else self.h[at] != names
+        if new.any():
+            if len(self.h) > self.MOST:
+                self.h, self.n, new = self.h[:0], self.n[:0], np.ones(len(names), dtype=bool)
+            raw = t.data.tobytes()
+            found: list[int] = []
+            words = [raw[starts[i] : ends[i]] for i in first[new]]
+            for i in range(0, len(words), AT_ONCE):
+                found += self.codec.lengths(words[i : i + AT_ONCE])
+            h, n = np.concatenate([self.h, names[new]]), np.concatenate([self.n, np.array(found, dtype=np.int64)])
+            order = np.argsort(h, kind="stable")
+            self.h, self.n = h[order], n[order]
+        return self.n[np.searchsorted(self.h, names)][ids]
+
+    def of(self, t: W.Texts) -> np.ndarray:
+        starts, ends = W.segments(t.data, t.bounds, W.SPACE)
+        bounds = np.searchsorted(starts, t.bounds)
+        if self.spaced:
+            # a unit begins where the one before it ends, or its text does
+            last = np.maximum.reduce([ends[np.maximum(bounds[1:] - 1, 0)] if len(ends) else t.bounds[:-1], t.bounds[:-1]])
+            tail = np.where(bounds[1:] > bounds[:-1], last, t.bounds[:-1])
+            begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            full = np.flatnonzero(bounds[1:] > bounds[:-1])
+            begins[bounds[:-1][full]] = t.bounds[:-1][full]
+            more = np.flatnonzero(tail < t.bounds[1:])
+            starts, ends = np.concatenate([begins, tail[more]]), np.concatenate([ends, t.bounds[1:][more]])
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], ends[order]
+            bounds = np.searchsorted(starts, t.bounds)
+        n = self._known(t, starts, ends) if len(starts) else np.empty(0, dtype=np.int64)
+        sums = np.concatenate([[0], np.cumsum(n)])
+        return sums[bounds[1:]] - sums[bounds[:-1]]
+
+    def all(self, column: pa.Array) -> np.ndarray:
+        out = []
+        for t in W.texts(column, 1 << 20):
+            n = self.of(t) if self.spaced or self.codec.by_word else np.zeros(len(t.bounds) - 1, dtype=np.int64)
+            for i in np.flatnonzero(self._odd(t)) if self.spaced else range(0 if self.codec.by_word else len(n)):
+                n[i] = len(self.codec._full([t.data[t.bounds[i] : t.bounds[i + 1]].tobytes().decode()])[0]) // 4
+            out.append(n)
+        return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+
+def _lengths(path: str):
+    @F.arrow_udf(T.LongType())
+    def lengths(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Lengths(path)
+        for column in columns:
+            yield pa.array(own.all(column), pa.int64())
+
+    return lengths
+
+
+def count(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
+    """Every row of `docs` with `n_tokens`: how many ids `encode` gives its whole text, without keeping them.
+
+    Nulls, long texts, repeated rows and other columns are as in `encode`; a column called `n_tokens` gives way.
+    """
+    rows = packed(docs, text=F.col("text"))
+    long = F.coalesce(F.length("text") > piece, F.lit(False))
+    short = rows.where(~long).select("row", _lengths(path)(F.col("text")).alias("n"))
+    pieces = _in_pieces(rows.where(long), path, piece, False).select("row", F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long").alias("n"))
+    return unpacked(short.unionByName(pieces), docs.columns, n_tokens=F.col("n"))
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of packed ids, special tokens included."""
 

@@ -262,7 +262,8 @@ class Linker:
         rows = save(rows.select("band", "name", "root", (F.col("root") != F.col("major")).alias("stray"), "bytes"), "rest")
         some = lambda c, x: F.sum(F.when(F.col("stray") == c, x).otherwise(0))
         parts = lambda c: F.greatest(F.ceil(some(c, F.lit(1)) / BLOCK), F.ceil(some(c, F.col("bytes")) / BLOCK_BYTES)).cast("int")
-        rows = rows.join(rows.groupBy("band").agg(parts(True).alias("strays"), parts(False).alias("majors")), "band")
+        sizes = save(rows.groupBy("band").agg(parts(True).alias("strays"), parts(False).alias("majors")), "sizes")
+        rows = rows.join(sizes, "band")
         own = F.pmod(F.xxhash64("name"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("majors"))).cast("int")
         rows = rows.withColumn("own", own)
         # a block of strays meets itself (side 2), every other one once, and every block of the rest (side 0 against 1)
@@ -276,7 +277,7 @@ class Linker:
         rows = rows.join(self.rows.select("name", "bands", "odd"), "name").join(texts, "name")
         more = rows.groupBy("band", "lo", "hi", "kind").applyInArrow(_links_in_block(p), "a binary, b binary")
         found = save(links.unionByName(save(more, "more")), "links")
-        self.scratch.drop("leaders", "members", "stars", "wanted", "texts", "first", "placed", "rest", "more")
+        self.scratch.drop("leaders", "members", "stars", "wanted", "texts", "first", "placed", "rest", "sizes", "more")
         return found
 
 

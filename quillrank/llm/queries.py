@@ -43,8 +43,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scratch = Scratch(spark, "counts")
     texts = docs.select("source", "lang", "text", mixing.n_words(F.col("text")).alias("words"))
-    n = F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long")
-    each = [bpe.encode(texts, tokenizer_path(file)).select("source", "lang", F.lit(v).alias("tokenizer_version"), "words", n.alias("n")) for v, file in VERSIONS.items()]
+    each = [bpe.count(texts, tokenizer_path(file)).select("source", "lang", F.lit(v).alias("tokenizer_version"), "words", F.col("n_tokens").alias("n")) for v, file in VERSIONS.items()]
     base = [scratch.save(x, f"base-{i}") for i, x in enumerate(each)]
     rollup = counts.Rollup(spark, scratch.path("rollup"))
 

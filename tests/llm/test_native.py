@@ -282,6 +282,17 @@ def test_bpe_long_texts(spark):
     assert bpe.encode(docs_of(spark, []).limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("file", queries.VERSIONS.values())
+def test_bpe_counts_equal_encoding(spark, file):
+    path = queries.tokenizer_path(file)
+    rng = np.random.default_rng(7)
+    bits = ["ab", "c,", " ", "  ", "\n", " \n ", "\t", "\r\n", "\u00a0", "\u2009", "\u3000", "\x1c", "'ll", "12", "é", "漢", "<|endoftext|>", "\u201ex\u201c"]
+    texts = ["".join(rng.choice(bits, 40)) for _ in range(300)] + [None, "", " ", "\n\n", "a", " a", "a ", "x" * 500, "word " * 2000, *ODD]
+    docs = docs_of(spark, texts)
+    want = {r.doc_id: len(r.ids) // 4 for r in bpe.encode(docs, path, piece=5000).collect()}
+    assert {r.doc_id: r.n_tokens for r in bpe.count(docs, path, piece=5000).collect()} == want and len(want) == len(texts)
+
+
 def test_bpe_words_of_letters_and_marks():
     own = bpe.Codec(queries.tokenizer_path())
     assert own.latin

@@ -6,12 +6,14 @@ from dataclasses import dataclass, field
 
 # Skill aliases and the default skill vocabulary.
 SKILL_ALIASES = {"c++": "cpp", "c#": "csharp", "node.js": "nodejs", "ci/cd": "cicd"}
-SKILLS = (
-    "python java javascript typescript cpp csharp ruby go rust php sql nosql mysql postgresql mongodb redis elasticsearch "
-    "django flask fastapi spring react angular vue nodejs express docker kubernetes aws azure gcp terraform ansible git cicd "
-    "jenkins gitlab nlp tensorflow pytorch agile scrum jira api rest graphql microservices html css sass webpack babel linux "
-    "bash nginx apache"
-).split() + ["github actions", "machine learning", "deep learning", "computer vision", "shell scripting"]
+SKILLS = [
+    "python", "java", "javascript", "typescript", "cpp", "csharp", "ruby", "go", "rust", "php", "sql", "nosql",
+    "mysql", "postgresql", "mongodb", "redis", "elasticsearch", "django", "flask", "fastapi", "spring", "react",
+    "angular", "vue", "nodejs", "express", "docker", "kubernetes", "aws", "azure", "gcp", "terraform", "ansible",
+    "git", "cicd", "jenkins", "gitlab", "github actions", "nlp", "machine learning", "deep learning", "computer vision",
+    "tensorflow", "pytorch", "agile", "scrum", "jira", "api", "rest", "graphql", "microservices", "html", "css",
+    "sass", "webpack", "babel", "linux", "bash", "shell scripting", "nginx", "apache",
+]
 
 # Canonical spellings of skills and organisations.
 SKILL_NAMES = {"python3": "python", "python 3": "python", "js": "javascript", "ts": "typescript", "c++": "cpp", "c#": "csharp", "node.js": "nodejs", "node js": "nodejs"}
@@ -33,6 +35,7 @@ EDUCATION_TIERS = {
     2: ["bachelor", "b.tech", "b.e", "b.sc", "b.com", "be ", "btech", "undergraduate", "b.a", "b.s"],
     1: ["diploma", "certificate", "associate"],
 }
+TITLE_ENDS = ["engineer", "developer", "manager", "analyst", "architect", "scientist", "specialist"]
 ROLE_WORDS = ["engineer", "developer", "analyst", "manager", "architect", "scientist", "specialist", "consultant", "lead", "director"]
 
 # Job titles, months, stages in their order, and terms that an answer must not bring up by itself.
@@ -73,7 +76,7 @@ SECTION_LINES = {
     "projects": r"projects|key\s+projects|notable\s+projects|project\s+experience|selected\s+projects|project\s+portfolio",
 }
 
-# Patterns of degrees, fields of study and roles.
+# Patterns of degrees, fields of study and roles. Spellings that differ in case only are one.
 DEGREES = [
     r"B\.?\s*Tech|B\.?\s*E|Bachelor\s+of\s+Technology|Bachelor\s+of\s+Engineering",
     r"M\.?\s*Tech|M\.?\s*E|Master\s+of\s+Technology|Master\s+of\s+Engineering",
@@ -110,6 +113,23 @@ CONTEXTS = {
 NO_CONTEXT = 0.1
 SECTION_WEIGHTS = {"experience": 0.5, "skills": 0.3, "projects": 0.2}
 
+# Month names, and a range of dates.
+_MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december"
+DATE_RANGE = rf"(?i)({_MONTH})?\s*(\d{{4}})\s*[-–—to]+\s*(present|current|now|(?:{_MONTH})?\s*\d{{4}})"
+
+# The order of stages in a latency report.
+STAGES = ["text_extraction", "ocr", "parsing", "chunking", "embedding_generation", "ner", "llm", "db_writes"]
+
+#: English words that n-grams leave out unless another list is given (a parameter of `functions.text.terms`).
+STOP_WORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being",
+    "below", "between", "both", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had",
+    "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "may", "me", "might", "more",
+    "most", "must", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "should",
+    "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until",
+    "up", "us", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
+]
+
 # Files that are taken, and names that are junk.
 SUFFIXES = ("pdf", "docx", "txt")
 JUNK = r"(^|/)(\._[^/]*|\.DS_Store|Thumbs\.db|~\$[^/]*)$"

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from quillrank import config
 
-_MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december"
-RANGE = rf"(?i)({_MONTH})?\s*(\d{{4}})\s*[-–—to]+\s*(present|current|now|(?:{_MONTH})?\s*\d{{4}})"
-
 
 def month_number(name: Column) -> Column:
     """1 to 12 by a month's first three letters; January if it is empty."""
@@ -24,7 +21,7 @@ def _date(year: Column, month: Column, day: int) -> Column:
 def ranges(text: Column, as_of: Column) -> Column:
     """(start, end, months) of every range. An open end is `as_of`; a bare year ends in December; years that are no
     dates are skipped, and an end before its start has 0 months."""
-    part = lambda k: F.regexp_extract_all(text, F.lit(RANGE), F.lit(k))
+    part = lambda k: F.regexp_extract_all(text, F.lit(config.DATE_RANGE), F.lit(k))
 
     def one(x: Column) -> Column:
         end = F.lower(x["e"])
@@ -60,3 +57,16 @@ def experience_depth(years: Column) -> Column:
 def stability(roles: Column) -> Column:
     r = F.coalesce(roles, F.lit(0))
     return F.round(F.when(r <= 0, 1.0).otherwise(1.0 / (1.0 + r / 5.0)), 4)
+
+
+def years(text: Column) -> Column:
+    """All years from 1900 to 2099 that a text names, as numbers on their own, sorted and distinct."""
+    found = F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda y: y.cast("int"))))
+
+
+def year_span(text: Column) -> Column:
+    """(earliest, latest, years_min, years_max) of the years that a text names; all null if it names none."""
+    y = years(text)
+    first, last = F.array_min(y), F.array_max(y)
+    return F.struct(first.alias("earliest"), last.alias("latest"), (last - first).alias("years_min"), (last - first).alias("years_max"))

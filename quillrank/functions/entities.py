@@ -40,6 +40,12 @@ def roles(text: Column, words: list[str] = config.ROLE_WORDS) -> Column:
     return F.array_sort(F.array_distinct(F.filter(low, lambda r: (F.length(r) > 3) & F.rlike(r, F.lit("|".join(words))))))
 
 
+def title_roles(text: Column) -> Column:
+    """A capitalised word of four characters or more and the role word after it, in lower case, sorted and distinct."""
+    found = F.regexp_extract_all(text, F.lit(rf"\b[A-Z][a-z]{{3,}}\s+(?i:{'|'.join(config.TITLE_ENDS)})\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda r: F.lower(F.regexp_replace(r, r"\s+", " ")))))
+
+
 def context_weight(text: Column) -> Column:
     """Sum of the weights of the contexts whose words occur in the text, or that of no context."""
     low = F.lower(text)

@@ -56,24 +56,33 @@ def word_count(text: Column) -> Column:
 
 
 def chunks(text: Column, target: float = 200, least: float = 20, per_word: float = 1.3) -> Column:
-    """Sentences packed greedily into chunks of about `target` estimated tokens; those under `least` are dropped.
+    """(t, w) of chunks: sentences packed greedily up to about `target` estimated tokens; those under `least` are
+    dropped.
 
-    A fold over the sentences: a chunk is closed before it would go over the target, and when it has reached it.
+    A fold over the sentences' numbers of words keeps where chunks begin and end: one is closed before it would go over
+    the target, and when it has reached it. Texts are put together once, at the end.
     """
-    some = F.transform(sentences(text), lambda s: F.struct(strip(s).alias("t"), word_count(s).alias("w")))
-    none = F.array().cast("array<struct<t:string,w:int>>")
-    start = F.struct(none.alias("out"), F.lit("").alias("t"), F.lit(0).alias("w"))
-    closed = lambda a: F.when(a["w"] > 0, F.concat(a["out"], F.array(F.struct(a["t"].alias("t"), a["w"].alias("w"))))).otherwise(a["out"])
 
-    def step(a: Column, s: Column) -> Column:
-        over = (a["w"] > 0) & ((a["w"] + s["w"]) * per_word > target)
-        out, t, w = F.when(over, closed(a)).otherwise(a["out"]), F.when(over, "").otherwise(a["t"]), F.when(over, 0).otherwise(a["w"])
-        t2, w2 = F.when(t == "", s["t"]).otherwise(F.concat(t, F.lit(" "), s["t"])), w + s["w"]
-        full = w2 * per_word >= target
-        done = F.concat(out, F.array(F.struct(t2.alias("t"), w2.alias("w"))))
-        return F.struct(F.when(full, done).otherwise(out).alias("out"), F.when(full, "").otherwise(t2).alias("t"), F.when(full, 0).otherwise(w2).alias("w"))
+    def pack(some: Column) -> Column:
+        cut = lambda a, to: F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), (to - a["at"]).alias("n"), a["w"].alias("w"))))
+        none = F.array().cast("array<struct<at:int,n:int,w:int>>")
 
-    return F.filter(F.aggregate(some, start, step, closed), lambda c: c["w"] * per_word >= least)
+        def step(a: Column, s: Column) -> Column:
+            over = (a["w"] > 0) & ((a["w"] + s["w"]) * per_word > target)
+            out, at, w = F.when(over, cut(a, s["i"])).otherwise(a["out"]), F.when(over, s["i"]).otherwise(a["at"]), F.when(over, 0).otherwise(a["w"])
+            full = (w + s["w"]) * per_word >= target
+            now = F.struct(out.alias("out"), at.alias("at"), (w + s["w"]).alias("w"))
+            return F.struct(
+                F.when(full, cut(now, s["i"] + 1)).otherwise(out).alias("out"), F.when(full, s["i"] + 1).otherwise(at).alias("at"), F.when(full, 0).otherwise(w + s["w"]).alias("w"),
+            )
+
+        counted = F.transform(some, lambda s, i: F.struct(i.alias("i"), word_count(s).alias("w")))
+        start = F.struct(none.alias("out"), F.lit(0).alias("at"), F.lit(0).alias("w"))
+        cuts = F.aggregate(counted, start, step, lambda a: F.when(a["w"] > 0, cut(a, F.size(some))).otherwise(a["out"]))
+        kept = F.filter(cuts, lambda c: c["w"] * per_word >= least)
+        return F.transform(kept, lambda c: F.struct(F.array_join(F.slice(some, c["at"] + 1, c["n"]), " ").alias("t"), c["w"].alias("w")))
+
+    return once(F.transform(sentences(text), strip), pack)
 
 
 def char_windows(text: Column, size: int = 2000, overlap: int = 200) -> Column:
@@ -100,12 +109,17 @@ def terms(text: Column, n: int = 1, stop: list[str] | None = None) -> Column:
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: F.length(w) > 1)
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
-    return once(words, lambda ws: F.concat(ws, *(_grams(ws, k) for k in range(2, n + 1))) if n > 1 else ws)
+    return once(words, lambda ws: _grams(ws, n)) if n > 1 else words
 
 
-def _grams(words: Column, k: int) -> Column:
-    at = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
-    return F.filter(F.transform(at, lambda i: F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, k), " "))), lambda g: g.isNotNull())
+def _grams(words: Column, n: int) -> Column:
+    """All 1- to n-grams: each length is the one below it beside the words that follow."""
+    out, longest = words, words
+    for k in range(2, n + 1):
+        pairs = F.zip_with(longest, F.slice(words, k, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        longest = F.filter(pairs, lambda g: g.isNotNull())
+        out = F.concat(out, longest)
+    return out
 
 
 def excerpt(text: Column, n: int = 300) -> Column:
@@ -144,3 +158,32 @@ def education_tier(text: Column, tiers: dict[int, list[str]] = config.EDUCATION_
 
 def job_titles(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({config.JOB_TITLES})\b"), F.lit(0))))
+
+
+def sanitize_filename(name: Column) -> Column:
+    """Slashes, backslashes, double dots and zero characters as underscores, without white space at the ends."""
+    out = name
+    for bad in ("/", "\\", "..", "\0"):
+        out = F.replace(out, F.lit(bad), F.lit("_"))
+    return strip(out)
+
+
+def json_object(answer: Column) -> Column:
+    """What a model's answer holds from the first { to the last }, without code fences around; else all of it."""
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(answer), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    clean = F.when(F.startswith(strip(answer), F.lit("```")), bare).otherwise(strip(answer))
+    return once(clean, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")), t))
+
+
+def failure(suffix: Column, message: Column) -> Column:
+    """The reason of a failed file from its error's message."""
+    return (
+        F.when(F.contains(message, F.lit("Unsupported file type")), F.concat(F.lit("Unsupported format: "), suffix, F.lit(" (supported: .pdf, .docx, .txt)")))
+        .when(F.contains(message, F.lit("Failed to extract text")), F.concat(F.lit("Extraction error: "), message))
+        .when(F.contains(F.lower(message), F.lit("timeout")), F.concat(F.lit("Processing timeout: "), message))
+        .otherwise(F.concat(F.lit("Processing failed: "), message))
+    )
+
+
+def percent(score: Column) -> Column:
+    return F.format_string("%.2f%%", score.cast("double") * 100)

@@ -41,35 +41,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, query: Column, sublinear: bool = True, min_df: int = 2) -> DataFrame:
-    """(key, tfidf): cosine of each document with one query text, over smoothed idf and unit-length weights.
-
-    Terms are counted before the shuffle; the query is one row of terms, which Spark joins by its measured size.
-    Terms in fewer than `min_df` documents don't count; with under three documents, or if none would be left, all do.
-    A document without terms scores 0.
-    """
-    base = docs.select(key, terms.alias("terms"))
-    tf = base.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("docs"))
-    kept = df.crossJoin(n).withColumn("least", F.when(F.col("docs") >= 3, min_df).otherwise(1))
-    some = kept.agg(F.max(F.col("df") >= F.col("least")).alias("some"))
-    idf = kept.crossJoin(some).where((F.col("df") >= F.col("least")) | ~F.col("some"))
-    idf = idf.select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = (1 + F.log("n") if sublinear else F.col("n").cast("double")) * F.col("idf")
-    mine = tf.join(idf, "term").select(key, "term", weight.alias("w"))
-    asked = docs.sparkSession.range(1).select(F.explode(query).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    asked = asked.join(idf, "term").select("term", weight.alias("q"))
-    norm = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    hits = mine.join(asked, "term", "left").groupBy(key).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
-    scored = hits.crossJoin(norm).select(key, (F.col("dot") / F.nullif(F.col("wn") * F.col("qn"), F.lit(0.0))).alias("s"))
-    return docs.select(key).join(scored, key, "left").select(key, F.coalesce("s", F.lit(0.0)).alias("tfidf"))
-
-
-def ranked(df: DataFrame, by: list[Column], within: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """1, 2, 3, ... in the order given; the last key must tell rows apart."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy()
-    return df.withColumn(name, F.row_number().over(w.orderBy(*by)).cast("long"))
+def ranked(df: DataFrame, by: list[Column], within: list[str], name: str = "rank") -> DataFrame:
+    """1, 2, 3, ... in the order given within each job or other group; the last key must tell rows apart."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*by)).cast("long"))
 
 
 def final_score(cfg: RankingConfig) -> Column:
@@ -79,23 +53,23 @@ def final_score(cfg: RankingConfig) -> Column:
     return F.when(F.col("passed"), total).otherwise(0.0)
 
 
-def scored(df: DataFrame, cfg: RankingConfig, key: str) -> DataFrame:
-    """Adds passed, rounded scores, the final score from unrounded ones, and the rank by it.
+def scored(df: DataFrame, cfg: RankingConfig, key: str, job: str = "job") -> DataFrame:
+    """Adds passed, rounded scores, the final score from unrounded ones, and each job's ranks by it.
 
-    `df` has `key`, semantic, skill, experience, education and years. Candidates below a limit stay, with 0.
+    `df` has `job`, `key`, semantic, skill, experience, education and years. Candidates below a limit stay, with 0.
     """
     passed = (F.col("skill") >= cfg.min_skill_overlap) & (F.col("years") >= cfg.min_experience_years)
     out = df.withColumn("passed", passed).withColumn("final", F.round(final_score(cfg), 4))
     out = out.withColumns({c: F.round(c, 4) for c in ("semantic", "skill", "experience", "education")})
-    return ranked(out, [F.col("final").desc(), F.col(key)], name="rank_position")
+    return ranked(out, [F.col("final").desc(), F.col(key)], [job], "rank_position")
 
 
-def reranked(rankings: DataFrame, weights: dict, key: str) -> DataFrame:
+def reranked(rankings: DataFrame, weights: dict, key: str, job: str = "job") -> DataFrame:
     """New ranks from stored, rounded scores; nulls count as 0."""
     w = checked_weights(weights)
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("semantic", "skill", "experience", "education")}
     out = rankings.drop("rank_position").withColumns(zero).withColumn("final", F.round(final_score(RankingConfig(w)), 4))
-    return ranked(out, [F.col("final").desc(), F.col(key)], name="rank_position")
+    return ranked(out, [F.col("final").desc(), F.col(key)], [job], "rank_position")
 
 
 def semantic(wanted: DataFrame, chunks: DataFrame, best: int = 3) -> DataFrame:
@@ -111,7 +85,52 @@ def semantic(wanted: DataFrame, chunks: DataFrame, best: int = 3) -> DataFrame:
     return top.groupBy("candidate").agg(F.avg("cos").alias("semantic"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "chunk_idx"))), lambda x: x["chunk_idx"]).alias("top"))
 
 
-def nearest_l2(vectors: DataFrame, query: Column, k: int) -> DataFrame:
-    """The k vectors (id, vec) nearest to a query by squared distance of unit vectors, with similarity 1 / (1 + d)."""
-    d = F.greatest(2 - 2 * cosine(F.col("vec"), query), F.lit(0.0))
-    return vectors.withColumn("d2", F.round(d, 6)).orderBy("d2", "id").limit(k).withColumn("similarity", F.round(1 / (1 + F.col("d2")), 4))
+def nearest_l2(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """The k vectors (id, vec) nearest to each of `queries` (q, q_vec) by squared distance of unit vectors, with similarity
+    1 / (1 + d); of equal ones those with the least id.
+
+    Queries are taken in blocks of `block`, one row each. A block meets every vector in the scan; each task keeps its k
+    best of a query (Spark's window group limit), and only those are shuffled.
+    """
+    nth = F.call_function("div", F.row_number().over(Window.partitionBy("_s").orderBy("q")) - 1, F.lit(block))
+    # the queries' salt bounds what one task numbers; a block is numbered within its salt
+    blocks = queries.withColumn("_s", F.pmod(F.xxhash64("q"), F.lit(64))).withColumn("_b", nth).groupBy("_s", "_b").agg(F.collect_list(F.struct("q", "q_vec")).alias("qs"))
+    near = vectors.crossJoin(blocks).select("id", F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), F.round(F.greatest(2 - 2 * cosine(F.col("vec"), x["q_vec"]), F.lit(0.0)), 6).alias("d2")))).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
+    return near.select("n.q", "id", "n.d2").withColumn("_n", nth).where(F.col("_n") <= k).select("q", "id", "d2", F.round(1 / (1 + F.col("d2")), 4).alias("similarity"))
+
+
+def exceptional(answer: Column, contexts: Column, watched: list[str]) -> Column:
+    """Watched terms that the answer holds and its contexts don't, in either case."""
+    low, known = F.lower(answer), F.lower(F.coalesce(contexts, F.lit("")))
+    return F.filter(F.array(*map(F.lit, watched)), lambda t: F.contains(low, t) & ~F.contains(known, t))
+
+
+def not_retrieved(answer: Column, expected: Column, retrieved: Column) -> Column:
+    """Expected files that the lower-cased answer names without their suffix although they weren't retrieved."""
+    stem = lambda r: F.replace(F.replace(r, F.lit(".txt")), F.lit(".pdf"))
+    return F.filter(expected, lambda r: F.contains(F.lower(answer), stem(r)) & ~F.array_contains(retrieved, r))
+
+
+def education(tier: Column) -> Column:
+    return tier / 4.0
+
+
+def combined(similarity: Column, skill: Column, ranking: Column | None = None) -> Column:
+    """A hit's score: with its earlier ranking's score if there was a ranking, else of similarity and skills alone."""
+    return 0.6 * similarity + 0.4 * skill if ranking is None else 0.4 * similarity + 0.3 * ranking + 0.3 * skill
+
+
+def retrieved(rank: Column, score: Column, skills: Column, least_rank: int | None = None, most_rank: int | None = None, least_score: float | None = None, required: list[str] | None = None) -> Column:
+    """Whether a hit passes the filters that are set: ranked at least and at most so well, scored so high, and with any of
+    the required skills."""
+    fine = F.lit(True)
+    if least_rank is not None:
+        fine &= rank <= least_rank
+    if most_rank is not None:
+        fine &= rank >= most_rank
+    if least_score is not None:
+        fine &= score >= least_score
+    if required:
+        fine &= F.arrays_overlap(skills, F.array(*(F.lit(s.lower()) for s in required)))
+    return fine

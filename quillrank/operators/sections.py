@@ -1,41 +1,97 @@
-"""TF-IDF by section."""
+"""TF-IDF of whole documents and by section."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank import config
+from quillrank.session import shared_dir
+
+
+def _map(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+
+
+class Terms:
+    """Term counts (key, section, term, n) of one pass over the texts, written to shared storage: documents are split
+    into terms once, and all that follows reads the counts. Sections that are empty or null have none."""
+
+    def __init__(self, docs: DataFrame, key: str, sections: Column):
+        """`sections` is an array of (section, terms) with arrays of terms."""
+        spark, root = docs.sparkSession, shared_dir(docs.sparkSession)
+        self.spark, self.key, self.docs = spark, key, docs.select(key)
+        long = docs.select(key, F.explode(sections).alias("s")).select(key, "s.section", F.explode("s.terms").alias("term"))
+        self.counts = self._saved(long.groupBy(key, "section", "term").agg(F.count("*").alias("n")), f"{root}/terms")
+        df = self.counts.groupBy("section", "term").agg(F.count("*").alias("df"))
+        self.df = self._saved(df, f"{root}/df")
+
+    def _saved(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def asked(self, terms: list[str]) -> DataFrame:
+        """A description's terms as rows: as many as one text has."""
+        return self.spark.createDataFrame(sorted(Counter(terms).items()), "term string, q_n long")
+
+    def cosines(self, terms: list[str], sublinear: bool = True, min_df: int = 1) -> DataFrame:
+        """(key, section, cos) of all that have terms there: with the description's, by smoothed idf and unit length.
+
+        Each section has a vocabulary and an idf of its own, of its documents with terms. Terms in under `min_df` of them
+        don't count, unless they are under three or none would be left. A row a section is read to the driver.
+        """
+        docs = {r["section"]: r["docs"] for r in self.counts.select(self.key, "section").distinct().groupBy("section").agg(F.count("*").alias("docs")).collect()}
+        most = {r["section"]: r["most"] for r in self.df.groupBy("section").agg(F.max("df").alias("most")).collect()}
+        if not docs:
+            return self.counts.select(self.key, "section", F.lit(0.0).alias("cos"))
+        least = {s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in docs.items()}
+        at = F.col("section")
+        idf = self.df.where(F.col("df") >= _map(least)[at]).join(self.asked(terms), "term", "left")
+        idf = idf.withColumn("idf", F.log((1 + _map(docs)[at]) / (1 + F.col("df"))) + 1)
+        weight = lambda n: (1 + F.log(n) if sublinear else F.col(n).cast("double")) * F.col("idf")
+        idf = idf.select("section", "term", "idf", F.coalesce(weight("q_n"), F.lit(0.0)).alias("q"))
+        norm = {r["section"]: r["q"] for r in idf.where("q > 0").groupBy("section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q")).collect()}
+        w = weight("n")
+        both = self.counts.join(idf, ["section", "term"]).select(self.key, "section", w.alias("w"), "q")
+        sums = both.groupBy(self.key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        length = F.coalesce(F.try_element_at(_map(norm), at), F.lit(0.0)) if norm else F.lit(0.0)
+        return sums.select(self.key, "section", F.coalesce(F.col("dot") / F.nullif(F.col("norm") * length, F.lit(0.0)), F.lit(0.0)).alias("cos"))
+
+    def overlap(self, terms: list[str]) -> DataFrame:
+        """(key, overlap): the share of the description's distinct terms that a document has in any section."""
+        wanted = self.asked(terms)
+        n = max(1, len(set(terms)))
+        return self.counts.join(wanted, "term").groupBy(self.key).agg((F.count_distinct("term") / n).alias("overlap"))
+
+    def everyone(self, scores: DataFrame, column: str) -> DataFrame:
+        """A row a document, with 0 where there is no score."""
+        return self.docs.join(scores, self.key, "left").select(self.key, F.coalesce(column, F.lit(0.0)).alias(column))
+
+
+def whole(terms: Column, name: str = "all") -> Column:
+    return F.array(F.struct(F.lit(name).alias("section"), terms.alias("terms")))
+
+
+def tfidf(docs: DataFrame, key: str, terms: Column, query: list[str], sublinear: bool = True, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(key, tfidf) of every document, and (key, overlap) of those that hold terms of the query."""
+    own = Terms(docs, key, whole(terms))
+    return own.everyone(own.cosines(query, sublinear, min_df).select(key, F.col("cos").alias("tfidf")), "tfidf"), own.overlap(query)
 
 
-def section_tfidf(docs: DataFrame, key: str, sections: dict[str, Column], query: Column, weights: dict[str, float] = config.SECTION_WEIGHTS, min_df: int = 2) -> DataFrame:
+def section_tfidf(own: Terms, query: list[str], weights: dict[str, float] = config.SECTION_WEIGHTS, min_df: int = 1) -> DataFrame:
     """(key, similarity): cosines of each section with the query, weighed by section.
 
-    `sections` has arrays of terms; each section has a vocabulary and an idf of its own, of its documents that have
-    terms (terms in under `min_df` of them don't count if there are three or more, unless none would be left). A
-    document that lacks a section scores 0 there; a section that no document has is left out of the weights. All
-    sections are counted in one pass, keyed by section and term.
+    A document that lacks a section scores 0 there; a section that no document has is left out of the weights.
     """
-    one = F.array(*(F.struct(F.lit(s).alias("section"), t.alias("terms")) for s, t in sections.items()))
-    long = docs.select(key, F.inline(one)).where(F.size("terms") > 0)
-    tf = long.select(key, "section", F.explode("terms").alias("term")).groupBy(key, "section", "term").agg(F.count("*").alias("n"))
-    df = tf.groupBy("section", "term").agg(F.count("*").alias("df"))
-    fitted = long.groupBy("section").agg(F.count("*").alias("docs"))
-    top = df.groupBy("section").agg(F.max("df").alias("most"))
-    per = fitted.join(top, "section").withColumn("least", F.when((F.col("docs") >= 3) & (F.col("most") >= min_df), min_df).otherwise(1))
-    idf = df.join(F.broadcast(per), "section").where("df >= least")  # as many rows as there are sections
-    idf = idf.select("section", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = (1 + F.log("n")) * F.col("idf")
-    asked = docs.sparkSession.range(1).select(F.explode(query).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    q = asked.join(idf, "term").select("section", "term", weight.alias("q"))
-    norm = q.groupBy("section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    total = fitted.agg(F.sum(w[F.col("section")]).alias("total"))
-    both = tf.join(idf, ["section", "term"]).select(key, "section", "term", weight.alias("w")).join(q, ["section", "term"], "left")
-    cos = both.groupBy(key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
-    cos = cos.join(F.broadcast(norm), "section").select(key, (w[F.col("section")] * F.col("dot") / F.nullif(F.col("wn") * F.col("qn"), F.lit(0.0))).alias("part"))
-    sums = cos.groupBy(key).agg(F.sum("part").alias("s")).crossJoin(F.broadcast(total))
-    return docs.select(key).join(sums, key, "left").select(key, F.coalesce(F.col("s") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("similarity"))
+    there = {r["section"] for r in own.df.select("section").distinct().collect()}
+    used = {s: w for s, w in weights.items() if s in there}
+    if not used:
+        return own.docs.withColumn("similarity", F.lit(0.0))
+    cos = own.cosines(query, min_df=min_df).where(F.col("section").isin(*used))
+    sums = cos.groupBy(own.key).agg((F.sum(_map(used)[F.col("section")] * F.col("cos")) / sum(used.values())).alias("similarity"))
+    return own.everyone(sums, "similarity")
 
 
 def boosted(similarity: Column, overlap: Column, most: float = 0.5) -> Column:

@@ -10,7 +10,7 @@ from quillrank.functions import entities as E
 from quillrank.functions import sections as S
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
-from quillrank.operators.sections import boosted, section_tfidf
+from quillrank.operators.sections import Terms, boosted, section_tfidf
 from quillrank.plans import scoring
 from quillrank.plans.registry import query, table
 from quillrank.plans.textual import _NORM
@@ -84,45 +84,45 @@ def skill_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("s.skill").alias("skill"), F.col("s.count").alias("mentions"), F.col("s.confidence").alias("confidence"))
 
 
-_PARTS = {"experience": "substr(text, 1, length(text) // 2)", "skills": "CASE WHEN doc_id % 3 > 0 THEN substr(text, length(text) // 2 + 1) ELSE '' END", "projects": "CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END"}
+#: Sections of the documents as they are: what comes before any of these words is general.
+PARTS = {"experience": "license|apache", "skills": "that ", "projects": "with "}
+_KIND = "CASE WHEN i = 1 THEN 'general' " + " ".join(f"WHEN regexp_full_match(lower(string_split(p, chr(2))[1]), '{w}') THEN '{k}'" for k, w in PARTS.items()) + " END"
 
 
-def _long(name: str) -> str:
-    return scoring._TERMS.replace("lower(text)", f"lower({_PARTS[name]})")
-
-
-@query(f"""WITH l AS ({" UNION ALL ".join(f"SELECT doc_id, '{s}' AS section, {w}::double AS sw, {_long(s)} AS ts FROM documents" for s, w in config.SECTION_WEIGHTS.items())}),
-  f AS (SELECT section, any_value(sw) AS sw, count(*) AS docs FROM l WHERE len(ts) > 0 GROUP BY 1), t AS (SELECT doc_id, section, unnest(ts) AS term FROM l), tf AS (SELECT doc_id, section, term, count(*) AS n FROM t GROUP BY ALL),
+@query(rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(?i)({"|".join(PARTS.values())})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM documents),
+  u AS (SELECT doc_id, i, ps[i] AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+  z AS (SELECT doc_id, {_KIND} AS section, CASE WHEN i = 1 THEN p ELSE string_split(p, chr(2))[2] END AS t FROM u), x AS (SELECT doc_id, section, {scoring.words_sql("t")} AS ws FROM z),
+  t AS (SELECT doc_id, section, unnest({scoring.grams_sql("ws", 3)}) AS term FROM x), tf AS (SELECT doc_id, section, term, count(*) AS n FROM t GROUP BY ALL),
+  sw AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {w}::double)" for k, w in config.SECTION_WEIGHTS.items())}) v(section, sw)),
+  f AS (SELECT section, any_value(sw) AS sw, count(DISTINCT doc_id) AS docs FROM tf JOIN sw USING (section) GROUP BY 1),
   idf AS (SELECT section, term, ln((1 + any_value(docs)) / (1 + count(*))::double) + 1 AS idf FROM tf JOIN f USING (section) GROUP BY ALL HAVING count(*) >= 2),
-  jt AS (SELECT term, count(*) AS n FROM (SELECT unnest({scoring._TERMS}) AS term FROM benchmark WHERE item_id = 0) GROUP BY 1), q AS (SELECT section, term, (1 + ln(n)) * idf AS q FROM jt JOIN idf USING (term)), qn AS (SELECT section, sqrt(sum(q * q)) AS qn FROM q GROUP BY 1),
+  jw AS (SELECT {scoring.words_sql("text")} AS ws FROM benchmark WHERE item_id = 0), jt AS (SELECT term, count(*) AS n FROM (SELECT unnest({scoring.grams_sql("ws", 3)}) AS term FROM jw) GROUP BY 1),
+  q AS (SELECT section, term, (1 + ln(n)) * idf AS q FROM jt JOIN idf USING (term)), qn AS (SELECT section, sqrt(sum(q * q)) AS qn FROM q GROUP BY 1),
   c AS (SELECT doc_id, section, sum((1 + ln(n)) * idf * coalesce(q, 0)) / (sqrt(sum(((1 + ln(n)) * idf) ** 2)) * any_value(qn)) AS cos FROM tf JOIN idf USING (section, term) LEFT JOIN q USING (section, term) JOIN qn USING (section) GROUP BY ALL),
-  s AS (SELECT doc_id, sum(sw * cos) / (SELECT sum(sw) FROM f) AS s FROM c JOIN f USING (section) GROUP BY 1), jd AS (SELECT list_distinct({scoring._TERMS}) AS v FROM benchmark WHERE item_id = 0),
-  k AS (SELECT doc_id, len(list_intersect(v, {scoring._TERMS.replace("lower(text)", "lower(documents.text)")})) / len(v)::double AS o FROM documents, jd)
-  SELECT doc_id, round(least(coalesce(s, 0) * (1 + 0.5 * o), 1), 6)::double AS score FROM k LEFT JOIN s USING (doc_id)""")
+  s AS (SELECT doc_id, sum(sw * cos) / (SELECT sum(sw) FROM f) AS s FROM c JOIN f USING (section) GROUP BY 1),
+  k AS (SELECT doc_id, count(DISTINCT term) / (SELECT count(*) FROM jt)::double AS o FROM tf WHERE term IN (SELECT term FROM jt) GROUP BY 1)
+  SELECT d.doc_id, round(least(coalesce(s, 0) * (1 + 0.5 * coalesce(o, 0)), 1), 6)::double AS score FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""")
 def section_tfidf_boost(spark: SparkSession, d: str) -> DataFrame:
-    docs, jd = table(spark, d, "documents").select("doc_id", "text"), F.lit(scoring._jd(spark, d))
-    half = F.call_function("div", F.length("text"), F.lit(2)).cast("int")
-    cut = {
-        "experience": F.substr("text", F.lit(1), half),
-        "skills": F.when(F.col("doc_id") % 3 > 0, F.substr("text", half + 1)).otherwise(""),
-        "projects": F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(""),
-    }
-    scores = section_tfidf(docs, "doc_id", {s: X.terms(t) for s, t in cut.items()}, X.terms(jd))
-    own = docs.select("doc_id", R.overlap(F.array_distinct(X.terms(jd)), X.terms(F.col("text"))).alias("o"))
-    return scores.join(own, "doc_id").select("doc_id", F.round(boosted(F.col("similarity"), F.col("o")), 6).alias("score"))
+    """Sections of whole texts, 1- to 3-grams less stop words in at least two documents, boosted by the share of the
+    description's terms that a document has in any section."""
+    docs, wanted = table(spark, d, "documents").select("doc_id", "text"), scoring.asked(spark, d, 3)
+    cut = F.transform(S.anywhere(F.col("text"), PARTS), lambda s: F.struct(s["section"].alias("section"), X.terms(s["text"], 3, config.STOP_WORDS).alias("terms")))
+    own = Terms(docs, "doc_id", cut)
+    scores = section_tfidf(own, wanted, min_df=2).join(own.overlap(wanted), "doc_id", "left")
+    return scores.select("doc_id", F.round(boosted(F.col("similarity"), F.coalesce("overlap", F.lit(0.0))), 6).alias("score"))
 
 
 @query(f"""WITH {scoring._JOB}, m AS (SELECT x.*, own, list_filter(w, lambda e: NOT list_contains(own, e)) AS missing, len(list_intersect(w, own)) AS hit FROM x JOIN own ON s = candidate, want),
   y AS (SELECT *, least(1.0, (hit + 0.6 * len(list_filter(missing, lambda e: len(list_intersect(coalesce(MAP {{'cloud': ['ring', 'bolt'], 'widget': ['gear'], 'red': []}}[e], []), own)) > 0))) / 4.0::double) AS sk FROM m)
-  SELECT candidate, round(sk, 4)::double AS skill, round(0.45 * semantic + 0.3 * sk + 0.15 * experience + 0.1 * education, 4)::double AS final,
-  row_number() OVER (ORDER BY round(0.45 * semantic + 0.3 * sk + 0.15 * experience + 0.1 * education, 4) DESC, candidate) AS rank_position FROM y""")
+  SELECT job, candidate, round(sk, 4)::double AS skill, round(0.45 * semantic + 0.3 * sk + 0.15 * experience + 0.1 * education, 4)::double AS final,
+  row_number() OVER (PARTITION BY job ORDER BY round(0.45 * semantic + 0.3 * sk + 0.15 * experience + 0.1 * education, 4) DESC, candidate) AS rank_position FROM y""")
 def job_rank_contextual(spark: SparkSession, d: str) -> DataFrame:
     """As the keyword ranking, but skills that others imply count in part."""
     implied = F.create_map(*(x for k, v in scoring.IMPLIED.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
     own = scoring._own(spark, d).withColumn("cov", R.covered(F.array_except(scoring._wanted(), F.col("own")), F.col("own"), implied))
     skill = own.select("s", R.contextual(scoring._wanted(), F.col("own"), F.col("cov")).alias("skill"))
     rows = scoring._features(spark, d).drop("skill").join(skill, F.col("candidate") == F.col("s")).drop("s")
-    return R.scored(rows, config.RankingConfig(), "candidate").select("candidate", "skill", "final", "rank_position")
+    return R.scored(rows, config.RankingConfig(), "candidate").select("job", "candidate", "skill", "final", "rank_position")
 
 
 @query("""SELECT sha256(text) AS h, min(doc_id) AS first_id, count(*) - 1 AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillrank import config
+from quillrank.config import RankingConfig
 from quillrank.functions import text as X
+from quillrank.operators import ranking as R
 from quillrank.plans.registry import query, table
 
 count_if = F.count_if
@@ -82,14 +85,6 @@ def passed_first_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("ranking"), passed.alias("passed"), F.row_number().over(w).cast("long").alias("shown"))
 
 
-@query("""SELECT event_type AS stage, count(*) AS samples, round(avg(value), 3) AS mean_ms, min(value) AS min_ms, max(value) AS max_ms, round(quantile_cont(value, 0.5), 3) AS p50,
-  round(quantile_cont(value, 0.95), 3) AS p95, round(quantile_cont(value, 0.99), 3) AS p99 FROM events WHERE value >= 0 GROUP BY 1""")
-def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 3)
-    rows = table(spark, d, "events").where("value >= 0").groupBy(F.col("event_type").alias("stage"))
-    return rows.agg(F.count("*").alias("samples"), F.round(F.avg("value"), 3).alias("mean_ms"), F.min("value").alias("min_ms"), F.max("value").alias("max_ms"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
-
-
 @query("""WITH f AS (SELECT text, count(*) AS n FROM documents GROUP BY 1) SELECT (SELECT count(*) FROM documents) AS total,
   (SELECT count(*) FROM documents WHERE length(trim(text)) = 0) AS empty, sum(n - 1)::bigint AS duplicate, count(*) AS ok FROM f WHERE length(trim(text)) > 0""")
 def validation_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -126,17 +121,23 @@ def rag_eval_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT conv_id, turn, faith < 0.85 AS low_faith, recall = 0 AS no_context, len(list_filter(['the', 'der', 'que', 'des'], lambda t: contains(lower(text), t) AND NOT contains(lower(coalesce(prev, '')), t))) > 0 AS unsupported,
-  (faith < 0.85 OR recall = 0 OR len(list_filter(['the', 'der', 'que', 'des'], lambda t: contains(lower(text), t) AND NOT contains(lower(coalesce(prev, '')), t))) > 0) AS auto_fail
-  FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, (length(text) % 100) / 100.0 AS faith, turn % 4 AS recall FROM conversations) WHERE role = 'assistant'""")
+_WATCHED = "[" + ", ".join(f"'{t}'" for t in [*config.WATCHED_TERMS, "der", "que"]) + "]"
+
+
+@query(f"""WITH x AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, (length(text) % 100) / 100.0 AS faith, turn % 4 AS recall FROM conversations),
+  f AS (SELECT conv_id, turn, faith < 0.85 AS low_faith, recall = 0 AS no_context, list_filter({_WATCHED}, lambda t: contains(lower(text), t) AND NOT contains(lower(coalesce(prev, '')), t)) AS u,
+  list_filter(['der.txt', 'que.pdf', 'the.txt'], lambda r: contains(lower(text), replace(replace(r, '.txt', ''), '.pdf', '')) AND r <> 'the.txt') AS n FROM x WHERE role = 'assistant')
+  SELECT conv_id, turn, low_faith, no_context, array_to_string(u, ',') AS unsupported, array_to_string(n[1:3], ',') AS not_retrieved, low_faith OR no_context OR len(u) > 0 OR len(n) > 0 AS auto_fail FROM f""")
 def rag_eval_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Answers that fail by themselves: low faithfulness, no context, or watched terms that the context doesn't have."""
+    """Answers that fail by themselves: low faithfulness, no context, watched terms that the context doesn't have, or
+    expected files that the answer names although they weren't retrieved."""
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, d, "conversations").withColumn("prev", F.lower(F.coalesce(prev, F.lit("")))).where("role = 'assistant'")
-    terms = F.array(*map(F.lit, ["the", "der", "que", "des"]))
-    bad = F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t) & ~F.contains(F.col("prev"), t))) > 0
+    rows = table(spark, d, "conversations").withColumn("prev", prev).where("role = 'assistant'")
     low, none = (F.length("text") % 100) / 100.0 < 0.85, F.col("turn") % 4 == 0
-    return rows.select("conv_id", "turn", low.alias("low_faith"), none.alias("no_context"), bad.alias("unsupported"), (low | none | bad).alias("auto_fail"))
+    bad = R.exceptional(F.col("text"), F.col("prev"), [*config.WATCHED_TERMS, "der", "que"])
+    other = R.not_retrieved(F.col("text"), F.array(*map(F.lit, ["der.txt", "que.pdf", "the.txt"])), F.array(F.lit("the.txt")))
+    fail = (low | none | (F.size(bad) > 0) | (F.size(other) > 0)).alias("auto_fail")
+    return rows.select("conv_id", "turn", low.alias("low_faith"), none.alias("no_context"), F.array_join(bad, ",").alias("unsupported"), F.array_join(F.slice(other, 1, 3), ",").alias("not_retrieved"), fail)
 
 
 @query("""SELECT user_id, count(*) AS calls, count(*) FILTER (hit) AS hits FROM (SELECT user_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 1 HOUR, false) AS hit FROM events) GROUP BY 1""")
@@ -146,14 +147,15 @@ def ttl_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", hit.alias("hit")).groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if("hit").alias("hits"))
 
 
-@query("""SELECT event_id, coalesce((props::json->>'k')::bigint, -1) AS k, 0.45 + 0.01 * (event_id % 3) AS semantic, 0.3 AS skill_match FROM events""")
+@query("""SELECT event_id, coalesce((props::json->>'k')::bigint, -1) AS k, 0.45 AS semantic, (ARRAY[0.3, 0.2])[event_id % 2 + 1] AS skill_match, (ARRAY[0.0, 2.0])[event_id % 2 + 1] AS min_years FROM events""")
 def config_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Settings from JSON over defaults; broken JSON leaves the default."""
+    """Settings from JSON over defaults (broken JSON leaves the default), and a ranking configuration with overrides."""
     k = F.coalesce(F.from_json("props", "k long")["k"], F.lit(-1))
-    base = F.create_map(F.lit("semantic"), F.lit(0.45), F.lit("skill_match"), F.lit(0.3))
-    more = F.create_map(F.lit("semantic"), F.lit(0.45) + F.lit(0.01) * (F.col("event_id") % 3))
-    merged = F.map_from_entries(F.concat(F.filter(F.map_entries(base), lambda e: ~F.map_contains_key(more, e["key"])), F.map_entries(more)))
-    return table(spark, d, "events").select("event_id", k.alias("k"), merged["semantic"].alias("semantic"), merged["skill_match"].alias("skill_match"))
+    plain = RankingConfig()
+    other = plain.merged({"weights": {"skill_match": 0.2}, "hard_filters": {"min_experience_years": 2.0, "unknown": 1}})
+    odd = F.col("event_id") % 2 == 1
+    pick = lambda f: F.when(odd, F.lit(f(other))).otherwise(F.lit(f(plain)))
+    return table(spark, d, "events").select("event_id", k.alias("k"), *(pick(lambda c, w=w: c.weights[w]).alias(w) for w in ("semantic", "skill_match")), pick(lambda c: c.min_experience_years).alias("min_years"))
 
 
 @query("""SELECT c_custkey AS candidate, CASE WHEN p >= 80 THEN 'green' WHEN p >= 60 THEN 'yellow' ELSE 'red' END AS light, CASE WHEN length(c_name) > 14 THEN substr(c_name, 1, 14) || '...' ELSE c_name END AS label

@@ -5,17 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillrank import config
 from quillrank.config import RankingConfig
 from quillrank.functions import dates as D
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
+from quillrank.operators.sections import tfidf
 from quillrank.plans.registry import query, table
 
-_TERMS = "list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: length(w) > 1)"
-_TFIDF = f"""t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
-  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::double) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= 2),
-  q AS (SELECT term, (1 + ln(count(*))) * any_value(idf) AS q FROM (SELECT unnest({_TERMS}) AS term FROM benchmark WHERE item_id = 0) JOIN idf USING (term) GROUP BY 1),
-  s AS (SELECT doc_id, sum((1 + ln(n)) * idf * coalesce(q, 0)) / (sqrt(sum(((1 + ln(n)) * idf) ** 2)) * (SELECT sqrt(sum(q * q)) FROM q)) AS s FROM tf JOIN idf USING (term) LEFT JOIN q USING (term) GROUP BY 1),
+_STOP = "[" + ", ".join(f"'{w}'" for w in config.STOP_WORDS) + "]"
+
+
+def words_sql(text: str, stop: bool = True) -> str:
+    cut = f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ')"
+    return f"list_filter({cut}, lambda w: length(w) > 1{f' AND NOT list_contains({_STOP}, w)' if stop else ''})"
+
+
+def grams_sql(words: str, n: int) -> str:
+    """All 1- to n-grams of a list of words."""
+    each = [f"list_transform(range(1, len({words}) - {k - 2}), lambda i: " + " || ' ' || ".join(f"{words}[i + {j}]" for j in range(k)) + ")" for k in range(2, n + 1)]
+    return f"list_concat({words}, {', '.join(each)})" if each else words
+
+
+def tfidf_sql(n: int, tf: str, min_df: int) -> str:
+    """CTEs up to tfidf (doc_id, tfidf): 1- to n-grams of documents against those of the first benchmark text."""
+    w = tf.format
+    return f"""w AS (SELECT doc_id, {words_sql("text")} AS ws FROM documents), t AS (SELECT doc_id, unnest({grams_sql("ws", n)}) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
+  m AS (SELECT count(DISTINCT doc_id) AS docs FROM tf), idf AS (SELECT term, ln((1 + (SELECT docs FROM m)) / (1 + count(*))::double) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= {min_df}),
+  jw AS (SELECT {words_sql("text")} AS ws FROM benchmark WHERE item_id = 0), jt AS (SELECT unnest({grams_sql("ws", n)}) AS term FROM jw),
+  q AS (SELECT term, {w(n="count(*)")} * any_value(idf) AS q FROM jt JOIN idf USING (term) GROUP BY 1),
+  s AS (SELECT doc_id, sum({w(n="n")} * idf * coalesce(q, 0)) / (sqrt(sum(({w(n="n")} * idf) ** 2)) * (SELECT sqrt(sum(q * q)) FROM q)) AS s FROM tf JOIN idf USING (term) LEFT JOIN q USING (term) GROUP BY 1),
   tfidf AS (SELECT doc_id, coalesce(s, 0) AS tfidf FROM documents LEFT JOIN s USING (doc_id))"""
 
 
@@ -23,42 +42,49 @@ def _jd(spark: SparkSession, d: str) -> str:
     return table(spark, d, "benchmark").where("item_id = 0").first()["text"]
 
 
-def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return R.tfidf(table(spark, d, "documents"), "doc_id", X.terms(F.col("text")), X.terms(F.lit(_jd(spark, d))))
+def asked(spark: SparkSession, d: str, n: int) -> list[str]:
+    """The first description's 1- to n-grams."""
+    return spark.range(1).select(X.terms(F.lit(_jd(spark, d)), n, config.STOP_WORDS).alias("t")).first()["t"]
 
 
-@query(f"WITH {_TFIDF} SELECT doc_id, round(tfidf, 6) AS tfidf FROM tfidf")
+@query(f"WITH {tfidf_sql(2, '{n}', 1)} SELECT doc_id, round(tfidf, 6) AS tfidf FROM tfidf")
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _tfidf(spark, d).select("doc_id", F.round("tfidf", 6).alias("tfidf"))
+    """The plain vectoriser: 1- and 2-grams less stop words, raw counts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scores, _ = tfidf(docs, "doc_id", X.terms(F.col("text"), 2, config.STOP_WORDS), asked(spark, d, 2), sublinear=False)
+    return scores.select("doc_id", F.round("tfidf", 6).alias("tfidf"))
 
 
-@query(f"""WITH {_TFIDF}, jd AS (SELECT list_distinct({_TERMS}) AS v FROM benchmark WHERE item_id = 0),
-  k AS (SELECT doc_id, len(list_intersect(v, {_TERMS.replace("lower(text)", "lower(documents.text)")})) / len(v)::double AS skill FROM documents, jd)
-  SELECT doc_id, round(tfidf, 6) AS tfidf, round(skill, 6) AS skill, round(greatest(0, least(1, 0.7 * tfidf + 0.3 * skill)), 6) AS final,
-  row_number() OVER (ORDER BY round(greatest(0, least(1, 0.7 * tfidf + 0.3 * skill)), 6) DESC, round(tfidf, 6) DESC, doc_id) AS rank FROM tfidf JOIN k USING (doc_id) QUALIFY rank <= 10""")
+@query(f"""WITH {tfidf_sql(3, '(1 + ln({n}))', 1)}, jd AS (SELECT len(list_distinct(list(term))) AS many FROM jt),
+  k AS (SELECT doc_id, count(DISTINCT tf.term) / any_value(many)::double AS skill FROM tf JOIN (SELECT DISTINCT term FROM jt) x ON x.term = tf.term, jd GROUP BY 1),
+  f AS (SELECT tfidf.doc_id, tfidf, coalesce(skill, 0) AS skill, greatest(0, least(1, 0.7 * tfidf + 0.3 * coalesce(skill, 0))) AS final FROM tfidf LEFT JOIN k ON k.doc_id = tfidf.doc_id)
+  SELECT doc_id, round(tfidf, 4) AS tfidf, round(skill, 4) AS skill, round(final, 4) AS final, row_number() OVER (ORDER BY final DESC, tfidf DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def keyword_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best documents for one description: 0.7 TF-IDF cosine + 0.3 share of its terms that are there."""
-    wanted = F.array_distinct(X.terms(F.lit(_jd(spark, d))))
-    own = table(spark, d, "documents").select("doc_id", R.overlap(wanted, X.terms(F.col("text"))).alias("skill"))
-    both = _tfidf(spark, d).join(own, "doc_id")
-    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("tfidf") + 0.3 * F.col("skill")))
+    """The ten best documents for one description: 0.7 TF-IDF cosine + 0.3 share of its terms that are there. Ranks are by
+    the scores as they are; they are rounded after that."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scores, share = tfidf(docs, "doc_id", X.terms(F.col("text"), 3, config.STOP_WORDS), asked(spark, d, 3))
+    skill = F.coalesce("overlap", F.lit(0.0))
+    both = scores.join(share, "doc_id", "left").withColumn("skill", skill)
+    best = both.withColumn("final", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("tfidf") + 0.3 * F.col("skill"))))
     by = [F.col("final").desc(), F.col("tfidf").desc(), F.col("doc_id")]
-    top = both.select("doc_id", F.round("tfidf", 6).alias("tfidf"), F.round("skill", 6).alias("skill"), F.round(final, 6).alias("final")).orderBy(*by).limit(10)
-    return R.ranked(top, by)
+    # ten rows are left to number
+    top = best.orderBy(*by).limit(10).withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long"))
+    return top.select("doc_id", *(F.round(c, 4).alias(c) for c in ("tfidf", "skill", "final")), "rank")
 
 
 def _words(name: str) -> Column:
     return F.array_distinct(F.flatten(F.collect_list(F.split(name, " "))))
 
 
-_OWN = "own AS (SELECT l_suppkey AS s, list_distinct(flatten(list(string_split(p_name, ' ')))) AS own FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 2 GROUP BY 1), want AS (SELECT ['red', 'widget', 'small', 'cloud'] AS w)"
+_OWN = "own AS (SELECT l_suppkey AS s, list_distinct(flatten(list(string_split(p_name, ' ')))) AS own FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), want AS (SELECT ['red', 'widget', 'small', 'cloud'] AS w)"
 WANTED = ["red", "widget", "small", "cloud"]
 IMPLIED = {"cloud": ["ring", "bolt"], "widget": ["gear"], "red": []}
 
 
 def _own(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier's words, from the distinct names of its parts: a row a name, not a row a sale."""
-    items = table(spark, d, "lineitem").where("l_quantity <= 2").select("l_suppkey", "l_partkey").distinct()
+    items = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     named = items.join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name").distinct()
     return named.groupBy(F.col("l_suppkey").alias("s")).agg(_words("p_name").alias("own"))
 
@@ -102,27 +128,56 @@ def cosine_matrix_top3(spark: SparkSession, d: str) -> DataFrame:
     return _semantic(spark, d).select("candidate", F.round("semantic", 4).alias("semantic"), F.array_join(F.transform("top", lambda x: x.cast("string")), ",").alias("top"))
 
 
-@query(f"""SELECT b.vec_id AS id, round(greatest(2 - 2 * ({_COS}), 0), 6) AS d2, round(1 / (1 + round(greatest(2 - 2 * ({_COS}), 0), 6)), 4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY 2, 1 LIMIT 50""")
+_D2 = f"round(greatest(2 - 2 * ({_COS}), 0), 6)"
+_NEAR = f"SELECT a.vec_id AS q, b.vec_id AS id, {_D2} AS d2, round(1 / (1 + {_D2}), 4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) <= 50"
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty nearest of every twentieth vector (the query set) among all."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return R.nearest_l2(e, e.where("id % 20 = 0").select(F.col("id").alias("q"), F.col("vec").alias("q_vec")), 50)
+
+
+@query(_NEAR)
 def vector_topk_l2(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    asked = F.array(*map(F.lit, e.where("vec_id = 0").first()["embedding"]))
-    return R.nearest_l2(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), asked, 50).select("id", "d2", "similarity")
+    return _nearest(spark, d)
+
+
+_KNOWN = f"""v AS ({_NEAR}), p AS (SELECT q, id, d2, similarity, n_chars, text, CASE WHEN n_chars IS NULL THEN 999 ELSE n_chars % 60 END AS rank, coalesce(n_chars % 100 / 100.0, 0.0) AS prior,
+  CASE WHEN contains(lower(text), 'the') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 0.5 ELSE 0 END AS skill, 'd' || doc_id || '.txt' AS filename FROM v JOIN documents ON doc_id = id)"""
 
 
-@query(f"""WITH v AS (SELECT b.vec_id AS id, round(1 / (1 + round(greatest(2 - 2 * ({_COS}), 0), 6)), 4) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY round(greatest(2 - 2 * ({_COS}), 0), 6), 1 LIMIT 50),
-  p AS (SELECT id, sim, CASE WHEN n_chars IS NULL THEN 999 ELSE n_chars % 60 END AS rank, coalesce(n_chars % 100 / 100.0, 0.0) AS prior, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS skill FROM v LEFT JOIN documents ON doc_id = id)
-  SELECT id, rank, round(0.4 * sim + 0.3 * prior + 0.3 * skill, 4)::double AS combined FROM p WHERE rank <= 45 AND 0.4 * sim + 0.3 * prior + 0.3 * skill >= 0.2 ORDER BY 3 DESC, 1 LIMIT 10""")
+@query(f"""WITH {_KNOWN}, s AS (SELECT *, 0.4::double * similarity + 0.3::double * prior + 0.3::double * skill AS s FROM p)
+  SELECT q, filename, rank, round(s, 4)::double AS combined, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM s
+  WHERE rank <= 45 AND rank >= 2 AND s >= 0.2 AND skill > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 4) DESC, d2, id) <= 10""")
 def two_stage_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Fifty nearest vectors, joined with their earlier ranking, filtered, scored anew, ten kept."""
-    e = table(spark, d, "embeddings")
-    asked = F.array(*map(F.lit, e.where("vec_id = 0").first()["embedding"]))
-    near = R.nearest_l2(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), asked, 50).select("id", "similarity")
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
-    known = near.join(docs, F.col("id") == F.col("doc_id"), "left")
+    """Fifty nearest vectors a query, those of known files joined with their earlier ranking, filtered (rank from 2 to 45,
+    a least score, any of the required skills), scored anew, ten kept."""
+    hits = _known(spark, d).withColumn("s", R.combined(F.col("similarity"), F.col("skill"), F.col("prior")))
+    fine = hits.where(R.retrieved(F.col("rank"), F.col("s"), F.col("skills"), least_rank=45, most_rank=2, least_score=0.2, required=["The", "license"]))
+    return _best(fine)
+
+
+@query(f"""WITH {_KNOWN}, s AS (SELECT *, 0.6::double * similarity + 0.4::double * skill AS s FROM p)
+  SELECT q, filename, rank, round(s, 4)::double AS combined, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM (SELECT * REPLACE (999 AS rank) FROM s)
+  QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 4) DESC, d2, id) <= 10""")
+def retrieval_without_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The same where nothing was ranked before: similarity and skills alone."""
+    hits = _known(spark, d).withColumn("rank", F.lit(999).cast("long"))
+    return _best(hits.withColumn("s", R.combined(F.col("similarity"), F.col("skill"))))
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "text", F.format_string("d%d.txt", "doc_id").alias("filename"))
+    skills = F.filter(F.array(F.lit("the"), F.lit("license")), lambda w: F.contains(F.lower("text"), w))
+    hits = _nearest(spark, d).join(docs, F.col("id") == F.col("doc_id")).withColumn("skills", skills)
     rank, prior = F.coalesce(F.col("n_chars") % 60, F.lit(999)), F.coalesce(F.col("n_chars") % 100 / 100.0, F.lit(0.0))
-    score = 0.4 * F.col("similarity") + 0.3 * prior + 0.3 * F.when(F.col("lang") == "en", 1.0).otherwise(0.0)
-    rows = known.select("id", rank.alias("rank"), score.alias("s")).where("rank <= 45 AND s >= 0.2")
-    return rows.select("id", "rank", F.round("s", 4).alias("combined")).orderBy(F.col("combined").desc(), "id").limit(10)
+    return hits.withColumns({"rank": rank, "prior": prior, "skill": F.size("skills") / 2})
+
+
+def _best(hits: DataFrame) -> DataFrame:
+    by = Window.partitionBy("q").orderBy(F.round("s", 4).desc(), "d2", "id")
+    return hits.withColumn("_n", F.row_number().over(by)).where("_n <= 10").select("q", "filename", "rank", F.round("s", 4).alias("combined"), X.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query(f"""WITH m AS (SELECT b.vec_id AS raw, a.vec_id AS skill, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id < 40),
@@ -136,7 +191,7 @@ def taxonomy_nearest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("raw", F.when(F.col("b.cos") > 0.85, -F.col("b.at")).alias("skill"))
 
 
-_JOB = f"""{_SEM}, {_OWN}, f AS (SELECT candidate, semantic, len(list_intersect(w, own)) / len(list_distinct(list_concat(w, own)))::double AS skill, (candidate * 3) % 16 + 0.5 AS years, candidate % 5 / 4.0::double AS education
+_JOB = f"""{_SEM}, {_OWN}, f AS (SELECT candidate, semantic, len(list_intersect(w, own)) / len(list_distinct(list_concat(w, own)))::double AS skill, (candidate * 3) % 16 + 0.5 AS years, candidate % 5 / 4.0::double AS education, candidate % 3 AS job, list_sort(list_intersect(w, own)) AS matched, list_sort(list_filter(w, lambda e: NOT list_contains(own, e))) AS missing
   FROM sem JOIN own ON s = candidate, want), x AS (SELECT *, 0.7 * least(ln(1 + years) / ln(16), 1) + 0.3 * 0.5 AS experience FROM f)"""
 
 
@@ -144,22 +199,24 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     both = _semantic(spark, d).join(_own(spark, d), F.col("candidate") == F.col("s"))
     years = (F.col("candidate") * 3) % 16 + 0.5
     recent = D.recency(F.lit(None).cast("date"), F.to_date(F.lit("2026-01-01")))
-    return both.select("candidate", "semantic", R.jaccard(_wanted(), F.col("own")).alias("skill"), years.cast("double").alias("years"), D.experience_score(years.cast("double"), recent).alias("experience"), (F.col("candidate") % 5 / 4.0).alias("education"))
+    job, tier = F.col("candidate") % 3, F.col("candidate") % 5
+    return both.select("candidate", job.alias("job"), "semantic", *R.explained(_wanted(), F.col("own")), R.jaccard(_wanted(), F.col("own")).alias("skill"), years.cast("double").alias("years"), D.experience_score(years.cast("double"), recent).alias("experience"), R.education(tier).alias("education"))
 
 
 _LIMITS = "skill >= 0.1 AND years >= 3"
 
 
-@query(f"""WITH {_JOB} SELECT candidate, {_LIMITS} AS passed, round(semantic, 4) AS semantic, round(skill, 4) AS skill, round(experience, 4) AS experience, round(education, 4) AS education,
+@query(f"""WITH {_JOB} SELECT job, candidate, {_LIMITS} AS passed, array_to_string(matched, ',') AS matched, array_to_string(missing, ',') AS missing, round(semantic, 4) AS semantic, round(skill, 4) AS skill, round(experience, 4) AS experience, round(education, 4) AS education,
   round(CASE WHEN {_LIMITS} THEN 0.45 * semantic + 0.3 * skill + 0.15 * experience + 0.1 * education ELSE 0 END, 4)::double AS final,
-  row_number() OVER (ORDER BY round(CASE WHEN {_LIMITS} THEN 0.45 * semantic + 0.3 * skill + 0.15 * experience + 0.1 * education ELSE 0 END, 4) DESC, candidate) AS rank_position FROM x""")
+  row_number() OVER (PARTITION BY job ORDER BY round(CASE WHEN {_LIMITS} THEN 0.45 * semantic + 0.3 * skill + 0.15 * experience + 0.1 * education ELSE 0 END, 4) DESC, candidate) AS rank_position FROM x""")
 def job_rank_keyword(spark: SparkSession, d: str) -> DataFrame:
     cfg = RankingConfig().merged({"hard_filters": {"min_skill_overlap": 0.1, "min_experience_years": 3}})
-    return R.scored(_features(spark, d), cfg, "candidate").drop("years")
+    rows = R.scored(_features(spark, d), cfg, "candidate").drop("years")
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("matched", "missing")})
 
 
-@query(f"""WITH {_JOB}, y AS (SELECT candidate, {_LIMITS} AS passed, round(semantic, 4) AS a, round(skill, 4) AS b, round(experience, 4) AS c, round(education, 4) AS e FROM x)
-  SELECT candidate, round(CASE WHEN passed THEN 0.25 * a + 0.25 * b + 0.25 * c + 0.25 * e ELSE 0 END, 4)::double AS final, row_number() OVER (ORDER BY round(CASE WHEN passed THEN 0.25 * a + 0.25 * b + 0.25 * c + 0.25 * e ELSE 0 END, 4) DESC, candidate) AS rank_position FROM y""")
+@query(f"""WITH {_JOB}, y AS (SELECT job, candidate, {_LIMITS} AS passed, round(semantic, 4) AS a, round(skill, 4) AS b, round(experience, 4) AS c, round(education, 4) AS e FROM x)
+  SELECT job, candidate, round(CASE WHEN passed THEN 0.25 * a + 0.25 * b + 0.25 * c + 0.25 * e ELSE 0 END, 4)::double AS final, row_number() OVER (PARTITION BY job ORDER BY round(CASE WHEN passed THEN 0.25 * a + 0.25 * b + 0.25 * c + 0.25 * e ELSE 0 END, 4) DESC, candidate) AS rank_position FROM y""")
 def rerank_weights(spark: SparkSession, d: str) -> DataFrame:
     w = {"semantic": 0.25, "skill_match": 0.25, "experience": 0.25, "education": 0.25}
-    return R.reranked(job_rank_keyword(spark, d), w, "candidate").select("candidate", "final", "rank_position")
+    return R.reranked(job_rank_keyword(spark, d), w, "candidate").select("job", "candidate", "final", "rank_position")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank import config
 from quillrank.functions import dates as D
 from quillrank.functions import text as X
 from quillrank.plans.registry import query, table
+from quillrank.plans.scoring import grams_sql, words_sql
 
 VOCABULARY = [*config.SKILLS, "license", "mit", "the and"]
 _VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in VOCABULARY if " " not in v) + "]"
@@ -55,13 +56,17 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("c").cast("long").alias("chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["w"]).alias("words"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT list_contains(['the', 'of', 'and'], w)) AS w FROM documents),
-  g AS (SELECT doc_id, 1 AS n, unnest(w) AS gram FROM t UNION ALL SELECT doc_id, 2, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t))
-  SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1 HAVING count(*) >= 20""")
+@query(f"""WITH t AS (SELECT doc_id, {words_sql("text")} AS ws FROM documents), g AS (SELECT doc_id, unnest({grams_sql("ws", 3)}) AS gram FROM t)
+  SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.explode(X.terms(F.col("text"), 2, ["the", "of", "and"])).alias("gram"))
-    per_doc = rows.groupBy("gram", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 20")
+    """All 1- to 3-grams less stop words, counted within their document before anything is shuffled."""
+    def within(terms: Column) -> Column:
+        # equal grams stand together in the sorted array: a run ends where the next one differs
+        ends = F.filter(F.transform(terms, lambda g, i: F.struct(g.alias("gram"), (i + 1).alias("at"), F.get(terms, i + 1).alias("next"))), lambda x: x["next"].isNull() | (x["next"] != x["gram"]))
+        return X.once(ends, lambda e: F.transform(e, lambda x, i: F.struct(x["gram"].alias("gram"), (x["at"] - F.when(i > 0, F.get(e, i - 1)["at"]).otherwise(0)).alias("c"))))
+
+    grams = X.once(F.array_sort(X.terms(F.col("text"), 3, config.STOP_WORDS)), within)
+    return table(spark, d, "documents").select(F.explode(grams).alias("g")).groupBy("g.gram").agg(F.sum("g.c").alias("n"), F.count("*").alias("docs"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM documents""")

@@ -40,3 +40,20 @@ def backfilled(df: DataFrame, column: str, default: str) -> DataFrame:
 def vector_meta(vectors: DataFrame, column: str) -> DataFrame:
     """(dimension, num_vectors) of an index."""
     return vectors.agg(F.max(F.size(column)).cast("long").alias("dimension"), F.count(column).alias("num_vectors"))
+
+
+def without_cascade(rows: DataFrame, tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Rows that aren't deleted, and of each table (with its foreign key) those whose row is not deleted."""
+    ids = gone.select(F.col(key).alias("_gone")).distinct()
+    left = lambda df, k: df.join(ids, df[k] == ids["_gone"], "left_anti")
+    return left(rows, key), {name: left(df, k) for name, (df, k) in tables.items()}
+
+
+def write_ranking(rows: DataFrame, path: str, by: list[str], mode: str, ranked_at: str, config: dict) -> None:
+    """ranking.json and ranking.csv, best first, with the mode and one time; summary.json has counts and the settings."""
+    best = [F.col(c).desc() for c in by]
+    stamped = rows.withColumns({"mode": F.lit(mode), "ranked_at": F.lit(ranked_at).cast("date")})
+    stamped.orderBy(*best).write.mode("overwrite").json(f"{path}/ranking.json")
+    export_csv(rows, f"{path}/ranking.csv", best)
+    settings = F.create_map(*(F.lit(x) for kv in config.items() for x in kv))
+    rows.agg(F.count("*").alias("candidates"), F.max(by[0]).alias("best")).select("*", settings.alias("weights")).write.mode("overwrite").json(f"{path}/summary.json")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank import config
+from quillrank.functions.text import once
 from quillrank.session import shared_dir
 
 
@@ -15,16 +16,38 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
+def _counted(terms: Column) -> Column:
+    """(term, n) of an array of terms, by their 64-bit hashes: a run of equal ones ends where the next one differs."""
+
+    def ends(hs: Column) -> Column:
+        each = F.transform(hs, lambda h, i: F.struct(h.alias("term"), (i + 1).alias("upto"), F.get(hs, i + 1).alias("next")))
+        return F.filter(each, lambda x: x["next"].isNull() | (x["next"] != x["term"]))
+
+    def lengths(e: Column) -> Column:
+        return F.transform(e, lambda x, i: F.struct(x["term"].alias("term"), (x["upto"] - F.when(i > 0, F.get(e, i - 1)["upto"]).otherwise(0)).cast("long").alias("n")))
+
+    return once(once(F.sort_array(F.transform(terms, lambda t: F.xxhash64(t))), ends), lengths)
+
+
 class Terms:
-    """Term counts (key, section, term, n) of one pass over the texts, written to shared storage: documents are split
-    into terms once, and all that follows reads the counts. Sections that are empty or null have none."""
+    """Term counts of one pass over the texts, written to shared storage: documents are split into terms and these are
+    counted once, within their row, and all that follows reads the counts. A term is told by a 64-bit hash. Sections that
+    are empty or null have none."""
 
     def __init__(self, docs: DataFrame, key: str, sections: Column):
-        """`sections` is an array of (section, terms) with arrays of terms."""
+        """`sections` is an array of (section, terms) with arrays of terms; a section may come more than once."""
         spark, root = docs.sparkSession, shared_dir(docs.sparkSession)
         self.spark, self.key, self.docs = spark, key, docs.select(key)
-        long = docs.select(key, F.explode(sections).alias("s")).select(key, "s.section", F.explode("s.terms").alias("term"))
-        self.counts = self._saved(long.groupBy(key, "section", "term").agg(F.count("*").alias("n")), f"{root}/terms")
+
+        def merged(found: Column) -> Column:
+            names = F.array_distinct(F.transform(found, lambda s: s["section"]))
+            of = lambda n: F.flatten(F.transform(F.filter(found, lambda s: s["section"] == n), lambda s: s["terms"]))
+            return F.transform(names, lambda n: F.struct(n.alias("section"), _counted(of(n)).alias("counts")))
+
+        # nothing filters or explodes the arrays before they are written: either would make Spark compute them twice
+        saved = self._saved(docs.select(key, once(sections, merged).alias("ss")), f"{root}/terms")
+        self.rows = saved.select(key, F.explode("ss").alias("s")).select(key, "s.section", "s.counts").where(F.size("counts") > 0)
+        self.counts = self.rows.select(key, "section", F.explode("counts").alias("c")).select(key, "section", "c.term", "c.n")
         df = self.counts.groupBy("section", "term").agg(F.count("*").alias("df"))
         self.df = self._saved(df, f"{root}/df")
 
@@ -34,35 +57,37 @@ class Terms:
 
     def asked(self, terms: list[str]) -> DataFrame:
         """A description's terms as rows: as many as one text has."""
-        return self.spark.createDataFrame(sorted(Counter(terms).items()), "term string, q_n long")
+        return self.spark.createDataFrame(sorted(Counter(terms).items()), "t string, q_n long").select(F.xxhash64("t").alias("term"), "q_n")
 
     def cosines(self, terms: list[str], sublinear: bool = True, min_df: int = 1) -> DataFrame:
-        """(key, section, cos) of all that have terms there: with the description's, by smoothed idf and unit length.
+        """(key, section, cos, hits) of all that have terms there: the cosine with the description's, by smoothed idf and
+        unit length, and how many of the description's terms are there.
 
         Each section has a vocabulary and an idf of its own, of its documents with terms. Terms in under `min_df` of them
-        don't count, unless they are under three or none would be left. A row a section is read to the driver.
+        don't count, unless they are under three or none would be left. A row a section is read to the driver. Terms of a
+        single document all have one idf: only the others, and the description's, are joined.
         """
-        docs = {r["section"]: r["docs"] for r in self.counts.select(self.key, "section").distinct().groupBy("section").agg(F.count("*").alias("docs")).collect()}
+        docs = {r["section"]: r["docs"] for r in self.rows.groupBy("section").agg(F.count("*").alias("docs")).collect()}
         most = {r["section"]: r["most"] for r in self.df.groupBy("section").agg(F.max("df").alias("most")).collect()}
         if not docs:
-            return self.counts.select(self.key, "section", F.lit(0.0).alias("cos"))
-        least = {s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in docs.items()}
-        at = F.col("section")
-        idf = self.df.where(F.col("df") >= _map(least)[at]).join(self.asked(terms), "term", "left")
-        idf = idf.withColumn("idf", F.log((1 + _map(docs)[at]) / (1 + F.col("df"))) + 1)
-        weight = lambda n: (1 + F.log(n) if sublinear else F.col(n).cast("double")) * F.col("idf")
-        idf = idf.select("section", "term", "idf", F.coalesce(weight("q_n"), F.lit(0.0)).alias("q"))
-        norm = {r["section"]: r["q"] for r in idf.where("q > 0").groupBy("section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q")).collect()}
-        w = weight("n")
-        both = self.counts.join(idf, ["section", "term"]).select(self.key, "section", w.alias("w"), "q")
-        sums = both.groupBy(self.key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            return self.counts.select(self.key, "section", F.lit(0.0).alias("cos"), F.lit(0).alias("hits"))
+        least = _map({s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in docs.items()})
+        at, idf = F.col("section"), lambda df: F.log((1 + _map(docs)[F.col("section")]) / (1 + df)) + 1
+        weight = lambda n, df: (1 + F.log(n) if sublinear else n.cast("double")) * idf(df)
+        known = self.df.join(self.asked(terms), "term", "left").where((F.col("df") > 1) | F.col("q_n").isNotNull())
+        q = F.when(F.col("df") >= least[at], weight(F.col("q_n"), F.col("df")))
+        known = known.select("section", "term", "df", F.coalesce(q, F.lit(0.0)).alias("q"), F.col("q_n").isNotNull().alias("hit"))
+        norm = {r["section"]: r["q"] for r in known.where("q > 0").groupBy("section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q")).collect()}
+        both = self.counts.join(known, ["section", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+        w = F.when(F.col("df") >= least[at], weight(F.col("n"), F.col("df"))).otherwise(0.0)
+        both = both.select(self.key, "section", w.alias("w"), F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("hit", F.lit(False)).alias("hit"))
+        sums = both.groupBy(self.key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count_if("hit").alias("hits"))
         length = F.coalesce(F.try_element_at(_map(norm), at), F.lit(0.0)) if norm else F.lit(0.0)
-        return sums.select(self.key, "section", F.coalesce(F.col("dot") / F.nullif(F.col("norm") * length, F.lit(0.0)), F.lit(0.0)).alias("cos"))
+        return sums.select(self.key, "section", "hits", F.coalesce(F.col("dot") / F.nullif(F.col("norm") * length, F.lit(0.0)), F.lit(0.0)).alias("cos"))
 
     def overlap(self, terms: list[str]) -> DataFrame:
         """(key, overlap): the share of the description's distinct terms that a document has in any section."""
-        wanted = self.asked(terms)
-        n = max(1, len(set(terms)))
+        wanted, n = self.asked(terms).select("term"), max(1, len(set(terms)))
         return self.counts.join(wanted, "term").groupBy(self.key).agg((F.count_distinct("term") / n).alias("overlap"))
 
     def everyone(self, scores: DataFrame, column: str) -> DataFrame:
@@ -74,10 +99,12 @@ def whole(terms: Column, name: str = "all") -> Column:
     return F.array(F.struct(F.lit(name).alias("section"), terms.alias("terms")))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, query: list[str], sublinear: bool = True, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(key, tfidf) of every document, and (key, overlap) of those that hold terms of the query."""
+def tfidf(docs: DataFrame, key: str, terms: Column, query: list[str], sublinear: bool = True, min_df: int = 1) -> DataFrame:
+    """(key, tfidf, overlap) of every document: its cosine with the query, and the share of the query's distinct terms that
+    it has."""
     own = Terms(docs, key, whole(terms))
-    return own.everyone(own.cosines(query, sublinear, min_df).select(key, F.col("cos").alias("tfidf")), "tfidf"), own.overlap(query)
+    scores = own.cosines(query, sublinear, min_df).select(key, F.col("cos").alias("tfidf"), (F.col("hits") / max(1, len(set(query)))).alias("overlap"))
+    return own.docs.join(scores, key, "left").select(key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("tfidf", "overlap")))
 
 
 def section_tfidf(own: Terms, query: list[str], weights: dict[str, float] = config.SECTION_WEIGHTS, min_df: int = 1) -> DataFrame:

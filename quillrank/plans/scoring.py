@@ -51,23 +51,21 @@ def asked(spark: SparkSession, d: str, n: int) -> list[str]:
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     """The plain vectoriser: 1- and 2-grams less stop words, raw counts."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scores, _ = tfidf(docs, "doc_id", X.terms(F.col("text"), 2, config.STOP_WORDS), asked(spark, d, 2), sublinear=False)
+    scores = tfidf(docs, "doc_id", X.terms(F.col("text"), 2, config.STOP_WORDS), asked(spark, d, 2), sublinear=False)
     return scores.select("doc_id", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query(f"""WITH {tfidf_sql(3, '(1 + ln({n}))', 1)}, jd AS (SELECT len(list_distinct(list(term))) AS many FROM jt),
   k AS (SELECT doc_id, count(DISTINCT tf.term) / any_value(many)::double AS skill FROM tf JOIN (SELECT DISTINCT term FROM jt) x ON x.term = tf.term, jd GROUP BY 1),
   f AS (SELECT tfidf.doc_id, tfidf, coalesce(skill, 0) AS skill, greatest(0, least(1, 0.7 * tfidf + 0.3 * coalesce(skill, 0))) AS final FROM tfidf LEFT JOIN k ON k.doc_id = tfidf.doc_id)
-  SELECT doc_id, round(tfidf, 4) AS tfidf, round(skill, 4) AS skill, round(final, 4) AS final, row_number() OVER (ORDER BY final DESC, tfidf DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
+  SELECT doc_id, round(tfidf, 4) AS tfidf, round(skill, 4) AS skill, round(final, 4) AS final, row_number() OVER (ORDER BY round(final, 12) DESC, round(tfidf, 12) DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def keyword_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents for one description: 0.7 TF-IDF cosine + 0.3 share of its terms that are there. Ranks are by
-    the scores as they are; they are rounded after that."""
+    the scores to 12 places, as sums of equal terms may differ in the last; they are shown to 4."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scores, share = tfidf(docs, "doc_id", X.terms(F.col("text"), 3, config.STOP_WORDS), asked(spark, d, 3))
-    skill = F.coalesce("overlap", F.lit(0.0))
-    both = scores.join(share, "doc_id", "left").withColumn("skill", skill)
-    best = both.withColumn("final", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("tfidf") + 0.3 * F.col("skill"))))
-    by = [F.col("final").desc(), F.col("tfidf").desc(), F.col("doc_id")]
+    scores = tfidf(docs, "doc_id", X.terms(F.col("text"), 3, config.STOP_WORDS), asked(spark, d, 3)).withColumnRenamed("overlap", "skill")
+    best = scores.withColumn("final", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("tfidf") + 0.3 * F.col("skill"))))
+    by = [F.round("final", 12).desc(), F.round("tfidf", 12).desc(), F.col("doc_id")]
     # ten rows are left to number
     top = best.orderBy(*by).limit(10).withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long"))
     return top.select("doc_id", *(F.round(c, 4).alias(c) for c in ("tfidf", "skill", "final")), "rank")

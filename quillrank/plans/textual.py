@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank import config
@@ -59,14 +59,10 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, {words_sql("text")} AS ws FROM documents), g AS (SELECT doc_id, unnest({grams_sql("ws", 3)}) AS gram FROM t)
   SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """All 1- to 3-grams less stop words, counted within their document before anything is shuffled."""
-    def within(terms: Column) -> Column:
-        # equal grams stand together in the sorted array: a run ends where the next one differs
-        ends = F.filter(F.transform(terms, lambda g, i: F.struct(g.alias("gram"), (i + 1).alias("at"), F.get(terms, i + 1).alias("next"))), lambda x: x["next"].isNull() | (x["next"] != x["gram"]))
-        return X.once(ends, lambda e: F.transform(e, lambda x, i: F.struct(x["gram"].alias("gram"), (x["at"] - F.when(i > 0, F.get(e, i - 1)["at"]).otherwise(0)).alias("c"))))
-
-    grams = X.once(F.array_sort(X.terms(F.col("text"), 3, config.STOP_WORDS)), within)
-    return table(spark, d, "documents").select(F.explode(grams).alias("g")).groupBy("g.gram").agg(F.sum("g.c").alias("n"), F.count("*").alias("docs"))
+    """All 1- to 3-grams less stop words, with their number and that of their documents."""
+    grams = table(spark, d, "documents").select("doc_id", F.explode(X.terms(F.col("text"), 3, config.STOP_WORDS)).alias("gram"))
+    # first by document and gram, so that a frequent gram sends a row a task, not one an occurrence
+    return grams.groupBy("gram", "doc_id").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM documents""")

@@ -329,26 +329,31 @@ class Lengths:
         return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
-def _lengths(path: str):
-    @F.arrow_udf(T.LongType())
+def _lengths(paths: list[str]):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def lengths(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Lengths(path)
+        own = [Lengths(p) for p in paths]
         for column in columns:
-            yield pa.array(own.all(column), pa.int64())
+            each = np.stack([x.all(column) for x in own], axis=1)
+            yield pa.ListArray.from_arrays(np.arange(len(column) + 1, dtype=np.int32) * len(own), pa.array(each.ravel(), pa.int64()))
 
     return lengths
 
 
-def count(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
-    """Every row of `docs` with `n_tokens`: how many ids `encode` gives its whole text, without keeping them.
+def count(docs: DataFrame, paths: dict[str, str], piece: int = PIECE) -> DataFrame:
+    """Every row of `docs` once for each tokenizer of `paths`, with its name there as `tokenizer_version` and `n_tokens`:
+    how many ids `encode` gives the whole text, without keeping them. All are counted in one pass.
 
-    Nulls, long texts, repeated rows and other columns are as in `encode`; a column called `n_tokens` gives way.
+    Nulls, long texts, repeated rows and other columns are as in `encode`; columns of these two names give way.
     """
     rows = packed(docs, text=F.col("text"))
     long = F.coalesce(F.length("text") > piece, F.lit(False))
-    short = rows.where(~long).select("row", _lengths(path)(F.col("text")).alias("n"))
-    pieces = _in_pieces(rows.where(long), path, piece, False).select("row", F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long").alias("n"))
-    return unpacked(short.unionByName(pieces), docs.columns, n_tokens=F.col("n"))
+    ns = rows.where(~long).select("row", _lengths(list(paths.values()))(F.col("text")).alias("ns"))
+    both = ns.select("row", F.inline(F.array(*(F.struct(F.lit(v).alias("version"), F.col("ns")[i].alias("n")) for i, v in enumerate(paths)))))
+    for v, path in paths.items():
+        pieces = _in_pieces(rows.where(long), path, piece, False)
+        both = both.unionByName(pieces.select("row", F.lit(v).alias("version"), F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long").alias("n")))
+    return unpacked(both, docs.columns, tokenizer_version=F.col("version"), n_tokens=F.col("n"))
 
 
 def decode(ids: Column, path: str) -> Column:

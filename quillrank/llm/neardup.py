@@ -258,7 +258,9 @@ class Linker:
         placed = save(placed.select("band", "name", F.coalesce("root", "name").alias("root")), "placed")
         by_root = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
         several = by_root.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-        rows = placed.join(several.select("band", F.col("most.root").alias("major")), "band").join(self.rows.select("name", "bytes"), "name")
+        # saved first: a join with a table, not with a running sum by band, can be split where a band is large
+        several = save(several.select("band", F.col("most.root").alias("major")), "several")
+        rows = placed.join(several, "band").join(self.rows.select("name", "bytes"), "name")
         rows = save(rows.select("band", "name", "root", (F.col("root") != F.col("major")).alias("stray"), "bytes"), "rest")
         some = lambda c, x: F.sum(F.when(F.col("stray") == c, x).otherwise(0))
         parts = lambda c: F.greatest(F.ceil(some(c, F.lit(1)) / BLOCK), F.ceil(some(c, F.col("bytes")) / BLOCK_BYTES)).cast("int")
@@ -277,7 +279,7 @@ class Linker:
         rows = rows.join(self.rows.select("name", "bands", "odd"), "name").join(texts, "name")
         more = rows.groupBy("band", "lo", "hi", "kind").applyInArrow(_links_in_block(p), "a binary, b binary")
         found = save(links.unionByName(save(more, "more")), "links")
-        self.scratch.drop("leaders", "members", "stars", "wanted", "texts", "first", "placed", "rest", "sizes", "more")
+        self.scratch.drop("leaders", "members", "stars", "wanted", "texts", "first", "placed", "several", "rest", "sizes", "more")
         return found
 
 

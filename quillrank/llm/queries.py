@@ -43,8 +43,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scratch = Scratch(spark, "counts")
     texts = docs.select("source", "lang", "text", mixing.n_words(F.col("text")).alias("words"))
-    each = [bpe.count(texts, tokenizer_path(file)).select("source", "lang", F.lit(v).alias("tokenizer_version"), "words", F.col("n_tokens").alias("n")) for v, file in VERSIONS.items()]
-    base = [scratch.save(x, f"base-{i}") for i, x in enumerate(each)]
+    counted = bpe.count(texts, {v: tokenizer_path(file) for v, file in VERSIONS.items()})
+    counted = scratch.save(counted.select("source", "lang", "tokenizer_version", "words", F.col("n_tokens").alias("n")), "base")
+    base = [counted.where(F.col("tokenizer_version") == v) for v in VERSIONS]
     rollup = counts.Rollup(spark, scratch.path("rollup"))
 
     def changes(rows: DataFrame, op: str, now: str, old: str = "0") -> DataFrame:

@@ -290,7 +290,7 @@ def test_bpe_counts_equal_encoding(spark, file):
     texts = ["".join(rng.choice(bits, 40)) for _ in range(300)] + [None, "", " ", "\n\n", "a", " a", "a ", "x" * 500, "word " * 2000, *ODD]
     docs = docs_of(spark, texts)
     want = {r.doc_id: len(r.ids) // 4 for r in bpe.encode(docs, path, piece=5000).collect()}
-    assert {r.doc_id: r.n_tokens for r in bpe.count(docs, path, piece=5000).collect()} == want and len(want) == len(texts)
+    assert {r.doc_id: r.n_tokens for r in bpe.count(docs, {"v": path}, piece=5000).collect()} == want and len(want) == len(texts)
 
 
 def test_bpe_words_of_letters_and_marks():

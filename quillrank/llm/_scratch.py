@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
     """Send texts to Python in batches of so many rows and bytes at most, unless the session's are smaller already.
 
     Spark's defaults of 10,000 rows and any number of bytes take hundreds of MB several times over. The settings are

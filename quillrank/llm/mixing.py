@@ -176,17 +176,18 @@ def materialise(docs: DataFrame, weights: list[int], share: float = 1.5, most: f
 
     Rows meet their draws by two 64-bit hashes of all their columns (maps don't count), so ids may be null or repeated:
     of m equal rows one goes on, as often as all m are drawn. A shard is cut by the leading bits of `at` into parts of
-    some 2^24 words, each sorted in a task: parts one after another are the shard in its order, whatever its size.
+    some 2^25 words, each sorted in a task of its own: parts one after another are the shard in its order, whatever its
+    size.
     """
     plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
     rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"), k1=F.xxhash64(*map(quoted, plain)), k2=F.xxhash64(F.lit(1), *map(quoted, plain)))
     mixed, words = _placed(rows, weights, share, most, shards, seed, ("k1", "k2"))
     drawn = mixed.select("k1", "k2", F.explode("draws").alias("d")).select("k1", "k2", F.col("d.shard").alias("shard"), F.col("d.at").alias("at"))
-    bits = max(0, (int(words * share) // (shards << 24)).bit_length())
+    bits = max(0, (int(words * share) // (shards << 25)).bit_length())
     once = rows.groupBy("k1", "k2").agg(F.first("row").alias("row"))
     part = F.shiftrightunsigned("at", 64 - bits) if bits else F.lit(0).cast("long")
     # signed order would begin in the middle of the unsigned parts
     key = F.col("at").bitwiseXOR(F.lit(-(1 << 63)))
-    out = once.join(drawn, ["k1", "k2"]).withColumns({"part": part, "key": key})
-    out = out.repartition("shard", "part").sortWithinPartitions("shard", "part", "key")
+    out = once.join(drawn, ["k1", "k2"]).withColumns({"part": (F.col("shard") * (1 << bits) + part).cast("int"), "key": key})
+    out = out.repartitionById(shards << bits, F.col("part")).sortWithinPartitions("part", "key")
     return unpacked(out, docs.columns, **({name: F.col("shard")} if name else {}))

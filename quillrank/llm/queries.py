@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import bpe, chat, counts, lm, mixing, neardup, quality, secrets, sharding, vectors
 from quillrank.llm._scratch import Scratch, bounded_batches
+from quillrank.llm.oracle import ORACLE
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -127,4 +128,4 @@ QUERIES = {
         op6_bpe, op7_quality_rules, op8_chat, op9_mixing, op10_sharding,
     )
 }
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

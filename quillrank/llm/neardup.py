@@ -20,6 +20,8 @@ from quillrank.llm._scratch import Scratch
 BITS = 512
 #: Documents of a bucket that meet in one task, and bytes of their texts, are about twice this much at most.
 BLOCK, BLOCK_BYTES = 512, 2 << 20
+#: Members of a bucket that meet their leader in one part, about.
+STAR = 128
 
 
 @dataclass(frozen=True)
@@ -247,12 +249,17 @@ class Linker:
         p, save = self.p, self.scratch.save
         least = save(self.bands.groupBy("band").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1"), "leaders")
         members = save(self.bands.join(least, "band").where("name != a").select("band", "n", "a", "name"), "members")
-        stars = save(members.select("a", F.col("name").alias("b")).distinct(), "stars")
-        texts = self.texts(stars.select(F.col("a").alias("name")).unionByName(stars.select(F.col("b").alias("name"))).distinct())
+        pairs = save(members.groupBy("a", F.col("name").alias("b")).agg(F.max("n").alias("n")), "stars")
+        # a leader of many members meets them in parts, as many as its buckets' sizes ask for
+        stars = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).cast("int").alias("part"))
+        heads = save(stars.select("a", "part").distinct(), "heads")
+        texts = self.texts(heads.select(F.col("a").alias("name")).unionByName(stars.select(F.col("b").alias("name"))).distinct())
         alike = estimate(F.col("odd_a"), F.col("odd_b"), p.samples) >= p.percent / 100 - p.slack
-        near = self.sketch_of(self.sketch_of(stars, "a"), "b").where(alike).select("a", "b")
         ta, tb = (texts.select(F.col("name").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        links = save(near.join(ta, "a").join(tb, "b").mapInArrow(_confirm(p), "a binary, b binary"), "first")
+        led = save(self.sketch_of(heads, "a").join(ta, "a"), "led")
+        near = self.sketch_of(stars, "b").join(led.select("a", "part", "odd_a"), ["a", "part"]).where(alike).select("a", "part", "b")
+        near = near.join(tb, "b").join(led.select("a", "part", "ta"), ["a", "part"])
+        links = save(near.select("a", "b", "ta", "tb").mapInArrow(_confirm(p), "a binary, b binary"), "first")
         roots = components(links, self.scratch, "first-roots")
         placed = members.where("n > 2").join(roots, F.col("name") == F.col("node"), "left")
         placed = save(placed.select("band", "name", F.coalesce("root", "name").alias("root")), "placed")
@@ -279,7 +286,7 @@ class Linker:
         rows = rows.join(self.rows.select("name", "bands", "odd"), "name").join(texts, "name")
         more = rows.groupBy("band", "lo", "hi", "kind").applyInArrow(_links_in_block(p), "a binary, b binary")
         found = save(links.unionByName(save(more, "more")), "links")
-        self.scratch.drop("leaders", "members", "stars", "wanted", "texts", "first", "placed", "several", "rest", "sizes", "more")
+        self.scratch.drop("leaders", "members", "stars", "heads", "led", "wanted", "texts", "first", "placed", "several", "rest", "sizes", "more")
         return found
 
 

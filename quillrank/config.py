@@ -67,6 +67,33 @@ def checked_weights(weights: dict) -> dict:
         raise ValueError("weights must sum to 1")
     return weights
 
+def checked_request(description: str | None = None, top_k: int | None = None, limit: int | None = None, most: int = 500, offset: int = 0, score: float | None = None, position: int | None = None) -> dict:
+    """The parameters of a request, the description stripped, or an error that names the first that is out of bounds."""
+    if description is not None and not description.strip():
+        raise ValueError("the description must be non-empty")
+    for name, value, low, high in (("top_k", top_k, 1, None), ("limit", limit, 1, most), ("offset", offset, 0, None), ("score", score, 0, 1), ("position", position, 1, None)):
+        if value is not None and (value < low or (high is not None and value > high)):
+            raise ValueError(f"{name} must be {low} or more" if high is None else f"{name} must be {low} to {high}")
+    return {"description": description and description.strip(), "top_k": top_k, "limit": limit, "offset": offset, "score": score, "position": position}
+
+
+# Where the reports of a collection are.
+REPORT_PATHS = {
+    "validation": "reports/validation_report.json",
+    "duplicates": "reports/duplicate_report.json",
+    "ranking_summary": "reports/ranking_summary.json",
+    "latency": "reports/latency_report.json",
+    "latency_rag": "reports/latency_report_rag.json",
+    "latency_rank": "reports/latency_report_rank.json",
+    "ranking_json": "outputs/ranking_results.json",
+    "ranking_csv": "outputs/ranking_results.csv",
+    "meta": "collection_meta.json",
+}
+
+# A candidate's block in a prompt, and what stands around the blocks.
+PROMPT_BLOCK = "Candidate %d:\n- Filename: %s\n- Rank: %s\n- Score: %s\n- Skills: %s\n- Excerpt: %s"
+PROMPT_PARTS = ("Candidates:\n", "\n\nQuestion: ", "\nAnswer based on the candidates above:")
+
 # What the lines that open a section begin with.
 SECTION_LINES = {
     "summary": r"summary|profile|objective|about|overview|executive\s+summary|professional\s+summary|career\s+summary",

@@ -126,6 +126,20 @@ def excerpt(text: Column, n: int = 300) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
+def user_prompt(question: Column, candidates: Column, skills: int = 5) -> Column:
+    """The question after numbered blocks of candidates (filename, rank, score, skills, excerpt), with their first skills;
+    what a candidate lacks has a default. Without candidates the question alone."""
+
+    def block(c: Column, i: Column) -> Column:
+        text = lambda x, other: F.coalesce(x.cast("string"), F.lit(other))
+        first = F.array_join(F.slice(F.coalesce(c["skills"], F.array().cast("array<string>")), 1, skills), ", ")
+        return F.format_string(config.PROMPT_BLOCK, i + 1, text(c["filename"], "unknown"), text(c["rank"], "N/A"), text(c["score"], "0.0"), first, text(c["excerpt"], ""))
+
+    before, between, after = map(F.lit, config.PROMPT_PARTS)
+    blocks = F.array_join(F.transform(candidates, block), "\n\n")
+    return F.when(F.size(candidates) > 0, F.concat(before, blocks, between, question, after)).otherwise(question)
+
+
 def normalize_skill(skill: Column) -> Column:
     """A known spelling's canonical form, else without a version at the end."""
     low = strip(F.lower(skill))

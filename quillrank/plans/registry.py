@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quillrank.plans import collections, extraction, latency, reports, relational, scoring, textual  # noqa: E402, F401
+from quillrank.plans import collections, extraction, latency, reports, relational, scoring, textual, uploads  # noqa: E402, F401

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank import config
@@ -60,13 +60,62 @@ def unzip(archives: DataFrame) -> DataFrame:
     return archives.select("name", "content").mapInPandas(_members, "archive string, name string, content binary, error string")
 
 
+def contained(name: Column) -> Column:
+    """Whether a flattened member name stays in the folder that it is unpacked to."""
+    return name.isNotNull() & ~F.trim(name).isin("", ".", "..")
+
+
+def verdicts(members: DataFrame) -> DataFrame:
+    """(archive, valid, members, broken, first_broken) of unzipped archives: valid if nothing in it failed to be read."""
+    bad = F.col("error").isNotNull()
+    return members.groupBy("archive").agg(
+        F.every(~bad).alias("valid"), F.count("name").alias("members"), F.count_if(bad).alias("broken"), F.min(F.when(bad, F.coalesce("name", F.lit("")))).alias("first_broken"),
+    )
+
+
+def bag(*lists: DataFrame) -> DataFrame:
+    """All rows of several uploads, those of archives and single files alike; repeated ones stay."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def skipped(name: Column) -> Column:
+    """Why a file isn't taken; null if it is."""
+    return F.when(F.rlike(name, F.lit(config.JUNK)), "junk").when(~accepted(name), F.concat(F.lit("Unsupported file type ."), extension(name)))
+
+
+def unsupported(files: DataFrame) -> DataFrame:
+    """(ext, files) of the files whose suffix isn't known; junk isn't counted."""
+    name = F.col("name")
+    odd = files.where(~F.rlike(name, F.lit(config.JUNK)) & ~extension(name).isin(*config.SUFFIXES))
+    return odd.groupBy(extension(name).alias("ext")).agg(F.count("*").alias("files"))
+
+
 def unique_names(files: DataFrame, by: list[str]) -> DataFrame:
-    """Later files of one name, in the order of `by`, become stem_2, stem_3, ..."""
-    from pyspark.sql import Window
+    """Later files of one name, in the order of `by`, become stem_2, stem_3, ..., past the numbers that other files'
+    own names have.
 
+    The jth later file takes the jth free number: j + 1, and one more for each ith number r among the taken ones (from 2
+    on, in order) with r - i <= j.
+    """
     nth = F.row_number().over(Window.partitionBy("name").orderBy(*by))
-    stem, dot = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("_n", nth).withColumn("name", F.when(F.col("_n") > 1, F.concat(stem, F.lit("_"), F.col("_n").cast("string"), dot)).otherwise(F.col("name"))).drop("_n")
+    part = lambda i: F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", i)
+    numbered = r"^(.*)_([1-9]\d{0,8})(\.[^.]*)?$"
+    of = lambda i: F.regexp_extract("name", numbered, i)
+    taken = files.select("name").distinct().where(F.rlike("name", F.lit(numbered))).select(F.concat(of(1), of(3)).alias("name"), of(2).cast("long").alias("_r")).where("_r > 1")
+    taken = taken.withColumn("_j", F.col("_r") - F.row_number().over(Window.partitionBy("name").orderBy("_r"))).drop("_r").withColumn("_file", F.lit(False))
+    rows = files.withColumns({"_j": (nth - 1).cast("long"), "_file": F.lit(True)}).unionByName(taken, allowMissingColumns=True)
+    past = F.count_if(~F.col("_file")).over(Window.partitionBy("name").orderBy("_j", "_file").rowsBetween(Window.unboundedPreceding, 0))
+    later = F.concat(part(1), F.lit("_"), (F.col("_j") + 1 + F.col("_past")).cast("string"), part(2))
+    named = rows.withColumn("_past", past).where("_file").withColumn("name", F.when(F.col("_j") > 0, later).otherwise(F.col("name")))
+    return named.select(*files.columns)
+
+
+def registered(files: DataFrame, path: str = "name") -> DataFrame:
+    """One row a path."""
+    return files.dropDuplicates([path])
 
 
 def docx_text(content: bytes) -> str:
@@ -114,3 +163,19 @@ def direct_text_ok(text: Column, pages: Column, least: int = 100, per_page: int
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON records; files that don't parse are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path)
+
+
+def newest(rows: DataFrame, by: list[Column], limit: int = 50) -> DataFrame:
+    """The newest records (the limit, 1 to 100, is the feature)."""
+    return rows.orderBy(*by).limit(config.checked_request(limit=limit, most=100)["limit"])
+
+
+def reports(collections: DataFrame, found: DataFrame) -> DataFrame:
+    """(collection, report, content, error) of every report that `collections` (collection) should have, from the files
+    `found` (path, text): a missing file or one that isn't JSON is a row with an error, not a failure."""
+    each = F.array(*(F.struct(F.lit(n).alias("report"), F.lit(p).alias("at")) for n, p in config.REPORT_PATHS.items()))
+    wanted = collections.select("collection", F.inline(each)).withColumn("path", F.concat_ws("/", "collection", "at"))
+    both = wanted.join(found.select("path", "text"), "path", "left")
+    bad = F.endswith(F.col("path"), F.lit(".json")) & F.try_parse_json("text").isNull()
+    error = F.when(F.col("text").isNull(), "Report not found").when(bad, "Invalid JSON report")
+    return both.select("collection", "report", F.when(error.isNull(), F.col("text")).alias("content"), error.alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,34 @@ def write_ranking(rows: DataFrame, path: str, by: list[str], mode: str, ranked_a
     export_csv(rows, f"{path}/ranking.csv", best)
     settings = F.create_map(*(F.lit(x) for kv in config.items() for x in kv))
     rows.agg(F.count("*").alias("candidates"), F.max(by[0]).alias("best")).select("*", settings.alias("weights")).write.mode("overwrite").json(f"{path}/summary.json")
+
+
+def usable(vectors: DataFrame, column: str) -> DataFrame:
+    """Rows whose vector is there and not empty."""
+    return vectors.where(F.size(F.coalesce(F.col(column), F.array().cast(vectors.schema[column].dataType))) > 0)
+
+
+def write_index(vectors: DataFrame, path: str, column: str, by: str, kind: str, built_at: str) -> None:
+    """An index a collection (`by`), replaced whole: `vectors` with their file names, and `meta` with a row a collection
+    (dimension, num_vectors, type, built_at). Missing and empty vectors are left out."""
+    good = usable(vectors, column)
+    replace_partitions(good, f"{path}/vectors", by)
+    meta = good.groupBy(by).agg(F.max(F.size(column)).cast("long").alias("dimension"), F.count("*").alias("num_vectors"))
+    replace_partitions(meta.withColumns({"type": F.lit(kind), "built_at": F.lit(built_at).cast("date")}), f"{path}/meta", by)
+
+
+def write_vectoriser(terms, path: str, settings: dict) -> None:
+    """What a vectoriser has learnt, as tables: `vocabulary` (section, term, df, idf), `doc_terms` (key, section, term, n)
+    and the settings; `terms` is an `operators.sections.Terms`."""
+    docs = terms.rows.groupBy("section").agg(F.count("*").alias("docs"))
+    idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
+    terms.df.join(docs, "section").select("section", "term", "df", idf.alias("idf")).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    terms.counts.write.mode("overwrite").parquet(f"{path}/doc_terms")
+    pairs = F.create_map(*(F.lit(str(x)) for kv in settings.items() for x in kv))
+    terms.spark.range(1).select(pairs.alias("settings")).write.mode("overwrite").json(f"{path}/settings.json")
+
+
+def fresh(rows: DataFrame, at: str, now: Column, ttl: str = "INTERVAL 1 HOUR") -> tuple[DataFrame, DataFrame]:
+    """Cached rows that are no older than `ttl`, and the expired ones, which go."""
+    young = F.coalesce(now - F.col(at) <= F.expr(ttl), F.lit(False))
+    return rows.where(young), rows.where(~young)

@@ -55,6 +55,51 @@ def test_listing_and_names(spark, tmp_path):
     assert [r["name"] for r in files.unique_names(df, ["at"]).orderBy("at").collect()] == ["a.txt", "a_2.txt", "b", "b_2", "c.txt"]
 
 
+def test_names_go_past_taken_numbers(spark):
+    given = ["a.txt", "a.txt", "a_2.txt", "a.txt", "a_2.txt", "a_4.txt", "b_01", "b", "b", ".txt", ".txt", "a.pdf", "c_2.x", "a.txt", "a_1.txt", "x.txt" * 3]
+    df = spark.createDataFrame(list(zip(given, range(len(given)), strict=True)), "name string, at int").withColumn("_x", F.lit(1))
+    out = files.unique_names(df, ["at"])
+    got = [r["name"] for r in out.orderBy("at").collect()]
+    assert out.columns == df.columns and len(set(got)) == len(given)
+    assert all(g == n or n in given[:i] for i, (g, n) in enumerate(zip(got, given, strict=True)))
+    assert got[:6] == ["a.txt", "a_3.txt", "a_2.txt", "a_5.txt", "a_2_2.txt", "a_4.txt"] and got[13] == "a_6.txt"
+    assert files.unique_names(df.limit(0), ["at"]).count() == 0 and files.registered(df).count() == len(set(given))
+
+
+def test_verdicts_and_uploads(spark):
+    whole = packed({"a.txt": b"one", "../b.txt": b"two"})
+    broken = bytearray(packed({"a.txt": b"one" * 50, "b.txt": b"two"}))
+    broken[40] ^= 1
+    rows = files.unzip(spark.createDataFrame([("w.zip", bytearray(whole)), ("b.zip", broken), ("n.zip", bytearray(b"no"))], files.FILE))
+    got = {r["archive"]: (r["valid"], r["members"], r["broken"], r["first_broken"]) for r in files.verdicts(rows).collect()}
+    assert got == {"w.zip": (True, 2, 0, None), "b.zip": (False, 2, 1, "a.txt"), "n.zip": (False, 0, 1, "")}
+    assert [one(spark, files.contained(F.lit(n)).alias("x"))["x"] for n in ("a", "..", ".", " ", ".._b.txt")] == [True, False, False, False, True]
+    df = spark.createDataFrame([("a.exe",), ("._b.txt",), ("c.PDF",), ("d",), ("e.exe",)], "name string").withColumn("content", F.lit(b""))
+    assert [r["x"] for r in files.bag(df, df).select(files.skipped(F.col("name")).alias("x")).collect()][:4] == ["Unsupported file type .exe", "junk", None, "Unsupported file type ."]
+    assert {(r["ext"], r["files"]) for r in files.unsupported(df).collect()} == {("exe", 2), ("", 1)}
+
+
+def test_reports_and_requests(spark, tmp_path):
+    found = spark.createDataFrame([("1/collection_meta.json", "{}"), ("1/reports/latency_report.json", "{"), ("1/outputs/ranking_results.csv", "a,b")], "path string, text string")
+    got = {r["report"]: (r["content"], r["error"]) for r in files.reports(spark.createDataFrame([("1",)], "collection string"), found).collect()}
+    assert len(got) == len(config.REPORT_PATHS) and got["meta"] == ("{}", None) and got["latency"] == (None, "Invalid JSON report")
+    assert got["ranking_csv"] == ("a,b", None) and got["validation"] == (None, "Report not found")
+    assert config.checked_request(" x ", 1, 500, offset=0, score=1.0, position=1)["description"] == "x"
+    for bad in ({"description": " "}, {"top_k": 0}, {"limit": 501}, {"limit": 0}, {"offset": -1}, {"score": 1.1}, {"position": 0}):
+        with pytest.raises(ValueError):
+            config.checked_request(**bad)
+    old = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    young, gone = sinks.fresh(spark.range(1).select(old.alias("at")), "at", F.lit("2026-01-01 01:00:00").cast("timestamp"))
+    assert (young.count(), gone.count()) == (1, 0)
+
+
+def test_prompt(spark):
+    c = F.array(F.struct(F.lit("a.txt").alias("filename"), F.lit(None).cast("int").alias("rank"), F.lit(0.5).alias("score"), F.array(*map(F.lit, "abcdefg")).alias("skills"), F.lit("100%").alias("excerpt")))
+    text = one(spark, X.user_prompt(F.lit("who?"), c).alias("x"))["x"]
+    assert text == "Candidates:\nCandidate 1:\n- Filename: a.txt\n- Rank: N/A\n- Score: 0.5\n- Skills: a, b, c, d, e\n- Excerpt: 100%\n\nQuestion: who?\nAnswer based on the candidates above:"
+    assert one(spark, X.user_prompt(F.lit("who?"), F.slice(c, 2, 1)).alias("x"))["x"] == "who?"
+
+
 @pytest.mark.parametrize(("n", "pages", "ok"), [(100, 1, True), (99, 1, False), (150, 2, True), (150, 4, False), (100, 0, True)])
 def test_direct_text(spark, n, pages, ok):
     assert one(spark, files.direct_text_ok(F.lit("x" * n), F.lit(pages)).alias("ok"))["ok"] is ok

@@ -111,10 +111,32 @@ def chat() -> str:
   SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c"""
 
 
+def exact_duplicates() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+
+def lexical_search(k: int = 10) -> str:
+    """Every document's score for each item from whole-number impacts, and the first k of each item."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS w FROM documents), s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::bigint AS total FROM d),
+  p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY 1, 2),
+  q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+  f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS weight FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+  r AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::bigint AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2),
+  o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0)
+  SELECT item_id, rank::int AS rank, doc_id, score FROM o WHERE rank <= {k}"""
+
+
 ORACLE = {
     "op3_near_duplicates": near_duplicates(3, 85),
     "op4_secret_scan": secret_scan(),
     "op5_embedding_duplicates": embedding_duplicates(0.93),
     "op7_quality_rules": quality_rules(),
     "op8_chat": chat(),
+    "op11_exact_dedup": exact_duplicates(),
+    "op13_lexical_search": lexical_search(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import bpe, chat, counts, lm, mixing, neardup, quality, secrets, sharding, vectors
+from quillrank.llm import bpe, chat, counts, exact, lexical, lm, mixing, neardup, periodic, quality, secrets, sharding, vectors
 from quillrank.llm._scratch import Scratch, bounded_batches
 from quillrank.llm.oracle import ORACLE
 
@@ -121,11 +121,49 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, told by crc32 of the id, a stretch of words repeats to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    div = lambda a, b: F.call_function("div", a, b)
+    own = docs.where((h % 10 == 0) & F.col("doc_id").isNotNull()).select("doc_id", "text", div(h, F.lit(10)).alias("g"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0).alias("w"))
+    own = own.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    own = own.withColumn("p", 1 + div(F.col("n") - F.col("a"), 3 + F.col("g") % 8))
+    whole = lambda c: c.cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", whole(F.col("a") + 1), whole(F.col("p"))), whole(div(F.col("n") - F.col("a"), F.col("p")) + 1)))
+    more = F.concat(F.slice("w", 1, whole(F.col("a"))), F.slice(tail, 1, whole(F.col("n") - F.col("a"))))
+    return docs.where(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text").unionByName(own.select("doc_id", F.when(F.col("n") > 0, F.array_join(more, " ")).otherwise(F.col("text")).alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planted(documents(spark, sf_dir)).select("doc_id", periodic.periodic_runs(F.col("text")).alias("f")).select("doc_id", "f.runs", "f.collapsed")
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("top", first)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.call_function("div", 1000 * F.col("top.length"), -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "lexical")
+    index = lexical.build(documents(spark, sf_dir), scratch)
+    items = spark.read.schema("item_id long, text string").parquet(f"{sf_dir}/benchmark.parquet")
+    return scratch.last(lexical.search(index, items, scratch))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_token_counts, op3_near_duplicates, op4_secret_scan, op5_embedding_duplicates,
         op6_bpe, op7_quality_rules, op8_chat, op9_mixing, op10_sharding,
+        op11_exact_dedup, op12_periodic_runs, op13_lexical_search,
     )
 }
 __all__ = ["ORACLE", "QUERIES"]

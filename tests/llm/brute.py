@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -135,3 +137,58 @@ def all_spans(text: str | None) -> list[tuple[str, int, int]]:
     out = secret_spans(text) + [(k, m.start(), m.end()) for k, (p, least) in MORE.items() for m in re.finditer(p, text or "") if len(m[0]) >= least]
     rank = ["assign", "access", "hex", *MORE]
     return sorted(out, key=lambda s: (s[1], rank.index(s[0])))
+
+
+def planted(doc_id: int | None, text: str | None) -> list[str]:
+    """The words of a document, a tenth of which get a stretch that repeats."""
+    words = WORD.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def word_runs(words: list[str]) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs, by trying each period at each place."""
+    n, best = len(words), {}
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            if j + p - i >= max(6, 4 * p):
+                best.setdefault((i, j + p), p)
+            i = j + 1
+    return sorted((a, z - a, p) for (a, z), p in best.items())
+
+
+def collapsed(words: list[str], runs: list[tuple[int, int, int]]) -> str:
+    gone = {i for a, n, p in runs for i in range(a + p, a + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lexical(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """(item_id, rank, doc_id, score) from every document's score for each item."""
+    counts = [(i, Counter(TERM.findall(lower(t or "")))) for i, t in docs]
+    total, n_docs = sum(c.total() for _, c in counts), sum(c.total() > 0 for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c in counts:
+            s = 0
+            for t in set(TERM.findall(lower(text or ""))):
+                if c[t]:
+                    m = 100 - 90 + 90 * c.total() * n_docs // total
+                    s += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m))
+            if s > 0:
+                scores.append((-s, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out

@@ -71,16 +71,16 @@ def secret_scan() -> str:
 
 def quality_rules(fences: list[quality.Fence] = quality.FENCES, least_docs: int = 30) -> str:
     """The fields, each group's limits from its values' cells in order, and the verdict."""
-    names = quality.sketched(fences)
-    long = ", ".join(f"{{'f': '{n}', 'v': {n}}}" for n in names)
-    fifth = lambda tenths: f"v[(len(v) * {tenths} + 9) // 10]"
-    of = ", ".join(f"max(q{k}) FILTER (f = '{n}') AS {n}_{k}" for n in names for k in (2, 5, 8))
+    long = ", ".join(f"{{'f': '{x.feature}', 'v': {x.feature}}}" for x in fences)
+    cell = "({0}) - ({0}) % (1::bigint << greatest(length(bin({0})) - 7, 0))".format
+    at = lambda mille: f"v[(len(v) * {mille} + 999) // 1000]"
+    cuts = ", ".join(f"max({at(m)}) FILTER (f = '{x.feature}') AS {x.feature}_{k}" for x in fences for k, m in (("low", 1000 - x.level), ("mid", 500), ("high", x.level)))
     fine = []
     for x in fences:
-        n, slack = f"t.{x.feature}", f"{x.slack * x.scale} // greatest(t.{x.size}_5, 1)"
-        fine.append(f"m.{x.feature} <= {n}_8 + {x.reach} * ({n}_8 - {n}_5) + {slack}")
+        n, own = f"t.{x.feature}", cell(f"m.{x.feature}")
+        fine.append(f"{own} <= {n}_high + {x.reach} * ({n}_high - {n}_mid)")
         if x.low:
-            fine.append(f"m.{x.feature} >= {n}_2 - {x.reach} * ({n}_5 - {n}_2) - {slack}")
+            fine.append(f"{own} >= {n}_low - {x.reach} * ({n}_mid - {n}_low)")
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
   g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}})) AS x FROM d),
   k AS (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.g) AS n FROM g),
@@ -90,10 +90,10 @@ def quality_rules(fences: list[quality.Fence] = quality.FENCES, least_docs: int
   m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(n_words, 1) AS symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines,
     n_repeat_words * 1000 // greatest(n_words, 1) AS repeats, word_chars * 100 // greatest(n_words, 1) AS word_length FROM b),
   o AS (SELECT lang, source, unnest([{long}]) AS x FROM m WHERE NOT base_failed),
-  v AS (SELECT lang, source, x.f AS f, x.v - x.v % (1::bigint << greatest(length(bin(x.v)) - 6, 0)) AS cell FROM o),
+  v AS (SELECT lang, source, x.f AS f, {cell('x.v')} AS cell FROM o),
   l0 AS (SELECT lang, source, f, list_sort(list(cell)) AS v0 FROM v GROUP BY ALL), l1 AS (SELECT lang, f, list_sort(list(cell)) AS v1 FROM v GROUP BY ALL), l2 AS (SELECT f, list_sort(list(cell)) AS v2 FROM v GROUP BY ALL),
   q AS (SELECT l0.lang, source, l0.f, CASE WHEN len(v0) >= {least_docs} THEN v0 WHEN len(v1) >= {least_docs} THEN v1 ELSE v2 END AS v FROM l0 JOIN l1 ON l1.lang IS NOT DISTINCT FROM l0.lang AND l1.f = l0.f JOIN l2 ON l2.f = l0.f),
-  p AS (SELECT lang, source, f, {fifth(2)} AS q2, {fifth(5)} AS q5, {fifth(8)} AS q8 FROM q), t AS (SELECT lang, source, {of} FROM p GROUP BY 1, 2)
+  t AS (SELECT lang, source, {cuts} FROM q GROUP BY 1, 2)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({" AND ".join(fine)}, false) AS kept
   FROM m LEFT JOIN t ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
 

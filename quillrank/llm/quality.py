@@ -73,29 +73,24 @@ def measured(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Fence:
-    """How far a feature may lie beyond its group's middle: `reach` times the way from the median to the upper fifth
-    (lower fifth for a low limit), and besides as much as `slack` cases make in a text of the group's median size."""
+    """How far a feature may lie out: its group's quantile at `level` per mille (for a low limit at 1000 - `level`), and
+    beyond it `reach` times the way from the group's median to there. Nothing else decides: no count is given."""
 
     feature: str
-    slack: int
-    size: str
-    scale: int
+    level: int
+    reach: int
     low: bool = False
-    reach: int = 3
 
 
-#: Features are whole numbers: per mille of words or lines, and hundredths of a character.
-FENCES = [
-    Fence("symbols", 6, "n_words", 1000),
-    Fence("dup_lines", 2, "n_lines", 1000),
-    Fence("repeats", 30, "n_words", 1000),
-    Fence("word_length", 100, "n_words", 100, low=True),
-]
+#: Features are whole numbers: per mille of words or lines, and hundredths of a character. Symbols and word lengths tell bad
+#: texts apart, up to a fifth of a group, so their limits rest on the other four fifths; lines and words that repeat are
+#: bad only where they are more than anything usual in the group's own last hundredth.
+FENCES = [Fence("symbols", 800, 3), Fence("dup_lines", 990, 1), Fence("repeats", 990, 1), Fence("word_length", 800, 6, low=True)]
 
 
 def sketched(fences: list[Fence]) -> list[str]:
-    """What the thresholds are made from: the features and the sizes of texts."""
-    return list(dict.fromkeys([*(f.feature for f in fences), *(f.size for f in fences)]))
+    """What the thresholds are made from."""
+    return [f.feature for f in fences]
 
 
 def features() -> dict[str, Column]:
@@ -114,38 +109,40 @@ def base_failed() -> Column:
 
 
 def cell(value: Column) -> Column:
-    """The sketch's cell of a whole number >= 0: itself below 64, else its 6 leading bits (1/32 off at most)."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(value)) - 6, F.lit(0))).cast("long")
+    """The sketch's cell of a whole number >= 0: itself below 128, else its 7 leading bits (1/64 off at most)."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(value)) - 7, F.lit(0))).cast("long")
     return value - value % unit
 
 
 def sketch(found: DataFrame, names: list[str]) -> DataFrame:
     """Quantile sketches: counts by language, source, feature and cell. Sketches merge by adding counts.
 
-    Cells are fixed, so that the result doesn't depend on order, retries or partitioning; there are under 2,000 a
+    Cells are fixed, so that the result doesn't depend on order, retries or partitioning; there are under 4,000 a
     feature. Counting starts before the shuffle, so that a hot source sends a row a cell and task.
     """
     long = found.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names))).alias("f"))
     return long.groupBy("lang", "source", F.col("f.feature").alias("feature"), cell(F.col("f.v")).alias("cell")).agg(F.count("*").alias("n"))
 
 
-def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Lower fifth, median and upper fifth of the sketches merged by `keys`, with the number of documents in each."""
+def quantiles(sketches: DataFrame, keys: list[str], fences: list[Fence]) -> DataFrame:
+    """Cells of the lower tail, the median and the upper tail of the sketches merged by `keys`, each feature's at its fence's
+    level, with the number of documents in each."""
     by = [*keys, "feature"]
     merged = sketches.groupBy(*by, "cell").agg(F.sum("n").alias("n"))
     line = Window.partitionBy(*by).orderBy("cell")
-    ranked = merged.withColumns({"upto": F.sum("n").over(line), "all": F.sum("n").over(Window.partitionBy(*by))})
-    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("all"), F.col("cell")))
-    return ranked.groupBy(*by).agg(F.max("all").alias("docs"), F.array(at(2), at(5), at(8)).alias("q"))
+    level = F.create_map(*(F.lit(x) for f in fences for x in (f.feature, f.level)))[F.col("feature")]
+    ranked = merged.withColumns({"upto": F.sum("n").over(line), "all": F.sum("n").over(Window.partitionBy(*by)), "level": level})
+    at = lambda mille: F.min(F.when(1000 * F.col("upto") >= mille * F.col("all"), F.col("cell")))
+    return ranked.groupBy(*by).agg(F.max("all").alias("docs"), F.array(at(1000 - F.col("level")), at(F.lit(500)), at(F.col("level"))).alias("q"))
 
 
 def thresholds(sketches: DataFrame, fences: list[Fence] = FENCES, least_docs: int = 30) -> DataFrame:
-    """low_<feature> and high_<feature> for each language and source, all from its own sketches.
+    """low_<feature> and high_<feature>, cells both, for each language and source, all from its own sketches.
 
     A group of fewer than `least_docs` documents takes its language's merged sketch, or all documents' if that is
-    small too. A group's limits rest on its middle three fifths, so that up to a fifth of bad texts doesn't move them.
+    small too.
     """
-    levels = [quantiles(sketches, k) for k in (["lang", "source"], ["lang"], [])]
+    levels = [quantiles(sketches, k, fences) for k in (["lang", "source"], ["lang"], [])]
     own, lang, whole = (q.select(*q.columns[:-2], F.col("docs").alias(f"d{i}"), F.col("q").alias(f"q{i}")) for i, q in enumerate(levels))
     lang, whole = lang.withColumnsRenamed({"lang": "l1", "feature": "f1"}), whole.withColumnRenamed("feature", "f2")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("feature") == F.col("f1"))).join(whole, F.col("feature") == F.col("f2"))
@@ -155,22 +152,22 @@ def thresholds(sketches: DataFrame, fences: list[Fence] = FENCES, least_docs: in
     limits = []
     for f in fences:
         low, middle, high = (F.col(f.feature)[i] for i in range(3))
-        slack = F.call_function("div", F.lit(f.slack * f.scale), F.greatest(F.col(f.size)[1], F.lit(1)))
-        limits.append((high + f.reach * (high - middle) + slack).alias(f"high_{f.feature}"))
+        limits.append((high + f.reach * (high - middle)).alias(f"high_{f.feature}"))
         if f.low:
-            limits.append((low - f.reach * (middle - low) - slack).alias(f"low_{f.feature}"))
+            limits.append((low - f.reach * (middle - low)).alias(f"low_{f.feature}"))
     return placed.select("lang", "source", *limits)
 
 
 def judge(found: DataFrame, limits: DataFrame, fences: list[Fence] = FENCES) -> DataFrame:
-    """Join each document's fields with its group's thresholds and add `kept`."""
+    """Join each document's fields with its group's thresholds and add `kept`. Values are compared by their cells, as the
+    limits are made of cells."""
     t = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     near = found.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     fine = ~F.col("base_failed")
     for f in fences:
-        fine &= F.col(f.feature) <= F.col(f"high_{f.feature}")
+        fine &= cell(F.col(f.feature)) <= F.col(f"high_{f.feature}")
         if f.low:
-            fine &= F.col(f.feature) >= F.col(f"low_{f.feature}")
+            fine &= cell(F.col(f.feature)) >= F.col(f"low_{f.feature}")
     return near.withColumn("kept", fine).drop(*t.columns)
 
 

@@ -29,10 +29,6 @@ class Quantiser:
     cells: np.ndarray
     books: np.ndarray
 
-    @property
-    def dim(self) -> int:
-        return self.cells.shape[1]
-
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For unit vectors: list, codes, distance to what the codes stand for, and similarity to each centroid."""
         near = x @ self.cells.T
@@ -47,12 +43,11 @@ class Quantiser:
             back[:, i * d : (i + 1) * d] = self.books[i][codes[:, i]]
         return cell, codes, np.linalg.norm(left - back, axis=1), near
 
-    def probes(self, cell: np.ndarray, near: np.ndarray, least: float, sigmas: float) -> np.ndarray:
+    def probes(self, cell: np.ndarray, near: np.ndarray, least: float) -> np.ndarray:
         """Which lists hold what may be similar: see `near_duplicates`."""
         apart = np.sqrt(np.maximum(2 - 2 * self.cells[cell] @ self.cells.T, 1e-12))
         side = (near[np.arange(len(cell)), cell][:, None] - near) / apart
-        sine = np.sqrt(1 - least * least)
-        return side <= min(sine, sigmas * sine / least / np.sqrt(max(self.dim - 1, 1))) + 1e-9
+        return side <= np.sqrt((1 - least) / 2) + 1e-9
 
 
 def _means(x: np.ndarray, k: int, unit: bool, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -96,7 +91,7 @@ def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows[good], x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _encode(qs: dict[int, Quantiser], least: float, sigmas: float):
+def _encode(qs: dict[int, Quantiser], least: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, unit in _units(b["embedding"]):
@@ -107,7 +102,7 @@ def _encode(qs: dict[int, Quantiser], least: float, sigmas: float):
                     if q:
                         cell, code, err, near = q.encode(x)
                         codes, err = [c.tobytes() for c in code], err + 1e-5
-                        probes = [np.flatnonzero(p).tolist() for p in q.probes(cell, near, least, sigmas)]
+                        probes = [np.flatnonzero(p).tolist() for p in q.probes(cell, near, least)]
                     take = pa.array(rows[lo : lo + 256], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [*(b[c].take(take) for c in ("uid", "vec_id", "label")), pa.array(np.full(len(x), x.shape[1]), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()),
@@ -189,9 +184,9 @@ def _blocks(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
 
-def links(rows: DataFrame, qs: dict[int, Quantiser], least: float, sigmas: float, scratch: Scratch) -> DataFrame:
+def links(rows: DataFrame, qs: dict[int, Quantiser], least: float, scratch: Scratch) -> DataFrame:
     """(a, b, n) as `_search` gives them, for all pairs of `rows` (uid, vec_id, label, embedding) of equal labels."""
-    coded = scratch.save(rows.where("label IS NOT NULL").mapInArrow(_encode(qs, least, sigmas), _ROW), "coded")
+    coded = scratch.save(rows.where("label IS NOT NULL").mapInArrow(_encode(qs, least), _ROW), "coded")
     at = ["label", "dim", "cell"]
     asks = coded.select("label", "dim", F.explode("probes").alias("cell")).groupBy(*at).agg(F.count("*").alias("asks"))
     size = scratch.save(coded.groupBy(*at).agg(F.count("*").alias("held")).join(asks, at), "size")
@@ -205,7 +200,7 @@ def links(rows: DataFrame, qs: dict[int, Quantiser], least: float, sigmas: float
     return both.groupBy(*at, "own", "ask_block").applyInArrow(_search(qs, least), "a long, b long, n long")
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.93, sigmas: float = 4.0) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of `embeddings` (vec_id, embedding, label; other columns
     are left out).
 
@@ -216,11 +211,10 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, sigmas: float =
     lose nothing; the rest is decided by the exact cosine in double precision. Lists and their queries meet in blocks,
     however full a list is.
 
-    Probes: all that is nearer to another list's centroid lies beyond the plane halfway to it. A vector with the least
-    cosine to a query at sine s of that plane must turn towards it by the share s / tan of its own turn. That can't be
-    more than 1, and for turns in any direction of d dimensions it has a spread of 1 / sqrt(d - 1): lists are probed up
-    to `sigmas` spreads. So up to `sigmas`^2 dimensions or so no link is lost, and beyond it one is missed by either end
-    with a chance of under 1 in 30,000 at 4 (and less the higher its cosine). Links that one end finds count for both.
+    Probes lose no link, in any number of dimensions: two vectors in different lists lie on either side of the plane halfway
+    between the centroids, so their distances to it add up to no more than the distance between them, which for a link is
+    sqrt(2 - 2 * least) at most. One of the two is then within half of that, sqrt((1 - least) / 2), and every vector probes
+    the lists to whose plane it is as near as that. Links that one end finds count for both.
 
     A vector that is null, empty, zero or holds null or non-finite components is linked with nothing, and so is a row
     without label. Equal rows are one vector with a row each; rows with one vec_id aren't linked with each other. Of
@@ -233,7 +227,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, sigmas: float =
     lists = max(1, min(MOST_LISTS, int(most**0.5)))
     sample = once.where("label IS NOT NULL").orderBy(F.xxhash64("vec_id"), "uid").select("embedding").limit(min(SAMPLE, max(1_024, PER_LIST * lists)))
     qs = {x.shape[1]: fit(x, lists) for _, x in _units(sample.toArrow()["embedding"]) if len(x)} if most else {}
-    found = scratch.save(links(once, qs, least, sigmas, scratch), "found")
+    found = scratch.save(links(once, qs, least, scratch), "found")
     degree = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "uid")
     roots = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "components").withColumnRenamed("node", "uid")
     named = scratch.save(rows.select("uid", "vec_id").join(roots, "uid", "left").join(degree, "uid", "left").select("uid", "vec_id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").isNotNull().alias("linked")), "named")

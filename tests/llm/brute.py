@@ -93,34 +93,30 @@ def vector_links(rows: list[tuple], least: float) -> dict:
 
 
 def cell(v: int) -> int:
-    """A whole number's cell in a quantile sketch: itself below 64, else with its six leading bits."""
-    unit = 1 << max(v.bit_length() - 6, 0)
+    """A whole number's cell in a quantile sketch: itself below 128, else with its seven leading bits."""
+    unit = 1 << max(v.bit_length() - 7, 0)
     return v - v % unit
 
 
 def adaptive(docs: list[tuple]) -> dict:
     """Verdicts of the quality rules for (doc_id, text, lang, source), from all values of each group."""
-    plan = {"symbols": (6, "n_words", 1000), "dup_lines": (2, "n_lines", 1000), "repeats": (30, "n_words", 1000), "word_length": (100, "n_words", 100)}
+    plan = {"symbols": (800, 3), "dup_lines": (990, 1), "repeats": (990, 1), "word_length": (800, 6)}
     rows = []
     for i, text, lang, source in docs:
         n, chars, symbols, dup, repeat, failed = quality(text)
         lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
-        x = {"n_words": n, "n_lines": lines, "symbols": symbols * 1000 // max(n, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n, 1), "word_length": chars * 100 // max(n, 1)}
-        rows.append((i, lang, source, x, failed))
+        x = {"symbols": symbols * 1000 // max(n, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n, 1), "word_length": chars * 100 // max(n, 1)}
+        rows.append((i, lang, source, {k: cell(v) for k, v in x.items()}, failed))
     fine = [r for r in rows if not r[4]]
 
-    def fifths(own, name):
-        v = sorted(cell(r[3][name]) for r in own)
-        return [v[-(-len(v) * k // 10) - 1] for k in (2, 5, 8)]
-
     limits: dict = {}
     for key in {r[1:3] for r in fine}:
         levels = [[r for r in fine if r[1:3] == key], [r for r in fine if r[1] == key[0]], fine]
         own = next((x for x in levels[:2] if len(x) >= 30), levels[2])
-        for name, (slack, size, scale) in plan.items():
-            low, middle, high = fifths(own, name)
-            more = slack * scale // max(fifths(own, size)[1], 1)
-            limits[key, name] = (low - 3 * (middle - low) - more if name == "word_length" else -1, high + 3 * (high - middle) + more)
+        for name, (level, reach) in plan.items():
+            v = sorted(r[3][name] for r in own)
+            low, middle, high = (v[-(-len(v) * k // 1000) - 1] for k in (1000 - level, 500, level))
+            limits[key, name] = (low - reach * (middle - low) if name == "word_length" else -1, high + reach * (high - middle))
     return {i: not failed and all(limits[(lang, source), k][0] <= x[k] <= limits[(lang, source), k][1] for k in plan) for i, lang, source, x, failed in rows}
 
 

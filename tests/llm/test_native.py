@@ -68,13 +68,26 @@ def test_quality_fields_and_verdict(spark, data):
     assert 0.7 < sum(r.kept for r in rows.values()) / len(rows) < 1
 
 
-def test_quality_limits_differ_between_groups(spark):
-    found = quality.with_fields(queries.documents(spark, "/root/testdata/sf0.1")).where("NOT base_failed")
-    limits = quality.thresholds(quality.sketch(found, quality.sketched(quality.FENCES))).toPandas()
-    assert len(limits) > 50
-    for name in ("high_symbols", "high_dup_lines", "high_repeats", "high_word_length", "low_word_length"):
-        for lang, own in limits.groupby("lang"):
-            assert own[name].nunique() > 1, (name, lang)
+def test_quality_limits_are_each_groups_own(spark):
+    """Limits differ between groups, and medians over all groups in their place give other verdicts, in either direction."""
+    found = quality.with_fields(queries.documents(spark, "/root/testdata/sf0.1")).where("NOT base_failed").cache()
+    limits = quality.thresholds(quality.sketch(found, quality.sketched(quality.FENCES))).cache()
+    own = limits.toPandas()
+    names = ["high_dup_lines", "high_repeats", "high_word_length", "low_word_length"]
+    assert len(own) > 50
+    for name in names:
+        for lang, group in own.groupby("lang"):
+            assert group[name].nunique() > 2, (name, lang)
+    same = limits.select("lang", "source", *(F.lit(int(own[n].median())).alias(n) for n in ["high_symbols", *names]))
+    verdicts = [{r.doc_id: r.kept for r in quality.judge(found, x).collect()} for x in (limits, same)]
+    assert sum(a and not verdicts[1][i] for i, a in verdicts[0].items()) >= 10 and sum(verdicts[1][i] and not a for i, a in verdicts[0].items()) >= 2
+
+
+def test_quality_keeps_clean_documents_and_rejects_bad_ones(spark):
+    sf = "/root/testdata/sf0.1"
+    judged = queries.op7_quality_rules(spark, sf).where("NOT base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    by = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert by.get((0, True), 0) == 0 and by[0, False] > 200 and by.get((1, False), 0) < 0.005 * by[1, True]
 
 
 def test_quality_odd_texts(spark):
@@ -101,7 +114,7 @@ def test_quality_thresholds_follow_the_group(spark, tmp_path):
 
 def test_sketch_cells(spark):
     got = spark.range(0, 5000).select("id", quality.cell(F.col("id")).alias("c")).collect()
-    assert all(r.c <= r.id and (r.id - r.c) * 32 <= r.id for r in got) and all(r.c == r.id for r in got[:64])
+    assert all(r.c <= r.id and (r.id - r.c) * 64 <= r.id for r in got) and all(r.c == r.id for r in got[:128])
 
 
 def test_chat_contract(spark, data):

@@ -147,8 +147,8 @@ DATE_RANGE = rf"(?i)({_MONTH})?\s*(\d{{4}})\s*[-–—to]+\s*(present|current|no
 # The order of stages in a latency report.
 STAGES = ["text_extraction", "ocr", "parsing", "chunking", "embedding_generation", "ner", "llm", "db_writes"]
 
-#: English words that n-grams leave out unless another list is given (a parameter of `functions.text.terms`).
-STOP_WORDS = [
+#: English words that n-grams leave out where no longer list is installed.
+_COMMON_WORDS = [
     "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being",
     "below", "between", "both", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had",
     "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "may", "me", "might", "more",
@@ -157,6 +157,19 @@ STOP_WORDS = [
     "up", "us", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
 ]
 
+
+def english_stop_words() -> list[str]:
+    """The list "english" of scikit-learn, which the vectorisers' results rest on, where that library is installed; else a
+    shorter one of our own. Any other list can be given to `functions.text.terms`."""
+    try:
+        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
+    except ImportError:
+        return _COMMON_WORDS
+    return sorted(ENGLISH_STOP_WORDS)
+
+
+STOP_WORDS = english_stop_words()
+
 # Files that are taken, and names that are junk.
 SUFFIXES = ("pdf", "docx", "txt")
 JUNK = r"(^|/)(\._[^/]*|\.DS_Store|Thumbs\.db|~\$[^/]*)$"

@@ -1,126 +1,145 @@
-"""TF-IDF of whole documents and by section."""
+"""TF-IDF of whole documents and by section, over an inverted index that is written once."""
 
 from __future__ import annotations
 
-from collections import Counter
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank import config
-from quillrank.functions.text import once
 from quillrank.session import shared_dir
 
+#: Postings of a bucket of terms, about; there are LEAST_BUCKETS of them or more.
+PER_BUCKET, LEAST_BUCKETS = 1 << 22, 8
+
 
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
-def _counted(terms: Column) -> Column:
-    """(term, n) of an array of terms, by their 64-bit hashes: a run of equal ones ends where the next one differs."""
-
-    def ends(hs: Column) -> Column:
-        each = F.transform(hs, lambda h, i: F.struct(h.alias("term"), (i + 1).alias("upto"), F.get(hs, i + 1).alias("next")))
-        return F.filter(each, lambda x: x["next"].isNull() | (x["next"] != x["term"]))
-
-    def lengths(e: Column) -> Column:
-        return F.transform(e, lambda x, i: F.struct(x["term"].alias("term"), (x["upto"] - F.when(i > 0, F.get(e, i - 1)["upto"]).otherwise(0)).cast("long").alias("n")))
+def whole(terms: Column, name: str = "all") -> Column:
+    return F.array(F.struct(F.lit(name).alias("section"), terms.alias("terms")))
 
-    return once(once(F.sort_array(F.transform(terms, lambda t: F.xxhash64(t))), ends), lengths)
 
+class TermIndex:
+    """What a vectoriser learns from documents, in tables of shared storage, and the cosines of descriptions with them.
 
-class Terms:
-    """Term counts of one pass over the texts, written to shared storage: documents are split into terms and these are
-    counted once, within their row, and all that follows reads the counts. A term is told by a 64-bit hash. Sections that
-    are empty or null have none."""
+    Texts are split once. Each section has a vocabulary and an idf (smoothed, plus 1) of its own, of its documents with
+    terms; sections that are empty or null have none. Terms in under `min_df` of a section's documents don't count, unless
+    the section has under three or no term would be left. Tables: `counts` (key, section, term, n), `vocabulary` (section,
+    term, df), `postings` (bucket, section, term, key, w) by buckets of terms, so that a description reads only those of
+    its own terms, and `norms` (key, section, norm). In all of them a term is told by a 64-bit hash of its section and its
+    word; `words` has the words.
+    """
 
-    def __init__(self, docs: DataFrame, key: str, sections: Column):
+    def __init__(self, docs: DataFrame, key: str, sections: Column, sublinear: bool = True, min_df: int = 1):
         """`sections` is an array of (section, terms) with arrays of terms; a section may come more than once."""
-        spark, root = docs.sparkSession, shared_dir(docs.sparkSession)
-        self.spark, self.key, self.docs = spark, key, docs.select(key)
-
-        def merged(found: Column) -> Column:
-            names = F.array_distinct(F.transform(found, lambda s: s["section"]))
-            of = lambda n: F.flatten(F.transform(F.filter(found, lambda s: s["section"] == n), lambda s: s["terms"]))
-            return F.transform(names, lambda n: F.struct(n.alias("section"), _counted(of(n)).alias("counts")))
-
-        # nothing filters or explodes the arrays before they are written: either would make Spark compute them twice
-        saved = self._saved(docs.select(key, once(sections, merged).alias("ss")), f"{root}/terms")
-        self.rows = saved.select(key, F.explode("ss").alias("s")).select(key, "s.section", "s.counts").where(F.size("counts") > 0)
-        self.counts = self.rows.select(key, "section", F.explode("counts").alias("c")).select(key, "section", "c.term", "c.n")
-        df = self.counts.groupBy("section", "term").agg(F.count("*").alias("df"))
-        self.df = self._saved(df, f"{root}/df")
-
-    def _saved(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def asked(self, terms: list[str]) -> DataFrame:
-        """A description's terms as rows: as many as one text has."""
-        return self.spark.createDataFrame(sorted(Counter(terms).items()), "t string, q_n long").select(F.xxhash64("t").alias("term"), "q_n")
-
-    def cosines(self, terms: list[str], sublinear: bool = True, min_df: int = 1) -> DataFrame:
-        """(key, section, cos, hits) of all that have terms there: the cosine with the description's, by smoothed idf and
-        unit length, and how many of the description's terms are there.
-
-        Each section has a vocabulary and an idf of its own, of its documents with terms. Terms in under `min_df` of them
-        don't count, unless they are under three or none would be left. A row a section is read to the driver. Terms of a
-        single document all have one idf: only the others, and the description's, are joined.
-        """
-        docs = {r["section"]: r["docs"] for r in self.rows.groupBy("section").agg(F.count("*").alias("docs")).collect()}
-        most = {r["section"]: r["most"] for r in self.df.groupBy("section").agg(F.max("df").alias("most")).collect()}
-        if not docs:
-            return self.counts.select(self.key, "section", F.lit(0.0).alias("cos"), F.lit(0).alias("hits"))
-        least = _map({s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in docs.items()})
-        at, idf = F.col("section"), lambda df: F.log((1 + _map(docs)[F.col("section")]) / (1 + df)) + 1
-        weight = lambda n, df: (1 + F.log(n) if sublinear else n.cast("double")) * idf(df)
-        known = self.df.join(self.asked(terms), "term", "left").where((F.col("df") > 1) | F.col("q_n").isNotNull())
-        q = F.when(F.col("df") >= least[at], weight(F.col("q_n"), F.col("df")))
-        known = known.select("section", "term", "df", F.coalesce(q, F.lit(0.0)).alias("q"), F.col("q_n").isNotNull().alias("hit"))
-        norm = {r["section"]: r["q"] for r in known.where("q > 0").groupBy("section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q")).collect()}
-        both = self.counts.join(known, ["section", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-        w = F.when(F.col("df") >= least[at], weight(F.col("n"), F.col("df"))).otherwise(0.0)
-        both = both.select(self.key, "section", w.alias("w"), F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("hit", F.lit(False)).alias("hit"))
-        sums = both.groupBy(self.key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count_if("hit").alias("hits"))
-        length = F.coalesce(F.try_element_at(_map(norm), at), F.lit(0.0)) if norm else F.lit(0.0)
-        return sums.select(self.key, "section", "hits", F.coalesce(F.col("dot") / F.nullif(F.col("norm") * length, F.lit(0.0)), F.lit(0.0)).alias("cos"))
-
-    def overlap(self, terms: list[str]) -> DataFrame:
-        """(key, overlap): the share of the description's distinct terms that a document has in any section."""
-        wanted, n = self.asked(terms).select("term"), max(1, len(set(terms)))
-        return self.counts.join(wanted, "term").groupBy(self.key).agg((F.count_distinct("term") / n).alias("overlap"))
-
-    def everyone(self, scores: DataFrame, column: str) -> DataFrame:
-        """A row a document, with 0 where there is no score."""
-        return self.docs.join(scores, self.key, "left").select(self.key, F.coalesce(column, F.lit(0.0)).alias(column))
+        self.spark, self.root, self.key = docs.sparkSession, shared_dir(docs.sparkSession), key
+        self.docs, self.sublinear = docs.select(key), sublinear
+        # a document's terms stay in one task: texts are dealt by key, not their many more terms. An outer explode, as of an
+        # inner one Spark would check the arrays first and so compute them twice
+        split = docs.repartition(key).select(key, F.explode_outer(sections).alias("s")).select(key, "s.section", F.explode_outer("s.terms").alias("word"))
+        self._split = split.where("word IS NOT NULL")
+        counts = self._split.groupBy(key, "section", F.xxhash64("section", "word").alias("term")).agg(F.count("*").alias("n"))
+        self.counts = self._saved(counts, "counts")
+        self.vocabulary = self._saved(self.counts.groupBy("term", "section").agg(F.count("*").alias("df")), "vocabulary")
+        # a row a section is read to the driver
+        sizes = self.counts.select("section", key).distinct().groupBy("section").agg(F.count("*").alias("docs"))
+        self.sizes = {r["section"]: r["docs"] for r in sizes.collect()}
+        most = {r["section"]: r["most"] for r in self.vocabulary.groupBy("section").agg(F.max("df").alias("most")).collect()}
+        self.least = {s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in self.sizes.items()}
+        n = self.counts.count()
+        self.buckets = max(LEAST_BUCKETS, 1 << (n // PER_BUCKET).bit_length())
+        # terms of a single document have one idf all: only the others are joined
+        several = self.vocabulary.where("df > 1").select("term", "df")
+        w = self._weight(F.col("n"), F.coalesce("df", F.lit(1)))
+        weighed = self.counts.join(several, "term", "left").select(self._bucket().alias("bucket"), "section", "term", key, w.alias("w")).where("w > 0")
+        # a bucket is a folder; one that outgrows a task, as a frequent term's may, is split by Spark
+        weighed = weighed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        self.postings = self._saved(weighed, "postings", "bucket")
+        self.norms = self._saved(self.postings.groupBy(key, "section").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
+
+    def _saved(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        out = df.write.partitionBy(by) if by else df.write
+        out.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.hash("term"), F.lit(self.buckets))
+
+    def _weight(self, n: Column, df: Column) -> Column:
+        """tf * idf, 0 for a term of too few documents."""
+        if not self.sizes:
+            return F.lit(0.0)
+        at = F.col("section")
+        idf = F.log((1 + _map(self.sizes)[at]) / (1 + df)) + 1
+        return F.when(df >= _map(self.least)[at], (1 + F.log(n) if self.sublinear else n.cast("double")) * idf).otherwise(0.0)
+
+    def checked(self) -> TermIndex:
+        """This index, or an error if no document has a term: there is nothing to compare with then."""
+        if not self.sizes:
+            raise ValueError("no document has terms: all are empty or hold stop words only")
+        return self
+
+    def drop(self) -> None:
+        """Removes the tables."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def words(self) -> DataFrame:
+        """(section, term, word, df, idf) of the vocabulary."""
+        named = self._split.select(F.xxhash64("section", "word").alias("term"), "word").distinct()
+        idf = F.log((1 + _map(self.sizes)[F.col("section")]) / (1 + F.col("df"))) + 1 if self.sizes else F.lit(0.0)
+        return named.join(self.vocabulary, "term").withColumn("idf", idf)
+
+    def cosines(self, asked: DataFrame) -> DataFrame:
+        """(item, key, section, cos) for all descriptions (item, terms: array) and all documents and sections that share a
+        term that counts. Descriptions, with their terms, are a stated set that Spark may broadcast where it is small."""
+        words = asked.select("item", F.explode_outer("terms").alias("word")).where("word IS NOT NULL").groupBy("item", "word").agg(F.count("*").alias("q_n"))
+        each = words.select("item", "q_n", "word", F.explode(F.array(*map(F.lit, self.sizes)).cast("array<string>")).alias("section"))
+        terms = each.select("item", "q_n", F.xxhash64("section", "word").alias("term"))
+        q = terms.join(self.vocabulary, "term").select("item", "section", "term", self._bucket().alias("bucket"), self._weight(F.col("q_n"), F.col("df")).alias("q")).where("q > 0")
+        self._asked = getattr(self, "_asked", 0) + 1
+        q = self._saved(q, f"asked-{self._asked}")
+        # as many numbers as there are buckets at most
+        there = [r["bucket"] for r in q.select("bucket").distinct().collect()]
+        lengths = q.groupBy("item", "section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
+        dots = self.postings.where(F.col("bucket").isin(there)).join(q.drop("section"), ["bucket", "term"]).groupBy("item", self.key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+        near = dots.join(self.norms, [self.key, "section"]).join(lengths, ["item", "section"])
+        return near.select("item", self.key, "section", (F.col("dot") / (F.col("norm") * F.col("length"))).alias("cos"))
+
+    def similarities(self, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
+        """(item, key, similarity): cosines by section, weighed. A document that lacks a section scores 0 there; a section
+        that no document has is left out of the weights."""
+        used = {s: w for s, w in weights.items() if s in self.sizes}
+        cos = self.cosines(asked).where(F.col("section").isin(*used) if used else F.lit(False))
+        share = _map(used)[F.col("section")] * F.col("cos") / sum(used.values()) if used else F.lit(0.0)
+        return cos.groupBy("item", self.key).agg(F.sum(share).alias("similarity"))
 
 
-def whole(terms: Column, name: str = "all") -> Column:
-    return F.array(F.struct(F.lit(name).alias("section"), terms.alias("terms")))
-
+def boosted(similarity: Column, overlap: Column, most: float = 0.5) -> Column:
+    """Raised by up to a half with the share of wanted skills that are there, at most 1."""
+    return F.least(similarity * (1 + most * overlap), F.lit(1.0))
 
-def tfidf(docs: DataFrame, key: str, terms: Column, query: list[str], sublinear: bool = True, min_df: int = 1) -> DataFrame:
-    """(key, tfidf, overlap) of every document: its cosine with the query, and the share of the query's distinct terms that
-    it has."""
-    own = Terms(docs, key, whole(terms))
-    scores = own.cosines(query, sublinear, min_df).select(key, F.col("cos").alias("tfidf"), (F.col("hits") / max(1, len(set(query)))).alias("overlap"))
-    return own.docs.join(scores, key, "left").select(key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("tfidf", "overlap")))
 
+def keyword_scores(tfidf: DataFrame, docs: DataFrame, asked: DataFrame, key: str, k: int, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """The `k` best documents of each description: item, key, tfidf, skill, final, rank, matched, missing.
 
-def section_tfidf(own: Terms, query: list[str], weights: dict[str, float] = config.SECTION_WEIGHTS, min_df: int = 1) -> DataFrame:
-    """(key, similarity): cosines of each section with the query, weighed by section.
+    `tfidf` (item, key, similarity) has what shares a term, `docs` (key, skills) all documents and `asked` (item, skills)
+    all descriptions. final is 0.7 tfidf + 0.3 of the share of the description's skills that a document has, within 0 and
+    1; ranks are by final, then tfidf, both to 12 places (sums of equal terms may differ in the last), then key.
 
-    A document that lacks a section scores 0 there; a section that no document has is left out of the weights.
+    Documents meet descriptions by a term or a skill that both have, not each with each; where fewer than `k` do, those
+    with the least keys fill the ranks, with 0.
     """
-    there = {r["section"] for r in own.df.select("section").distinct().collect()}
-    used = {s: w for s, w in weights.items() if s in there}
-    if not used:
-        return own.docs.withColumn("similarity", F.lit(0.0))
-    cos = own.cosines(query, min_df=min_df).where(F.col("section").isin(*used))
-    sums = cos.groupBy(own.key).agg((F.sum(_map(used)[F.col("section")] * F.col("cos")) / sum(used.values())).alias("similarity"))
-    return own.everyone(sums, "similarity")
-
-
-def boosted(similarity: Column, overlap: Column, most: float = 0.5) -> Column:
-    """Raised by up to a half with the share of wanted skills that are there, at most 1."""
-    return F.least(similarity * (1 + most * overlap), F.lit(1.0))
+    wanted = asked.select("item", F.explode("skills").alias("skill"))
+    shared = docs.select(key, F.explode("skills").alias("skill")).join(wanted, "skill").select("item", key)
+    rest = asked.select("item").crossJoin(docs.select(key).orderBy(F.asc_nulls_last(key)).limit(k))
+    pairs = shared.unionByName(rest).distinct().join(tfidf, ["item", key], "full")
+    named = asked.select("item", F.col("skills").alias("wanted"))
+    rows = pairs.join(docs.select(key, "skills"), key).join(named, "item")
+    tf = F.coalesce("similarity", F.lit(0.0))
+    hit = F.array_sort(F.array_intersect("wanted", "skills"))
+    skill = F.when(F.size("wanted") > 0, F.size(hit) / F.size("wanted")).otherwise(0.0)
+    rows = rows.select("item", key, tf.alias("tfidf"), skill.alias("skill"), hit.alias("matched"), F.array_sort(F.array_except("wanted", "skills")).alias("missing"))
+    rows = rows.withColumn("final", F.greatest(F.lit(0.0), F.least(F.lit(1.0), weights[0] * F.col("tfidf") + weights[1] * F.col("skill"))))
+    best = F.row_number().over(Window.partitionBy("item").orderBy(F.round("final", 12).desc(), F.round("tfidf", 12).desc(), F.asc_nulls_last(key)))
+    return rows.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)

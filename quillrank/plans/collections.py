@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank import config
+from quillrank.functions import dates as D
 from quillrank.functions import entities as E
 from quillrank.functions import text as X
 from quillrank.operators import indexing as I
 from quillrank.operators import records as M
-from quillrank.plans.registry import query, table
+from quillrank.plans.base import query, table
 from quillrank.sources import sinks
 
 AS_OF = "2026-01-01"
@@ -95,8 +96,6 @@ def resume_intelligence(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '1998,2003' ELSE '2003' END AS years, CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 0 END AS span FROM orders""")
 def year_extract(spark: SparkSession, d: str) -> DataFrame:
     """Years on their own; digits that go on, and years out of range, are none."""
-    from quillrank.functions import dates as D
-
     text = F.when(F.col("o_orderkey") % 2 == 0, "from Mar 1998 to 05/2003 (no. 20011, 1850)").otherwise("2003-05, 2003; x2001 and 2150")
     span = D.year_span(text)
     return table(spark, d, "orders").select("o_orderkey", F.array_join(D.years(text), ",").alias("years"), span["years_max"].alias("span"))

@@ -10,9 +10,10 @@ from quillrank.functions import entities as E
 from quillrank.functions import sections as S
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
-from quillrank.operators.sections import Terms, boosted, section_tfidf
+from quillrank.operators.sections import TermIndex, boosted
 from quillrank.plans import scoring
-from quillrank.plans.registry import query, table
+from quillrank.plans.base import query, table
+from quillrank.plans.sql import grams_sql, skills_sql, words_sql
 from quillrank.plans.textual import _NORM
 from quillrank.session import shared_dir
 from quillrank.sources import files, sinks
@@ -91,25 +92,27 @@ _KIND = "CASE WHEN i = 1 THEN 'general' " + " ".join(f"WHEN regexp_full_match(lo
 
 @query(rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(?i)({"|".join(PARTS.values())})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM documents),
   u AS (SELECT doc_id, i, ps[i] AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
-  z AS (SELECT doc_id, {_KIND} AS section, CASE WHEN i = 1 THEN p ELSE string_split(p, chr(2))[2] END AS t FROM u), x AS (SELECT doc_id, section, {scoring.words_sql("t")} AS ws FROM z),
-  t AS (SELECT doc_id, section, unnest({scoring.grams_sql("ws", 3)}) AS term FROM x), tf AS (SELECT doc_id, section, term, count(*) AS n FROM t GROUP BY ALL),
+  z AS (SELECT doc_id, {_KIND} AS section, CASE WHEN i = 1 THEN p ELSE string_split(p, chr(2))[2] END AS t FROM u), x AS (SELECT doc_id, section, {words_sql("t")} AS ws FROM z),
+  t AS (SELECT doc_id, section, unnest({grams_sql("ws", 3)}) AS term FROM x), tf AS (SELECT doc_id, section, term, count(*) AS n FROM t GROUP BY ALL),
   sw AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {w}::double)" for k, w in config.SECTION_WEIGHTS.items())}) v(section, sw)),
   f AS (SELECT section, any_value(sw) AS sw, count(DISTINCT doc_id) AS docs FROM tf JOIN sw USING (section) GROUP BY 1),
   idf AS (SELECT section, term, ln((1 + any_value(docs)) / (1 + count(*))::double) + 1 AS idf FROM tf JOIN f USING (section) GROUP BY ALL HAVING count(*) >= 2),
-  jw AS (SELECT {scoring.words_sql("text")} AS ws FROM benchmark WHERE item_id = 0), jt AS (SELECT term, count(*) AS n FROM (SELECT unnest({scoring.grams_sql("ws", 3)}) AS term FROM jw) GROUP BY 1),
-  q AS (SELECT section, term, (1 + ln(n)) * idf AS q FROM jt JOIN idf USING (term)), qn AS (SELECT section, sqrt(sum(q * q)) AS qn FROM q GROUP BY 1),
-  c AS (SELECT doc_id, section, sum((1 + ln(n)) * idf * coalesce(q, 0)) / (sqrt(sum(((1 + ln(n)) * idf) ** 2)) * any_value(qn)) AS cos FROM tf JOIN idf USING (section, term) LEFT JOIN q USING (section, term) JOIN qn USING (section) GROUP BY ALL),
-  s AS (SELECT doc_id, sum(sw * cos) / (SELECT sum(sw) FROM f) AS s FROM c JOIN f USING (section) GROUP BY 1),
-  k AS (SELECT doc_id, count(DISTINCT term) / (SELECT count(*) FROM jt)::double AS o FROM tf WHERE term IN (SELECT term FROM jt) GROUP BY 1)
-  SELECT d.doc_id, round(least(coalesce(s, 0) * (1 + 0.5 * coalesce(o, 0)), 1), 6)::double AS score FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""")
+  jw AS (SELECT item_id, {words_sql("text")} AS ws FROM benchmark), jt AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({grams_sql("ws", 3)}) AS term FROM jw) GROUP BY 1, 2),
+  q AS (SELECT item_id, section, term, (1 + ln(n)) * idf AS q FROM jt JOIN idf USING (term)), qn AS (SELECT item_id, section, sqrt(sum(q * q)) AS qn FROM q GROUP BY 1, 2),
+  dn AS (SELECT doc_id, section, sqrt(sum(((1 + ln(n)) * idf) ** 2)) AS dn FROM tf JOIN idf USING (section, term) GROUP BY 1, 2),
+  c AS (SELECT item_id, doc_id, section, sum((1 + ln(n)) * idf * q) / (any_value(dn) * any_value(qn)) AS cos FROM tf JOIN idf USING (section, term) JOIN q USING (section, term) JOIN dn USING (doc_id, section) JOIN qn USING (item_id, section) GROUP BY 1, 2, 3),
+  s AS (SELECT item_id, doc_id, sum(sw * cos) / (SELECT sum(sw) FROM f) AS s FROM c JOIN f USING (section) GROUP BY 1, 2),
+  js AS (SELECT item_id, {skills_sql("text", scoring.VOCABULARY)} AS want FROM benchmark), ds AS (SELECT doc_id, {skills_sql("text", scoring.VOCABULARY)} AS own FROM documents)
+  SELECT item_id, doc_id, round(least(s * (1 + 0.5 * CASE WHEN len(want) > 0 THEN len(list_intersect(want, own)) / len(want)::double ELSE 0 END), 1), 6)::double AS score FROM s JOIN js USING (item_id) JOIN ds USING (doc_id)""")
 def section_tfidf_boost(spark: SparkSession, d: str) -> DataFrame:
     """Sections of whole texts, 1- to 3-grams less stop words in at least two documents, boosted by the share of the
-    description's terms that a document has in any section."""
+    description's skills that a document has: all descriptions and documents that share a term."""
     docs, wanted = table(spark, d, "documents").select("doc_id", "text"), scoring.asked(spark, d, 3)
     cut = F.transform(S.anywhere(F.col("text"), PARTS), lambda s: F.struct(s["section"].alias("section"), X.terms(s["text"], 3, config.STOP_WORDS).alias("terms")))
-    own = Terms(docs, "doc_id", cut)
-    scores = section_tfidf(own, wanted, min_df=2).join(own.overlap(wanted), "doc_id", "left")
-    return scores.select("doc_id", F.round(boosted(F.col("similarity"), F.coalesce("overlap", F.lit(0.0))), 6).alias("score"))
+    index = TermIndex(docs, "doc_id", cut, min_df=2)
+    own = docs.select("doc_id", X.extract_skills(F.col("text"), scoring.VOCABULARY).alias("own"))
+    near = index.similarities(wanted, config.SECTION_WEIGHTS).join(own, "doc_id").join(wanted.select("item", "skills"), "item")
+    return near.select(F.col("item").alias("item_id"), "doc_id", F.round(boosted(F.col("similarity"), R.overlap(F.col("skills"), F.col("own"))), 6).alias("score"))
 
 
 @query(f"""WITH {scoring._JOB}, m AS (SELECT x.*, own, list_filter(w, lambda e: NOT list_contains(own, e)) AS missing, len(list_intersect(w, own)) AS hit FROM x JOIN own ON s = candidate, want),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.operators import latency as L
-from quillrank.plans.registry import query, table
+from quillrank.plans.base import query, table
 from quillrank.session import shared_dir
 
 #: Two event types under names of known stages; the others are stages of their own.

@@ -1,30 +1,8 @@
-"""Queries by name, and the SQL that an oracle runs beside each."""
+"""All registered queries by name, and the SQL that an oracle runs beside each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillrank.plans import collections, extraction, latency, reports, relational, scoring, textual, uploads  # noqa: F401
+from quillrank.plans.base import ORACLE, QUERIES, query, table
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with its SQL if there is some."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-from quillrank.plans import collections, extraction, latency, reports, relational, scoring, textual, uploads  # noqa: E402, F401
+__all__ = ["ORACLE", "QUERIES", "query", "table"]

@@ -12,7 +12,7 @@ from quillrank import config
 from quillrank.config import RankingConfig
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
-from quillrank.plans.registry import query, table
+from quillrank.plans.base import query, table
 
 count_if = F.count_if
 

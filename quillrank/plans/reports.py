@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
 from quillrank.operators import records as M
-from quillrank.plans.registry import query, table
+from quillrank.operators.ranking import ranked
+from quillrank.plans.base import query, table
 from quillrank.session import shared_dir
 from quillrank.sources import sinks
 
@@ -42,8 +43,6 @@ def recent_items(spark: SparkSession, d: str) -> DataFrame:
     """Each owner's last ten, newest first."""
     by = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
     rows = M.latest(table(spark, d, "orders"), ["o_custkey"], by, 10)
-    from pyspark.sql import Window
-
     return rows.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*by)).cast("long").alias("place"))
 
 
@@ -94,8 +93,6 @@ def rankings_by_job(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").where("o_totalprice >= 200000 AND o_orderstatus = 'F'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(jobs, F.col("c_nationkey") == F.col("job")).select("job", F.col("o_orderkey").alias("ranking"), "o_totalprice")
     totals = rows.groupBy("job").agg(F.count("*").alias("total"))
-    from quillrank.operators.ranking import ranked
-
     page = ranked(rows, [F.col("o_totalprice").desc(), F.col("ranking")], ["job"]).where("rank <= 20")
     return page.join(totals, "job").select("job", "ranking", "rank", "total")
 

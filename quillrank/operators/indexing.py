@@ -18,6 +18,12 @@ def none() -> Column:
     return F.array().cast("array<string>")
 
 
+def named_places(found: Column | None, least: int) -> Column:
+    """What a model named, in lower case and stripped, of `least` characters or more, sorted and distinct."""
+    low = F.transform(none() if found is None else found, lambda x: X.strip(F.lower(x)))
+    return F.array_sort(F.array_distinct(F.filter(low, lambda x: F.length(x) >= least)))
+
+
 def section_text(sections: Column, name: str) -> Column:
     """The first section of a name; null if there is none."""
     return F.get(F.filter(sections, lambda s: s["section"] == name), F.lit(0))["text"]
@@ -81,14 +87,13 @@ def indexed(files: DataFrame, as_of: Column, vocabulary: list[str] = config.SKIL
 
 def intelligence(text: Column, vocabulary: list[str] = config.SKILLS, named_roles: Column | None = None, organizations: Column | None = None, locations: Column | None = None) -> Column:
     """(sections, entities, experience) of a text: sections by heading lines, normalised entities of rules and of what a
-    model of the caller's found, and signals of experience."""
+    model of the caller's found (organisations of three characters or more, places of two), and signals of experience."""
     held = S.by_lines(text)
     names = [*config.SECTION_LINES, "other"]
     sections = X.once(held, lambda m: F.struct(*(F.coalesce(F.try_element_at(m, F.lit(n)), F.lit("")).alias(n) for n in names)))
     roles = records.union_of(E.roles(text), E.title_roles(text), none() if named_roles is None else named_roles)
-    distinct = lambda c: F.array_sort(F.array_distinct(none() if c is None else c))
     degree = F.get(E.degrees(text), F.lit(0))
-    entities = records.normalized_entities(E.skill_mentions(text, vocabulary), roles, distinct(organizations), distinct(locations), degree)
+    entities = records.normalized_entities(E.skill_mentions(text, vocabulary), roles, named_places(organizations, 3), named_places(locations, 2), degree)
     field = F.get(E.study_fields(text), F.lit(0)).alias("field")
     span = D.year_span(text)
     signals = lambda s, n: F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 
 #: Postings of a bucket of terms, about; there are LEAST_BUCKETS of them or more.
 PER_BUCKET, LEAST_BUCKETS = 1 << 22, 8
@@ -32,7 +32,7 @@ class TermIndex:
 
     def __init__(self, docs: DataFrame, key: str, sections: Column, sublinear: bool = True, min_df: int = 1):
         """`sections` is an array of (section, terms) with arrays of terms; a section may come more than once."""
-        self.spark, self.root, self.key = docs.sparkSession, shared_dir(docs.sparkSession), key
+        self.spark, self.root, self.key = docs.sparkSession, scratch_folder(docs.sparkSession), key
         self.docs, self.sublinear = docs.select(key), sublinear
         # a document's terms stay in one task: texts are dealt by key, not their many more terms. An outer explode, as of an
         # inner one Spark would check the arrays first and so compute them twice

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import strip
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 
 #: Rows, and canonical entries, that meet in one task; and rows that are taken in order at once.
 BLOCK = 2_048
@@ -72,7 +72,7 @@ class Taxonomy:
     """
 
     def __init__(self, like: DataFrame, least: float = 0.85, root: str | None = None):
-        self.spark, self.least, self.root = like.sparkSession, least, root or shared_dir(like.sparkSession)
+        self.spark, self.least, self.root = like.sparkSession, least, root or scratch_folder(like.sparkSession)
 
     def entries(self, before: int | None = None) -> DataFrame:
         """All canonical entries, or those that batches before a number added."""

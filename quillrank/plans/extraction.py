@@ -15,7 +15,7 @@ from quillrank.plans import scoring
 from quillrank.plans.base import query, table
 from quillrank.plans.sql import grams_sql, skills_sql, words_sql
 from quillrank.plans.textual import _NORM
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 from quillrank.sources import files, sinks
 from quillrank.streaming import ingest
 
@@ -168,7 +168,7 @@ def index_upsert(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT sha256(text) AS h FROM documents WHERE text IS NOT NULL")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """First-seen texts of a stream of files, in a run that takes all that is there."""
-    root = shared_dir(spark)
+    root = scratch_folder(spark)
     rows = ingest.stream(spark, d, "doc_id long, text string", "documents.parquet").where("text IS NOT NULL")
     ingest.run_once(ingest.first_seen(rows).select("h"), f"{root}/out", f"{root}/state")
     return spark.read.schema("h string").parquet(f"{root}/out").select("h")
@@ -177,7 +177,7 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def replaced_rankings(spark: SparkSession, d: str) -> DataFrame:
     """A table by status is written with wrong prices, then each status is replaced whole."""
-    path, rows = shared_dir(spark), table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path, rows = scratch_folder(spark), table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     sinks.replace_partitions(rows.withColumn("o_totalprice", F.lit(0.0)), path, "o_orderstatus")
     sinks.replace_partitions(rows, path, "o_orderstatus")
     return spark.read.schema(rows.schema).parquet(path)

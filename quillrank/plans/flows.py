@@ -12,7 +12,7 @@ from quillrank.operators import ranking as R
 from quillrank.operators.taxonomy import Taxonomy
 from quillrank.plans import scoring
 from quillrank.plans.base import query, table
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 from quillrank.sources.versions import Versions
 from quillrank.streaming.queue import Queue, Seen
 
@@ -40,7 +40,7 @@ def taxonomy_grown(spark: SparkSession, d: str) -> DataFrame:
 
 def _arriving(spark: SparkSession, rows: DataFrame, key: str, parts: int) -> DataFrame:
     """A stream of a table's rows, a file after another in the order of `key`."""
-    folder, most = shared_dir(spark), rows.agg(F.max(key)).first()[0] or 0
+    folder, most = scratch_folder(spark), rows.agg(F.max(key)).first()[0] or 0
     for k in range(parts):
         rows.where(F.call_function("div", parts * F.col(key), F.lit(most + 1)) == k).coalesce(1).write.mode("append").parquet(folder)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
@@ -54,7 +54,7 @@ def status_queue(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     h = F.sha2("text", 256)
     first = docs.where(F.length("text") >= 300).groupBy(h.alias("h")).agg(F.min("id").alias("first"))
-    queue, killed = Queue(spark, shared_dir(spark)), []
+    queue, killed = Queue(spark, scratch_folder(spark)), []
 
     def work(claimed: DataFrame) -> DataFrame:
         if len(killed) < k + 1:
@@ -77,7 +77,7 @@ def status_queue(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE text IS NULL")
 def first_seen_stored(spark: SparkSession, d: str) -> DataFrame:
     """The first document of each text in a stream of five files, against a table of keys that is merged on the way."""
-    seen, out = Seen(spark, shared_dir(spark), merge=2), shared_dir(spark)
+    seen, out = Seen(spark, scratch_folder(spark), merge=2), scratch_folder(spark)
     arriving = _arriving(spark, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id", 5)
     put = lambda batch, number: seen.first(batch, number).write.mode("overwrite").parquet(f"{out}/rows/{number}")
     arriving.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -99,7 +99,7 @@ def ranking_published(spark: SparkSession, d: str) -> DataFrame:
     texts = chunks.join(table(spark, d, "documents"), F.col("chunk") == F.col("doc_id"))
     best = texts.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("nth", F.substring("text", 1, 200).alias("text")))).alias("c"))
     features = scoring._features(spark, d).join(best.select("candidate", F.transform("c", lambda x: x["text"]).alias("chunks")), "candidate", "left")
-    store = Versions(spark, shared_dir(spark))
+    store = Versions(spark, scratch_folder(spark))
 
     def publish(jobs: DataFrame, override: dict, mode: str) -> None:
         cfg = RankingConfig().merged({"hard_filters": {"min_skill_overlap": 0.1, "min_experience_years": 3}, **override})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.operators import latency as L
 from quillrank.plans.base import query, table
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 
 #: Two event types under names of known stages; the others are stages of their own.
 NAMES = {"view": "parsing", "click": "ocr"}
@@ -42,7 +42,7 @@ def latency_report(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH x AS (SELECT {_STAGE} AS stage, value AS ms FROM events), {_ORDERED}")
 def latency_cumulative(spark: SparkSession, d: str) -> DataFrame:
     """Two runs add their samples to a folder; the report covers both."""
-    path, rows = f"{shared_dir(spark)}/samples", _samples(spark, d)
+    path, rows = f"{scratch_folder(spark)}/samples", _samples(spark, d)
     empty = L.load(spark, path)
     for run in (0, 1):
         L.save(rows.where(F.col("event_id") % 2 == run), path)

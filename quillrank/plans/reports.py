@@ -9,7 +9,7 @@ from quillrank.functions import text as X
 from quillrank.operators import records as M
 from quillrank.operators.ranking import ranked
 from quillrank.plans.base import query, table
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 from quillrank.sources import sinks
 
 
@@ -163,7 +163,7 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN job = 'F' THEN 'contextual' ELSE 'keyword' END AS mode, CASE WHEN job = 'F' THEN DATE '2026-01-02' ELSE DATE '2026-01-01' END AS ranked_at, CASE WHEN job = 'F' THEN 0.25 ELSE 0.45 END::double AS semantic_weight FROM r""")
 def rankings_written(spark: SparkSession, d: str) -> DataFrame:
     """Rankings of all jobs as JSON, CSV and summaries, then one job's anew; all three read back."""
-    path = shared_dir(spark)
+    path = scratch_folder(spark)
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate"), F.col("o_orderstatus").alias("job"), F.col("o_totalprice").alias("final"))
     by = [F.col("final").desc(), F.col("candidate")]
     sinks.write_ranking(rows, path, "job", by, ["candidate", "final"], "keyword", "2026-01-01", {"semantic": 0.45})

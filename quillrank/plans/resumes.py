@@ -17,7 +17,7 @@ from quillrank.operators import indexing as I
 from quillrank.operators import models as M
 from quillrank.operators import ranking as R
 from quillrank.plans.base import query, table
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 from quillrank.sources import readers
 
 #: Skills that the résumés have: five of these in a row, from a place that depends on the number.
@@ -77,7 +77,7 @@ _KIND = "['docx', 'txt', 'pdf', 'txt', 'txt'][k % 5 + 1]"
 def process_files(spark: SparkSession, d: str) -> DataFrame:
     """Files through text extraction, validation, duplicates, sections, entities and experience into side tables, which are
     read back. A docx file's text has no lines, and so no sections."""
-    path = shared_dir(spark)
+    path = scratch_folder(spark)
     checked = I.write_processed(_files(spark, d), path, SKILLS)
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     counts = checked.groupBy("status").agg(F.count("*").alias("with_status"))
@@ -152,7 +152,7 @@ def encoded_retrieval(spark: SparkSession, d: str) -> DataFrame:
     description (the limit is the feature)."""
     windows = table(spark, d, "documents").select("doc_id", F.posexplode(X.char_windows(F.col("text"))).alias("chunk", "w")).select((F.col("doc_id") * 100_000 + F.col("chunk")).alias("id"), F.col("w.chunk").alias("text"))
     rows = windows.select("id", M.encoded(F.col("text"), _letters).alias("vec"))
-    rows.write.parquet(at := shared_dir(spark))
+    rows.write.parquet(at := f"{scratch_folder(spark)}/vectors")
     rows = spark.read.schema(rows.schema).parquet(at).where("vec IS NOT NULL")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), M.encoded(F.col("text"), _letters).alias("q_vec")).where("q_vec IS NOT NULL")
     near = R.nearest_l2(rows, asked, 10)

@@ -12,7 +12,7 @@ from quillrank.operators.sections import TermIndex, whole
 from quillrank.plans import scoring
 from quillrank.plans.base import query, table
 from quillrank.plans.sql import tfidf_sql
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 from quillrank.sources import files, sinks
 
 _UPLOADS = r"""u AS (SELECT 0 AS kind, p_partkey AS id, 'cv_' || p_partkey % 50 || (['.txt', '.PDF', '.exe', '.docx'])[p_partkey % 4 + 1] AS name FROM part
@@ -84,7 +84,7 @@ _GOOD = "vec_id % 6 > 1"
   CASE WHEN num_vectors > 0 THEN 'flat_l2' END AS type FROM m""")
 def rag_index(spark: SparkSession, d: str) -> DataFrame:
     """An index a collection is written from the vectors that are there, twice, and its status read back."""
-    path, v = shared_dir(spark), F.col("vec_id")
+    path, v = scratch_folder(spark), F.col("vec_id")
     vec = F.when(v % 6 == 0, None).when(v % 6 == 1, F.array().cast("array<float>")).otherwise(F.col("embedding"))
     rows = table(spark, d, "embeddings").select(F.col("label").alias("collection"), v, F.format_string("d%d.txt", v).alias("filename"), vec.alias("vec"))
     for _ in range(2):
@@ -98,7 +98,7 @@ def rag_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {tfidf_sql(1, '{n}')} SELECT term AS word, count(*) AS df, sum(n)::bigint AS tokens, round(any_value(idf), 6) AS idf, '1' AS ngrams FROM tf JOIN idf USING (term) GROUP BY 1""")
 def vectoriser_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """A vectoriser's vocabulary with its words, counts and settings, written and read back."""
-    path = shared_dir(spark)
+    path = scratch_folder(spark)
     index = TermIndex(table(spark, d, "documents"), "doc_id", whole(X.terms(F.col("text"), 1, config.STOP_WORDS)), sublinear=False)
     sinks.write_vectoriser(index, path, {"ngrams": 1, "sublinear": False})
     index.drop()

@@ -18,11 +18,16 @@ def session(app: str = "quillrank", master: str | None = None, **conf: str) -> S
     return own.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under `spark.checkpoint.dir`, which driver and executors share. Where it is unset, a temporary one on
-    a single machine (tests), and an error on a cluster."""
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under `spark.checkpoint.dir`, which driver and executors share; it goes when the application ends. Where
+    the setting is unset, a temporary one on a single machine (tests), and an error on a cluster."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = root or f"file://{tempfile.mkdtemp(prefix='quillrank-')}"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank import config
 from quillrank.functions.text import strip
-from quillrank.session import shared_dir
+from quillrank.session import scratch_folder
 from quillrank.sources.files import direct_text_ok
 
 #: Makes a reader in a worker: content to (text, pages). It may raise ImportError where its library isn't installed.
@@ -121,7 +121,7 @@ def extracted(files: DataFrame, readers: list[tuple[str, ReaderFactory]], primar
     A file whose own text, by the first reader that succeeds, is long enough for its pages is done; only the others are
     given to the engines, if there are any. Where these give no text either, the longest text that anything gave stays.
     """
-    at = shared_dir(files.sparkSession)
+    at = scratch_folder(files.sparkSession)
     own = cascade(files, readers).withColumn("text", strip(F.coalesce("text", F.lit(""))))
     own.write.parquet(f"{at}/direct")
     own = files.sparkSession.read.schema(own.schema).parquet(f"{at}/direct")

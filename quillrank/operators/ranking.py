@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from quillrank.config import RankingConfig, checked_weights
@@ -85,19 +88,54 @@ def semantic(wanted: DataFrame, chunks: DataFrame, best: int = 3) -> DataFrame:
     return top.groupBy("candidate").agg(F.avg("cos").alias("semantic"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "chunk_idx"))), lambda x: x["chunk_idx"]).alias("top"))
 
 
-def nearest_l2(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+def units(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of unit length, in double precision; zeros stay."""
+    x = np.array(column.to_pylist(), dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+def met_in_blocks(rows: DataFrame, others: DataFrame, key: str, columns: list[str], block: int, other_block: int) -> GroupedData:
+    """Blocks of `rows` beside blocks of `others` (`key` and `columns` both; side 0 and 1), each pair of blocks a group, so
+    that all meet all and neither side is sent whole to a task."""
+    of = lambda df, size: max(1, -(-df.count() // size))
+    n, m = of(rows, block), of(others, other_block)
+    pick = lambda k, salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.select(F.lit(0).alias("side"), key, *columns, pick(n, "rows").alias("r"), every(m).alias("s"))
+    right = others.select(F.lit(1).alias("side"), key, *columns, every(n).alias("r"), pick(m, "others").alias("s"))
+    return left.unionByName(right).groupBy("r", "s")
+
+
+def usable(vec: Column) -> Column:
+    """Whether a vector has components, none of them null, and isn't zero."""
+    return F.coalesce(F.forall(vec, lambda x: x.isNotNull()) & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
+def nearest_l2(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8_192) -> DataFrame:
     """The k vectors (id, vec) nearest to each of `queries` (q, q_vec) by squared distance of unit vectors, with similarity
-    1 / (1 + d); of equal ones those with the least id.
+    1 / (1 + d); of equal ones those with the least id. Vectors that are null, zero or hold nulls are left out.
 
-    Queries are taken in blocks of `block`, one row each. A block meets every vector in the scan; each task keeps its k
-    best of a query (Spark's window group limit), and only those are shuffled.
+    Blocks of vectors meet blocks of queries in matrix products; of each only the k best of a query are shuffled again.
     """
-    nth = F.call_function("div", F.row_number().over(Window.partitionBy("_s").orderBy("q")) - 1, F.lit(block))
-    # the queries' salt bounds what one task numbers; a block is numbered within its salt
-    blocks = queries.withColumn("_s", F.pmod(F.xxhash64("q"), F.lit(64))).withColumn("_b", nth).groupBy("_s", "_b").agg(F.collect_list(F.struct("q", "q_vec")).alias("qs"))
-    near = vectors.crossJoin(blocks).select("id", F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), F.round(F.greatest(2 - 2 * cosine(F.col("vec"), x["q_vec"]), F.lit(0.0)), 6).alias("d2")))).alias("n"))
+
+    def best(group: pa.Table) -> pa.Table:
+        own, asked = (group.filter(pc.equal(group["side"], s)).sort_by("id") for s in (0, 1))
+        out: tuple[list, list, list] = ([], [], [])
+        if len(own) and len(asked):
+            ids, x, q = np.array(own["id"]), units(own["vec"]), np.array(asked["id"])
+            for lo in range(0, len(q), 256):
+                d2 = np.round(np.maximum(2 - 2 * units(asked["vec"].slice(lo, 256)) @ x.T, 0), 6)
+                near = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                for part, values in zip(out, (np.repeat(q[lo : lo + 256], near.shape[1]), ids[near].ravel(), np.take_along_axis(d2, near, axis=1).ravel()), strict=True):
+                    part.append(values)
+        empty = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        return pa.table(dict(zip(("q", "id", "d2"), (np.concatenate([*v, e]) for v, e in zip(out, empty, strict=True)), strict=True)))
+
+    good = lambda df, key, vec: df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where(usable(F.col("vec")))
+    near = met_in_blocks(good(vectors, "id", "vec"), good(queries, "q", "q_vec"), "id", ["vec"], block, 1_024).applyInArrow(best, "q long, id long, d2 double")
     nth = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
-    return near.select("n.q", "id", "n.d2").withColumn("_n", nth).where(F.col("_n") <= k).select("q", "id", "d2", F.round(1 / (1 + F.col("d2")), 4).alias("similarity"))
+    return near.withColumn("_n", nth).where(F.col("_n") <= k).select("q", "id", "d2", F.round(1 / (1 + F.col("d2")), 4).alias("similarity"))
 
 
 def exceptional(answer: Column, contexts: Column, watched: list[str]) -> Column:

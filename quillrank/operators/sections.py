@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillrank.session import scratch_folder
 
-#: Postings of a bucket of terms, about; there are LEAST_BUCKETS of them or more.
-PER_BUCKET, LEAST_BUCKETS = 1 << 22, 8
+#: Buckets of terms at least; otherwise as many as the session's shuffle partitions, or the next power of two.
+LEAST_BUCKETS = 8
 
 
 def _map(values: dict) -> Column:
@@ -24,10 +24,9 @@ class TermIndex:
 
     Texts are split once. Each section has a vocabulary and an idf (smoothed, plus 1) of its own, of its documents with
     terms; sections that are empty or null have none. Terms in under `min_df` of a section's documents don't count, unless
-    the section has under three or no term would be left. Tables: `counts` (key, section, term, n), `vocabulary` (section,
-    term, df), `postings` (bucket, section, term, key, w) by buckets of terms, so that a description reads only those of
-    its own terms, and `norms` (key, section, norm). In all of them a term is told by a 64-bit hash of its section and its
-    word; `words` has the words.
+    the section has under three or no term would be left. Tables: `counts` (bucket, section, term, key, n), the postings by
+    buckets of terms, so that a description reads only those of its own terms, `vocabulary` (section, term, df) and `norms`
+    (key, section, norm). In all of them a term is told by a 64-bit hash of its section and its word; `words` has the words.
     """
 
     def __init__(self, docs: DataFrame, key: str, sections: Column, sublinear: bool = True, min_df: int = 1):
@@ -38,24 +37,23 @@ class TermIndex:
         # inner one Spark would check the arrays first and so compute them twice
         split = docs.repartition(key).select(key, F.explode_outer(sections).alias("s")).select(key, "s.section", F.explode_outer("s.terms").alias("word"))
         self._split = split.where("word IS NOT NULL")
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(LEAST_BUCKETS, 1 << (partitions - 1).bit_length())
         counts = self._split.groupBy(key, "section", F.xxhash64("section", "word").alias("term")).agg(F.count("*").alias("n"))
-        self.counts = self._saved(counts, "counts")
+        # a bucket is a folder; one that outgrows a task, as a frequent term's may, is split by Spark
+        counts = counts.select(self._bucket().alias("bucket"), "section", "term", key, "n").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        self.counts = self._saved(counts, "counts", "bucket")
         self.vocabulary = self._saved(self.counts.groupBy("term", "section").agg(F.count("*").alias("df")), "vocabulary")
         # a row a section is read to the driver
         sizes = self.counts.select("section", key).distinct().groupBy("section").agg(F.count("*").alias("docs"))
         self.sizes = {r["section"]: r["docs"] for r in sizes.collect()}
         most = {r["section"]: r["most"] for r in self.vocabulary.groupBy("section").agg(F.max("df").alias("most")).collect()}
         self.least = {s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in self.sizes.items()}
-        n = self.counts.count()
-        self.buckets = max(LEAST_BUCKETS, 1 << (n // PER_BUCKET).bit_length())
         # terms of a single document have one idf all: only the others are joined
         several = self.vocabulary.where("df > 1").select("term", "df")
-        w = self._weight(F.col("n"), F.coalesce("df", F.lit(1)))
-        weighed = self.counts.join(several, "term", "left").select(self._bucket().alias("bucket"), "section", "term", key, w.alias("w")).where("w > 0")
-        # a bucket is a folder; one that outgrows a task, as a frequent term's may, is split by Spark
-        weighed = weighed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        self.postings = self._saved(weighed, "postings", "bucket")
-        self.norms = self._saved(self.postings.groupBy(key, "section").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
+        w = self._tf(F.col("n")) * self._idf(F.coalesce("df", F.lit(1)))
+        squares = self.counts.join(several, "term", "left").groupBy(key, "section").agg(F.sum(w * w).alias("s"))
+        self.norms = self._saved(squares.where("s > 0").select(key, "section", F.sqrt("s").alias("norm")), "norms")
 
     def _saved(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         out = df.write.partitionBy(by) if by else df.write
@@ -65,13 +63,15 @@ class TermIndex:
     def _bucket(self) -> Column:
         return F.pmod(F.hash("term"), F.lit(self.buckets))
 
-    def _weight(self, n: Column, df: Column) -> Column:
-        """tf * idf, 0 for a term of too few documents."""
+    def _tf(self, n: Column) -> Column:
+        return 1 + F.log(n) if self.sublinear else n.cast("double")
+
+    def _idf(self, df: Column) -> Column:
+        """0 for a term of too few documents."""
         if not self.sizes:
             return F.lit(0.0)
         at = F.col("section")
-        idf = F.log((1 + _map(self.sizes)[at]) / (1 + df)) + 1
-        return F.when(df >= _map(self.least)[at], (1 + F.log(n) if self.sublinear else n.cast("double")) * idf).otherwise(0.0)
+        return F.when(df >= _map(self.least)[at], F.log((1 + _map(self.sizes)[at]) / (1 + df)) + 1).otherwise(0.0)
 
     def checked(self) -> TermIndex:
         """This index, or an error if no document has a term: there is nothing to compare with then."""
@@ -96,15 +96,17 @@ class TermIndex:
         words = asked.select("item", F.explode_outer("terms").alias("word")).where("word IS NOT NULL").groupBy("item", "word").agg(F.count("*").alias("q_n"))
         each = words.select("item", "q_n", "word", F.explode(F.array(*map(F.lit, self.sizes)).cast("array<string>")).alias("section"))
         terms = each.select("item", "q_n", F.xxhash64("section", "word").alias("term"))
-        q = terms.join(self.vocabulary, "term").select("item", "section", "term", self._bucket().alias("bucket"), self._weight(F.col("q_n"), F.col("df")).alias("q")).where("q > 0")
+        idf = self._idf(F.col("df"))
+        q = terms.join(self.vocabulary, "term").select("item", "section", "term", self._bucket().alias("bucket"), (self._tf(F.col("q_n")) * idf).alias("q"), idf.alias("idf")).where("q > 0")
         self._asked = getattr(self, "_asked", 0) + 1
         q = self._saved(q, f"asked-{self._asked}")
         # as many numbers as there are buckets at most
         there = [r["bucket"] for r in q.select("bucket").distinct().collect()]
         lengths = q.groupBy("item", "section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
-        dots = self.postings.where(F.col("bucket").isin(there)).join(q.drop("section"), ["bucket", "term"]).groupBy("item", self.key, "section").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-        near = dots.join(self.norms, [self.key, "section"]).join(lengths, ["item", "section"])
-        return near.select("item", self.key, "section", (F.col("dot") / (F.col("norm") * F.col("length"))).alias("cos"))
+        near = self.counts.where(F.col("bucket").isin(there)).join(q.drop("section"), ["bucket", "term"])
+        dots = near.groupBy("item", self.key, "section").agg(F.sum(self._tf(F.col("n")) * F.col("idf") * F.col("q")).alias("dot"))
+        both = dots.join(self.norms, [self.key, "section"]).join(lengths, ["item", "section"])
+        return both.select("item", self.key, "section", (F.col("dot") / (F.col("norm") * F.col("length"))).alias("cos"))
 
     def similarities(self, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
         """(item, key, similarity): cosines by section, weighed. A document that lacks a section scores 0 there; a section

@@ -11,18 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import strip
+from quillrank.operators.ranking import met_in_blocks, units
 from quillrank.session import scratch_folder
 
 #: Rows, and canonical entries, that meet in one task; and rows that are taken in order at once.
 BLOCK = 2_048
 
 
-def _units(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
-
-
 def _best(group: pa.Table) -> pa.Table:
     """For each row of the block the nearest entry that came no later: (at, cos, canon)."""
     rows, known = (group.filter(pc.equal(group["side"], s)) for s in (0, 1))
@@ -31,7 +26,7 @@ def _best(group: pa.Table) -> pa.Table:
     at, entry = np.array(rows["at"]), np.array(known["at"])
     order = np.argsort(entry)
     entry = entry[order]
-    cos = np.round(_units(rows["vec"]) @ _units(known["vec"])[order].T, 9)
+    cos = np.round(units(rows["vec"]) @ units(known["vec"])[order].T, 9)
     cos[entry[None, :] > at[:, None]] = -2
     pick = cos.argmax(axis=1)
     found = cos[np.arange(len(at)), pick] > -2
@@ -41,21 +36,16 @@ def _best(group: pa.Table) -> pa.Table:
 def nearest(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """(at, cos, canon): for each of `rows` (at, vec) the entry (at, vec) of greatest cosine among those that came no later; of
     equal ones the earliest. Blocks of rows meet blocks of entries, so neither side is sent whole to a task."""
-    of = lambda df: max(1, -(-df.count() // BLOCK))
-    n, m = of(rows), of(entries)
-    pick = lambda k, salt: F.pmod(F.xxhash64("at", F.lit(salt)), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     vec = F.col("vec").cast("array<float>").alias("vec")
-    left = rows.select(F.lit(0).alias("side"), "at", vec, pick(n, "rows").alias("r"), every(m).alias("l"))
-    right = entries.select(F.lit(1).alias("side"), "at", vec, every(n).alias("r"), pick(m, "entries").alias("l"))
-    found = left.unionByName(right).groupBy("r", "l").applyInArrow(_best, "at long, cos double, canon long")
+    sides = (df.select("at", vec) for df in (rows, entries))
+    found = met_in_blocks(*sides, "at", ["vec"], BLOCK, BLOCK).applyInArrow(_best, "at long, cos double, canon long")
     return found.groupBy("at").agg(F.max(F.struct("cos", (-F.col("canon")).alias("canon"))).alias("b")).select("at", "b.cos", (-F.col("b.canon")).alias("canon"))
 
 
 def _in_order(least: float):
     def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by("at")
-        x = _units(rows["vec"])
+        x = units(rows["vec"])
         near, taken = np.round(x @ x.T, 9) > least, []
         for i in range(len(x)):
             if not near[i, taken].any():

@@ -38,15 +38,6 @@ def taxonomy_grown(spark: SparkSession, d: str) -> DataFrame:
     return grown.mapped().select(F.col("at").alias("vec_id"), "canonical")
 
 
-def _arriving(spark: SparkSession, rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """A stream of a table's rows, a file after another in the order of `key`."""
-    folder, most = scratch_folder(spark), rows.agg(F.max(key)).first()[0] or 0
-    for k in range(parts):
-        rows.where(F.call_function("div", parts * F.col(key), F.lit(most + 1)) == k).coalesce(1).write.mode("append").parquet(folder)
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
 @query("""WITH k AS (SELECT doc_id, text, length(text) < 300 AS short FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY text, short) AS first FROM k)
   SELECT doc_id, CASE WHEN short THEN 'failed' WHEN first < doc_id THEN 'duplicate' ELSE 'processed' END AS state, CASE WHEN short THEN 'too short' WHEN first < doc_id THEN 'copy of ' || first END AS reason, 3 AS changes FROM f""")
 def status_queue(spark: SparkSession, d: str) -> DataFrame:
@@ -76,11 +67,16 @@ def status_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE text IS NULL")
 def first_seen_stored(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each text in a stream of five files, against a table of keys that is merged on the way."""
-    seen, out = Seen(spark, scratch_folder(spark), merge=2), scratch_folder(spark)
-    arriving = _arriving(spark, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id", 5)
+    """The first document of each text that comes in, in five runs of a stream, against a table of keys that is merged on the
+    way."""
+    seen, out, folder = Seen(spark, scratch_folder(spark), merge=2), scratch_folder(spark), scratch_folder(spark)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    most = docs.agg(F.max("id")).first()[0] or 0
     put = lambda batch, number: seen.first(batch, number).write.mode("overwrite").parquet(f"{out}/rows/{number}")
-    arriving.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for k in range(5):
+        docs.where(F.call_function("div", 5 * F.col("id"), F.lit(most + 1)) == k).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema("id long, text string").parquet(folder)
+        arriving.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows/*").select(F.col("id").alias("doc_id"))
 
 

@@ -60,9 +60,11 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
   SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     """All 1- to 3-grams less stop words, with their number and that of their documents."""
-    grams = table(spark, d, "documents").select("doc_id", F.explode(X.terms(F.col("text"), 3, config.STOP_WORDS)).alias("gram"))
-    # first by document and gram, so that a frequent gram sends a row a task, not one an occurrence
-    return grams.groupBy("gram", "doc_id").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    # texts are dealt by document, so that a document's grams are counted where they are made; only sums are shuffled. An outer
+    # explode, as for an inner one Spark would make the arrays twice
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    grams = docs.select("doc_id", F.explode_outer(X.terms(F.col("text"), 3, config.STOP_WORDS)).alias("gram")).where("gram IS NOT NULL")
+    return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM documents""")

@@ -75,19 +75,6 @@ def reranked(rankings: DataFrame, weights: dict, key: str, job: str = "job") ->
     return ranked(out, [F.col("final").desc(), F.col(key)], [job], "rank_position")
 
 
-def semantic(wanted: DataFrame, chunks: DataFrame, best: int = 3) -> DataFrame:
-    """(candidate, semantic, top): mean of a candidate's best chunks by their largest cosine with a wanted chunk.
-
-    `wanted` (w_id, w_vec) are the few chunks of one description, paired with every chunk in the scan of `chunks`
-    (candidate, chunk_idx, vec); only one row a chunk is shuffled.
-    """
-    gathered = wanted.agg(F.collect_list("w_vec").alias("ws"))
-    near = chunks.crossJoin(gathered).select("candidate", "chunk_idx", F.array_max(F.transform("ws", lambda w: cosine(w, F.col("vec")))).alias("cos"))
-    w = Window.partitionBy("candidate").orderBy(F.col("cos").desc(), F.col("chunk_idx").desc())
-    top = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= best)
-    return top.groupBy("candidate").agg(F.avg("cos").alias("semantic"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "chunk_idx"))), lambda x: x["chunk_idx"]).alias("top"))
-
-
 def units(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as rows of unit length, in double precision; zeros stay."""
     x = np.array(column.to_pylist(), dtype=np.float64)
@@ -112,6 +99,29 @@ def usable(vec: Column) -> Column:
     return F.coalesce(F.forall(vec, lambda x: x.isNotNull()) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def semantic(wanted: DataFrame, chunks: DataFrame, best: int = 3) -> DataFrame:
+    """(candidate, semantic, top): mean of a candidate's best chunks by their largest cosine with a wanted chunk.
+
+    Blocks of `chunks` (candidate, chunk_idx, vec) meet blocks of `wanted` (w_id, w_vec), a description's chunks; a row a
+    chunk and block of wanted ones is shuffled again. Vectors that are null, zero or hold nulls are left out.
+    """
+
+    def most(group: pa.Table) -> pa.Table:
+        own, asked = (group.filter(pc.equal(group["side"], s)) for s in (0, 1))
+        cos = (units(own["vec"]) @ units(asked["vec"]).T).max(axis=1) if len(own) and len(asked) else np.empty(0)
+        id = own["id"].combine_chunks()[: len(cos)]
+        return pa.table({"candidate": id.field("candidate"), "chunk_idx": id.field("chunk_idx"), "cos": pa.array(cos, pa.float64())})
+
+    vec = lambda c: F.col(c).cast("array<double>").alias("vec")
+    own = chunks.select(F.struct(F.col("candidate").cast("long").alias("candidate"), F.col("chunk_idx").cast("long").alias("chunk_idx")).alias("id"), vec("vec"))
+    asked = wanted.select(F.struct(F.lit(None).cast("long").alias("candidate"), F.col("w_id").cast("long").alias("chunk_idx")).alias("id"), vec("w_vec"))
+    met = met_in_blocks(own.where(usable(F.col("vec"))), asked.where(usable(F.col("vec"))), "id", ["vec"], 8_192, 1_024)
+    near = met.applyInArrow(most, "candidate long, chunk_idx long, cos double").groupBy("candidate", "chunk_idx").agg(F.max("cos").alias("cos"))
+    w = Window.partitionBy("candidate").orderBy(F.col("cos").desc(), F.col("chunk_idx").desc())
+    top = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= best)
+    return top.groupBy("candidate").agg(F.avg("cos").alias("semantic"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "chunk_idx"))), lambda x: x["chunk_idx"]).alias("top"))
+
+
 def nearest_l2(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8_192) -> DataFrame:
     """The k vectors (id, vec) nearest to each of `queries` (q, q_vec) by squared distance of unit vectors, with similarity
     1 / (1 + d); of equal ones those with the least id. Vectors that are null, zero or hold nulls are left out.

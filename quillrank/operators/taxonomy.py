@@ -18,8 +18,8 @@ from quillrank.session import scratch_folder
 BLOCK = 2_048
 
 
-def _best(group: pa.Table) -> pa.Table:
-    """For each row of the block the nearest entry that came no later: (at, cos, canon)."""
+def _best(group: pa.Table, ordered: bool) -> pa.Table:
+    """For each row of the block the nearest entry (if `ordered`, that came no later): (at, cos, canon)."""
     rows, known = (group.filter(pc.equal(group["side"], s)) for s in (0, 1))
     if not len(rows) or not len(known):
         return pa.table({"at": pa.array([], pa.int64()), "cos": pa.array([], pa.float64()), "canon": pa.array([], pa.int64())})
@@ -27,18 +27,19 @@ def _best(group: pa.Table) -> pa.Table:
     order = np.argsort(entry)
     entry = entry[order]
     cos = np.round(units(rows["vec"]) @ units(known["vec"])[order].T, 9)
-    cos[entry[None, :] > at[:, None]] = -2
+    if ordered:
+        cos[entry[None, :] > at[:, None]] = -2
     pick = cos.argmax(axis=1)
     found = cos[np.arange(len(at)), pick] > -2
     return pa.table({"at": pa.array(at[found]), "cos": pa.array(cos[np.arange(len(at)), pick][found]), "canon": pa.array(entry[pick][found])})
 
 
-def nearest(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """(at, cos, canon): for each of `rows` (at, vec) the entry (at, vec) of greatest cosine among those that came no later; of
-    equal ones the earliest. Blocks of rows meet blocks of entries, so neither side is sent whole to a task."""
+def nearest(rows: DataFrame, entries: DataFrame, ordered: bool = True) -> DataFrame:
+    """(at, cos, canon): for each of `rows` (at, vec) the entry (at, vec) of greatest cosine, if `ordered` among those that came
+    no later; of equal ones the earliest. Blocks of rows meet blocks of entries, so neither side is sent whole to a task."""
     vec = F.col("vec").cast("array<float>").alias("vec")
     sides = (df.select("at", vec) for df in (rows, entries))
-    found = met_in_blocks(*sides, "at", ["vec"], BLOCK, BLOCK).applyInArrow(_best, "at long, cos double, canon long")
+    found = met_in_blocks(*sides, "at", ["vec"], BLOCK, BLOCK).applyInArrow(lambda group: _best(group, ordered), "at long, cos double, canon long")
     return found.groupBy("at").agg(F.max(F.struct("cos", (-F.col("canon")).alias("canon"))).alias("b")).select("at", "b.cos", (-F.col("b.canon")).alias("canon"))
 
 

@@ -12,6 +12,7 @@ from quillrank import config
 from quillrank.config import RankingConfig
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
+from quillrank.operators import records as M
 from quillrank.plans.base import query, table
 
 count_if = F.count_if
@@ -76,6 +77,31 @@ def candidate_list(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("c_custkey").alias("candidate"), F.col("c_name").alias("name"), "balance", F.col("k").isNotNull().alias("ranked"))
 
 
+@query("""SELECT c_custkey AS candidate, n_nationkey AS job, i.balance, o.k IS NOT NULL AS ranked FROM customer JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN (SELECT c_custkey AS ik, c_acctbal AS balance FROM customer WHERE c_acctbal > 0) i ON i.ik = c_custkey LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c_custkey WHERE n_regionkey = 1""")
+def company_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """One company's candidates, through its jobs: those of others are not seen."""
+    jobs = M.guarded(table(spark, d, "nation"), "n_regionkey", 1).select(F.col("n_nationkey").alias("job"))
+    own = table(spark, d, "customer").join(jobs, F.col("c_nationkey") == F.col("job"))
+    ranked = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    out = own.join(ranked, F.col("c_custkey") == F.col("k"), "left")
+    return out.select(F.col("c_custkey").alias("candidate"), "job", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), F.col("k").isNotNull().alias("ranked"))
+
+
+@query("""SELECT n_nationkey AS job, count(*) FILTER (o_orderstatus = 'O') AS uploaded, count(*) FILTER (o_orderstatus = 'P') AS processing, count(*) FILTER (o_orderstatus = 'F') AS processed, count(o_orderkey) AS total,
+  count(*) FILTER (o_orderstatus IN ('O', 'P')) = 0 AS indexing_complete FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 3 GROUP BY 1""")
+def company_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Where the files of one company's jobs are, for its dashboard; jobs without any are there with zeros."""
+    jobs = M.guarded(table(spark, d, "nation"), "n_regionkey", 3).select(F.col("n_nationkey").alias("job"))
+    people = table(spark, d, "customer").join(jobs, F.col("c_nationkey") == F.col("job")).select("job", "c_custkey")
+    s = F.col("o_orderstatus")
+    counts = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).groupBy("job").agg(
+        count_if(s == "O").alias("uploaded"), count_if(s == "P").alias("processing"), count_if(s == "F").alias("processed"), F.count("*").alias("total"),
+    )
+    out = jobs.join(counts, "job", "left").fillna(0)
+    return out.withColumn("indexing_complete", (F.col("uploaded") + F.col("processing")) == 0)
+
+
 @query("""SELECT o_orderkey AS ranking, o_totalprice >= 150000 AS passed, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_totalprice >= 150000) DESC,
   CASE WHEN o_totalprice >= 150000 THEN o_orderkey END NULLS LAST, o_totalprice DESC, o_orderkey) AS shown FROM orders""")
 def passed_first_order(spark: SparkSession, d: str) -> DataFrame:

@@ -51,10 +51,10 @@ def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """A file a customer: a fifth each as docx, as a page file that none can read, and blank; a third are copies of the one
-    five before."""
-    k = F.col("c_custkey")
-    own = table(spark, d, "customer").select(k, F.when((k % 3 == 0) & (k > 5), k - 5).otherwise(k).alias("of"))
+    """A file a document's number: a fifth each as docx, as a page file that none can read, and blank; a third are copies of
+    the one five before."""
+    k = F.col("doc_id")
+    own = table(spark, d, "documents").select(k, F.when((k % 3 == 0) & (k > 5), k - 5).otherwise(k).alias("of"))
     kind = F.get(F.array(*map(F.lit, ["docx", "txt", "pdf", "txt", "txt"])), (k % 5).cast("int"))
     rows = own.select(F.format_string("cv%09d.", k).alias("stem"), kind.alias("kind"), F.when(k % 5 == 3, F.lit(" \n\t ")).otherwise(_resume(F.col("of"))).alias("text"))
     rows = rows.select(F.concat("stem", "kind").alias("name"), "kind", "text")
@@ -66,7 +66,7 @@ _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"  # noqa:
 _KIND = "['docx', 'txt', 'pdf', 'txt', 'txt'][k % 5 + 1]"
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 AND c_custkey > 5 THEN c_custkey - 5 ELSE c_custkey END AS f FROM customer),
+@query(f"""WITH c AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 AND doc_id > 5 THEN doc_id - 5 ELSE doc_id END AS f FROM documents),
   n AS (SELECT *, printf('cv%09d.', k) || {_KIND} AS name, CASE WHEN k % 5 = 2 THEN 'FAILED' WHEN k % 5 = 3 THEN 'EMPTY' END AS kind FROM c),
   s AS (SELECT *, CASE WHEN kind IS NULL THEN min(name) OVER (PARTITION BY kind, f, k % 5 = 0) END AS first FROM n),
   o AS (SELECT *, coalesce(kind, CASE WHEN first < name THEN 'DUPLICATE' ELSE 'OK' END) AS status FROM s),

@@ -11,6 +11,7 @@ from quillrank.functions import dates as D
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
 from quillrank.operators.sections import TermIndex, keyword_scores, whole
+from quillrank.operators.taxonomy import nearest
 from quillrank.plans.base import query, table
 from quillrank.plans.sql import skills_sql, tfidf_sql
 
@@ -172,12 +173,10 @@ def _best(hits: DataFrame) -> DataFrame:
 @query(f"""WITH m AS (SELECT b.vec_id AS raw, a.vec_id AS skill, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id < 40),
   t AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY round(cos, 9) DESC, skill) AS nth FROM m) SELECT raw, CASE WHEN cos > 0.85 THEN skill END AS skill FROM t WHERE nth = 1""")
 def taxonomy_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector's nearest of 40 fixed skills, if its cosine is over 0.85; the taxonomy stays in one row."""
-    e = table(spark, d, "embeddings")
-    fixed = e.where("vec_id < 40").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("known"))
-    best = F.array_max(F.transform("known", lambda k: F.struct(F.round(R.cosine(k["embedding"], F.col("embedding")), 9).alias("cos"), (-k["vec_id"]).alias("at"))))
-    rows = e.crossJoin(fixed).select(F.col("vec_id").alias("raw"), best.alias("b"))
-    return rows.select("raw", F.when(F.col("b.cos") > 0.85, -F.col("b.at")).alias("skill"))
+    """Each vector's nearest of 40 fixed skills, if its cosine is over 0.85."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").alias("vec"))
+    best = nearest(e, e.where("at < 40"), ordered=False)
+    return best.select(F.col("at").alias("raw"), F.when(F.col("cos") > 0.85, F.col("canon")).alias("skill"))
 
 
 _JOB = f"""{_SEM}, {_OWN}, f AS (SELECT candidate, semantic, len(list_intersect(w, own)) / len(list_distinct(list_concat(w, own)))::double AS skill, (candidate * 3) % 16 + 0.5 AS years, candidate % 5 / 4.0::double AS education, candidate % 3 AS job, list_sort(list_intersect(w, own)) AS matched, list_sort(list_filter(w, lambda e: NOT list_contains(own, e))) AS missing

@@ -25,7 +25,7 @@ def expand(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
     `turns` has conv_id, turn, role, text; more columns are left out. Turns are ordered by turn (null last), then
     role and text; repeated rows are repeated turns, a null text or role is empty, and rows without conv_id are one
     conversation. A conversation whose last turn is not the assistant's gets one more example with an empty mask, so
-    that no turn is lost. Returns conv_id, example (0, 1, ...), is_last, formatted, and the mask [loss_start,
+    that no turn is lost. No turns give no examples. Returns conv_id, example (0, 1, ...), is_last, formatted, and the mask [loss_start,
     loss_end) in code points of `formatted`.
 
     Prefixes come from a running window: the rows of a conversation stream through a task that spills, and what must

@@ -34,7 +34,9 @@ class Rollup:
 
     Each batch is summed before it is stored, a row a key, in a folder named after the batch. The folder appears by
     one rename of a finished table: a batch that is applied again, or whose first try died half way, counts once.
-    Totals are the sum of the latest snapshot and of the batches that it doesn't cover. One writer at a time.
+    Totals are the sum of the latest snapshot and of the batches that it doesn't cover. One writer at a time. The rename is
+    atomic on HDFS and local file systems, not on all object stores. A batch without rows commits and changes nothing;
+    without any batch there are no totals.
     """
 
     def __init__(self, spark: SparkSession, root: str):

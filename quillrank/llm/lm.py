@@ -259,7 +259,8 @@ def fit(docs: DataFrame, scratch: Scratch) -> Model:
     Shards grow in number with the text, so that merging one stays within a fixed size: tasks sum words and pairs
     before they send them, as sorted arrays, to the shard's task, which merges them and writes sorted hash arrays.
     The driver sees one row of sums a shard. A word is told by 64 bits of
-    hash on its own; as the second of a pair by 48 in counting and by 40, beside its first word, in the sorted arrays.
+    hash on its own; as the second of a pair by 48 in counting and by 40, beside its first word, in the sorted arrays. Without
+    rows the model has no words, and every token is unknown.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, int(size // SHARD_BYTES).bit_length())
@@ -357,7 +358,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     """doc_id with n_tokens, n_known, base_score and score (log10 probabilities) of each whole text, its end included.
 
     A null or empty text is its end alone. Workers map the model's arrays; a chunk looks its distinct words and pairs
-    up in order, so that pages are read once. Repeated rows have a row each; other columns are left out.
+    up in order, so that pages are read once. Repeated rows have a row each; no rows give none; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,9 +61,3 @@ def assign_shards(df: DataFrame, key: str, shards: int, order: list[str], per_bu
     within = Window.partitionBy("shard", "bucket").orderBy("key", *by)
     numbered = rows.withColumn("at", F.row_number().over(within) - 1).join(before, ["shard", "bucket"])
     return unpacked(numbered, df.columns, shard=F.col("shard"), slot=F.col("at") + F.col("before"), grown_shard=F.col("grown"))
-
-
-def write_shards(docs: DataFrame, key: str, shards: int, path: str) -> None:
-    """Write whole rows under one folder a shard, sorted by key. A column of the caller's called shard gives way."""
-    out = docs.withColumn("shard", jump(quoted(key), shards)["shard"].cast("int"))
-    out.repartition("shard", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("shard", key).write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -22,7 +22,7 @@ def statistics(values: DataFrame) -> DataFrame:
     Percentiles are exact and interpolated. Values are numbered in two steps, within parts of growing width and then over
     the parts' sums, so that a stage with most of all samples is no single task's.
     """
-    part = F.floor(F.log1p("ms") * 64)
+    part = F.floor(F.log1p("ms") * 1_024)
     rows = values.withColumn("part", part)
     sums = rows.groupBy("stage", "part").agg(F.sum("n").alias("here"))
     line = Window.partitionBy("stage").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.config import RankingConfig
 from quillrank.operators import ranking as R
+from quillrank.operators import records as N
 from quillrank.operators.taxonomy import Taxonomy
 from quillrank.plans import scoring
 from quillrank.plans.base import query, table
@@ -108,3 +109,25 @@ def ranking_published(spark: SparkSession, d: str) -> DataFrame:
     store.vacuum()
     both = store.read("rankings").join(store.read("settings"), "job")
     return both.select("job", "candidate", "final", "rank_position", "mode", F.col("weights")["semantic"].alias("semantic_weight"), F.array_join("chunks", "|").alias("chunks"))
+
+
+@query("""WITH a AS (SELECT s_suppkey AS job, s_suppkey % 3 AS kind, s_name FROM supplier)
+  SELECT job, CASE kind WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' ELSE 'ready' END AS status, CASE kind WHEN 0 THEN 'sql=postgres ' || job || '|mysql' WHEN 2 THEN 'cloud=aws' END AS implied, CASE kind WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS implied_total,
+    CASE kind WHEN 0 THEN 'Sure: {"SQL ": ["Postgres ' || job || '", "MySQL"]}' WHEN 1 THEN 'none for ' || s_name ELSE '{"Cloud": ["AWS"]}' END AS raw FROM a""")
+def skill_map_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Skill maps of all jobs with their counts, beside the raw answers that they come from; a third of the jobs are asked
+    again, and their maps and answers change together."""
+    jobs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("job"), F.col("s_name"))
+    kind, key = F.col("job") % 3, F.col("job").cast("string")
+    first = F.when(kind == 0, F.concat(F.lit('Sure: {"SQL ": ["Postgres '), key, F.lit('", "MySQL"]}'))).otherwise(F.concat(F.lit("none for "), "s_name"))
+    store = Versions(spark, scratch_folder(spark))
+
+    def put(rows: DataFrame) -> None:
+        maps = rows.select("job", "s_name", N.map_status(F.col("raw")).alias("status"), N.implied_map(F.col("raw")).alias("implied"))
+        meta = N.map_meta(N.ready_map(F.col("status"), F.col("implied")), F.col("s_name"))
+        store.commit({"answers": rows.select("job", "raw"), "maps": maps.withColumn("meta", meta).drop("s_name")})
+
+    put(jobs.withColumn("raw", first))
+    put(jobs.where(kind == 2).withColumn("raw", F.lit('{"Cloud": ["AWS"]}')))
+    flat = F.array_join(F.transform(F.map_entries("implied"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";")
+    return store.read("maps").join(store.read("answers"), "job").select("job", "status", flat.alias("implied"), F.col("meta.implied_skills_total").alias("implied_total"), "raw")

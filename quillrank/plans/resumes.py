@@ -87,6 +87,25 @@ def process_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("name", "status", "reason", "duplicate_of", "skills_section", "skills", "earliest", "latest", "with_status")
 
 
+@query(f"""WITH c AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 AND doc_id > 5 THEN doc_id - 5 ELSE doc_id END AS f FROM documents),
+  s AS (SELECT *, k % 5 = 3 AS blank, CASE WHEN k % 5 <> 3 THEN min(k) OVER (PARTITION BY f, k % 5 = 3) END AS first FROM c), o AS (SELECT *, NOT blank AND first = k AS ok FROM s)
+  SELECT k AS candidate, CASE WHEN blank THEN 'failed' WHEN first < k THEN 'duplicate' ELSE 'processed' END AS status, CASE WHEN blank THEN 'text_extraction: Extracted text too short (0 chars)' END AS reason,
+    CASE WHEN ok THEN array_to_string(list_sort(list_transform(range(f % {len(SKILLS)}, f % {len(SKILLS)} + 5), lambda i: ({_LIST(SKILLS)})[i % {len(SKILLS)} + 1])), ',') END AS skills,
+    CASE WHEN ok THEN ['Senior,Software Engineer', 'Data Scientist', 'Backend Engineer', 'Product Manager'][f % 4 + 1] END AS titles, CASE WHEN ok THEN 4 + f % 5 END::double AS years, CASE WHEN ok THEN 1993 + f % 20 + f % 5 END AS last_year,
+    CASE WHEN ok THEN [3, 2, 4, 3][f % 7 % 4 + 1] END AS tier, CASE WHEN ok THEN 'general' END AS chunks_of FROM o""")
+def resume_index(spark: SparkSession, d: str) -> DataFrame:
+    """Index rows of whole résumés: skills, titles, experience, education and chunks from the sections of each text."""
+    k = F.col("doc_id")
+    own = table(spark, d, "documents").select(k, F.when((k % 3 == 0) & (k > 5), k - 5).otherwise(k).alias("of"))
+    text = F.when(k % 5 == 3, F.lit(" \n\t ")).otherwise(_resume(F.col("of")))
+    files = own.select(F.lit(1).alias("company"), (k % 5).alias("job"), k.alias("candidate"), text.alias("text"), F.lit(None).cast("string").alias("error"))
+    rows = I.indexed(files, F.to_date(F.lit("2026-01-01")), SKILLS)
+    return rows.select(
+        "candidate", "status", "reason", F.array_join("extracted_skills", ",").alias("skills"), F.array_join("job_titles", ",").alias("titles"), F.col("experience.years").cast("double").alias("years"),
+        F.year("experience.latest").cast("long").alias("last_year"), F.col("education.tier").cast("long").alias("tier"), F.array_join(F.array_distinct(F.transform("chunks", lambda c: c["section"])), ",").alias("chunks_of"),
+    )
+
+
 def _page_reader(content: bytes) -> tuple[str, int]:
     text = content.decode()
     if text.startswith("broken"):

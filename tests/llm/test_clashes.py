@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.llm import bpe, chat, counts, lm, mixing, neardup, quality, queries, secrets, sharding, vectors
+from quillrank.llm import bpe, chat, counts, exact, lexical, lm, mixing, neardup, periodic, quality, queries, secrets, sharding, vectors
 from quillrank.llm._scratch import Scratch
 
 NAMES = ["ids", "found", "_found", "_kinds", "kinds", "_row", "row", "_times", "_n", "shard", "slot", "_j", "jump", "grown_shard", "id", "key", "k1", "name", "_name", "gone",
@@ -39,6 +39,7 @@ def test_operators_keep_other_columns(spark, docs):
     rows = own(sharding.assign_shards(docs, "doc_id", 4, ["text", "size"]).collect(), given)
     assert len(rows) == 7 and all(isinstance(r["slot"], int) for r in rows)
     assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
+    assert all(r.f.n_words >= 0 for r in own(docs.withColumn("f", periodic.periodic_runs(F.col("text"))).collect()))
     out = mixing.materialise(docs, [3, 1], shards=2)
     assert all(r["shard"] in (0, 1) for r in own(out.collect(), {"shard"}))
     assert len(own(neardup.one_of_each(docs, neardup.Near(5, 80, 5, 40)).collect())) == 5
@@ -51,6 +52,11 @@ def test_operators_leave_other_columns_out(spark, docs):
     assert mixing.mix(docs, [1]).count() == 7
     m = lm.fit(docs, Scratch(spark, "clash"))
     assert lm.score(docs, m).count() == 7
+    assert exact.exact_duplicates(docs).count() == 7 and exact.exact_duplicates(docs).where("kept").count() == 4
+    scratch = Scratch(spark, "clash")
+    items = docs.where("n_chars = 9").limit(1).withColumn("item_id", F.lit(5)).withColumns({"query": F.lit("x"), "term": F.lit("y"), "block": F.lit(0), "weight": F.lit(0)})
+    ranks = lexical.search(lexical.build(docs, scratch), items, scratch).collect()
+    assert ranks[0].asDict().keys() == {"item_id", "rank", "doc_id", "score"} and sorted(r.rank for r in ranks) == [1, 2, 3]
     turns = docs.withColumns({"conv_id": F.lit(1), "turn": F.lit(1), "role": F.lit("assistant"), "formatted": F.lit(0), "is_last": F.lit(0), "_turns": F.lit(0)})
     assert chat.digest(chat.expand(turns)).first()["n_turns"] == 7
     rows = docs.withColumns({"vec_id": F.col("doc_id"), "embedding": F.array(F.lit(1.0), F.lit(2.0)), "label": F.lit(1), "cell": F.lit(0), "least_id": F.lit(0)})

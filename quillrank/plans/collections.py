@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank import config
 from quillrank.functions import dates as D
 from quillrank.functions import entities as E
 from quillrank.functions import text as X

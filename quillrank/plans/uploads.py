@@ -9,7 +9,6 @@ from quillrank import config
 from quillrank.functions import text as X
 from quillrank.operators import ranking as R
 from quillrank.operators.sections import TermIndex, whole
-from quillrank.plans import scoring
 from quillrank.plans.base import query, table
 from quillrank.plans.sql import tfidf_sql
 from quillrank.session import scratch_folder

@@ -107,7 +107,7 @@ class Seen:
 
     def first(self, batch: DataFrame, number: int, text: str = "text", order: str = "id") -> DataFrame:
         """The rows of a batch whose text no earlier batch had, of equal ones the first by `order`; the others go. A null
-        text is no text: such rows stay all. A batch that is run again gives the same."""
+        text is no text: such rows stay all. The last batch, if it is run again, gives the same."""
         name = f"{number:012d}"
         h = F.sha2(F.col(text), 256)
         rows = batch.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(self.buckets)).cast("int"))

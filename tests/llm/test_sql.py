@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SF).select(*want.columns)
@@ -29,7 +29,7 @@ EDGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["op3_near_duplicates", "op4_secret_scan", "op7_quality_rules"])
+@pytest.mark.parametrize("name", ["op3_near_duplicates", "op4_secret_scan", "op7_quality_rules", "op11_exact_dedup"])
 def test_query_on_odd_texts(spark, tmp_path, name):
     docs = spark.createDataFrame(EDGES, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) AS long) AS n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -169,7 +169,7 @@ def index_upsert(spark: SparkSession, d: str) -> DataFrame:
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """First-seen texts of a stream of files, in a run that takes all that is there."""
     root = scratch_folder(spark)
-    rows = ingest.stream(spark, d, "doc_id long, text string", "documents.parquet").where("text IS NOT NULL")
+    rows = ingest.stream(spark, f"{d}/documents.parquet", "doc_id long, text string").where("text IS NOT NULL")
     ingest.run_once(ingest.first_seen(rows).select("h"), f"{root}/out", f"{root}/state")
     return spark.read.schema("h string").parquet(f"{root}/out").select("h")
 

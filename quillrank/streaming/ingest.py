@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def stream(spark: SparkSession, table: str, schema: str, glob: str = "*.parquet") -> DataFrame:
+    """The rows of a parquet table, which may be one file or a folder of them, as they come in. As a pattern, as Spark takes
+    a single file's path for that of a folder."""
+    at = table.rstrip("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(f"{at[:-1]}[{at[-1]}]")
 
 
 def first_seen(rows: DataFrame, text: str = "text", within: str | None = None, ts: str | None = None) -> DataFrame:
@@ -24,8 +27,11 @@ def first_seen(rows: DataFrame, text: str = "text", within: str | None = None, t
 def run_once(rows: DataFrame, sink: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """All that is there now, in batches, through `step` into parquet.
 
-    Each batch overwrites a folder of its own, so one that is run again after a loss leaves no row twice.
+    Each batch overwrites a folder of its own, so one that is run again after a loss leaves no row twice. Where nothing has
+    come in, `sink` is an empty folder.
     """
+    at = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(sink)
+    at.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(at)
 
     def put(batch: DataFrame, number: int) -> None:
         (step(batch) if step else batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")

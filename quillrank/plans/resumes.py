@@ -27,12 +27,13 @@ ROLES = ["Senior Software Engineer", "Data Scientist", "Backend Engineer", "Prod
 
 
 def _resume(k: Column) -> Column:
-    """A résumé of the shape that people send in, with numbers, skills, roles and degrees that depend on k."""
+    """A résumé of the shape that people send in, with numbers, skills, roles and degrees that depend on k. Its own number
+    has nine digits, so that it is never read as a year."""
     pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
     skills = F.array_join(F.slice(F.array(*map(F.lit, SKILLS * 2)), (k % len(SKILLS)).cast("int") + 1, 5), ", ")
-    year = 1990 + k % 20
+    year, own = 1990 + k % 20, F.format_string("%09d", k)
     return F.concat(
-        F.lit("CANDIDATE "), k.cast("string"), F.lit("\n\nSUMMARY\nBuilds systems, number "), k.cast("string"), F.lit(".\n\nWORK EXPERIENCE\n"), pick(ROLES, k % 4), F.lit(", NovaPay\nJan "), year.cast("string"),
+        F.lit("CANDIDATE "), own, F.lit("\n\nSUMMARY\nBuilds systems, number "), own, F.lit(".\n\nWORK EXPERIENCE\n"), pick(ROLES, k % 4), F.lit(", NovaPay\nJan "), year.cast("string"),
         F.lit(" - Dec "), (year + 3 + k % 5).cast("string"), F.lit("\n\nEDUCATION\n"), pick(DEGREES, k % 7 % 4), F.lit("\n\nSKILLS\n"), skills, F.lit("\n\nPROJECTS\nA pagination library, release "), (k % 9).cast("string"), F.lit("\n"),
     )
 

@@ -16,3 +16,8 @@ def test_ingest_of_a_folder_of_files(spark, tmp_path):
     for name, texts in (("some", ["a", "b", "a", None]), ("none", [])):
         got = registry.QUERIES["incremental_ingest"](spark, documents(spark, tmp_path / name, list(enumerate(texts))))
         assert sorted(r.h for r in got.collect()) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in {*texts} - {None})
+
+
+def test_numbers_of_files_are_no_years(spark, tmp_path):
+    got = registry.QUERIES["process_files"](spark, documents(spark, tmp_path, [(k, "") for k in (1901, 1924, 2006, 2099)]))
+    assert {r.name: (r.earliest, r.latest) for r in got.collect()} == {f"cv{k:09d}.txt": (1990 + k % 20, 1993 + k % 20 + k % 5) for k in (1901, 1924, 2006, 2099)}

@@ -1,0 +1,220 @@
+"""Postings as packed arrays: what a task makes of its documents' term hashes, and what buckets of terms give back."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+
+U = np.uint64
+#: Terms, with repeats, that a task packs at once.
+FLUSH = 4_000_000
+#: Bytes of sums that a task holds before it sends them.
+HELD = 16 << 20
+#: Buckets of rows that are no postings: how many documents have a section, and the documents' keys.
+DOCS, KEYS = -1, -2
+
+SUMS = "chunk long, section string, every binary, fine binary, most long"
+NEAR = "section string, term long, chunk long, slot long, n long"
+
+
+def schema(key: str) -> str:
+    """`docs` is the number of documents of a `DOCS` row and of postings otherwise; `data` has hashes, documents' places in
+    the chunk and counts."""
+    return f"bucket int, section string, chunk long, docs long, data binary, keys array<{key}>"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by planes of as many bytes as the largest one needs, which compress well."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes, count: int, parts: int = 3) -> list[np.ndarray]:
+    out, at = [], 0
+    for _ in range(parts):
+        width = data[at]
+        x = np.zeros((count, 8), dtype=np.uint8)
+        x[:, :width] = np.frombuffer(data, dtype=np.uint8, count=width * count, offset=at + 1).reshape(width, count).T
+        out.append(x.view("<u8").ravel())
+        at += 1 + width * count
+    return out
+
+
+def decoded(data: bytes, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, places and counts."""
+    steps, slot, n = unpack(data, count)
+    return np.cumsum(steps, dtype=U), slot.astype(np.int64), n.astype(np.int64)
+
+
+def _flat(sections: pa.Array, first: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each section the documents' places and the hashes of their terms, in the order of documents."""
+    names, lists = pc.list_flatten(sections).flatten()
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    h = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+    slot = pc.list_parent_indices(sections).to_numpy(zero_copy_only=False)[owner] + first
+    named = names.dictionary_encode()
+    kinds = named.dictionary.to_pylist()
+    if len(kinds) == 1 and not names.null_count:
+        return {kinds[0]: (slot, h)}
+    code = named.indices.fill_null(-1).to_numpy(zero_copy_only=False)[owner]
+    return {kind: (slot[code == i], h[code == i]) for i, kind in enumerate(kinds)}
+
+
+def packed(key: str, out: pa.Schema, bits: int):
+    """Documents (key, sections: array of (section, terms: array of hashes)) in chunks: for each section and bucket of hashes
+    their distinct pairs of term and document."""
+
+    def emit(held: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        rows, at = [], 0
+        for b in held:
+            for section, pair in _flat(b["sections"], at).items():
+                found.setdefault(section, []).append(pair)
+            at += len(b)
+        keys = [k for b in held for k in b[key].to_pylist()]
+        rows.append((KEYS, None, chunk, len(keys), None, keys))
+        for section, pairs in found.items():
+            slot, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            if not len(h):
+                continue
+            order = np.argsort(h, kind="stable")
+            h, slot = h[order], slot[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (slot[1:] != slot[:-1])
+            begin = np.flatnonzero(new)
+            n = np.diff(begin, append=len(h))
+            h, slot = h[begin], slot[begin]
+            rows.append((DOCS, section, chunk, len(np.unique(slot)), None, None))
+            top = (h >> U(64 - bits)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(top, prepend=-1))
+            for a, z in zip(edges, [*edges[1:], len(h)], strict=True):
+                steps = np.diff(h[a:z], prepend=U(0))
+                # the first step is the hash itself, and wide: its bucket's first hash is left out of it
+                steps[0] = h[a] - (U(top[a]) << U(64 - bits))
+                rows.append((int(top[a]), section, chunk, int(z - a), pack(steps) + pack(slot[a:z]) + pack(n[a:z]), None))
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 256], strict=True), out, strict=True)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            held.append(b)
+            size += len(pc.list_flatten(pc.list_flatten(b["sections"]).flatten()[1]))
+            if size >= FLUSH:
+                yield from emit(held, chunk)
+                chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from emit(held, chunk)
+
+    return run
+
+
+def _hashes(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, slot, n = decoded(row["data"], row["docs"])
+    return h + (U(row["bucket"]) << U(64 - bits)), slot, n
+
+
+def squares(sizes: dict[str, int], sublinear: bool, min_df: int, bits: int):
+    """Of buckets that come in order, the sums of squared weights of each chunk's documents: of `every` term, and of `fine`
+    ones, in `min_df` documents or more, with the most documents that a term of the section has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        most: dict = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (chunk, section), pair in sums.items():
+                every, fine = (x.tobytes() for x in pair)
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "section": [section], "every": [every], "fine": [fine], "most": [most[section]]})
+
+        def bucket(rows: list[dict]) -> None:
+            for section in {r["section"] for r in rows}:
+                own = [(r["chunk"], *_hashes(r, bits)) for r in rows if r["section"] == section]
+                h, n = np.concatenate([o[1] for o in own]), np.concatenate([o[3] for o in own])
+                order = np.argsort(h, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+                df = np.diff(begin, append=len(h))
+                most[section] = max(most.get(section, 0), int(df.max()))
+                idf, several = np.log((1 + sizes[section]) / (1 + df)) + 1, df >= min_df
+                w = np.empty(len(h))
+                w[order] = np.repeat(idf, df)
+                w *= 1 + np.log(n) if sublinear else n
+                w *= w
+                if min_df > 1:
+                    kept = np.empty(len(h), dtype=bool)
+                    kept[order] = np.repeat(several, df)
+                at = 0
+                for chunk, _, slot, _ in own:
+                    z, size = at + len(slot), int(slot.max()) + 1
+                    every = np.bincount(slot, w[at:z], size)
+                    fine = np.bincount(slot, w[at:z] * kept[at:z], size) if min_df > 1 else np.empty(0)
+                    old = sums.get((chunk, section))
+                    sums[chunk, section] = (every, fine) if old is None else (_added(old[0], every), _added(old[1], fine))
+                    at = z
+
+        now, rows = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["bucket"] != now and rows:
+                    bucket(rows)
+                    rows = []
+                    if sum(x.nbytes + y.nbytes for x, y in sums.values()) > HELD:
+                        yield from sent()
+                        sums.clear()
+                now = r["bucket"]
+                rows.append(r)
+        if rows:
+            bucket(rows)
+        yield from sent()
+
+    return run
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    a[: len(b)] += b
+    return a
+
+
+def lengths(key: str, out: pa.Schema, fine: frozenset):
+    """The roots of a chunk's sums, by document and section, from all its rows of sums and the one of its keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, sums, chunk = None, {}, None
+        for r in table.to_pylist():
+            chunk = r["chunk"]
+            if r["keys"] is not None:
+                keys = r["keys"]
+            else:
+                own = np.frombuffer(r["fine" if r["section"] in fine else "every"]).copy()
+                sums[r["section"]] = _added(sums[r["section"]], own) if r["section"] in sums else own
+        parts = []
+        for section, s in sums.items():
+            at = np.flatnonzero(s > 0)
+            parts.append(pa.table([pa.array(np.full(len(at), chunk)), pa.array(at), pa.array(keys, type=out.field(key).type).take(pa.array(at)), pa.array([section] * len(at), type=pa.string()), pa.array(np.sqrt(s[at]))], schema=out))
+        return pa.concat_tables(parts) if parts else out.empty_table()
+
+    return run
+
+
+def picked(bits: int):
+    """Flat postings: those of the terms that a row's `wanted` has, or all where it is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                h, slot, n = _hashes(r, bits)
+                if r["wanted"] is not None:
+                    w = np.sort(np.array(r["wanted"], dtype=np.int64).view(U))
+                    lo, hi = np.searchsorted(h, w, "left"), np.searchsorted(h, w, "right")
+                    at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True) if y > x] or [np.empty(0, dtype=np.int64)])
+                    h, slot, n = h[at], slot[at], n[at]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["section"]] * len(h), type=pa.string()), pa.array(h.view(np.int64)), pa.array(np.full(len(h), r["chunk"])), pa.array(slot), pa.array(n)], names=["section", "term", "chunk", "slot", "n"])
+
+    return run

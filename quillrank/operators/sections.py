@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from quillrank.operators import postings as P
 from quillrank.session import scratch_folder
 
-#: Buckets of terms at least; otherwise as many as the session's shuffle partitions, or the next power of two.
-LEAST_BUCKETS = 8
+#: Parts that terms are dealt into at least, and bytes of text for which there is one task more.
+LEAST_BUCKETS, TEXT = 16, 8 << 20
+
+
+def tasks(docs: DataFrame, each: int) -> int:
+    """Tasks so that one has about `each` bytes of the documents' strings, and as many as the session's shuffle partitions."""
+    texts = [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in docs.schema if f.dataType.simpleString() == "string"]
+    total = sum(x or 0 for x in docs.agg(*texts).first()) if texts else 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _arrow(columns: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(columns))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows of long lists go to Python in batches of so many at most; the setting is the session's and stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def _map(values: dict) -> Column:
@@ -24,44 +51,62 @@ class TermIndex:
 
     Texts are split once. Each section has a vocabulary and an idf (smoothed, plus 1) of its own, of its documents with
     terms; sections that are empty or null have none. Terms in under `min_df` of a section's documents don't count, unless
-    the section has under three or no term would be left. Tables: `counts` (bucket, section, term, key, n), the postings by
-    buckets of terms, so that a description reads only those of its own terms, `vocabulary` (section, term, df) and `norms`
-    (key, section, norm). In all of them a term is told by a 64-bit hash of its section and its word; `words` has the words.
+    the section has under three or no term would be left. Tables: `postings`, packed by chunks of documents and buckets of
+    terms (operators.postings), and `norms` (chunk, slot, key, section, norm). A term is told by a 64-bit hash of its section
+    and its word, a document by its chunk and its place there; `words` has the words. Tasks are as many as the texts need.
     """
 
     def __init__(self, docs: DataFrame, key: str, sections: Column, sublinear: bool = True, min_df: int = 1):
         """`sections` is an array of (section, terms) with arrays of terms; a section may come more than once."""
         self.spark, self.root, self.key = docs.sparkSession, scratch_folder(docs.sparkSession), key
-        self.docs, self.sublinear = docs.select(key), sublinear
-        # a document's terms stay in one task: texts are dealt by key, not their many more terms. An outer explode, as of an
-        # inner one Spark would check the arrays first and so compute them twice
-        split = docs.repartition(key).select(key, F.explode_outer(sections).alias("s")).select(key, "s.section", F.explode_outer("s.terms").alias("word"))
-        self._split = split.where("word IS NOT NULL")
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = max(LEAST_BUCKETS, 1 << (partitions - 1).bit_length())
-        counts = self._split.groupBy(key, "section", F.xxhash64("section", "word").alias("term")).agg(F.count("*").alias("n"))
-        # a bucket is a folder; one that outgrows a task, as a frequent term's may, is split by Spark
-        counts = counts.select(self._bucket().alias("bucket"), "section", "term", key, "n").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        self.counts = self._saved(counts, "counts", "bucket")
-        self.vocabulary = self._saved(self.counts.groupBy("term", "section").agg(F.count("*").alias("df")), "vocabulary")
+        self.sublinear = sublinear
+        self.parts = tasks(docs, TEXT)
+        self._docs, self._sections = docs, sections
+        self.dealt = 1 << (max(LEAST_BUCKETS, self.parts // 8) - 1).bit_length()
+        self.bits = self.dealt.bit_length() + 1
+        hashed = F.transform(sections, lambda s: F.struct(s["section"].alias("section"), F.transform(s["terms"], lambda w: F.xxhash64(s["section"], w)).alias("terms")))
+        kind = docs.schema[key].dataType
+        columns = P.schema(kind.simpleString())
+        rows = docs.repartition(self.parts, key).select(key, hashed.alias("sections"))
+        small_batches(self.spark)
+        self.postings = self._saved(rows.mapInArrow(P.packed(key, _arrow(columns), self.bits), columns), "postings")
         # a row a section is read to the driver
-        sizes = self.counts.select("section", key).distinct().groupBy("section").agg(F.count("*").alias("docs"))
-        self.sizes = {r["section"]: r["docs"] for r in sizes.collect()}
-        most = {r["section"]: r["most"] for r in self.vocabulary.groupBy("section").agg(F.max("df").alias("most")).collect()}
+        self.sizes = {r["section"]: r["n"] for r in self.postings.where(F.col("bucket") == P.DOCS).groupBy("section").agg(F.sum("docs").alias("n")).collect()}
+        lists = self.postings.where("bucket >= 0").select("bucket", "section", "chunk", "docs", "data")
+        dealt = lists.repartitionById(self.dealt, F.shiftright("bucket", 2)).sortWithinPartitions("bucket")
+        sums = self._saved(dealt.mapInArrow(P.squares(self.sizes, sublinear, min_df, self.bits), P.SUMS), "sums")
+        most = {r["section"]: r["most"] for r in sums.groupBy("section").agg(F.max("most").alias("most")).collect()}
         self.least = {s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in self.sizes.items()}
-        # terms of a single document have one idf all: only the others are joined
-        several = self.vocabulary.where("df > 1").select("term", "df")
-        w = self._tf(F.col("n")) * self._idf(F.coalesce("df", F.lit(1)))
-        squares = self.counts.join(several, "term", "left").groupBy(key, "section").agg(F.sum(w * w).alias("s"))
-        self.norms = self._saved(squares.where("s > 0").select(key, "section", F.sqrt("s").alias("norm")), "norms")
+        columns = f"chunk long, slot long, {key} {kind.simpleString()}, section string, norm double"
+        keys = self.postings.where(F.col("bucket") == P.KEYS).select("chunk", "keys")
+        both = sums.unionByName(keys, allowMissingColumns=True).repartition(self.parts, "chunk").groupBy("chunk")
+        self.norms = self._saved(both.applyInArrow(P.lengths(key, _arrow(columns), frozenset(s for s, n in self.least.items() if n > 1)), columns), "norms")
 
-    def _saved(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        out = df.write.partitionBy(by) if by else df.write
-        out.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+    def _saved(self, df: DataFrame, name: str) -> DataFrame:
+        return _stored(df, f"{self.root}/{name}")
 
     def _bucket(self) -> Column:
-        return F.pmod(F.hash("term"), F.lit(self.buckets))
+        return F.shiftrightunsigned("term", 64 - self.bits).cast("int")
+
+    def _flat(self, wanted: DataFrame | None = None) -> DataFrame:
+        """Postings (section, term, chunk, slot, n), of all terms or of the wanted ones (term)."""
+        lists = self.postings.where("bucket >= 0").select("bucket", "section", "chunk", "docs", "data")
+        if wanted is None:
+            lists = lists.withColumn("wanted", F.lit(None).cast("array<long>"))
+        else:
+            lists = lists.join(wanted.groupBy(self._bucket().alias("bucket")).agg(F.collect_set("term").alias("wanted")), "bucket")
+        return lists.mapInArrow(P.picked(self.bits), P.NEAR)
+
+    @property
+    def counts(self) -> DataFrame:
+        """(section, term, key, n) of all documents."""
+        keys = self.postings.where(F.col("bucket") == P.KEYS).select("chunk", F.posexplode("keys").alias("slot", self.key))
+        return self._flat().repartition(self.parts, "chunk", "slot").join(keys.repartition(self.parts, "chunk", "slot"), ["chunk", "slot"]).select("section", "term", self.key, "n")
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        """(section, term, df)."""
+        return self._flat().repartition(self.parts, "term").groupBy("term", "section").agg(F.count("*").alias("df"))
 
     def _tf(self, n: Column) -> Column:
         return 1 + F.log(n) if self.sublinear else n.cast("double")
@@ -86,7 +131,8 @@ class TermIndex:
 
     def words(self) -> DataFrame:
         """(section, term, word, df, idf) of the vocabulary."""
-        named = self._split.select(F.xxhash64("section", "word").alias("term"), "word").distinct()
+        split = self._docs.repartition(self.parts, self.key).select(F.explode_outer(self._sections).alias("s")).select("s.section", F.explode_outer("s.terms").alias("word")).where("word IS NOT NULL")
+        named = split.distinct().select(F.xxhash64("section", "word").alias("term"), "word").repartition(self.parts, "term").distinct()
         idf = F.log((1 + _map(self.sizes)[F.col("section")]) / (1 + F.col("df"))) + 1 if self.sizes else F.lit(0.0)
         return named.join(self.vocabulary, "term").withColumn("idf", idf)
 
@@ -95,18 +141,20 @@ class TermIndex:
         term that counts. Descriptions, with their terms, are a stated set that Spark may broadcast where it is small."""
         words = asked.select("item", F.explode_outer("terms").alias("word")).where("word IS NOT NULL").groupBy("item", "word").agg(F.count("*").alias("q_n"))
         each = words.select("item", "q_n", "word", F.explode(F.array(*map(F.lit, self.sizes)).cast("array<string>")).alias("section"))
-        terms = each.select("item", "q_n", F.xxhash64("section", "word").alias("term"))
-        idf = self._idf(F.col("df"))
-        q = terms.join(self.vocabulary, "term").select("item", "section", "term", self._bucket().alias("bucket"), (self._tf(F.col("q_n")) * idf).alias("q"), idf.alias("idf")).where("q > 0")
+        terms = each.select("item", "q_n", "section", F.xxhash64("section", "word").alias("term"))
         self._asked = getattr(self, "_asked", 0) + 1
+        near = self._saved(self._flat(terms.select("term").distinct()), f"near-{self._asked}")
+        idf = self._idf(F.col("df"))
+        df = near.groupBy("term").agg(F.count("*").alias("df"))
+        q = terms.join(df, "term").select("item", "section", "term", (self._tf(F.col("q_n")) * idf).alias("q"), idf.alias("idf")).where("q > 0")
         q = self._saved(q, f"asked-{self._asked}")
-        # as many numbers as there are buckets at most
-        there = [r["bucket"] for r in q.select("bucket").distinct().collect()]
         lengths = q.groupBy("item", "section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
-        near = self.counts.where(F.col("bucket").isin(there)).join(q.drop("section"), ["bucket", "term"])
-        dots = near.groupBy("item", self.key, "section").agg(F.sum(self._tf(F.col("n")) * F.col("idf") * F.col("q")).alias("dot"))
-        both = dots.join(self.norms, [self.key, "section"]).join(lengths, ["item", "section"])
-        return both.select("item", self.key, "section", (F.col("dot") / (F.col("norm") * F.col("length"))).alias("cos"))
+        q = q.join(lengths, ["item", "section"]).select("item", "term", (F.col("q") * F.col("idf") / F.col("length")).alias("share"))
+        # a document's postings meet its norm first; then what it shares with all descriptions is summed in one task
+        own = near.select("chunk", "slot", "section", "term", self._tf(F.col("n")).alias("tf")).repartition(self.parts, "chunk", "slot", "section")
+        own = own.join(self.norms.repartition(self.parts, "chunk", "slot", "section"), ["chunk", "slot", "section"])
+        both = own.join(q, "term").groupBy("item", "chunk", "slot", self.key, "section").agg(F.sum(F.col("tf") * F.col("share") / F.col("norm")).alias("cos"))
+        return both.select("item", self.key, "section", "cos")
 
     def similarities(self, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
         """(item, key, similarity): cosines by section, weighed. A document that lacks a section scores 0 there; a section
@@ -114,7 +162,7 @@ class TermIndex:
         used = {s: w for s, w in weights.items() if s in self.sizes}
         cos = self.cosines(asked).where(F.col("section").isin(*used) if used else F.lit(False))
         share = _map(used)[F.col("section")] * F.col("cos") / sum(used.values()) if used else F.lit(0.0)
-        return cos.groupBy("item", self.key).agg(F.sum(share).alias("similarity"))
+        return cos.repartition(self.parts, self.key).groupBy(self.key, "item").agg(F.sum(share).alias("similarity"))
 
 
 def boosted(similarity: Column, overlap: Column, most: float = 0.5) -> Column:
@@ -130,18 +178,24 @@ def keyword_scores(tfidf: DataFrame, docs: DataFrame, asked: DataFrame, key: str
     1; ranks are by final, then tfidf, both to 12 places (sums of equal terms may differ in the last), then key.
 
     Documents meet descriptions by a term or a skill that both have, not each with each; where fewer than `k` do, those
-    with the least keys fill the ranks, with 0.
+    with the least keys fill the ranks, with 0. Of documents with the same skills and no term those with the `k` least keys
+    are enough, as any other has these `k` before it. Skills of documents are found once; matches are written out for the
+    best only.
     """
-    wanted = asked.select("item", F.explode("skills").alias("skill"))
-    shared = docs.select(key, F.explode("skills").alias("skill")).join(wanted, "skill").select("item", key)
-    rest = asked.select("item").crossJoin(docs.select(key).orderBy(F.asc_nulls_last(key)).limit(k))
-    pairs = shared.unionByName(rest).distinct().join(tfidf, ["item", key], "full")
+    order = F.asc_nulls_last(key)
     named = asked.select("item", F.col("skills").alias("wanted"))
-    rows = pairs.join(docs.select(key, "skills"), key).join(named, "item")
-    tf = F.coalesce("similarity", F.lit(0.0))
-    hit = F.array_sort(F.array_intersect("wanted", "skills"))
-    skill = F.when(F.size("wanted") > 0, F.size(hit) / F.size("wanted")).otherwise(0.0)
-    rows = rows.select("item", key, tf.alias("tfidf"), skill.alias("skill"), hit.alias("matched"), F.array_sort(F.array_except("wanted", "skills")).alias("missing"))
-    rows = rows.withColumn("final", F.greatest(F.lit(0.0), F.least(F.lit(1.0), weights[0] * F.col("tfidf") + weights[1] * F.col("skill"))))
-    best = F.row_number().over(Window.partitionBy("item").orderBy(F.round("final", 12).desc(), F.round("tfidf", 12).desc(), F.asc_nulls_last(key)))
-    return rows.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
+    own = _stored(docs.select(key, "skills"), f"{scratch_folder(docs.sparkSession)}/skills")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // 4_000)
+    least = own.withColumn("_n", F.row_number().over(Window.partitionBy("skills").orderBy(order))).where(F.col("_n") <= k).select(key, "skills")
+    shared = least.select(key, F.explode("skills").alias("skill")).join(asked.select("item", F.explode("skills").alias("skill")), "skill").select("item", key)
+    rest = asked.select("item").crossJoin(docs.select(key).orderBy(order).limit(k))
+    zero = shared.unionByName(rest).withColumn("similarity", F.lit(0.0))
+    pairs = tfidf.select("item", key, "similarity").unionByName(zero).repartition(parts, key).groupBy(key, "item").agg(F.sum("similarity").alias("tfidf"))
+    rows = pairs.join(own.repartition(parts, key), key).join(named, "item")
+    skill = F.when(F.size("wanted") > 0, F.size(F.array_intersect("wanted", "skills")) / F.size("wanted")).otherwise(0.0)
+    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), weights[0] * F.col("tfidf") + weights[1] * F.col("skill")))
+    rows = rows.withColumn("skill", skill).withColumn("final", final)
+    best = F.row_number().over(Window.partitionBy("item").orderBy(F.round("final", 12).desc(), F.round("tfidf", 12).desc(), order))
+    rows = rows.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
+    hit, missing = F.array_sort(F.array_intersect("wanted", "skills")), F.array_sort(F.array_except("wanted", "skills"))
+    return rows.select("item", key, "tfidf", "skill", "final", "rank", hit.alias("matched"), missing.alias("missing"))

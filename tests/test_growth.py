@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
+from pyspark.sql import functions as F
+
+from quillrank.functions import text as X
+from quillrank.operators import sections as S
 from quillrank.plans import registry
 
 
@@ -21,3 +27,37 @@ def test_ingest_of_a_folder_of_files(spark, tmp_path):
 def test_numbers_of_files_are_no_years(spark, tmp_path):
     got = registry.QUERIES["process_files"](spark, documents(spark, tmp_path, [(k, "") for k in (1901, 1924, 2006, 2099)]))
     assert {r.name: (r.earliest, r.latest) for r in got.collect()} == {f"cv{k:09d}.txt": (1990 + k % 20, 1993 + k % 20 + k % 5) for k in (1901, 1924, 2006, 2099)}
+
+
+def test_terms_are_dealt_by_the_size_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "TEXT", 200)
+    monkeypatch.setattr(S, "LEAST_BUCKETS", 2)
+    texts = {k: " ".join(f"w{k * j % 41}" for j in range(1, 40)) + (" python" if k % 3 == 0 else "") for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = S.TermIndex(docs, "doc_id", S.whole(X.terms(F.col("text"), 2)), min_df=2)
+    assert index.parts > 30 and index.postings.where("bucket >= 0").select("chunk").distinct().count() > 4
+    want: dict = {}
+    for k, t in texts.items():
+        w = t.split()
+        for gram, n in Counter(w + [" ".join(p) for p in zip(w, w[1:], strict=False)]).items():
+            want[gram, k] = n
+    hashed = spark.createDataFrame([(g, k, n) for (g, k), n in want.items()], "word string, doc_id long, n long").select(F.xxhash64(F.lit("all"), "word").alias("term"), "doc_id", "n")
+    got = index.counts.select("term", "doc_id", "n")
+    assert got.exceptAll(hashed).count() == hashed.exceptAll(got).count() == 0
+    df = Counter(g for g, _ in want)
+    length = Counter()
+    for (g, k), n in want.items():
+        if df[g] > 1:
+            length[k] += ((1 + math.log(n)) * (math.log(61 / (1 + df[g])) + 1)) ** 2
+    assert {r.doc_id: round(r.norm, 9) for r in index.norms.collect()} == {k: round(math.sqrt(x), 9) for k, x in length.items()}
+    assert {r.word: r.df for r in index.words().collect()} == dict(df)
+    index.drop()
+
+
+def test_the_best_by_skills_alone(spark):
+    docs = spark.createDataFrame([(k, ["a", "b"] if k % 2 else ["b"]) for k in range(40)], "doc_id long, skills array<string>")
+    jd = spark.createDataFrame([(0, ["a", "c"]), (1, [])], "item long, skills array<string>")
+    found = spark.createDataFrame([(0, 9, 0.3), (0, 2, 0.5)], "item long, doc_id long, similarity double")
+    rows = sorted((r.item, r.rank, r.doc_id, r.matched, r.missing) for r in S.keyword_scores(found, docs, jd, "doc_id", 5).collect())
+    assert rows[:5] == [(0, i + 1, k, ["a"] if k % 2 else [], ["c"] if k % 2 else ["a", "c"]) for i, k in enumerate([9, 2, 1, 3, 5])]
+    assert [r[2] for r in rows[5:]] == [0, 1, 2, 3, 4]

@@ -10,7 +10,7 @@ from quillrank.functions import entities as E
 from quillrank.functions import text as X
 from quillrank.operators import indexing as I
 from quillrank.operators import records as M
-from quillrank.plans.base import query, table
+from quillrank.plans.base import query, spread, table
 from quillrank.sources import sinks
 
 AS_OF = "2026-01-01"
@@ -82,7 +82,7 @@ def resume_intelligence(spark: SparkSession, d: str) -> DataFrame:
     """Sections, entities of rules and of a model, in their canonical forms, and signals of experience."""
     tale = F.get(F.array(*map(F.lit, ["Senior Software Engineer since 2015", "Data  Scientist in 2011, 2019 and 20190", "Manager", "Quiet Developer 1899 2001"])), (F.col("p_partkey") % 4).cast("int"))
     text = F.concat(tale, F.lit("\nEducation\nM. Tech in Computer  Science\nSkills\nworked with python, Python 3 and "), F.col("p_name"))
-    rows = table(spark, d, "part").select("p_partkey", text.alias("text"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", text.alias("text"))
     found = I.intelligence(F.col("text"), ["python", "sql"], organizations=F.array(F.lit("Microsoft Azure"), F.lit("Amazon Web Services Inc.")))
     r = rows.select("p_partkey", found.alias("r")).select("p_partkey", "r.*")
     return r.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import text as X
 from quillrank.operators import sections as S
 from quillrank.plans import registry
+from quillrank.plans.base import spread
 
 
 def documents(spark, folder, rows, files=2):
@@ -61,3 +62,10 @@ def test_the_best_by_skills_alone(spark):
     rows = sorted((r.item, r.rank, r.doc_id, r.matched, r.missing) for r in S.keyword_scores(found, docs, jd, "doc_id", 5).collect())
     assert rows[:5] == [(0, i + 1, k, ["a"] if k % 2 else [], ["c"] if k % 2 else ["a", "c"]) for i, k in enumerate([9, 2, 1, 3, 5])]
     assert [r[2] for r in rows[5:]] == [0, 1, 2, 3, 4]
+
+
+def test_costly_rows_are_spread(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS p_partkey", "'part' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["resume_intelligence"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 4
+    assert spread(spark.range(20_000), "id", 1_000).rdd.getNumPartitions() == 20

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quillrank.operators import postings as P
-from quillrank.session import scratch_folder
+from quillrank.session import scratch_folder, small_batches
 
 #: Parts that terms are dealt into at least, and bytes of text for which there is one task more.
 LEAST_BUCKETS, TEXT = 16, 8 << 20
@@ -31,13 +31,6 @@ def _arrow(columns: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(columns))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows of long lists go to Python in batches of so many at most; the setting is the session's and stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 

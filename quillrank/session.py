@@ -31,3 +31,12 @@ def scratch_folder(spark: SparkSession) -> str:
     store.mkdirs(at)
     store.deleteOnExit(at)
     return path
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Long lists and whole files go to Python in batches of so many rows and bytes at most, unless the session's are smaller
+    already; the settings are the session's and stay, as results are evaluated later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank import config
 from quillrank.functions.text import strip
-from quillrank.session import scratch_folder
+from quillrank.session import scratch_folder, small_batches
 from quillrank.sources.files import direct_text_ok
 
 #: Makes a reader in a worker: content to (text, pages). It may raise ImportError where its library isn't installed.
@@ -57,6 +57,7 @@ def cascade(files: DataFrame, readers: list[tuple[str, ReaderFactory]]) -> DataF
                     out.append((name, None, 1, "none", "; ".join(errors)))
             yield pd.DataFrame(out, columns=["name", "text", "pages", "backend", "error"])
 
+    small_batches(files.sparkSession)
     return files.select("name", "content").mapInPandas(read, _READ)
 
 
@@ -112,6 +113,7 @@ def scanned(files: DataFrame, primary: EngineFactory, fallback: EngineFactory |
                 out.append((name, text, error, more, trouble))
             yield pd.DataFrame(out, columns=["name", "primary_text", "primary_error", "fallback_text", "fallback_error"])
 
+    small_batches(files.sparkSession)
     return files.select("name", "content").mapInPandas(read, _SCANNED)
 
 

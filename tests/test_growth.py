@@ -12,6 +12,7 @@ from quillrank.functions import text as X
 from quillrank.operators import sections as S
 from quillrank.plans import registry
 from quillrank.plans.base import spread
+from quillrank.sources import readers
 
 
 def documents(spark, folder, rows, files=2):
@@ -69,3 +70,15 @@ def test_costly_rows_are_spread(spark, tmp_path):
     got = registry.QUERIES["resume_intelligence"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() == 4
     assert spread(spark.range(20_000), "id", 1_000).rdd.getNumPartitions() == 20
+
+
+def test_files_go_to_readers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    rows = spark.range(1_200).coalesce(1).selectExpr("concat('f', id) AS name", "CAST(CAST(id AS STRING) AS BINARY) AS content")
+    assert readers.cascade(rows, [("own", lambda: lambda content: (str(len(content)), 1))]).count() == 1_200
+    assert int(spark.conf.get(name)) <= 500
+    spark.conf.set(name, "100")
+    readers.scanned(rows, lambda: lambda content: "", None)
+    assert spark.conf.get(name) == "100"
+    spark.conf.unset(name)

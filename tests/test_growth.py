@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
 from quillrank.operators import sections as S
-from quillrank.plans import registry
+from quillrank.plans import registry, textual
 from quillrank.plans.base import spread
 from quillrank.sources import readers
 
@@ -82,3 +82,11 @@ def test_files_go_to_readers_in_small_batches(spark):
     readers.scanned(rows, lambda: lambda content: "", None)
     assert spark.conf.get(name) == "100"
     spark.conf.unset(name)
+
+
+def test_grams_are_dealt_by_the_size_of_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textual, "TEXT", 100)
+    d = documents(spark, tmp_path, [(k, "red red green") for k in range(80)])
+    got = registry.QUERIES["ngrams"](spark, d)
+    assert got.rdd.getNumPartitions() == 11
+    assert {(r.gram, r.n, r.docs) for r in got.collect()} == {("red", 160, 80), ("green", 80, 80), ("red red", 80, 80), ("red green", 80, 80), ("red red green", 80, 80)}

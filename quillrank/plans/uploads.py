@@ -101,7 +101,7 @@ def vectoriser_artifacts(spark: SparkSession, d: str) -> DataFrame:
     index = TermIndex(table(spark, d, "documents"), "doc_id", whole(X.terms(F.col("text"), 1, config.STOP_WORDS)), sublinear=False)
     sinks.write_vectoriser(index, path, {"ngrams": 1, "sublinear": False})
     index.drop()
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    read = lambda name: spark.read.parquet(f"{path}/{name}").repartition(index.parts, "term")
     counts = read("doc_terms").groupBy("term").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
     settings = spark.read.schema("settings map<string,string>").json(f"{path}/settings.json").select(F.col("settings")["ngrams"].alias("ngrams"))
     return read("vocabulary").join(counts, "term").crossJoin(settings).select("word", F.col("rows").alias("df"), "tokens", F.round("idf", 6).alias("idf"), "ngrams")

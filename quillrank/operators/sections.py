@@ -15,11 +15,16 @@ from quillrank.session import scratch_folder, small_batches
 LEAST_BUCKETS, TEXT = 16, 8 << 20
 
 
-def tasks(docs: DataFrame, each: int) -> int:
-    """Tasks so that one has about `each` bytes of the documents' strings, and as many as the session's shuffle partitions."""
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the documents' strings."""
     texts = [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in docs.schema if f.dataType.simpleString() == "string"]
-    total = sum(x or 0 for x in docs.agg(*texts).first()) if texts else 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+    return sum(x or 0 for x in docs.agg(*texts).first()) if texts else 0
+
+
+def tasks(docs: DataFrame, each: int, size: int | None = None) -> int:
+    """Tasks so that one has about `each` bytes of the documents' strings, and as many as the session's shuffle partitions."""
+    size = text_bytes(docs) if size is None else size
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from quillrank import config
 from quillrank.functions import dates as D
 from quillrank.functions import text as X
-from quillrank.operators.sections import tasks
+from quillrank.operators import grams as G
+from quillrank.operators.sections import tasks, text_bytes, whole
 from quillrank.plans.base import query, table
 from quillrank.plans.sql import grams_sql, words_sql
+from quillrank.session import small_batches
 
-#: Bytes of text whose grams a task counts.
-TEXT = 4 << 20
+#: Bytes of text whose grams a task counts, and whose words are sent together.
+TEXT, CHUNK = 8 << 20, 16 << 20
 VOCABULARY = [*config.SKILLS, "license", "mit", "the and"]
 _VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in VOCABULARY if " " not in v) + "]"
 _PHRASE_SQL = "[" + ", ".join(f"'{v}'" for v in VOCABULARY if " " in v) + "]"
@@ -63,15 +65,14 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
   SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     """All 1- to 3-grams less stop words, with their number and that of their documents."""
-    # texts are dealt by document, so that a document's grams are counted where they are made; only sums are shuffled. Both to
-    # so many tasks that none holds the grams of more than a few MB of text. An outer explode, as for an inner one Spark would
-    # make the arrays twice
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    parts = tasks(docs, TEXT)
-    docs = docs.repartition(parts, "doc_id")
-    grams = docs.select("doc_id", F.explode_outer(X.terms(F.col("text"), 3, config.STOP_WORDS)).alias("gram")).where("gram IS NOT NULL")
-    counted = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("c")).select("gram", "c").repartition(parts, "gram")
-    return counted.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    # a document's texts go to one task; what is shuffled for the count are words with those beside them, not grams
+    docs, words = table(spark, d, "documents").select("doc_id", "text"), whole(X.terms(F.col("text"), 1, config.STOP_WORDS))
+    size = text_bytes(docs)
+    buckets, parts = tasks(docs, TEXT, size), tasks(docs, CHUNK, size)
+    small_batches(spark)
+    rows = docs.repartition(parts, "doc_id").sortWithinPartitions("doc_id").select("doc_id", words.alias("sections"))
+    sent = rows.mapInArrow(G.sent("doc_id", 3, buckets, G.frequent(docs, "doc_id", words, size, buckets), CHUNK), "bucket int, data binary")
+    return sent.repartitionById(buckets, "bucket").mapInArrow(G.counts(3), "gram string, n long, docs long")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM documents""")

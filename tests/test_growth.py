@@ -6,9 +6,12 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
+from quillrank.operators import grams as G
 from quillrank.operators import sections as S
 from quillrank.plans import registry, textual
 from quillrank.plans.base import spread
@@ -90,3 +93,38 @@ def test_grams_are_dealt_by_the_size_of_texts(spark, tmp_path, monkeypatch):
     got = registry.QUERIES["ngrams"](spark, d)
     assert got.rdd.getNumPartitions() == 11
     assert {(r.gram, r.n, r.docs) for r in got.collect()} == {("red", 160, 80), ("green", 80, 80), ("red red", 80, 80), ("red green", 80, 80), ("red red green", 80, 80)}
+
+
+def test_grams_are_counted_from_words_that_are_sent_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textual, "TEXT", 4_000)
+    monkeypatch.setattr(textual, "CHUNK", 2_000)
+    monkeypatch.setattr(G, "SAMPLE", 20_000)
+    # a document has two rows, one has no number, and two words are in all
+    texts = [(k // 2 if k < 60 else k, " ".join(f"w{k * j % 97}" if j % 3 else "often red" for j in range(1, 90 + k))) for k in range(90)]
+    rows = [*texts, (None, "often red w1 w2"), (500, None), (501, "the of"), (502, "red red red often often red")]
+    d = documents(spark, tmp_path, rows)
+    n, docs = Counter(), Counter()
+    seen = set()
+    for k, t in rows:
+        w = [x for x in (t or "").split() if x not in ("the", "of")]
+        for gram in w + [" ".join(w[i : i + m]) for m in (2, 3) for i in range(len(w) - m + 1)]:
+            n[gram] += 1
+            if k is not None and (gram, k) not in seen:
+                seen.add((gram, k))
+                docs[gram] += 1
+    got = registry.QUERIES["ngrams"](spark, d)
+    assert {(r.gram, r.n, r.docs) for r in got.collect()} == {(g, c, docs[g]) for g, c in n.items()} and got.count() == len(n)
+
+
+def test_what_is_sent_of_words_is_less_than_their_grams():
+    rng = np.random.default_rng(1)
+    names = pa.array([f"word{i}" for i in range(5_000)])
+    code = (rng.zipf(1.3, 200_000) - 1) % 5_000
+    words = G.Words(names, code, np.full(400, 500), np.arange(1, 401), np.zeros(400, dtype=np.int64), ["all"])
+    last = [f"word{i}" for i in range(40, -1, -1)]
+    blocks = list(G.Grams(words, 3, 8, last, False).blocks())
+    grams = sum(len(names[int(c)].as_py()) for c in code[:2_000]) * 6 * 100
+    assert sum(len(b) for _, b in blocks) < grams / 8
+    sizes = [len(b) for _, b in blocks]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / 8
+    assert G.Words.restored(words.stored()).code.tolist() == code.tolist()

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +102,22 @@ class Words:
         """`slots` are the places of the batches' rows; column `sections` has (section, terms)."""
         rows = pa.chunked_array([b["sections"] for b in batches]).combine_chunks()
         names, lists = pc.list_flatten(rows).flatten()
+        known = names.is_valid()
+        names, lists, owner = names.filter(known), lists.filter(known), pc.list_parent_indices(rows).filter(known)
         kinds = names.dictionary_encode()
         terms = pc.list_flatten(lists).dictionary_encode()
         sizes = _listed(pc.fill_null(pc.list_value_length(lists), 0))
-        return cls(terms.dictionary, _listed(terms.indices), sizes, slots[_listed(pc.list_parent_indices(rows))], _listed(kinds.indices), kinds.dictionary.to_pylist())
+        return cls(terms.dictionary, _listed(terms.indices), sizes, slots[_listed(owner)], _listed(kinds.indices), kinds.dictionary.to_pylist())
+
+    def documents(self) -> list[int]:
+        """How many documents have words of each section."""
+        each = np.unique(self.slot * len(self.sections) + self.section)
+        return np.bincount(each % max(len(self.sections), 1), minlength=len(self.sections)).tolist()
+
+    def runs(self, m: int) -> np.ndarray:
+        """Places where m words of a list begin."""
+        at = np.arange(len(self.code) - m + 1)
+        return at[self.lists[at] == self.lists[at + m - 1]]
 
     def stored(self) -> bytes:
         return sealed(*Strings(self.names).parts(0, len(self.names)), *map(pack, (self.code, self.sizes, *self._of)), *Strings(pa.array(self.sections, type=pa.string())).parts(0, len(self.sections)))
@@ -371,3 +384,148 @@ def counts(n: int):
                 yield pa.RecordBatch.from_arrays([gram.cast(pa.string()), pa.array(number), pa.array(docs)], names=["gram", "n", "docs"])
 
     return run
+
+
+def stored(key: str, most: int, out: pa.Schema):
+    """Sorted documents (key, sections) as chunks of their words (chunk, keys, names, docs, data): `keys` begins with null, a
+    document's slot is the place of its key there, and `docs` is how many have each of the sections `names`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for keys, slots, held in chunks(key, most, batches):
+            words = Words.read(held, slots + 2)
+            row = [chunk, [None, None, *keys.to_pylist()], words.sections, words.documents(), words.stored()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, out, strict=True)], schema=out)
+            chunk += 1
+
+    return run
+
+
+def dealt(n: int, buckets: int, last: list[str]):
+    """Chunks (chunk, data) as blocks (bucket, chunk, data); a section's grams are its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, data in zip(b["chunk"].to_pylist(), b["data"].to_pylist(), strict=True):
+                rows = list(Grams(Words.restored(data), n, buckets, last, True).blocks())
+                for i in range(0, len(rows), 256):
+                    bucket, block = zip(*rows[i : i + 256], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([chunk] * len(bucket)), pa.array(block, pa.binary())], names=["bucket", "chunk", "data"])
+
+    return run
+
+
+def documents(n: int):
+    """Blocks (bucket, chunk, data) of a bucket as answers: in how many documents the block's grams are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for b in batches:
+            for bucket, chunk, data in zip(*(b[c].to_pylist() for c in ("bucket", "chunk", "data")), strict=True):
+                by.setdefault(bucket, []).append((chunk, data))
+        for bucket in list(by):
+            chunk, data = zip(*by.pop(bucket), strict=True)
+            for i, answer in enumerate(Bucket(list(data), n).documents()):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk[i]]), pa.array([answer], pa.binary())], names=["bucket", "chunk", "data"])
+
+    return run
+
+
+def _each(key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each document's gram, and how often the document has it. Places rise within a key."""
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (slot[order][1:] != slot[order][:-1])
+    begin = np.flatnonzero(new)
+    return order[begin], np.diff(begin, append=len(order))
+
+
+def lengths(n: int, buckets: int, last: list[str], sizes: dict[str, int], sublinear: bool, min_df: int, out: pa.Schema):
+    """Of a chunk's words and their answers the lengths of its documents, by section: of all terms (`every`) and of those in
+    `min_df` documents or more (`fine`), with the most documents that a term of the section has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own, answers = next(r for r in rows if r["bucket"] is None), sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
+        words = Words.restored(own["data"])
+        if not answers:
+            return out.empty_table()
+        grams, found = Grams(words, n, buckets, last, True), [opened(r["data"]) for r in answers]
+        df = [np.concatenate([unpack(f[i]) for f in found]) for i in range(len(shapes(n)) + 1)]
+        kinds, total = len(words.sections), (int(words.slot.max()) + 1) * len(words.sections)
+        size = np.array([sizes[s] for s in words.sections], dtype=np.float64)
+        every, fine, most = np.zeros(total), np.zeros(total), np.zeros(kinds, dtype=np.int64)
+        parts = [(shape, grams.chosen(grams.at, *shape), d) for shape, d in zip(shapes(n), df, strict=False)]
+        for (a, b), at, d in [*parts, *((shape, at, df[-1][which]) for shape, at, which in grams.often["of"])]:
+            first, tf = _each(keyed(grams.group[at], grams.beside(at, a, b), len(words.names)), words.slot[at])
+            place, d = at[first], d[first]
+            section = words.section[place]
+            np.maximum.at(most, section, d)
+            w = (np.log((1 + size[section]) / (1 + d)) + 1) * (1 + np.log(tf) if sublinear else tf)
+            where = words.slot[place] * kinds + section
+            every += np.bincount(where, w * w, total)
+            fine += np.bincount(where, w * w * (d >= min_df), total)
+        at = np.flatnonzero(every > 0)
+        slot, section, names = at // kinds, at % kinds, pa.array(words.sections, type=pa.string())
+        keys = pa.array(own["keys"], type=out.field(2).type)
+        columns = [np.full(len(at), own["chunk"]), slot, keys.take(pa.array(slot)), names.take(pa.array(section)), np.sqrt(every[at]), np.sqrt(fine[at]), most[section]]
+        return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=out)
+
+    return run
+
+
+def _wanted(words: Words, terms: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(m, places, terms' numbers) where terms of m words begin: words are followed as far as some term goes on with them."""
+    split = pc.split_pattern(terms, " ") if n > 1 else pa.array([[t] for t in terms.to_pylist()], type=pa.list_(pa.large_string()))
+    count = _listed(pc.list_value_length(split))
+    code = _listed(pc.index_in(pc.list_flatten(split), value_set=words.names).fill_null(-1))
+    begin, v = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), max(len(words.names), 1)
+    node, last, key = np.zeros(len(terms), dtype=np.int64), np.arange(len(terms)), np.zeros(len(words.code), dtype=np.int64)
+    at = np.arange(len(words.code))
+    for m in range(1, n + 1):
+        # terms that are longer, by the number of what they have in common so far
+        last = last[(count[last] >= m) & (node[last] >= 0)]
+        now = code[begin[last] + m - 1]
+        last, now = last[now >= 0], now[now >= 0]
+        known = np.unique(node[last] * v + now)
+        node[last] = np.searchsorted(known, node[last] * v + now)
+        at = at[at + m <= len(words.code)]
+        at = at[words.lists[at] == words.lists[at + m - 1]] if len(at) else at
+        asked = key[at] * v + words.code[at + m - 1]
+        place = np.searchsorted(known, asked)
+        hit = (known[np.minimum(place, len(known) - 1)] == asked) if len(known) else np.zeros(len(at), dtype=bool)
+        at = at[hit]
+        key[at] = place[hit]
+        whole = last[count[last] == m]
+        term = np.full(len(known), -1)
+        term[node[whole]] = whole
+        own = term[key[at]] if len(known) else at[:0]
+        yield m, at[own >= 0], own[own >= 0]
+
+
+def found(n: int, key: str, out: pa.Schema):
+    """Chunks (chunk, keys, data, wanted) as documents' terms (section, word, chunk, slot, key, n): those that are wanted, or all
+    where that is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                words = Words.restored(r["data"])
+                keys, names = pa.array(r["keys"], type=out.field(key).type), pa.array(words.sections, type=pa.string())
+                if r["wanted"] is None:
+                    runs = ((m, words.runs(m), None) for m in range(1, n + 1) if m <= len(words.code))
+                else:
+                    terms = pa.array(r["wanted"], type=pa.large_string())
+                    runs = _wanted(words, terms, n)
+                for m, at, which in runs:
+                    codes = [words.code[at + k] for k in range(m)] if which is None else [which]
+                    one = keyed(words.section[at], codes, len(words.names) if which is None else len(terms))
+                    first, tf = _each(one, words.slot[at])
+                    for i in range(0, len(first), ROWS):
+                        own = first[i : i + ROWS]
+                        text = joined([words.names.take(pa.array(c[own])) for c in codes]) if which is None else terms.take(pa.array(which[own]))
+                        slot = pa.array(words.slot[at[own]])
+                        columns = [names.take(pa.array(words.section[at[own]])), text.cast(pa.string()), pa.array(np.full(len(own), r["chunk"])), slot, keys.take(slot), pa.array(tf[i : i + ROWS])]
+                        yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return run

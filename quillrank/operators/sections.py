@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillrank.operators import postings as P
-from quillrank.session import scratch_folder, small_batches
+from quillrank.operators import grams as G
+from quillrank.session import scratch_folder, set_for, small_batches
 
 #: Parts that terms are dealt into at least, and bytes of text for which there is one task more.
 LEAST_BUCKETS, TEXT = 16, 8 << 20
+#: Terms of descriptions that tasks get at once.
+WANTED = 100_000
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -47,64 +49,69 @@ def whole(terms: Column, name: str = "all") -> Column:
 class TermIndex:
     """What a vectoriser learns from documents, in tables of shared storage, and the cosines of descriptions with them.
 
-    Texts are split once. Each section has a vocabulary and an idf (smoothed, plus 1) of its own, of its documents with
-    terms; sections that are empty or null have none. Terms in under `min_df` of a section's documents don't count, unless
-    the section has under three or no term would be left. Tables: `postings`, packed by chunks of documents and buckets of
-    terms (operators.postings), and `norms` (chunk, slot, key, section, norm). A term is told by a 64-bit hash of its section
-    and its word, a document by its chunk and its place there; `words` has the words. Tasks are as many as the texts need.
+    Texts are split once. Terms are a section's 1- to `n`-grams of words. Each section has a vocabulary and an idf (smoothed,
+    plus 1) of its own, of its documents with terms; sections that are empty or null have none. Terms in under `min_df` of a
+    section's documents don't count, unless the section has under three or no term would be left. Tables: `chunks`, the words
+    of documents (operators.grams), and `norms` (chunk, slot, key, section, norm). `postings` are what chunks send to those who
+    count in how many documents a term is; answers come back to the chunk, so that no table has a row or a number for each
+    document and bucket. A document is told by its chunk and its place there. Tasks are as many as the texts need.
     """
 
-    def __init__(self, docs: DataFrame, key: str, sections: Column, sublinear: bool = True, min_df: int = 1):
-        """`sections` is an array of (section, terms) with arrays of terms; a section may come more than once."""
-        self.spark, self.root, self.key = docs.sparkSession, scratch_folder(docs.sparkSession), key
+    def __init__(self, docs: DataFrame, key: str, sections: Column, sublinear: bool = True, min_df: int = 1, n: int = 1):
+        """`sections` is an array of (section, terms) with arrays of words, which hold no blanks if `n` is above 1; a section may
+        come more than once."""
+        self.spark, self.root, self.key, self.n = docs.sparkSession, scratch_folder(docs.sparkSession), key, n
         self.sublinear = sublinear
-        self.parts = tasks(docs, TEXT)
-        self._docs, self._sections = docs, sections
-        self.dealt = 1 << (max(LEAST_BUCKETS, self.parts // 8) - 1).bit_length()
-        self.bits = self.dealt.bit_length() + 1
-        hashed = F.transform(sections, lambda s: F.struct(s["section"].alias("section"), F.transform(s["terms"], lambda w: F.xxhash64(s["section"], w)).alias("terms")))
-        kind = docs.schema[key].dataType
-        columns = P.schema(kind.simpleString())
-        rows = docs.repartition(self.parts, key).select(key, hashed.alias("sections"))
+        size = text_bytes(docs)
+        self.parts = tasks(docs, TEXT, size)
+        self.dealt = max(LEAST_BUCKETS, self.parts)
+        self._kind = docs.schema[key].dataType.simpleString()
         small_batches(self.spark)
-        self.postings = self._saved(rows.mapInArrow(P.packed(key, _arrow(columns), self.bits), columns), "postings")
+        rows = docs.repartition(self.parts, key).sortWithinPartitions(key).select(key, sections.alias("sections"))
+        columns = f"chunk long, keys array<{self._kind}>, names array<string>, docs array<long>, data binary"
+        self.chunks = self._saved(rows.mapInArrow(G.stored(key, TEXT, _arrow(columns)), columns), "chunks")
         # a row a section is read to the driver
-        self.sizes = {r["section"]: r["n"] for r in self.postings.where(F.col("bucket") == P.DOCS).groupBy("section").agg(F.sum("docs").alias("n")).collect()}
-        lists = self.postings.where("bucket >= 0").select("bucket", "section", "chunk", "docs", "data")
-        dealt = lists.repartitionById(self.dealt, F.shiftright("bucket", 2)).sortWithinPartitions("bucket")
-        sums = self._saved(dealt.mapInArrow(P.squares(self.sizes, sublinear, min_df, self.bits), P.SUMS), "sums")
-        most = {r["section"]: r["most"] for r in sums.groupBy("section").agg(F.max("most").alias("most")).collect()}
-        self.least = {s: min_df if n >= 3 and most[s] >= min_df else 1 for s, n in self.sizes.items()}
-        columns = f"chunk long, slot long, {key} {kind.simpleString()}, section string, norm double"
-        keys = self.postings.where(F.col("bucket") == P.KEYS).select("chunk", "keys")
-        both = sums.unionByName(keys, allowMissingColumns=True).repartition(self.parts, "chunk").groupBy("chunk")
-        self.norms = self._saved(both.applyInArrow(P.lengths(key, _arrow(columns), frozenset(s for s, n in self.least.items() if n > 1)), columns), "norms")
+        each = self.chunks.select(F.explode(F.arrays_zip("names", "docs")).alias("s")).groupBy("s.names").agg(F.sum("s.docs").alias("n"))
+        self.sizes = {r["names"]: r["n"] for r in each.where("n > 0").collect()}
+        last = G.frequent(docs, key, sections, size, self.dealt)
+        self.postings = self.chunks.select("chunk", "data").mapInArrow(G.dealt(n, self.dealt, last), "bucket int, chunk long, data binary")
+        # stored, so that the postings' shuffle is gone before chunks meet their answers
+        answers = self._saved(self.postings.repartitionById(self.dealt, "bucket").mapInArrow(G.documents(n), "bucket int, chunk long, data binary"), "answers")
+        both = answers.unionByName(self.chunks.select("chunk", "keys", "data"), allowMissingColumns=True).repartition(self.parts, "chunk").groupBy("chunk")
+        columns = f"chunk long, slot long, {key} {self._kind}, section string, every double, fine double, most long"
+        norms = self._saved(both.applyInArrow(G.lengths(n, self.dealt, last, self.sizes, sublinear, min_df, _arrow(columns)), columns), "norms")
+        most = {r["section"]: r["most"] for r in norms.groupBy("section").agg(F.max("most").alias("most")).collect()}
+        self.least = {s: min_df if d >= 3 and most[s] >= min_df else 1 for s, d in self.sizes.items()}
+        fine = [s for s, d in self.least.items() if d > 1]
+        norm = F.when(F.col("section").isin(*fine), F.col("fine")).otherwise(F.col("every")) if fine else F.col("every")
+        self.norms = norms.select("chunk", "slot", key, "section", norm.alias("norm")).where("norm > 0")
 
     def _saved(self, df: DataFrame, name: str) -> DataFrame:
-        return _stored(df, f"{self.root}/{name}")
-
-    def _bucket(self) -> Column:
-        return F.shiftrightunsigned("term", 64 - self.bits).cast("int")
+        """Stored, and what was shuffled for it is dropped at once."""
+        with set_for(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            return _stored(df, f"{self.root}/{name}")
 
     def _flat(self, wanted: DataFrame | None = None) -> DataFrame:
-        """Postings (section, term, chunk, slot, n), of all terms or of the wanted ones (term)."""
-        lists = self.postings.where("bucket >= 0").select("bucket", "section", "chunk", "docs", "data")
+        """(section, word, chunk, slot, key, n) of all terms or of the wanted ones (word)."""
+        columns = f"section string, word string, chunk long, slot long, {self.key} {self._kind}, n long"
+        rows = self.chunks.select("chunk", "keys", "data")
         if wanted is None:
-            lists = lists.withColumn("wanted", F.lit(None).cast("array<long>"))
+            rows = rows.withColumn("wanted", F.lit(None).cast("array<string>"))
         else:
-            lists = lists.join(wanted.groupBy(self._bucket().alias("bucket")).agg(F.collect_set("term").alias("wanted")), "bucket")
-        return lists.mapInArrow(P.picked(self.bits), P.NEAR)
+            self._sets = getattr(self, "_sets", 0) + 1
+            sets = -(-wanted.count() // WANTED)
+            rows = rows.crossJoin(self._saved(wanted.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(1, sets))).alias("set")).agg(F.collect_list("word").alias("wanted")).select("wanted"), f"wanted-{self._sets}"))
+        return rows.mapInArrow(G.found(self.n, self.key, _arrow(columns)), columns)
 
     @property
     def counts(self) -> DataFrame:
-        """(section, term, key, n) of all documents."""
-        keys = self.postings.where(F.col("bucket") == P.KEYS).select("chunk", F.posexplode("keys").alias("slot", self.key))
-        return self._flat().repartition(self.parts, "chunk", "slot").join(keys.repartition(self.parts, "chunk", "slot"), ["chunk", "slot"]).select("section", "term", self.key, "n")
+        """(section, term, key, n) of all documents; a term is told by a 64-bit hash of its section and its word."""
+        return self._flat().select("section", F.xxhash64("section", "word").alias("term"), self.key, "n")
 
     @property
     def vocabulary(self) -> DataFrame:
-        """(section, term, df)."""
-        return self._flat().repartition(self.parts, "term").groupBy("term", "section").agg(F.count("*").alias("df"))
+        """(section, term, word, df)."""
+        return self._flat().select("section", "word").repartition(self.parts, "section", "word").groupBy("section", "word").agg(F.count("*").alias("df")).select("section", F.xxhash64("section", "word").alias("term"), "word", "df")
 
     def _tf(self, n: Column) -> Column:
         return 1 + F.log(n) if self.sublinear else n.cast("double")
@@ -129,38 +136,44 @@ class TermIndex:
 
     def words(self) -> DataFrame:
         """(section, term, word, df, idf) of the vocabulary."""
-        split = self._docs.repartition(self.parts, self.key).select(F.explode_outer(self._sections).alias("s")).select("s.section", F.explode_outer("s.terms").alias("word")).where("word IS NOT NULL")
-        named = split.distinct().select(F.xxhash64("section", "word").alias("term"), "word").repartition(self.parts, "term").distinct()
         idf = F.log((1 + _map(self.sizes)[F.col("section")]) / (1 + F.col("df"))) + 1 if self.sizes else F.lit(0.0)
-        return named.join(self.vocabulary, "term").withColumn("idf", idf)
+        return self.vocabulary.select("term", "section", "word", "df", idf.alias("idf"))
 
-    def cosines(self, asked: DataFrame) -> DataFrame:
-        """(item, key, section, cos) for all descriptions (item, terms: array) and all documents and sections that share a
-        term that counts. Descriptions, with their terms, are a stated set that Spark may broadcast where it is small."""
+    def _shares(self, asked: DataFrame) -> DataFrame:
+        """(item, chunk, slot, key, section, share) for all terms that a description and a document share, a document's in one
+        task; they sum up to cosines. Descriptions, with their terms, are a stated set that is broadcast where it is small."""
         words = asked.select("item", F.explode_outer("terms").alias("word")).where("word IS NOT NULL").groupBy("item", "word").agg(F.count("*").alias("q_n"))
         each = words.select("item", "q_n", "word", F.explode(F.array(*map(F.lit, self.sizes)).cast("array<string>")).alias("section"))
         terms = each.select("item", "q_n", "section", F.xxhash64("section", "word").alias("term"))
         self._asked = getattr(self, "_asked", 0) + 1
-        near = self._saved(self._flat(terms.select("term").distinct()), f"near-{self._asked}")
+        near = self._flat(words.select("word").distinct()).select("section", F.xxhash64("section", "word").alias("term"), "chunk", "slot", self.key, "n")
+        near = self._saved(near, f"near-{self._asked}")
         idf = self._idf(F.col("df"))
         df = near.groupBy("term").agg(F.count("*").alias("df"))
         q = terms.join(df, "term").select("item", "section", "term", (self._tf(F.col("q_n")) * idf).alias("q"), idf.alias("idf")).where("q > 0")
         q = self._saved(q, f"asked-{self._asked}")
         lengths = q.groupBy("item", "section").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
+        few = q.count() <= WANTED
         q = q.join(lengths, ["item", "section"]).select("item", "term", (F.col("q") * F.col("idf") / F.col("length")).alias("share"))
-        # a document's postings meet its norm first; then what it shares with all descriptions is summed in one task
-        own = near.select("chunk", "slot", "section", "term", self._tf(F.col("n")).alias("tf")).repartition(self.parts, "chunk", "slot", "section")
-        own = own.join(self.norms.repartition(self.parts, "chunk", "slot", "section"), ["chunk", "slot", "section"])
-        both = own.join(q, "term").groupBy("item", "chunk", "slot", self.key, "section").agg(F.sum(F.col("tf") * F.col("share") / F.col("norm")).alias("cos"))
-        return both.select("item", self.key, "section", "cos")
+        # a document's postings meet its norms first; then what it shares with all descriptions is summed in one task
+        norms = self.norms.repartition(self.parts, "chunk", "slot").groupBy("chunk", "slot").agg(F.map_from_entries(F.collect_list(F.struct("section", "norm"))).alias("norms"))
+        own = near.select("chunk", "slot", self.key, "section", "term", self._tf(F.col("n")).alias("tf")).repartition(self.parts, "chunk", "slot").join(norms, ["chunk", "slot"])
+        own = own.withColumn("norm", F.try_element_at("norms", F.col("section"))).where("norm IS NOT NULL").drop("norms")
+        both = own.join(F.broadcast(q) if few else q, "term")
+        return both.select("item", "chunk", "slot", self.key, "section", (F.col("tf") * F.col("share") / F.col("norm")).alias("share"))
+
+    def cosines(self, asked: DataFrame) -> DataFrame:
+        """(item, key, section, cos) for all descriptions (item, terms: array of 1- to n-grams) and all documents and sections that
+        share a term that counts."""
+        return self._shares(asked).groupBy("item", "chunk", "slot", self.key, "section").agg(F.sum("share").alias("cos")).select("item", self.key, "section", "cos")
 
     def similarities(self, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
         """(item, key, similarity): cosines by section, weighed. A document that lacks a section scores 0 there; a section
         that no document has is left out of the weights."""
         used = {s: w for s, w in weights.items() if s in self.sizes}
-        cos = self.cosines(asked).where(F.col("section").isin(*used) if used else F.lit(False))
-        share = _map(used)[F.col("section")] * F.col("cos") / sum(used.values()) if used else F.lit(0.0)
-        return cos.repartition(self.parts, self.key).groupBy(self.key, "item").agg(F.sum(share).alias("similarity"))
+        shares = self._shares(asked).where(F.col("section").isin(*used) if used else F.lit(False))
+        share = _map(used)[F.col("section")] * F.col("share") / sum(used.values()) if used else F.lit(0.0)
+        return shares.groupBy("item", "chunk", "slot", self.key).agg(F.sum(share).alias("similarity")).select(self.key, "item", "similarity")
 
 
 def boosted(similarity: Column, overlap: Column, most: float = 0.5) -> Column:

@@ -108,8 +108,8 @@ def section_tfidf_boost(spark: SparkSession, d: str) -> DataFrame:
     """Sections of whole texts, 1- to 3-grams less stop words in at least two documents, boosted by the share of the
     description's skills that a document has: all descriptions and documents that share a term."""
     docs, wanted = table(spark, d, "documents").select("doc_id", "text"), scoring.asked(spark, d, 3)
-    cut = F.transform(S.anywhere(F.col("text"), PARTS), lambda s: F.struct(s["section"].alias("section"), X.terms(s["text"], 3, config.STOP_WORDS).alias("terms")))
-    index = TermIndex(docs, "doc_id", cut, min_df=2)
+    cut = F.transform(S.anywhere(F.col("text"), PARTS), lambda s: F.struct(s["section"].alias("section"), X.terms(s["text"], 1, config.STOP_WORDS).alias("terms")))
+    index = TermIndex(docs, "doc_id", cut, min_df=2, n=3)
     own = docs.select("doc_id", X.extract_skills(F.col("text"), scoring.VOCABULARY).alias("own"))
     near = index.similarities(wanted, config.SECTION_WEIGHTS).join(own, "doc_id").join(wanted.select("item", "skills"), "item")
     return near.select(F.col("item").alias("item_id"), "doc_id", F.round(boosted(F.col("similarity"), R.overlap(F.col("skills"), F.col("own"))), 6).alias("score"))

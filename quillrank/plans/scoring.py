@@ -29,7 +29,7 @@ def asked(spark: SparkSession, d: str, n: int, where: str = "true") -> DataFrame
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     """The plain vectoriser: 1- and 2-grams less stop words, raw counts; all descriptions and documents that share one."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    index = TermIndex(docs, "doc_id", whole(X.terms(F.col("text"), 2, config.STOP_WORDS)), sublinear=False).checked()
+    index = TermIndex(docs, "doc_id", whole(X.terms(F.col("text"), 1, config.STOP_WORDS)), sublinear=False, n=2).checked()
     return index.cosines(asked(spark, d, 2)).select(F.col("item").alias("item_id"), "doc_id", F.round("cos", 6).alias("tfidf"))
 
 
@@ -44,7 +44,7 @@ def _keyword_sql(where: str) -> str:
 
 def _keyword(spark: SparkSession, d: str, where: str) -> DataFrame:
     docs, wanted = table(spark, d, "documents").select("doc_id", "text"), asked(spark, d, 3, where)
-    index = TermIndex(docs, "doc_id", whole(X.terms(F.col("text"), 3, config.STOP_WORDS))).checked()
+    index = TermIndex(docs, "doc_id", whole(X.terms(F.col("text"), 1, config.STOP_WORDS)), n=3).checked()
     own = docs.select("doc_id", X.extract_skills(F.col("text"), VOCABULARY).alias("skills"))
     best = keyword_scores(index.similarities(wanted, {"all": 1.0}), own, wanted, "doc_id", 10)
     return best.select(F.col("item").alias("item_id"), "doc_id", *(F.round(c, 4).alias(c) for c in ("tfidf", "skill", "final")), "rank", *(F.array_join(c, ",").alias(c) for c in ("matched", "missing")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,14 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> Non
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+@contextmanager
+def set_for(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs within."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

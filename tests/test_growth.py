@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -128,3 +129,55 @@ def test_what_is_sent_of_words_is_less_than_their_grams():
     sizes = [len(b) for _, b in blocks]
     assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / 8
     assert G.Words.restored(words.stored()).code.tolist() == code.tolist()
+
+
+def stored_bytes(folder):
+    return sum(p.stat().st_size for p in Path(folder.removeprefix("file://").removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_tables_of_an_index_do_not_grow_with_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "TEXT", 100_000)
+    rng = np.random.default_rng(2)
+    texts = [(k, " ".join(f"w{i}" for i in rng.integers(0, 4_000, 60))) for k in range(2_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = []
+    for buckets in (8, 256):
+        monkeypatch.setattr(S, "LEAST_BUCKETS", buckets)
+        index = S.TermIndex(docs, "doc_id", S.whole(X.terms(F.col("text"), 1)))
+        sizes.append(stored_bytes(index.root))
+        index.drop()
+    assert sizes[1] < 2 * sizes[0]
+
+
+def test_grams_of_sections_are_made_from_words(spark, monkeypatch):
+    monkeypatch.setattr(S, "TEXT", 3_000)
+    monkeypatch.setattr(G, "SAMPLE", 3_000)
+    monkeypatch.setattr(S, "WANTED", 5)
+    # the first document has two rows, one has no number and one no section; "often" is in all
+    rows = [(k if k else 1, f"a{k * 7 % 5} b{k % 3} often often c{k % 11}", f"often x{k % 4} often b{k % 3}" if k % 2 else "") for k in range(120)]
+    rows += [(None, "often a1 b1", "often"), (500, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    part = lambda name, c: F.struct(F.lit(name).cast("string").alias("section"), X.terms(F.col(c)).alias("terms"))
+    index = S.TermIndex(docs, "doc_id", F.array(part("a", "a"), part("b", "b"), part(None, "a")), min_df=2, n=3)
+    tf: dict = {}
+    for k, *texts in rows:
+        for section, text in zip("ab", texts, strict=True):
+            w = (text or "").split()
+            for gram in w + [" ".join(w[i : i + m]) for m in (2, 3) for i in range(len(w) - m + 1)]:
+                tf.setdefault(section, {}).setdefault(gram, Counter())[k] += 1
+    docs_of = {s: len({k for ks in grams.values() for k in ks}) for s, grams in tf.items()}
+    assert index.sizes == docs_of and index.least == {"a": 2, "b": 2}
+    idf = {s: {g: (math.log((1 + docs_of[s]) / (1 + len(ks))) + 1 if len(ks) > 1 else 0) for g, ks in grams.items()} for s, grams in tf.items()}
+    square, cos = Counter(), Counter()
+    asked = {"often": 1, "often b1": 2, "a1 b1 often": 1, "nowhere": 1, "often nowhere": 1, "b1 often often": 1, "b2": 1}
+    for s, grams in tf.items():
+        q = {g: (1 + math.log(n)) * idf[s][g] for g, n in asked.items() if idf[s].get(g)}
+        for g, ks in grams.items():
+            for k, n in ks.items():
+                square[k, s] += ((1 + math.log(n)) * idf[s][g]) ** 2
+                cos[k, s] += (1 + math.log(n)) * idf[s][g] * q.get(g, 0) / math.sqrt(sum(x * x for x in q.values()))
+    assert {(r.doc_id, r.section): round(r.norm, 9) for r in index.norms.collect()} == {k: round(math.sqrt(x), 9) for k, x in square.items() if x}
+    wanted = spark.createDataFrame([(7, [g for g, n in asked.items() for _ in range(n)]), (8, [])], "item long, terms array<string>")
+    got = {(r.item, r.doc_id, r.section): round(r.cos, 9) for r in index.cosines(wanted).collect()}
+    assert got == {(7, *k): round(x / math.sqrt(square[k]), 9) for k, x in cos.items() if x}
+    assert {(r.section, r.word): r.df for r in index.words().collect()} == {(s, g): len(ks) for s, grams in tf.items() for g, ks in grams.items()}
